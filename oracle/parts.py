@@ -194,3 +194,70 @@ cte("flow", """
            CASE WHEN rn >= 21 THEN close >= max(close) OVER w20 AND NOT (obv >= max(obv) OVER w20) END AS obv_divergence
     FROM flow1 WINDOW w AS (PARTITION BY ticker ORDER BY date), w14 AS (PARTITION BY ticker ORDER BY date ROWS 13 PRECEDING),
          w20 AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), w21 AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING)""")
+
+# --- replay -----------------------------------------------------------------------
+cte("calendar", """
+    SELECT week_end, max(date) AS as_of FROM pbars
+    WHERE date >= (SELECT max(f) FROM (SELECT min(date) AS f FROM pbars GROUP BY ticker)) GROUP BY 1""")
+cte("week_rows", """
+    SELECT d.ticker, d.date, d.week_end, d.price, d.mom_12_1, d.return_1d, d.return_2d, d.return_5d, d.breadth_50d, faber.faber,
+           y.ret AS year_return, stage.sma30w, stage.above_30wma, stage.ma_slope_pos, stage.mansfield_rs, stage.stage,
+           rrg.rs_ratio, rrg.rs_momentum, rrg.rrg_quadrant, flow.cmf21, flow.net_flow_21d, flow.obv_slope, flow.mfi14, flow.rvol,
+           flow.adv_20d, flow.dist_days_25, flow.obv_divergence
+    FROM weekly wk
+    JOIN daily d ON d.ticker = wk.ticker AND d.date = wk.last_date
+    JOIN faber ON faber.ticker = d.ticker AND faber.date = d.date
+    JOIN year_return y ON y.ticker = d.ticker AND y.date = d.date
+    JOIN flow ON flow.ticker = d.ticker AND flow.date = d.date
+    LEFT JOIN stage ON stage.ticker = d.ticker AND stage.week_end = d.week_end
+    LEFT JOIN rrg ON rrg.ticker = d.ticker AND rrg.week_end = d.week_end
+    """)
+cte("snap0", """
+    SELECT c.as_of, w.*
+    FROM (SELECT c.*, t.ticker FROM calendar c CROSS JOIN (SELECT DISTINCT ticker FROM week_rows) t) c
+    ASOF JOIN week_rows w ON c.ticker = w.ticker AND c.week_end >= w.week_end""")
+cte("snap", """
+    SELECT s.*, CAST(s.year_return > c.year_return AS INTEGER) AS antonacci,
+           CASE WHEN s.ticker = 'Brand#1' THEN 'Benchmark' ELSE 'C' || (CAST(substr(s.ticker, 7) AS INTEGER) % 4) END AS class
+    FROM snap0 s LEFT JOIN snap0 c ON c.ticker = 'Brand#2' AND s.as_of = c.as_of WHERE s.ticker <> 'Brand#2'""")
+
+
+def z(c: str, part: str) -> str:
+    """Population z-score as a window expression with the zero-spread rule."""
+    w = f"OVER (PARTITION BY {part})"
+    return f"CASE WHEN max({c}) {w} > min({c}) {w} THEN ({c} - avg({c}) {w}) / stddev_pop({c}) {w} ELSE {c} * 0.0 END"
+
+
+cte("scored0", f"""
+    SELECT *, {z('mom_12_1', 'as_of, class')} AS z1, {z('mansfield_rs', 'as_of, class')} AS z2, {z('rs_ratio', 'as_of, class')} AS z3,
+           {z('rs_momentum', 'as_of, class')} AS z4,
+           (coalesce(faber, 0) + CASE WHEN stage = 2 THEN 1 ELSE 0 END + coalesce(antonacci, 0)) / 3.0 AS filters
+    FROM snap WHERE class <> 'Benchmark'""")
+cte("scored1", """
+    SELECT *, 0.0 AS f_score, 0.22 * z1 + 0.12 * z2 + 0.15 * z3 + 0.08 * z4 + 0.12 * filters AS s_score FROM scored0""")
+cte("scored2", """
+    SELECT *, CASE WHEN s_score IS NOT NULL THEN rank() OVER (PARTITION BY as_of, class ORDER BY s_score DESC NULLS LAST) END AS rank_in_class
+    FROM scored1""")
+
+
+def state_case(etf: str = "false", etf_v: str = "NULL", block: str = "false", block_v: str = "NULL") -> str:
+    return f"""CASE
+      WHEN above_30wma = false AND ma_slope_pos = false AND mansfield_rs < 0 AND cmf21 < -0.10 THEN 'BEARISH_STAGE_4'
+      WHEN coalesce(above_30wma = false, false) OR coalesce(mansfield_rs < 0, false) OR coalesce(antonacci = 0, false)
+        OR coalesce(rrg_quadrant = 'Lagging', false) OR coalesce(cmf21 < -0.10, false)
+        OR ({etf} AND coalesce({etf_v} < -1.5, false)) OR ({block} AND coalesce({block_v} < 0.7, false)) THEN 'EXIT'
+      WHEN coalesce(rrg_quadrant = 'Weakening', false) OR coalesce(breadth_50d < 0.5, false) OR coalesce(cmf21 < 0, false)
+        OR coalesce(return_5d <= -0.04, false) OR coalesce(obv_divergence, false) OR coalesce(dist_days_25 >= 4, false) THEN 'WARNING'
+      WHEN stage = 2 AND rrg_quadrant = 'Leading' AND breadth_50d >= 0.6 AND cmf21 > 0.05 AND coalesce(return_5d > -0.04, true)
+        AND (NOT {etf} OR coalesce({etf_v} >= 0, false)) THEN 'STAGE_2_BULLISH'
+      WHEN stage = 2 THEN 'HOLD' WHEN stage = 1 THEN 'STAGE_1_BASING' ELSE 'HOLD' END"""
+
+
+cte("scored", f"""
+    SELECT *, coalesce(rank_in_class <= 2, false) AS selected, {state_case()} AS state FROM scored2""")
+cte("targets", """
+    SELECT as_of, ticker, 1.0 / count(*) OVER (PARTITION BY as_of) AS weight FROM scored WHERE selected""")
+cte("last_scored", "SELECT * FROM scored WHERE as_of = (SELECT max(as_of) FROM scored)")
+cte("transitions", """
+    SELECT ticker, prior AS from_state, state AS to_state, as_of AS date
+    FROM (SELECT *, lag(state) OVER (PARTITION BY ticker ORDER BY as_of) AS prior FROM scored) WHERE prior <> state""")

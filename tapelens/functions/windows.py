@@ -45,26 +45,15 @@ def sample_std(c, n: int, min_periods: int | None = None, **spec) -> Column:
     return F.when((F.count(_col(c)).over(w) >= need) & spread, F.stddev_samp(_col(c)).over(w))
 
 
-def zscores(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
-    """Population z-scores of several columns within ``keys``.
+def zscore(c, keys: list[str]) -> Column:
+    """Population z-score within ``keys``.
 
-    The moments are one hash aggregate with map-side combine, joined back on the
-    keys: no task has to hold or sort a whole cross-section. A constant group
-    scores 0 for its non-null members, an all-null group stays null.
+    A constant group scores 0 for its non-null members, an all-null group stays
+    null. The keys always hold the as-of date, so a group has at most one row per
+    instrument and its frame spills like any sort; every score of a date shares one
+    shuffle and nothing is joined back.
     """
-    aggs = []
-    for i, source in enumerate(columns.values()):
-        c = F.col(source).cast("double")
-        aggs += [
-            F.avg(c).alias(f"_mean_{i}"),
-            F.when(F.max(c) > F.min(c), F.stddev_pop(c)).otherwise(F.lit(0.0)).alias(f"_std_{i}"),
-        ]
-    moments = df.groupBy(*keys).agg(*aggs)
-    out = df.join(moments, keys)
-    for i, (target, source) in enumerate(columns.items()):
-        c = F.col(source).cast("double")
-        out = out.withColumn(
-            target,
-            F.when(F.col(f"_std_{i}") == 0, c * 0.0).otherwise((c - F.col(f"_mean_{i}")) / F.col(f"_std_{i}")),
-        )
-    return out.drop(*[f"_{p}_{i}" for p in ("mean", "std") for i in range(len(columns))])
+    c = _col(c).cast("double")
+    w = Window.partitionBy(*keys)
+    spread = F.max(c).over(w) > F.min(c).over(w)
+    return F.when(spread, (c - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(c * 0.0)

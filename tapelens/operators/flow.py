@@ -54,7 +54,6 @@ def flow_indicators(bars: DataFrame) -> DataFrame:
     obv_high = F.col("obv") >= F.max("obv").over(n20)
     return base.select(
         *bars.columns,
-        rn.alias("rn"),
         F.when(rn >= 22, F.sum("_mfv").over(n21) / F.nullif(F.sum("volume").over(n21), F.lit(0.0))).alias("cmf21"),
         F.when(rn >= 21, F.sum("_mfd").over(n21)).alias("net_flow_21d"),
         F.col("obv"),

@@ -35,48 +35,47 @@ def daily_pillars(bars: DataFrame) -> DataFrame:
     )
 
 
-def faber_signal(bars: DataFrame) -> DataFrame:
+def with_faber(bars: DataFrame) -> DataFrame:
     """Price above its ten-month average, point in time on every date.
 
     The average holds the nine completed month closes and the price of the day, so
-    a date inside a month never sees that month's later close.
+    a date inside a month never sees that month's later close. Bars carry no null
+    close, so a month's close is the price of its last row.
     """
-    months = bars.groupBy("ticker", month_number("date").alias("month_no")).agg(
-        F.max_by("price", F.when(F.col("price").isNotNull(), F.col("date"))).alias("month_close")
-    )
-    w = Window.partitionBy("ticker").orderBy("month_no").rangeBetween(-9, -1)
-    months = months.select(
-        "ticker",
-        "month_no",
-        F.sum("month_close").over(w).alias("_sum9"),
-        F.count("month_close").over(w).alias("_n9"),
-        (F.col("month_no") - F.min("month_no").over(Window.partitionBy("ticker")) + 1).alias("_months"),
-    )
-    joined = bars.select("ticker", "date", "price", month_number("date").alias("month_no")).join(
-        months, ["ticker", "month_no"]
+    w = series()
+    df = bars.withColumn("_month", month_number("date"))
+    closes = F.lead("_month").over(w) > F.col("_month")
+    df = df.withColumn("_month_close", F.when(closes, F.col("price")))
+    past = Window.partitionBy("ticker").orderBy("_month").rangeBetween(-9, -1)
+    months = F.col("_month") - F.min("_month").over(Window.partitionBy("ticker")) + 1
+    df = df.select(
+        "*",
+        months.alias("_months"),
+        F.sum("_month_close").over(past).alias("_sum9"),
+        F.count("_month_close").over(past).alias("_n9"),
     )
     above = (F.col("_n9") == 9) & (F.col("price") > (F.col("_sum9") + F.col("price")) / 10)
-    return joined.select(
-        "ticker",
-        "date",
-        F.when(F.col("_months") >= 11, F.coalesce(above.cast("int"), F.lit(0))).alias("faber"),
+    return df.select(
+        *bars.columns, F.when(F.col("_months") >= 11, F.coalesce(above.cast("int"), F.lit(0))).alias("faber")
     )
 
 
+def year_return() -> Column:
+    return F.col("price") / F.lag("price", YEAR_ROWS - 1).over(series()) - 1
+
+
 def antonacci_signal(bars: DataFrame, cash: str) -> DataFrame:
     """Twelve-month return above that of cash, each on its own calendar (I8).
 
     Cash is one instrument, so its side holds at most one row per trading day. It
     is carried to every date on the calendar before the equi-join on date.
     """
-    own = bars.select(
-        "ticker", "date", (F.col("price") / F.lag("price", YEAR_ROWS - 1).over(series()) - 1).alias("_own")
-    )
+    own = bars.select("ticker", "date", year_return().alias("_own"))
     one = bars.where(F.col("ticker") == cash).select("date", "price", F.lit(cash).alias("ticker"))
     one = one.select(
         F.col("date").alias("from_date"),
         F.date_sub(F.lead("date").over(series()), 1).alias("_until"),
-        (F.col("price") / F.lag("price", YEAR_ROWS - 1).over(series()) - 1).alias("_cash"),
+        year_return().alias("_cash"),
     )
     horizon = bars.agg(F.max("date")).scalar()
     one = one.where("_cash is not null").select(
@@ -86,28 +85,32 @@ def antonacci_signal(bars: DataFrame, cash: str) -> DataFrame:
     return own.join(one, "date", "left").select("ticker", "date", flag.alias("antonacci"))
 
 
-def weekly_relative(bars: DataFrame, bench: str) -> DataFrame:
-    """Weekly spine with the benchmark's weekly price carried on the asset's weeks.
+def with_benchmark(weekly: DataFrame, bench: str) -> DataFrame:
+    """Benchmark's weekly price carried on each asset's weekly spine.
 
-    The benchmark side is one instrument's weeks: bounded by the calendar.
+    The benchmark is read inside the week's cross-section instead of by a second
+    scan of the bars: a week holds one row per instrument.
     """
-    weekly = weekly_spine(weekly_bars(bars))
-    b = weekly.where(F.col("ticker") == bench)
-    b = b.select(
-        "week_end",
-        F.col("price").alias("_pb"),
-        F.row_number().over(Window.partitionBy("ticker").orderBy("week_end")).alias("_nb"),
+    spine = weekly_spine(weekly).withColumn("weeks", F.row_number().over(series("week_end")))
+    week = Window.partitionBy("week_end")
+    is_bench = F.col("ticker") == bench
+    seen = spine.select(
+        "*",
+        F.max(F.when(is_bench, F.col("price"))).over(week).alias("_pb"),
+        F.max(F.when(is_bench, F.col("weeks"))).over(week).alias("_nb"),
     )
-    out = weekly.join(b, "week_end", "left")
     run = running("week_end")
-    return out.select(
-        *weekly.columns,
-        F.row_number().over(series("week_end")).alias("weeks"),
+    return seen.select(
+        *spine.columns,
         F.last("_pb", ignorenulls=True).over(run).alias("bench_price"),
         F.coalesce(F.max("_nb").over(run), F.lit(0)).alias("bench_weeks"),
     )
 
 
+def weekly_relative(bars: DataFrame, bench: str) -> DataFrame:
+    return with_benchmark(weekly_bars(bars), bench)
+
+
 def stage_analysis(rel: DataFrame) -> DataFrame:
     """30-week average, its slope, Mansfield strength and the stage 1-4."""
     w = series("week_end")
@@ -154,7 +157,7 @@ def quadrant(ratio: Column, momentum: Column) -> Column:
 def rotation(rel: DataFrame) -> DataFrame:
     """Relative-rotation ratio and momentum (I9-I11): a window over a window."""
     by = {"order": "week_end"}
-    df = rel.withColumn("_rs100", 100 * F.col("price") / F.col("bench_price"))
+    df = rel.withColumn("_rs100", 100 * (F.col("price") / F.col("bench_price")))
     df = df.withColumn(
         "_ratio",
         100 + (F.col("_rs100") - full_mean("_rs100", 63, **by)) / sample_std("_rs100", 252, 60, **by) * 10,
@@ -172,32 +175,25 @@ def rotation(rel: DataFrame) -> DataFrame:
     )
 
 
-def weekly_pillars(bars: DataFrame, bench: str) -> DataFrame:
-    """Stage and rotation on every traded week of every instrument."""
-    return rotation(stage_analysis(weekly_relative(bars, bench))).where("traded")
-
-
 def eligible(df: DataFrame, cash: str) -> DataFrame:
     """Scored instruments: not cash, not an index (F1)."""
     return df.where((F.col("ticker") != cash) & ~F.col("ticker").startswith("^"))
 
 
-def week_close_indicators(bars: DataFrame, bench: str, cash: str) -> DataFrame:
-    """All price indicators at each instrument's last bar of every traded week."""
-    daily = daily_pillars(bars).withColumn("week_end", week_end("date"))
-    closing = F.max("date").over(Window.partitionBy("ticker", "week_end"))
-    daily = daily.withColumn("_close", closing).where("date = _close").drop("_close")
-    weekly = weekly_pillars(bars, bench).select(
-        "ticker", "week_end", "sma30w", "above_30wma", "ma_slope_pos", "mansfield_rs", "stage",
-        "rs_ratio", "rs_momentum", "rrg_quadrant",
-    )
-    out = (
-        eligible(daily, cash)
-        .join(faber_signal(bars), ["ticker", "date"])
-        .join(antonacci_signal(bars, cash), ["ticker", "date"])
-        .join(weekly, ["ticker", "week_end"])
-    )
-    return out
+def week_close_rows(daily: DataFrame) -> DataFrame:
+    """Each instrument's last row of every traded week, keyed by the week."""
+    keyed = daily.withColumn("week_end", week_end("date"))
+    follow = F.lead("week_end").over(series())
+    return keyed.withColumn("_next", follow).where("_next is null or _next > week_end").drop("_next")
+
+
+def week_close_indicators(daily: DataFrame, bench: str) -> DataFrame:
+    """Weekly stage and rotation beside the daily readings of the week's last bar.
+
+    ``daily`` is the bars with their daily readings. The week's last row already
+    holds the weekly close, so the weekly windows continue on those rows.
+    """
+    return rotation(stage_analysis(with_benchmark(week_close_rows(daily), bench))).where("traded").drop("traded")
 
 
 def relative_strength_lines(bars: DataFrame, bench: str, lookback: int = 252) -> DataFrame:

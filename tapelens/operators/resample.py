@@ -56,6 +56,6 @@ def weekly_spine(weekly: DataFrame) -> DataFrame:
         "ticker",
         F.col("_week").alias("week_end"),
         traded.alias("traded"),
-        *[F.when(traded, F.col(c)).alias(c) for c in keep],
+        *[F.when(traded, F.col(c)).alias(c) for c in keep if c != "_until"],
         F.when(traded, F.col("volume")).otherwise(F.lit(0.0)).alias("volume"),
     )

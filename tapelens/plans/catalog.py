@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("prices",)
+AREAS = ("prices", "scores", "macros")
 
 
 def queries() -> dict:
@@ -18,3 +18,12 @@ def oracle_sql() -> dict:
     for area in AREAS:
         out.update(import_module(f"oracle.{area}").SQL)
     return out
+
+
+def flagship(spark, root: str):
+    """Latest scored cross-section of the whole history."""
+    from ..functions.columns import rounded
+    from .methodology import scored_table, latest
+
+    out = latest(scored_table(spark, root))
+    return rounded(out.select("as_of", "ticker", "class", "S_score", "rank_in_class", "selected", "state"))

@@ -7,6 +7,7 @@ from ..functions.calendar import rebalance_calendar
 from ..functions.columns import rounded
 from ..operators import flow, pillars, resample
 from ..sources.tables import BENCH, CASH, bars, with_price
+from .methodology import priced_bars
 
 
 def priced(spark, root):
@@ -49,17 +50,17 @@ QUERIES = {
     "rebalance_calendar": lambda s, d: rebalance_calendar(priced(s, d).select("date")),
     "momentum": _daily("mom_12_1", "return_1d", "return_2d", "return_5d"),
     "breadth": _daily("breadth_50d"),
-    "faber_signal": lambda s, d: pillars.faber_signal(priced(s, d)),
-    "antonacci_signal": lambda s, d: pillars.antonacci_signal(priced(s, d), CASH),
+    "faber_signal": lambda s, d: pillars.with_faber(priced(s, d)).select("ticker", "date", "faber"),
+    "antonacci_signal": lambda s, d: pillars.antonacci_signal(priced_bars(s, d), CASH),
     "stage": _weekly_signal(
         pillars.stage_analysis, "stage", "above_30wma", "ma_slope_pos", "sma30w", "mansfield_rs"
     ),
     "rrg": _weekly_signal(pillars.rotation, "rrg_quadrant", "rs_ratio", "rs_momentum"),
-    "relative_strength_lines": lambda s, d: rounded(pillars.relative_strength_lines(priced(s, d), BENCH)),
+    "relative_strength_lines": lambda s, d: rounded(pillars.relative_strength_lines(priced_bars(s, d), BENCH)),
     "weekly_chart": lambda s, d: rounded(pillars.weekly_chart(priced(s, d), 104)),
-    "chart_relative_strength": lambda s, d: rounded(pillars.chart_relative_strength(priced(s, d), BENCH)),
+    "chart_relative_strength": lambda s, d: rounded(pillars.chart_relative_strength(priced_bars(s, d), BENCH)),
     "cmf_obv_mfi": _flow("cmf21", "obv", "obv_slope", "mfi14", "rvol"),
-    "dollar_flow": _flow("net_flow_21d", "adv_20d", digits=4),
+    "dollar_flow": _flow("net_flow_21d", "adv_20d", digits=5),
     "distribution_days": _flow("dist_days_25", "obv_divergence"),
     "chart_flow": lambda s, d: rounded(flow.chart_flow(priced(s, d))),
     "lookback_filter": lambda s, d: rounded(flow.lookback(priced(s, d), "6M").select("ticker", "date", "price")),

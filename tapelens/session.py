@@ -1,6 +1,8 @@
 """Session settings shared by the entry module, the bench and the tests."""
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,23 +21,23 @@ def build_session(app: str = "tapelens", cpus: str = "*", shuffle_partitions: in
     )
 
 
-def has_checkpoint_dir(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", "")) or (
-        spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    )
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """Shared folder for lineage cuts: the cluster's own, or a scratch one in local mode only."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not folder and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-tapelens-")
+    if folder:
+        context.setCheckpointDir(folder)
+    return folder or None
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut a long lineage at a stage boundary that several branches read.
+    """Write a table that several branches read.
 
-    The reliable checkpoint lands in the folder the cluster names in
-    ``spark.checkpoint.dir``, so a lost executor only re-reads files. Without such
-    a folder the plan stays lazy and Spark shares the exchanges between branches.
+    The reliable checkpoint survives lost executors: readers re-read files instead
+    of replaying prints. A cluster without a shared folder keeps the plan lazy.
     """
-    spark = df.sparkSession
-    if not has_checkpoint_dir(spark):
-        return df
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint(eager=True)
