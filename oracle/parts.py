@@ -38,6 +38,16 @@ def r(*columns: str, digits: int = 6) -> str:
     return ", ".join(out)
 
 
+def t(*columns: str) -> str:
+    """Report columns as text, as the library's ``shown`` prints them."""
+    out = []
+    for c in columns:
+        name, _, expr = c.partition("=")
+        e = (expr or name).strip()
+        out.append(f"CASE WHEN abs({e}) < 1000 THEN printf('%.6f', round({e}, 6) + 0.0) WHEN {e} IS NOT NULL THEN printf('%.7e', {e}) END AS {name.strip()}")
+    return ", ".join(out)
+
+
 WEEK = "({d} + CAST((12 - isodow({d})) % 7 AS INTEGER))"
 
 

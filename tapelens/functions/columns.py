@@ -108,3 +108,18 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
             col = half_up(col, special.get(field.name, digits))
         out.append(col.alias(field.name))
     return df.select(*out)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Doubles as text: six decimals below 1000, eight significant digits above.
+
+    For report tables whose compounded values span many orders of magnitude.
+    """
+    out = []
+    for field in df.schema.fields:
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.DoubleType):
+            small = F.format_string("%.6f", half_up(c, 6))
+            c = F.when(F.abs(c) < 1000, small).when(c.isNotNull(), F.format_string("%.7e", c))
+        out.append(c.alias(field.name))
+    return df.select(*out)

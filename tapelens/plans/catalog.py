@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("prices", "scores", "macros")
+AREAS = ("prices", "scores", "macros", "backtests")
 
 
 def queries() -> dict:
