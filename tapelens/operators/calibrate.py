@@ -327,14 +327,10 @@ def block_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 500, seed
     ci = fan.withColumn("d", delta).groupBy(*keys).agg(
         F.count("d").alias("valid_resamples"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
     )
-    match = [arr[k].eqNullSafe(ci[k]) for k in keys]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    out = arr.join(ci, cond, "left")
+    out = arr.join(ci, keys, "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select(
-        *[arr[k] for k in keys], "block_count", "baseline_count", "candidate_count", zero(F.col("observed")).alias("mean_delta"),
+        *keys, "block_count", "baseline_count", "candidate_count", zero(F.col("observed")).alias("mean_delta"),
         zero(F.get("q", F.lit(0))).alias("ci_low"), zero(F.get("q", F.lit(1))).alias("ci_high"),
         F.coalesce("valid_resamples", F.lit(0).cast("bigint")).alias("valid_resamples"),
     )
