@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("prices", "scores", "macros", "backtests", "calibration", "users")
+AREAS = ("prices", "scores", "macros", "backtests", "calibration", "users", "boards")
 
 
 def queries() -> dict:
