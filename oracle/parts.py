@@ -76,7 +76,7 @@ cte("macro", """
     FROM orders GROUP BY 1, 2""")
 cte("intraday", """
     SELECT event_type AS ticker, ts, event_id AS seq, value AS price,
-           CAST(json_extract(props, '$.k') AS BIGINT) * 1000.0 AS size,
+           CAST(json_extract(props, '$.k') AS DOUBLE) * 1000 AS size,
            CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 17 = 0 THEN 1 ELSE 0 END AS correction
     FROM events""")
 cte("holdings", """
