@@ -16,10 +16,12 @@ cte("role_stats", """
     SELECT *, value / lag(value, 12) OVER w - 1 AS yoy,
            CASE WHEN row_number() OVER w >= 13 THEN avg(value) OVER (w ROWS 2 PRECEDING) - avg(value) OVER (w ROWS BETWEEN 11 PRECEDING AND 3 PRECEDING) END AS mom
     FROM role_macro WINDOW w AS (PARTITION BY sid ORDER BY date)""")
-cte("readings", """
+cte("readings0", """
     SELECT date, max(yoy) FILTER (sid = 'INDPRO') AS indpro_yoy, max(mom) FILTER (sid = 'INDPRO') AS indpro_accel,
            max(value) FILTER (sid = 'T10Y2Y') AS curve_2s10s, max(value) FILTER (sid = 'T10Y3M') AS curve_3m10y,
            max(value) FILTER (sid = 'REC') AS recession_prob, max(value) FILTER (sid = 'NFCI') AS nfci FROM role_stats GROUP BY 1""")
+cte("readings", "SELECT date, " + ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in ("indpro_yoy", "indpro_accel", "curve_2s10s", "curve_3m10y", "recession_prob", "nfci")) + " FROM readings0")
 cte("phased", """
     SELECT r.*, coalesce(f.faber = 1, false) AS risk_on, curve_2s10s > 0 AS yield_curve_positive,
            CASE WHEN recession_prob > 25 OR indpro_yoy < -0.02 OR nfci > 0.5 THEN 'RECESSION'

@@ -82,5 +82,8 @@ SQL = {
         CAST(CASE WHEN p_brand IN ('Brand#1', 'Brand#10', 'Brand#11') THEN 1 WHEN p_brand LIKE 'Brand#1%' THEN -1 ELSE 0 END AS DOUBLE) AS early,
         CAST(CASE WHEN p_brand = 'Brand#5' THEN 1 WHEN p_brand LIKE 'Brand#1%' THEN -1 ELSE 0 END AS DOUBLE) AS late, 0.0::DOUBLE AS unknown
         FROM part JOIN lineitem ON l_partkey = p_partkey"""),
+    "class_lookup": """SELECT coalesce(o.c, d.c, 'Other') AS class, count(*) AS members FROM (SELECT p_name AS t FROM part UNION ALL SELECT c_name FROM customer) n
+        LEFT JOIN (SELECT p_name AS t, min(p_type) AS c FROM part WHERE p_size > 3 GROUP BY 1) d ON d.t = n.t
+        LEFT JOIN (SELECT p_name AS t, min(p_brand) AS c FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_name LIKE 'red%' GROUP BY 1) o ON o.t = n.t GROUP BY 1""",
     "config_universe": st("SELECT string_agg(ticker, ',' ORDER BY ticker) AS universe, 64 AS hash_length FROM (SELECT DISTINCT ticker FROM bars)"),
 }

@@ -45,13 +45,17 @@ def latest_stats(macro: DataFrame) -> DataFrame:
 
 
 def wide_readings(macro: DataFrame) -> DataFrame:
-    """One row per date with the classifier's inputs (conditional aggregation)."""
+    """One row per date with the classifier's inputs as last known on that date.
+
+    Conditional aggregation gives one row per observation date, bounded by the
+    calendar; slower series are carried forward over those rows.
+    """
     s = series_stats(macro)
 
     def pick(series: str, c: str) -> Column:
         return F.max(F.when(F.col("series_id") == series, F.col(c)))
 
-    return s.groupBy("date").agg(
+    wide = s.groupBy("date").agg(
         pick("INDPRO", "yoy").alias("indpro_yoy"),
         pick("INDPRO", "momentum").alias("indpro_accel"),
         pick("T10Y2Y", "value").alias("curve_2s10s"),
@@ -59,6 +63,8 @@ def wide_readings(macro: DataFrame) -> DataFrame:
         pick("RECPROUSM156N", "value").alias("recession_prob"),
         pick("NFCI", "value").alias("nfci"),
     )
+    w = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return wide.select("date", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in wide.columns if c != "date"])
 
 
 def classify_phase() -> Column:

@@ -52,6 +52,20 @@ def cycle_tilt(ticker: Column, phase: Column | str, favoured: dict | None = None
     return out
 
 
+def with_class(df: DataFrame, dimension: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Class of a ticker: override, else the universe dimension, else Other (F2).
+
+    Both tables hold one row per listed instrument; Spark broadcasts them itself while
+    they are below its size threshold and shuffles them beyond it.
+    """
+    out = df.join(dimension.select("ticker", F.col("class").alias("_dim")), "ticker", "left")
+    if overrides is not None:
+        out = out.join(overrides.select("ticker", F.col("class").alias("_over")), "ticker", "left")
+    else:
+        out = out.withColumn("_over", F.lit(None).cast("string"))
+    return out.withColumn("class", F.coalesce("_over", "_dim", F.lit("Other"))).drop("_dim", "_over")
+
+
 def neutral_lanes(df: DataFrame) -> DataFrame:
     """Provider lanes at their neutral readings and not live."""
     for name, value in NEUTRAL.items():

@@ -11,7 +11,7 @@ from ..operators import lanes, macro as mc, returns as rt, states
 from ..session import materialise
 from ..sources.tables import macro, prints
 from .macros import RULES
-from .methodology import panel_calendar, priced_bars, replay, targets
+from .methodology import brand_calendar, priced_bars, scored_table, targets
 
 OOS = date(1999, 1, 1)
 NAMES = ["method", "sixty_forty", "equal_weight"]
@@ -24,11 +24,11 @@ class Inputs:
     def __init__(self, spark, root):
         self.spark, self.root = spark, root
         self.bars = priced_bars(spark, root)
-        self.calendar = materialise(panel_calendar(self.bars))
+        self.calendar = brand_calendar(spark, root)
         self.panel = rt.price_panel(self.bars)
 
     def scored(self):
-        return materialise(replay(self.bars, self.calendar))
+        return scored_table(self.spark, self.root)
 
     def method(self, scored=None):
         t = targets(self.scored() if scored is None else scored)
@@ -185,6 +185,6 @@ QUERIES = {
     "acceptance_gates": _gates,
     "simulation_summary": _summary,
     "equity_combined": _equity_combined,
-    "split_date": lambda s, d: rt.split_date(panel_calendar(priced_bars(s, d)), date(2001, 10, 1)),
+    "split_date": lambda s, d: rt.split_date(brand_calendar(s, d), date(2001, 10, 1)),
     "input_validation": _validation,
 }

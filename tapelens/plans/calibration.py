@@ -9,7 +9,7 @@ from ..operators import labels as lb
 from ..session import materialise
 from ..sources.tables import BENCH, table
 from .backtests import Inputs
-from .methodology import panel_calendar, priced_bars
+from .methodology import brand_calendar
 
 BENCH_BY_CLASS = {"C0": "Brand#4", "C2": "Brand#6"}
 HORIZONS = (4, 13, 26)
@@ -25,7 +25,7 @@ SPLIT = {"years": 6, "calibration_years": 2, "minimum_calibration_years": 1}
 
 
 def _calendar(spark, root):
-    return panel_calendar(priced_bars(spark, root))
+    return brand_calendar(spark, root)
 
 
 def _labels(x):

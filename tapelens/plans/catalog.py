@@ -23,7 +23,7 @@ def oracle_sql() -> dict:
 def flagship(spark, root: str):
     """Latest scored cross-section of the whole history."""
     from ..functions.columns import rounded
-    from .methodology import scored_table, latest
+    from .methodology import latest, scored_table
 
     out = latest(scored_table(spark, root))
     return rounded(out.select("as_of", "ticker", "class", "S_score", "rank_in_class", "selected", "state"))

@@ -9,7 +9,7 @@ from ..operators import macro as m
 from ..operators.pillars import with_faber
 from ..sources.bars import pseudo_bars
 from ..sources.tables import BENCH, macro, table
-from .methodology import panel_calendar, priced_bars
+from .methodology import brand_calendar
 from .prices import priced
 
 # Configured series: id, group, label, unit, higher_up, by_year.
@@ -95,5 +95,5 @@ QUERIES = {
     "yield_curve_sign": lambda s, d: m.yield_curve_sign(
         priced(s, d).where("ticker = 'Brand#3'"), priced(s, d).where("ticker = 'Brand#4'")
     ),
-    "macro_mask": lambda s, d: m.condition_mask(macro(s, d), panel_calendar(priced_bars(s, d)).select("as_of"), RULES),
+    "macro_mask": lambda s, d: m.condition_mask(macro(s, d), brand_calendar(s, d).select("as_of"), RULES),
 }

@@ -1,7 +1,7 @@
 """The end-to-end plans: score now, and replay every rebalance date at once."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import rebalance_calendar
@@ -9,13 +9,13 @@ from ..operators.flow import flow_indicators
 from ..operators.pillars import daily_pillars, eligible, week_close_indicators, with_faber, year_return
 from ..operators.scoring import composite, flow_composite, neutral_lanes
 from ..operators.states import with_state
-from ..session import materialise
+from ..session import staged
 from ..sources.tables import BENCH, CASH, TOP_PER_CLASS, bars, ticker_class, with_price
 
 
 def priced_bars(spark, root: str) -> DataFrame:
     """The bars table: aggregated from prints once, then read by every branch."""
-    return materialise(with_price(bars(spark, root)))
+    return staged(spark, root, "bars", lambda: with_price(bars(spark, root)))
 
 
 def panel_calendar(b: DataFrame) -> DataFrame:
@@ -29,7 +29,9 @@ def daily_readings(b: DataFrame) -> DataFrame:
     return flow_indicators(with_faber(daily_pillars(b.withColumn("year_return", year_return()))))
 
 
-def snapshots(b: DataFrame, calendar: DataFrame, bench: str = BENCH, cash: str = CASH) -> DataFrame:
+def snapshots(
+    b: DataFrame, calendar: DataFrame, bench: str = BENCH, cash: str = CASH, klass: Column | None = None
+) -> DataFrame:
     """Indicators and flow of every instrument as known at every rebalance date.
 
     An instrument's row holds from its own last traded week until its next one, so
@@ -49,7 +51,7 @@ def snapshots(b: DataFrame, calendar: DataFrame, bench: str = BENCH, cash: str =
     day = Window.partitionBy("as_of")
     cash_return = F.max(F.when(F.col("ticker") == cash, F.col("year_return"))).over(day)
     dated = dated.withColumn("antonacci", (F.col("year_return") > cash_return).cast("int"))
-    return eligible(dated, cash).withColumn("class", ticker_class())
+    return eligible(dated, cash).withColumn("class", ticker_class() if klass is None else klass)
 
 
 def replay(b: DataFrame, calendar: DataFrame | None = None, top_n: int = TOP_PER_CLASS) -> DataFrame:
@@ -71,10 +73,10 @@ def targets(scored: DataFrame) -> DataFrame:
     return picked.join(size, "as_of").select("as_of", "ticker", (1.0 / F.col("_n")).alias("weight"))
 
 
-def brand_replay(spark, root: str) -> DataFrame:
-    return replay(priced_bars(spark, root))
+def brand_calendar(spark, root: str) -> DataFrame:
+    return staged(spark, root, "calendar", lambda: panel_calendar(priced_bars(spark, root)))
 
 
 def scored_table(spark, root: str) -> DataFrame:
-    """The replay as a written table, for plans that read it more than once."""
-    return materialise(brand_replay(spark, root))
+    """The replay as a written table."""
+    return staged(spark, root, "scored", lambda: replay(priced_bars(spark, root), brand_calendar(spark, root)))

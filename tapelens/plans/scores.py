@@ -9,13 +9,13 @@ from ..functions.columns import rounded
 from ..operators import scoring, states
 from ..session import materialise
 from ..sources.tables import BENCH, CASH, table
-from .methodology import brand_replay, scored_table, latest, panel_calendar, priced_bars, snapshots, targets
+from .methodology import brand_calendar, latest, priced_bars, scored_table, snapshots, targets
 from .prices import priced
 
 
 def _composite(spark, root):
     return rounded(
-        brand_replay(spark, root).select(
+        scored_table(spark, root).select(
             "as_of", "ticker", "class", "S_score", "F_score", "S_score_after_veto", "veto",
             F.col("rank_in_class").cast("bigint").alias("rank_in_class"), "selected",
         )
@@ -25,7 +25,7 @@ def _composite(spark, root):
 def _snapshot_indicators(spark, root):
     b = priced_bars(spark, root)
     return rounded(
-        snapshots(b, panel_calendar(b)).select(
+        snapshots(b, brand_calendar(spark, root)).select(
             "as_of", "ticker", "class", "mom_12_1", "return_5d", "faber", "stage", "above_30wma", "ma_slope_pos",
             "mansfield_rs", "antonacci", "rs_ratio", "rs_momentum", "rrg_quadrant", "breadth_50d", "cmf21",
             "obv_slope", "mfi14", "rvol", "dist_days_25", "obv_divergence",
@@ -34,7 +34,7 @@ def _snapshot_indicators(spark, root):
 
 
 def _journal(spark, root):
-    return states.transitions(brand_replay(spark, root))
+    return states.transitions(scored_table(spark, root))
 
 
 def _journal_table(spark, root):
@@ -48,7 +48,7 @@ def _journal_append(spark, root):
 
 
 def _display(spark, root):
-    out = states.annotate_display(brand_replay(spark, root))
+    out = states.annotate_display(scored_table(spark, root))
     return out.select("as_of", "ticker", "pullback_risk", "pullback_risk_reason", "state_display_label")
 
 
@@ -94,7 +94,7 @@ def _live(spark, root):
 
 def _ad_hoc(spark, root):
     b = priced_bars(spark, root)
-    snap = latest(snapshots(b, panel_calendar(b)))
+    snap = latest(snapshots(b, brand_calendar(spark, root)))
     flow = scoring.flow_composite(scoring.neutral_lanes(snap))
     out = states.with_state(scoring.ad_hoc_scores(flow, ["brand#7", "Brand#12", "Brand#99"], BENCH, CASH))
     out = out.withColumn("rank_in_class", F.col("rank_in_class").cast("bigint"))
@@ -124,17 +124,26 @@ def _config(spark, root):
     ).select("universe", F.length("config_sha256").alias("hash_length"))
 
 
+def _class_lookup(spark, root):
+    """Part types as the universe, two brands overridden, small sizes unlisted."""
+    part = table(spark, root, "part")
+    dim = part.where("p_size > 3").groupBy(F.col("p_name").alias("ticker")).agg(F.min("p_type").alias("class"))
+    over = part.where("p_brand in ('Brand#1', 'Brand#2')").groupBy(F.col("p_name").alias("ticker")).agg(F.min("p_brand").alias("class"))
+    names = part.select(F.col("p_name").alias("ticker")).unionByName(table(spark, root, "customer").select(F.col("c_name").alias("ticker")))
+    return scoring.with_class(names, dim, over.where("ticker like 'red%'")).groupBy("class").agg(F.count("*").alias("members"))
+
+
 def _weights(spark, root):
-    return rounded(targets(brand_replay(spark, root)))
+    return rounded(targets(scored_table(spark, root)))
 
 
 QUERIES = {
     "snapshot_indicators": _snapshot_indicators,
     "composite_rank": _composite,
-    "states": lambda s, d: brand_replay(s, d).select("as_of", "ticker", "state"),
+    "states": lambda s, d: scored_table(s, d).select("as_of", "ticker", "state"),
     "pullback_display": _display,
     "state_reasons": _reasons,
-    "contributions": lambda s, d: rounded(scoring.contributions(brand_replay(s, d)).select("as_of", "ticker", "pillar", "contribution")),
+    "contributions": lambda s, d: rounded(scoring.contributions(scored_table(s, d)).select("as_of", "ticker", "pillar", "contribution")),
     "display_contributions": lambda s, d: rounded(scoring.display_contributions(latest(scored_table(s, d)))),
     "target_weights": _weights,
     "transitions": _journal,
@@ -143,11 +152,12 @@ QUERIES = {
     "transition_feed": lambda s, d: states.feed_items(_journal(s, d)).select("ticker", "date", "title", "uid"),
     "transition_digest": lambda s, d: states.digest(_journal(s, d), date(2001, 6, 29)),
     "transition_pulse": lambda s, d: states.pulse(_journal(s, d), date(2001, 6, 29)),
-    "transition_rate": lambda s, d: rounded(states.transition_rate(brand_replay(s, d))),
+    "transition_rate": lambda s, d: rounded(states.transition_rate(scored_table(s, d))),
     "live_transitions": _live,
     "state_reconcile": _reconcile,
     "state_health": _health,
     "ad_hoc_scores": _ad_hoc,
     "cycle_tilt": _tilt,
+    "class_lookup": _class_lookup,
     "config_universe": _config,
 }

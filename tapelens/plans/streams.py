@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..sources.tables import table
 from ..streaming import jobs
-from .methodology import brand_replay
+from .methodology import scored_table
 
 
 def _events(spark, root):
@@ -26,7 +26,7 @@ def _plain(df):
 
 def _states_folder(spark, root):
     folder = jobs.scratch(spark, "states")
-    brand_replay(spark, root).select("ticker", "as_of", "state").write.parquet(folder)
+    scored_table(spark, root).select("ticker", "as_of", "state").write.parquet(folder)
     return folder
 
 

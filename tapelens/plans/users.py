@@ -8,7 +8,7 @@ from ..operators import debrief as db
 from ..operators import holdings as hd
 from ..operators.macro import condition_label, series_stats
 from ..sources.tables import bars, decisions, holdings, macro, table, trades
-from .methodology import brand_replay, latest, priced_bars, scored_table
+from .methodology import latest, priced_bars, scored_table
 
 
 def _outcomes(spark, root):
@@ -41,7 +41,7 @@ def _review(spark, root):
 
 def _with_scores(spark, root):
     """Decisions of the latest rebalance weeks with that week's scores."""
-    s = brand_replay(spark, root).select(
+    s = scored_table(spark, root).select(
         F.date_format("as_of", "yyyy-MM-dd").alias("run_id"), "ticker", "state", F.col("S_score").alias("s_score"), F.col("F_score").alias("f_score")
     )
     d = decisions(spark, root).select(F.date_format("started_at", "yyyy-MM-dd").alias("run_id"), F.col("run_id").alias("decision_id"), "ticker", "action")
@@ -64,7 +64,7 @@ def _pnl(spark, root):
 
 
 def _aligned(spark, root):
-    return hd.trade_alignment(trades(spark, root), brand_replay(spark, root).select("ticker", "as_of", "state"))
+    return hd.trade_alignment(trades(spark, root), scored_table(spark, root).select("ticker", "as_of", "state"))
 
 
 def _lists(spark, root):

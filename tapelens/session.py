@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def build_session(app: str = "tapelens", cpus: str = "*", shuffle_partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -41,3 +43,21 @@ def materialise(df: DataFrame) -> DataFrame:
     of replaying prints. A cluster without a shared folder keeps the plan lazy.
     """
     return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint(eager=True)
+
+
+_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application and read by every report on it.
+
+    It is a snapshot of the source tables at first use; ``clear_stages`` drops it.
+    """
+    key = (spark.sparkContext.applicationId, root, name)
+    if key not in _STAGES:
+        _STAGES[key] = materialise(build())
+    return _STAGES[key]
+
+
+def clear_stages() -> None:
+    _STAGES.clear()

@@ -76,8 +76,8 @@ def with_price(b: DataFrame) -> DataFrame:
 def ticker_class(c="ticker"):
     """Class of a brand: the two reference instruments are benchmarks."""
     c = F.col(c) if isinstance(c, str) else c
-    number = F.regexp_extract(c, r"(\d+)", 1).cast("int")
-    return F.when(c.isin(BENCH, CASH), "Benchmark").otherwise(F.concat(F.lit("C"), number % 4))
+    number = F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
+    return F.when(c.isin(BENCH, CASH), "Benchmark").otherwise(F.coalesce(F.concat(F.lit("C"), number % 4), F.lit("Other")))
 
 
 def macro(spark: SparkSession, root: str) -> DataFrame:
