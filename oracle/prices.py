@@ -38,7 +38,7 @@ SQL = {
           WINDOW w AS (PARTITION BY a.ticker ORDER BY a.week_end))
         WINDOW w12 AS (PARTITION BY ticker ORDER BY week_end ROWS 11 PRECEDING)"""),
     "cmf_obv_mfi": st(f"SELECT ticker, date, {r('cmf21','obv','obv_slope','mfi14','rvol')} FROM flow"),
-    "dollar_flow": st(f"SELECT ticker, date, {r('net_flow_21d','adv_20d', digits=5)} FROM flow"),
+    "dollar_flow": st(f"SELECT ticker, date, {r('net_flow_21d', digits=4)}, {r('ln_adv_20d=ln(adv_20d)')} FROM flow"),
     "distribution_days": st("SELECT ticker, date, dist_days_25, obv_divergence FROM flow"),
     "chart_flow": st(f"""
         SELECT ticker, date, {r('cmf21=sum(mfv) OVER w21 / nullif(sum(volume) OVER w21, 0)', 'obv',

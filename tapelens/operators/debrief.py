@@ -17,12 +17,13 @@ def hit(action: Column, ret: Column) -> Column:
     return F.when(action.isin(*POSITIVE), ret > 0).when(action.isin(*DEFENSIVE), ret <= 0)
 
 
-def forward_paths(prices: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
+def forward_paths(prices: DataFrame, windows: dict[str, int] = WINDOWS, starts: DataFrame | None = None) -> DataFrame:
     """Outcome of each horizon from every bar (J10, D1): one row per bar and horizon.
 
     It depends on the bar and not on the decision, so it is computed once per bar and
     any number of decisions join it. Drawdown from a running peak needs the path, at
-    most the longest horizon's rows.
+    most the longest horizon's rows; with ``starts`` (ticker, start_date) only the
+    bars that open a path keep theirs.
     """
     longest = max(windows.values())
     w = Window.partitionBy("ticker").orderBy("date")
@@ -32,6 +33,8 @@ def forward_paths(prices: DataFrame, windows: dict[str, int] = WINDOWS) -> DataF
         "price",
         F.collect_list(F.struct("date", "price")).over(w.rowsBetween(0, longest)).alias("_path"),
     )
+    if starts is not None:
+        df = df.join(starts.select("ticker", F.col("start_date").alias("date")).distinct(), ["ticker", "date"], "left_semi")
     spec = F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(n).alias("days")) for k, n in windows.items()])
     df = df.withColumn("h", F.explode(spec)).withColumn("_run", F.slice("_path", F.lit(1), F.col("h.days") + 1))
     ready = (F.size("_path") > F.col("h.days")) & (F.col("price") > 0)
@@ -75,7 +78,7 @@ def outcomes(decisions: DataFrame, prices: DataFrame, windows: dict[str, int] =
     starts = starts.withColumn("h", F.explode(spec)).select(
         "ticker", "run_date", "start_date", "_listed", F.col("h.horizon").alias("horizon"), F.col("h.days").alias("days")
     )
-    paths = forward_paths(p, windows).drop("days")
+    paths = forward_paths(p, windows, starts).drop("days")
     per = starts.join(paths, ["ticker", "start_date", "horizon"], "left")
     df = d.join(per, ["ticker", "run_date"])
     known = F.col("action").isin(*POSITIVE, *DEFENSIVE)

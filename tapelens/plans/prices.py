@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from ..functions.calendar import rebalance_calendar
 from ..functions.columns import rounded
 from ..operators import flow, pillars, resample
@@ -43,6 +45,12 @@ def _flow(*columns, digits=6):
     return run
 
 
+def _dollar_flow(spark, root):
+    """Dollar volume on a log scale: six digits then mean the same at every size."""
+    f = flow.flow_indicators(priced(spark, root))
+    return rounded(f.select("ticker", "date", "net_flow_21d", F.ln("adv_20d").alias("ln_adv_20d")), net_flow_21d=4)
+
+
 QUERIES = {
     "bars_daily": lambda s, d: rounded(bars(s, d)),
     "bars_weekly": _weekly,
@@ -60,7 +68,7 @@ QUERIES = {
     "weekly_chart": lambda s, d: rounded(pillars.weekly_chart(priced(s, d), 104)),
     "chart_relative_strength": lambda s, d: rounded(pillars.chart_relative_strength(priced_bars(s, d), BENCH)),
     "cmf_obv_mfi": _flow("cmf21", "obv", "obv_slope", "mfi14", "rvol"),
-    "dollar_flow": _flow("net_flow_21d", "adv_20d", digits=5),
+    "dollar_flow": _dollar_flow,
     "distribution_days": _flow("dist_days_25", "obv_divergence"),
     "chart_flow": lambda s, d: rounded(flow.chart_flow(priced(s, d))),
     "lookback_filter": lambda s, d: rounded(flow.lookback(priced(s, d), "6M").select("ticker", "date", "price")),
