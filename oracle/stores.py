@@ -68,8 +68,8 @@ SQL = {
     "wide_to_long": st(f"SELECT date, series_id AS ticker, {r('close=value', digits=5)} FROM macro"),
     "source_report": st("""SELECT e.ticker, coalesce(arg_max(s.source, s.date), 'missing') AS source, coalesce(arg_max(s.provider, s.date), 'none') AS provider FROM (SELECT DISTINCT ticker FROM bars) e LEFT JOIN src s ON s.ticker = e.ticker GROUP BY 1"""),
     "provider_mix": st("SELECT provider, count(DISTINCT ticker) AS tickers, count(*) AS rows FROM src GROUP BY 1"),
-    "fund_records": st("""SELECT ticker, as_of, shares_outstanding, CAST(printf('%.2f', nav) AS DOUBLE) AS nav,
-        CASE WHEN month(as_of) % 2 = 1 THEN round(CAST(printf('%.3f', aum / 1e6) AS DOUBLE) * 1e6, 6) ELSE CAST(printf('%.0f', aum) AS DOUBLE) END AS aum FROM shares_out"""),
+    "fund_records": st("""SELECT ticker, as_of, shares_outstanding, round(CAST(printf('%.9f', nav) AS DOUBLE), 6) + 0.0 AS nav,
+        round(CASE WHEN month(as_of) % 2 = 1 THEN CAST(printf('%.12f', aum / 1e6) AS DOUBLE) * 1e6 ELSE CAST(printf('%.6f', aum) AS DOUBLE) END, 3) + 0.0 AS aum FROM shares_out"""),
     "snapshot_upsert": st("""SELECT ticker, as_of, captured_at, payload, sha256(payload) AS payload_sha256 FROM (
         SELECT ticker, as_of, CASE WHEN month(as_of) <= 2 THEN CAST(as_of + 9 AS TIMESTAMP) ELSE captured_at END AS captured_at, CASE WHEN month(as_of) <= 2 THEN payload || ':r' ELSE payload END AS payload FROM snapst)"""),
     "snapshot_history": st("SELECT ticker, as_of, captured_at, payload FROM snapst WHERE ticker = 'Brand#7'"),

@@ -102,16 +102,16 @@ def _fund_payloads(spark, root):
     odd = F.month("as_of") % 2 == 1
     rec = F.when(odd, F.to_json(F.struct(
         F.date_format("as_of", "M/d/yyyy").alias("Trade Date"), F.format_string("%.0f", "shares_outstanding").alias("Shares Outstanding"),
-        F.format_string("$%.2f", "nav").alias("NAV"), F.format_string("%.3fM", F.col("aum") / 1e6).alias("Total Net Assets"),
+        F.format_string("$%.9f", "nav").alias("NAV"), F.format_string("%.12fM", F.col("aum") / 1e6).alias("Total Net Assets"),
     ))).otherwise(F.to_json(F.struct(
         F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), F.format_string("%.0f", "shares_outstanding").alias("sho"),
-        F.format_string("%.2f", "nav").alias("nav"), F.format_string("%,.0f", "aum").alias("aum"),
+        F.format_string("%.9f", "nav").alias("nav"), F.format_string("%,.6f", "aum").alias("aum"),
     )))
     return s.select("ticker", F.when(odd, F.concat(F.lit("["), rec, F.lit("]"))).otherwise(F.concat(F.lit('{"records": ['), rec, F.lit("]}"))).alias("payload"))
 
 
 def _funds(spark, root):
-    return rounded(feeds.fund_records(_fund_payloads(spark, root)))
+    return rounded(feeds.fund_records(_fund_payloads(spark, root)), aum=3)
 
 
 def _snap_store(spark, root):
