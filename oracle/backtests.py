@@ -17,8 +17,12 @@ cte("static", """
 cte("all_targets", "SELECT 'method' AS strategy, as_of, ticker, weight FROM targets UNION ALL SELECT strategy, as_of, ticker, weight FROM static")
 
 
-def engine(tag: str, targets: str, panel: str = "panel") -> None:
-    """CTEs <tag>_net: strategy, date, gross_return, turnover of a target table."""
+def engine(tag: str, targets: str, names: list[str], panel: str = "panel") -> None:
+    """CTEs <tag>_net: strategy, date, gross_return, turnover of the named strategies.
+
+    A strategy that never selects anything is all cash and still reports.
+    """
+    listed = ", ".join(f"('{n}')" for n in names)
     cte(f"{tag}_held", f"""
       SELECT t.strategy, d.date, d.s0, t.ticker, t.weight, p.price / q.price AS g
       FROM pdays d JOIN {targets} t ON t.as_of = d.s0 JOIN {panel} p ON p.ticker = t.ticker AND p.date = d.date
@@ -34,7 +38,7 @@ def engine(tag: str, targets: str, panel: str = "panel") -> None:
       SELECT strategy, date, gross_return, turnover FROM (
         SELECT s.strategy, d.date, d.prev_date, coalesce(v.v, 1) / CASE WHEN d.s0 IS NULL OR d.prev_date = d.s0 THEN 1.0 ELSE lag(coalesce(v.v, 1)) OVER (PARTITION BY s.strategy ORDER BY d.date) END - 1 AS gross_return,
                CASE WHEN d.prev_date = d.s0 THEN coalesce(t.turnover, 0) ELSE 0.0 END AS turnover
-        FROM pdays d CROSS JOIN (SELECT DISTINCT strategy FROM {targets}) s
+        FROM pdays d CROSS JOIN (VALUES {listed}) s(strategy)
         LEFT JOIN {tag}_value v ON v.strategy = s.strategy AND v.date = d.date
         LEFT JOIN {tag}_turn t ON t.strategy = s.strategy AND t.as_of = d.s0) WHERE prev_date IS NOT NULL""")
     cte(f"{tag}_cost", f"SELECT *, turnover * 0.0005 AS cost, (1 - turnover * 0.0005) * (1 + gross_return) - 1 AS net_return FROM {tag}_net")
@@ -57,7 +61,7 @@ def metrics(source: str, keys: str) -> str:
         GROUP BY {keys}))"""
 
 
-engine("bt", "all_targets")
+engine("bt", "all_targets", ["method", "sixty_forty", "equal_weight"])
 COLS = ("total_return", "cagr", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "average_turnover", "annualized_turnover", "hit_rate")
 cte("costed", """SELECT n.*, c AS cost_bps, (1 - turnover * c / 10000) * (1 + gross_return) - 1 AS net_return FROM bt_net n CROSS JOIN (VALUES (3.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) v(c)""")
 cte("cost_metrics", metrics("costed", "strategy, cost_bps"))
@@ -69,7 +73,7 @@ cte("rule_mult", "SELECT rule, multiplier AS m FROM rules")
 cte("variant_targets", """
     SELECT 'method' AS strategy, as_of, ticker, weight FROM targets
     UNION ALL SELECT k.rule, t.as_of, t.ticker, CASE WHEN k.active THEN t.weight * m ELSE t.weight END FROM targets t JOIN mask k ON t.as_of = k.as_of JOIN rule_mult m ON m.rule = k.rule""")
-engine("mv", "variant_targets")
+engine("mv", "variant_targets", ["method", "urgent_rising", "high_falling", "medium_above", "low_flat"])
 
 
 def deltas(tag: str, base: str, names) -> str:
@@ -103,7 +107,7 @@ cte("sweep_fan", "SELECT d.*, 'block_' || x AS strategy, CAST(x AS DOUBLE) AS th
 cte("sweep_targets", """
     SELECT 'method' AS strategy, as_of, ticker, weight FROM targets
     UNION ALL SELECT strategy, as_of, ticker, CASE WHEN ratio < threshold THEN 0.0 ELSE weight END FROM sweep_fan""")
-engine("sw", "sweep_targets")
+engine("sw", "sweep_targets", ["method", "block_1.0", "block_1.25", "block_1.5"])
 cte("sweep_counts", f"""
     SELECT strategy, threshold, count(*) AS required, count(snap_as_of) AS available, count(*) FILTER (snap_as_of IS NOT NULL AND ratio IS NULL) AS unusable,
            count(*) FILTER (ratio >= threshold) AS passing, count(*) FILTER (ratio < threshold) AS below,
@@ -113,8 +117,8 @@ cte("sw_promo", promo("sw", "method", "sweep_counts"))
 # --- provider comparison
 cte("adj_targets", "SELECT 'adjusted' AS strategy, as_of, ticker, weight FROM targets")
 cte("raw_targets", "SELECT 'raw' AS strategy, as_of, ticker, weight FROM targets")
-engine("pa", "adj_targets")
-engine("pr", "raw_targets", "rawpanel")
+engine("pa", "adj_targets", ["adjusted"])
+engine("pr", "raw_targets", ["raw"], "rawpanel")
 cte("pv_metrics", "SELECT * FROM pa_metrics UNION ALL SELECT * FROM pr_metrics")
 cte("rate", """
     SELECT transition_count, CASE WHEN transition_count = 0 THEN 0.0 ELSE transition_count / (n / 52.0) END AS rate_per_ticker_year
