@@ -63,16 +63,22 @@ def slices(items: list, weight: Callable = len, most: int = 1 << 21) -> Iterator
 class Cache:
     """Two generations of a bounded dictionary: what was used lately survives, the rest goes.
 
-    ``get_all`` fills in what is missing with one call of ``make(list of keys) -> list of values``.
+    ``prepare(keys)`` gives a dictionary that holds all keys; what is missing is made by one call
+    of ``make(list of keys) -> list of values``. Keys longer than ``LONG`` stay for one call only.
     """
 
+    LONG = 200
+
     def __init__(self, make: Callable[[list], list], most: int = 500_000):
         self.make, self.most = make, max(2, most)
         self.young: dict = {}
         self.old: dict = {}
+        self.long: list = []
 
     def prepare(self, keys: Iterable) -> dict:
-        """A dictionary that holds all keys."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long = []
         missing = set(keys).difference(self.young)
         if not missing:
             return self.young
@@ -88,4 +94,5 @@ class Cache:
                 young[k] = v
         if new:
             young.update(zip(new, self.make(new)))
+            self.long = [k for k in new if len(k) > self.LONG]
         return young

@@ -3,23 +3,41 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_counts, urls
+from . import bpe, packing, token_counts, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
 
 
+def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge_urls(table(spark, root, "pages"), URL_RULES)
 
 
+def op7_packing(spark: SparkSession, root: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
+
+
 def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
 }
 
