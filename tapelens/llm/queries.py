@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts, urls
+from . import bpe, exact_dedup, packing, token_counts, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -25,6 +25,10 @@ def op3_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge_urls(table(spark, root, "pages"), URL_RULES)
 
 
+def op5_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, root, "documents"))
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
@@ -37,6 +41,7 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
+    "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
 }
@@ -47,6 +52,12 @@ def _names(terms) -> str:
 
 
 SQL = {
+    "op5_exact_dedup": """
+        WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, text_sha256,
+               doc_id = min(doc_id) OVER g AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept
+        FROM hashed WINDOW g AS (PARTITION BY text_sha256)
+    """,
     "op3_url_filters": f"""
         WITH cut AS (
             SELECT page_id, lower_ascii, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest
