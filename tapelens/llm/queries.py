@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_counts, urls
+from . import bpe, exact_dedup, packing, simhash, token_counts, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -38,12 +38,17 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_groups(table(spark, root, "documents"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_simhash": op10_simhash,
 }
 
 
