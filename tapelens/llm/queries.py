@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, token_counts, urls
+from . import bpe, exact_dedup, packing, quality, simhash, token_counts, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -29,6 +29,11 @@ def op5_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, root, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, root, "documents"), table(spark, root, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op10_simhash": op10_simhash,
