@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, simhash, token_counts, urls
+from . import bpe, exact_dedup, packing, quality, simhash, token_counts, toxicity, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -25,6 +25,10 @@ def op3_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge_urls(table(spark, root, "pages"), URL_RULES)
 
 
+def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, root, "documents"))
 
@@ -50,6 +54,7 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
