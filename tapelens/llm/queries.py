@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, simhash, token_counts, toxicity, urls
+from . import bpe, exact_dedup, log_bilinear, packing, quality, simhash, token_counts, toxicity, urls
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_log_bilinear(spark: SparkSession, root: str) -> DataFrame:
+    return log_bilinear.score_documents(table(spark, root, "documents"))
+
+
 def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_groups(table(spark, root, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_log_bilinear": op9_log_bilinear,
     "op10_simhash": op10_simhash,
 }
 
