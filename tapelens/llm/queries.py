@@ -5,12 +5,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, log_bilinear, packing, quality, simhash, token_counts, toxicity, urls
+from . import bpe, exact_dedup, log_bilinear, packing, quality, simhash, token_counts, toxicity, urls, warc
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
 
 
+def op1_warc_revisits(spark: SparkSession, root: str) -> DataFrame:
+    return warc.deduplicate_pages(table(spark, root, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return coded.select(
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
