@@ -1,7 +1,8 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-Two multinomials over ``BUCKETS`` hash buckets of word unigrams and bigrams: one of the whole raw
-corpus, one of trusted documents (labelled good; at most ``TRUSTED_DOCS`` of them, those with the
+Two multinomials over ``BUCKETS`` hash buckets of n-grams of word endings (the last three characters
+of a word, and the last two of a word and of the next; endings are few, so that also words that no
+trusted document has are judged): one of the whole raw corpus, one of trusted documents (labelled good; at most ``TRUSTED_DOCS`` of them, those with the
 smallest hashes of their ids, so that the set of ids has a fixed bound). Counts are summed before
 the shuffle, so at most ``BUCKETS`` rows leave a task and as many reach the driver. A document's
 ratio is the mean over its n-grams of log(p_trusted / p_raw); a document below ``THRESHOLD`` goes.
@@ -23,9 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh, quoted
 
-BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_DOCS = 65_536, 0.5, -0.1, 20_000
+BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_DOCS = 16_384, 50.0, -0.15, 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -66,10 +67,11 @@ def repeated(w: Column) -> Column:
 
 
 def buckets(w: Column) -> Column:
-    """Hash buckets of the unigrams and bigrams of ``w``."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.pmod(F.xxhash64(F.get(w, i), F.lit(" "), F.get(w, i + 1)), F.lit(BUCKETS)).cast("int")
+    """Hash buckets of the n-grams of word endings of ``w``: unigrams, then bigrams."""
+    one = F.transform(w, lambda x: F.pmod(F.xxhash64(F.right(x, F.lit(3))), F.lit(BUCKETS)).cast("int"))
+    two = let(
+        F.transform(w, lambda x: F.right(x, F.lit(2))),
+        lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.pmod(F.xxhash64(F.get(e, i), F.lit(" "), F.get(e, i + 1)), F.lit(BUCKETS)).cast("int")),
     )
     return F.when(F.size(w) < 2, one).otherwise(F.concat(one, two))
 
@@ -136,3 +138,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id, the measures, base_failed, ratio, kept."""
     table = weights(docs, labels, id_col, text_col)
     return measures(docs.select(F.col(id_col), F.col(text_col)), table, text_col).drop(text_col)
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that the rules or the ratio reject, all columns kept."""
+    prefix = fresh("quality", [c[:7] for c in docs.columns]) + "_"
+    judged = measures(docs, weights(docs, labels, id_col, text_col), text_col, prefix)
+    return judged.where(F.col(f"{prefix}kept")).select(*[F.col(quoted(c)) for c in docs.columns])
