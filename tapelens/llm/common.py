@@ -46,6 +46,19 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is in ``keepers`` (one string column ``key``, no repeats), one row per key.
+
+    Keys hold the row's id, so copies of one text spread over the tasks. Which of several rows with
+    one key stays is not defined; they agree in id and group.
+    """
+    name = fresh("row_key", docs.columns)
+    whole = fresh("row", docs.columns)
+    kept = docs.withColumn(name, key).join(keepers.select(F.col("key").alias(name)), name, "left_semi")
+    rows = kept.groupBy(name).agg(F.first(F.struct(*[F.col(quoted(c)) for c in docs.columns])).alias(whole))
+    return rows.select(f"{whole}.*")
+
+
 def slices(items: list, weight: Callable = len, most: int = 1 << 21) -> Iterator[list]:
     """Cut a batch into lists of about ``most`` bytes, so that the Python objects made from one stay few."""
     part: list = []

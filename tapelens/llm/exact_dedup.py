@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, stored
+from .common import SPACE, keep_rows, scratch, stored
 
 FAN_IN = 8
 NO_ID = np.iinfo(np.int64).max
@@ -153,3 +153,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns kept."""
+    folder = scratch(docs.sparkSession, "exact-dedup")
+    groups = stored(tree_merge(stored(digests(docs, id_col, text_col), folder, "digests"), fan_in), folder, "groups")
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), digest)
+
+    keepers = groups.select(key(F.col("keep_id"), F.lower(F.hex("digest"))).alias("key"))
+    return keep_rows(docs, key(F.col(id_col), F.sha2(normalised(text_col), 256)), keepers)

@@ -22,12 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_bytes
+from .common import keep_rows, scratch, stored, text_bytes
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -98,13 +99,36 @@ def links(distinct: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
     return stored(direct.union(shared).distinct(), folder, "links")
 
 
+def members(rows: DataFrame, folder: str, bucket: int) -> DataFrame:
+    """Stored (doc_id, f) -> stored (f, least_id, root), one row per fingerprint; roots name components."""
+    nodes = stored(rows.groupBy("f").agg(F.min("doc_id").alias("least_id")), folder, "nodes")
+    roots = stored(components(links(nodes.select("f"), folder, bucket), folder), folder, "roots")
+    joined = nodes.join(roots.withColumnRenamed("node", "f"), "f", "left")
+    return stored(joined.select("f", "least_id", F.coalesce("root", "f").alias("root")), folder, "members")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     folder = scratch(docs.sparkSession, "simhash")
     rows = stored(fingerprints(docs, id_col, text_col), folder, "fingerprints")
-    nodes = stored(rows.groupBy("f").agg(F.min("doc_id").alias("least_id")), folder, "nodes")
-    roots = stored(components(links(nodes.select("f"), folder, bucket), folder), folder, "roots")
-    member = stored(nodes.join(roots.withColumnRenamed("node", "f"), "f", "left").select("f", "least_id", F.coalesce("root", "f").alias("root")), folder, "members")
-    named = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = stored(member.join(stored(named, folder, "names"), "root").select("f", "component_id"), folder, "components")
+    member = members(rows, folder, bucket)
+    names = stored(member.groupBy("root").agg(F.min("least_id").alias("component_id")), folder, "names")
+    ids = stored(member.join(names, "root").select("f", "component_id"), folder, "components")
     return rows.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: that with the smallest non-null id."""
+    folder = scratch(docs.sparkSession, "simhash")
+    member = members(stored(fingerprints(docs, id_col, text_col), folder, "fingerprints"), folder, bucket)
+    order = F.struct(F.col("least_id").isNull().alias("blank"), "least_id", "f")
+    first = member.groupBy("root").agg(F.min(order).alias("first"))
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64))
+
+    def key(doc_id, f):
+        return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), f.cast("string"))
+
+    return keep_rows(docs, key(F.col(id_col), hashed(text_bytes(text_col))), first.select(key(F.col("first.least_id"), F.col("first.f")).alias("key")))

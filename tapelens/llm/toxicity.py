@@ -293,3 +293,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     name = fresh("score", [id_col])
     scored = docs.select(F.col(id_col), scorer(docs, model)(F.col(text_col)).alias(name))
     return scored.select(id_col, held_out(id_col).alias("held_out"), name, (F.col(name) >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents predicted toxic, all columns kept."""
+    return docs.where(scorer(docs, learn(docs, labels, id_col, text_col))(F.col(text_col)) < 0.5)
