@@ -222,14 +222,14 @@ def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """The model and the stored counts (word, c) of all training tokens."""
     train = docs.where(~held_out(id_col)).select(text_bytes(text_col).alias("text"))
     counts = stored(token_counts(train), folder, "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    is_end = F.octet_length("word") == 0
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # a fixed bound
     words, freq = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64)
-    if END in words[CLASSES:] or END not in words:  # the end is always a class
-        at = words.index(END) if END in words else len(words)
-        n_end = int(freq[at]) if at < len(words) else 0
-        words = [END] + words[:at] + words[at + 1 :]
-        freq = np.concatenate([[n_end], freq[:at], freq[at + 1 :]]).astype(np.int64)
+    if END not in words[:CLASSES]:  # the end is always a class
+        others = [k for k, w in enumerate(words) if w != END]
+        words = [END] + [words[k] for k in others]
+        freq = np.concatenate([[total["ends"]], freq[others]]).astype(np.int64)
     classes = min(CLASSES, len(words))
     end = words.index(END)
     rest = rest_sizes(counts, words[:classes])
