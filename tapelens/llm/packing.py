@@ -16,6 +16,7 @@ Only the two named columns are read.
 """
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from bisect import bisect_right, insort
@@ -34,31 +35,47 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 #: Tokens that wait to be packed in a task.
 BUFFER = 2_000_000
-CACHE_SIZE = 500_000
+CACHE_SIZE = 1_000_000
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> Cache:
-    """Words (UTF-8) -> ids as little-endian uint32 bytes."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class Words:
+    """Tokenizer with a cache of words (UTF-8) -> ids as little-endian uint32 bytes.
+
+    For files whose tokenizer drops white space. If it lower-cases as well, A-Z are lower-cased
+    first, unless the text then holds the string of a special token.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    batch = getattr(model, "encode_batch_fast", model.encode_batch)
+        model = Tokenizer.from_file(path)
+        model.no_truncation()
+        model.no_padding()
+        batch = getattr(model, "encode_batch_fast", model.encode_batch)
+        normalizer = json.loads(model.to_str())["normalizer"] or {}
+        self.lower = any(x["type"] == "Lowercase" for x in normalizer.get("normalizers", [normalizer]) if x)
+        self.special = [x.content.lower().encode() for x in model.get_added_tokens_decoder().values()]
+        self.cache = Cache(lambda words: [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)], CACHE_SIZE)
 
-    def make(words: list[bytes]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)]
+    def ids(self, text: bytes) -> bytes:
+        if self.lower:
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                text = low
+        prepare = self.cache.prepare
+        return b"".join(b"".join(map(prepare(x).__getitem__, x)) for x in slices(text.split()))
 
-    return Cache(make, CACHE_SIZE)
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
-def tokenize(text: bytes, cache: Cache, end_id: int) -> bytes:
+def tokenize(text: bytes, words: Words, end_id: int) -> bytes:
     """Ids of a text and the end id; words between white space are independent of each other."""
-    body = b"".join(b"".join(map(cache.prepare(x).__getitem__, x)) for x in slices(text.split()))
-    return body + array("I", [end_id]).tobytes()
+    return words.ids(text) + array("I", [end_id]).tobytes()
 
 
 class Packer:
@@ -173,7 +190,7 @@ def pack_documents(
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(path)
+        words = words_of(path)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 36)
         schema = None
 
@@ -185,7 +202,7 @@ def pack_documents(
             if schema is None:
                 schema = pa.schema([(id_col, batch.schema.field(0).type), *((n, pa.int64()) for n in ("start", "length")), ("ids", pa.binary()), *((n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset", "sequence_tokens")), ("tier", pa.int32()), ("step_group", pa.int64())])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, tokenize(text.as_py(), cache, end_id))
+                packer.add(doc_id, tokenize(text.as_py(), words, end_id))
                 if packer.size >= BUFFER:
                     yield from out(packer.pack(last=False))
         if packer.docs:
