@@ -133,7 +133,7 @@ cte("gates", """
     UNION ALL SELECT 'max_drawdown', dd, bdd * 0.75, dd <= bdd * 0.75 FROM oos
     UNION ALL SELECT 'annualized_turnover', turn, 3.0, turn <= 3 FROM oos
     UNION ALL SELECT 'state_transitions', moves, 4.0, moves <= 4 FROM oos""")
-cte("curves", "SELECT strategy, date, equity FROM bt_equity WHERE strategy <> 'sixty_forty' OR (date >= DATE '1997-01-01' AND dayofweek(date) = 3)")
+cte("curves", "SELECT strategy, date, equity FROM bt_equity")
 V = ("total_return", "cagr", "sharpe", "max_drawdown", "annualized_turnover", "hit_rate", "trade_count")
 D3 = ("cagr", "sharpe", "max_drawdown")
 

@@ -15,16 +15,16 @@ cte("dark", """
     SELECT ticker, week, coalesce(sum(size) FILTER (l_linenumber % 3 = 0), 0) / sum(size) AS v FROM (SELECT *, date + CAST(8 - isodow(date) AS INTEGER) AS week FROM ticks)
     GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY week DESC) = 1""")
 cte("short_m", """
-    SELECT p_brand AS ticker, last_day(l_shipdate) AS settlement, sum(l_quantity) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2""")
+    SELECT p_brand AS ticker, last_day(l_shipdate) AS settlement, sum(l_quantity) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 cte("short", f"""
     SELECT ticker, CASE WHEN {N} % 5 = 0 THEN 12.5 ELSE (pos - coalesce(CASE WHEN {N} % 5 = 1 THEN pos * 0.8 END, prev)) / coalesce(CASE WHEN {N} % 5 = 1 THEN pos * 0.8 END, prev) * 100 END AS v
     FROM (SELECT *, lag(pos) OVER w AS prev, row_number() OVER (PARTITION BY ticker ORDER BY settlement DESC) AS b FROM short_m WINDOW w AS (PARTITION BY ticker ORDER BY settlement)) WHERE b = 1""")
 cte("filing", """
     SELECT ticker, (s - prev) / prev * 100 AS v FROM (
       SELECT *, lag(s) OVER (PARTITION BY ticker ORDER BY q) AS prev, row_number() OVER (PARTITION BY ticker ORDER BY q DESC) AS b FROM (
-        SELECT p_brand AS ticker, date_trunc('quarter', l_shipdate) AS q, sum(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 40 GROUP BY 1, 2)) WHERE b = 1""")
+        SELECT p_brand AS ticker, date_trunc('quarter', l_shipdate) AS q, sum(l_quantity) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)) WHERE b = 1""")
 cte("recent_dir", """
-    SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, discount) AS pp FROM ticks WHERE date >= DATE '2001-01-01'""")
+    SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, discount) AS pp FROM ticks""")
 cte("recent_block", """
     SELECT ticker, CASE WHEN u = 0 AND d = 0 THEN NULL WHEN d = 0 THEN 2.0 ELSE u / d END AS v FROM (
       SELECT ticker, coalesce(sum(price * size) FILTER ((size >= 45 OR price * size >= 90000) AND price > pp), 0) AS u, coalesce(sum(price * size) FILTER ((size >= 45 OR price * size >= 90000) AND price < pp), 0) AS d FROM recent_dir GROUP BY 1)""")

@@ -1,7 +1,7 @@
 """Statements for labels, splits, search, bootstrap and gates."""
 from .parts import cte, r, statement as st
 
-HZ = "(VALUES (4), (13), (26)) h(h)"
+HZ = "(VALUES (4), (13), (26), (52)) h(h)"
 
 
 def paths(tag: str, prices: str, horizons: str) -> None:

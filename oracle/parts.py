@@ -60,14 +60,14 @@ for suffix, column in (("", "p_brand"), ("_type", "p_type")):
     cte(f"ticks{suffix}", f"""
     SELECT {column} AS ticker, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price,
            l_quantity AS size, l_discount AS discount, l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           l_quantity, l_extendedprice
+           l_quantity, l_extendedprice, l_orderkey * 8388608 + l_linenumber * 1048576 + (l_partkey * 31 + l_suppkey) % 1048576 AS number
     FROM lineitem JOIN part ON l_partkey = p_partkey""")
     cte(f"bars{suffix}", f"""
     SELECT ticker, date,
-           first(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, discount) AS open,
+           first(price ORDER BY number) AS open,
            max(price) AS high, min(price) AS low,
-           last(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, discount) AS close,
-           last(price * (1 - discount) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, discount) AS adj_close,
+           last(price ORDER BY number) AS close,
+           last(price * (1 - discount) ORDER BY number) AS adj_close,
            sum(size) AS volume
     FROM ticks{suffix} GROUP BY 1, 2""")
     cte(f"pbars{suffix}", f"SELECT *, adj_close AS price, {week('date')} AS week_end FROM bars{suffix}")

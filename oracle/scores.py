@@ -1,10 +1,18 @@
 """Statements for composite, states and transitions."""
+import json
+
+from tapelens.operators.scoring import parameters
+from tapelens.sources.tables import TOP_PER_CLASS
+
 from .parts import cte, r, state_case, statement as st, z
 
+#: The configuration's JSON text; its hash with the universe is DuckDB's own.
+CONFIG = json.dumps(parameters({f"C{i}": TOP_PER_CLASS for i in range(4)}), sort_keys=True, separators=(",", ":"), allow_nan=False).replace("'", "''")
+
 cte("stored", """
     SELECT ticker, CASE s WHEN 'F' THEN 'EXIT' WHEN 'O' THEN 'HOLD' ELSE '' END AS state, updated FROM (
       SELECT 'Brand#' || (o_custkey % 25 + 1) AS ticker, last(o_orderstatus ORDER BY o_orderdate, o_orderkey, o_custkey, o_orderstatus) AS s,
-             max(o_orderdate) AS updated FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1)""")
+             max(o_orderdate) AS updated FROM orders WHERE o_orderdate <= TIMESTAMP '2001-01-02' GROUP BY 1)""")
 USE = """coalesce(epoch(TIMESTAMP '2001-01-02') - epoch(t.updated) BETWEEN 0 AND 302400 AND t.state <> '' AND t.state <> s.state, false)"""
 PB = """CASE WHEN state = 'STAGE_2_BULLISH' THEN concat_ws('; ',
     CASE WHEN return_1d <= -0.010 THEN printf('1-session return %+.2f%% is at/below -1.00%%', return_1d * 100) END,
@@ -85,5 +93,5 @@ SQL = {
     "class_lookup": """SELECT coalesce(o.c, d.c, 'Other') AS class, count(*) AS members FROM (SELECT p_name AS t FROM part UNION ALL SELECT c_name FROM customer) n
         LEFT JOIN (SELECT p_name AS t, min(p_type) AS c FROM part WHERE p_size > 3 GROUP BY 1) d ON d.t = n.t
         LEFT JOIN (SELECT p_name AS t, min(p_brand) AS c FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_name LIKE 'red%' GROUP BY 1) o ON o.t = n.t GROUP BY 1""",
-    "config_universe": st("SELECT string_agg(ticker, ',' ORDER BY ticker) AS universe, 64 AS hash_length FROM (SELECT DISTINCT ticker FROM bars)"),
+    "config_universe": st(f"""SELECT universe, sha256('{CONFIG}|' || universe) AS config_sha256 FROM (SELECT string_agg(ticker, ',' ORDER BY ticker) AS universe FROM (SELECT DISTINCT ticker FROM bars))"""),
 }

@@ -33,18 +33,18 @@ cte("hfile", f"""
     SELECT {ROW} AS row_number, l_orderkey AS k, CASE WHEN l_orderkey % 23 = 0 OR l_orderkey % 29 = 0 THEN NULL ELSE 'BR' || (l_partkey % 25) END AS ticker,
            CASE WHEN l_orderkey % 31 <> 0 THEN l_quantity * 100 END AS shares, l_extendedprice AS market_value,
            CASE WHEN l_orderkey % 3 = 0 THEN l_quantity / 100 WHEN l_orderkey % 3 = 1 THEN CASE WHEN l_quantity > 1 THEN l_quantity / 100 ELSE l_quantity END END AS weight, l_returnflag AS account
-    FROM lineitem WHERE l_linenumber = 1""")
+    FROM lineitem""")
 cte("tfile", f"""
     SELECT {ROW} AS row_number, CASE WHEN l_orderkey % 3 <> 2 THEN CAST(l_shipdate AS DATE) END AS trade_date, 'BR' || (l_partkey % 25) AS ticker,
            CASE l_returnflag WHEN 'R' THEN 'SELL' WHEN 'A' THEN 'BUY' END AS side, l_quantity AS shares, l_extendedprice AS price, CASE WHEN l_orderkey % 4 = 0 THEN 1.25::DOUBLE ELSE 0.0::DOUBLE END AS fees
-    FROM lineitem WHERE l_linenumber = 2""")
+    FROM lineitem""")
 cte("tokens", """
     SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_partkey % 11) - 1 AS pos,
            CASE WHEN l_partkey % 11 = 0 THEN 'bad#' || (l_partkey % 7) ELSE 'q' || (l_partkey % 9) END AS token FROM lineitem""")
 cte("jruns", "SELECT strftime(as_of, '%Y-%m-%d') AS run_id, * FROM scored")
 cte("jrows", "SELECT o_orderkey AS run_id, max(o_orderdate) AS d FROM orders GROUP BY 1 ORDER BY d DESC, run_id DESC LIMIT 50")
 cte("jdig", """
-    SELECT run_id, count(*) AS n, list(upper(ticker) || '|' || class || '|' || state || '|' || coalesce(CAST(round(s_score, 6) AS VARCHAR), '-') ORDER BY ticker) AS c FROM jruns GROUP BY 1""")
+    SELECT run_id, count(*) AS n, list(upper(ticker) || '|' || class || '|' || state || '|' || concat_ws('|', s_score, f_score, mom_12_1, mansfield_rs, rs_ratio, rs_momentum, breadth_50d, cmf21, stage, selected) ORDER BY ticker) AS c FROM jruns GROUP BY 1""")
 AGE = lambda c: f"greatest(0, CAST(DATE '2001-11-05' - {c} AS BIGINT))"
 LBL = lambda c: f"CASE WHEN {c} IS NULL THEN 'missing' WHEN {AGE(c)} = 0 THEN 'today' ELSE {AGE(c)} || 'd old' END"
 cte("hbar", "SELECT max(l) AS latest, min(l) AS oldest, count(l) AS loaded, count(*) AS expected FROM (SELECT ticker, max(date) AS l FROM bars GROUP BY 1)")
@@ -58,7 +58,7 @@ cte("hrows", f"""
 
 SQL = {
     "bars_read": st(f"SELECT ticker, date, {r('close','volume', digits=10)} FROM bars WHERE ticker IN ('Brand#3', 'Brand#4', 'Brand#12') AND date >= DATE '2001-11-05' - 1095"),
-    "bars_provenance": st("SELECT ticker, arg_max(provider, date) AS provider, max(updated_at) AS updated_at, count(*) AS rows FROM store WHERE date < DATE '1999-06-01' GROUP BY 1"),
+    "bars_provenance": st("SELECT ticker, arg_max(provider, date) AS provider, max(updated_at) AS updated_at, count(*) AS rows FROM store GROUP BY 1"),
     "bars_upsert": st(f"""SELECT ticker, date, {r('close', digits=10)} FROM (SELECT s.ticker, s.date, s.close FROM store s LEFT JOIN span p ON s.ticker = p.ticker WHERE p.lo IS NULL OR s.date < p.lo OR s.date > p.hi
         UNION ALL SELECT ticker, date, close FROM resent)"""),
     "bars_unique": st(f"SELECT ticker, date, provider, {r('close=CASE WHEN month(date) = 3 THEN close + 1 ELSE close END', digits=10)} FROM store"),

@@ -43,7 +43,7 @@ cte("aligned", """
     FROM trades t ASOF LEFT JOIN scored s ON t.ticker = s.ticker AND t.trade_date >= s.as_of""")
 cte("lists", """
     SELECT s_nationkey AS list_id, p_brand AS ticker, min(l_orderkey) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_orderkey % 10 = s_nationkey % 10 GROUP BY 1, 2 UNION ALL SELECT DISTINCT s_nationkey, 'BRAND-X', -1 FROM supplier""")
+    GROUP BY 1, 2 UNION ALL SELECT DISTINCT s_nationkey, 'BRAND-X', -1 FROM supplier""")
 cte("custom", """
     SELECT l.list_id, l.ticker, l.pos, s.ticker IS NULL AS missing, CASE WHEN s.ticker IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY l.list_id ORDER BY s.ticker IS NULL, s.s_score IS NULL, s.s_score DESC, l.pos) AS INTEGER) END AS custom_rank,
            s.state, s.class AS asset_class, s.s_score, CASE WHEN s.state IN ('EXIT', 'BEARISH_STAGE_4') THEN 'exit' WHEN s.state = 'WARNING' THEN 'warning' WHEN s.state = 'STAGE_2_BULLISH' OR s.selected THEN 'bullish' END AS action

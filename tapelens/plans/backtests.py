@@ -158,7 +158,7 @@ def _equity_combined(spark, root):
     """Named curves on the union calendar; the benchmark curve starts later."""
     x = Inputs(spark, root)
     eq = rt.equity(rt.net_returns(x.periods(), 5.0), ["strategy"]).select("strategy", "date", "equity")
-    eq = materialise(eq.where("strategy <> 'sixty_forty' or (date >= date'1997-01-01' and dayofweek(date) = 4)"))
+    eq = materialise(eq)
     return shown(rt.carried_panel(eq, "strategy", "equity", from_common_start=False))
 
 

@@ -32,7 +32,7 @@ def _dark_records(spark, root):
 
 
 def _short_records(spark, root):
-    item = table(spark, root, "lineitem").where("l_returnflag = 'R'")
+    item = table(spark, root, "lineitem")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     m = item.join(part, "l_partkey").groupBy("ticker", F.last_day("l_shipdate").alias("settlement")).agg(F.sum("l_quantity").alias("position"))
     odd = F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 5
@@ -42,7 +42,7 @@ def _short_records(spark, root):
 def _filings(spark, root):
     item = table(spark, root, "lineitem")
     rec = item.select(F.concat(F.lit("c "), F.col("l_partkey").cast("string")).alias("cusip"), F.trunc("l_shipdate", "quarter").alias("period"), F.col("l_quantity").alias("shares"))
-    part = table(spark, root, "part").where("p_size <= 40")
+    part = table(spark, root, "part")
     m = part.select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("cusip"), F.col("p_brand").alias("ticker"))
     return lanes.filings_net_buys(rec, m)
 
@@ -52,7 +52,7 @@ def _lane_table(spark, root):
     n = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
     etf = lanes.etf_flow(shares_outstanding(spark, root))
     etf = etf.groupBy("ticker").agg(F.max_by("etf_flow_5d_pct", "as_of").alias("etf_flow_5d_pct")).where(n % 6 != 0)
-    block = lanes.block_ratio(prints(spark, root).where("date >= date'2001-01-01'"), ["ticker"], ["date", "seq"], 45.0, 90000.0).select("ticker", "block_up_ratio")
+    block = lanes.block_ratio(prints(spark, root), ["ticker"], ["date", "seq"], 45.0, 90000.0).select("ticker", "block_up_ratio")
     dark = lanes.dark_pool_share(_dark_records(spark, root)).select("ticker", "dark_pool_pct")
     short = lanes.short_interest_delta(_short_records(spark, root)).where(n % 7 != 0)
     out = dark

@@ -58,8 +58,8 @@ def _reasons(spark, root):
 
 
 def _stored(spark, root):
-    """Stored states: one per brand from the last order before 2001."""
-    o = table(spark, root, "orders").where("o_orderdate < timestamp'2001-01-01'")
+    """Stored states: one per brand from its last order up to NOW."""
+    o = table(spark, root, "orders").where(F.col("o_orderdate") <= F.lit(NOW))
     brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
     key = F.struct("o_orderdate", "o_orderkey", "o_custkey", "o_orderstatus")
     status = F.col("_m.o_orderstatus")
@@ -121,7 +121,7 @@ def _config(spark, root):
     one = tickers.select("universe", F.lit(1).alias("k")).join(body.select("*", F.lit(1).alias("k")), "k")
     return one.select(
         "universe", F.sha2(F.concat_ws("|", "config_json", "universe"), 256).alias("config_sha256"), "config_json"
-    ).select("universe", F.length("config_sha256").alias("hash_length"))
+    ).drop("config_json")
 
 
 def _class_lookup(spark, root):

@@ -32,7 +32,7 @@ def _read(spark, root):
 
 
 def _provenance(spark, root):
-    return bs.provenance(_store(spark, root).where("date < '1999-06-01'"))
+    return bs.provenance(_store(spark, root))
 
 
 def _upsert_bars(spark, root):
@@ -155,7 +155,7 @@ def _cache_pairs(spark, root):
 
 def _holding_file(spark, root):
     """Line items as a user's holdings file with text cells."""
-    item = table(spark, root, "lineitem").where("l_linenumber = 1")
+    item = table(spark, root, "lineitem")
     k, q = F.col("l_orderkey"), F.col("l_quantity")
     return item.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("row_number"),
@@ -177,7 +177,7 @@ def _holding_errors(spark, root):
 
 
 def _trade_file(spark, root):
-    item = table(spark, root, "lineitem").where("l_linenumber = 2")
+    item = table(spark, root, "lineitem")
     k = F.col("l_orderkey")
     return item.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("row_number"),
@@ -224,7 +224,7 @@ def _journal_records(spark, root):
 
 def _journal_new(spark, root):
     """Runs up to 2000 are stored; all arrive again, the later ones under new ids too."""
-    r = journal.score_records(_scored_runs(spark, root)).withColumns({"s_score": F.round("s_score", 6), "pillar_scores": F.lit(""), "payload": F.lit("")})
+    r = journal.score_records(_scored_runs(spark, root))
     stored = journal.run_digests(r.where("run_id < '2000-01-01'"))
     again = r.withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
     return journal.new_runs(again, stored).groupBy("run_id").agg(F.count("*").alias("rows"))

@@ -72,7 +72,7 @@ def _lists(spark, root):
     item = table(spark, root, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     supp = table(spark, root, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("list_id"))
-    known = item.join(part, "l_partkey").join(supp, "l_suppkey").where("l_orderkey % 10 = list_id % 10").groupBy("list_id", F.col("p_brand").alias("ticker")).agg(F.min("l_orderkey").alias("pos"))
+    known = item.join(part, "l_partkey").join(supp, "l_suppkey").groupBy("list_id", F.col("p_brand").alias("ticker")).agg(F.min("l_orderkey").alias("pos"))
     extra = supp.select("list_id").distinct().select("list_id", F.lit("BRAND-X").alias("ticker"), F.lit(-1).cast("bigint").alias("pos"))
     return known.unionByName(extra)
 
