@@ -76,11 +76,11 @@ cte("cells", """
            count(*) FILTER (negative_signal AND label_available AND (nmax IS NULL OR s_score <= nmax)) AS nn, count(*) FILTER (negative_success AND (nmax IS NULL OR s_score <= nmax)) AS nh
     FROM windowed CROSS JOIN crules WHERE win IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6""")
 _R = lambda h, n, w: f"CASE WHEN sum({n}) FILTER (win = '{w}') > 0 THEN sum({h}) FILTER (win = '{w}') / sum({n}) FILTER (win = '{w}') ELSE 0.0 END"
-cte("tot", "SELECT candidate_id, pmin, nmax, horizon_weeks, count(DISTINCT fold) AS fold_count, " + ", ".join(
+cte("tot", "SELECT r.candidate_id, r.pmin, r.nmax, h.h AS horizon_weeks, (SELECT count(*) FROM splits) AS fold_count, " + ", ".join(
     f"coalesce(sum({a}n) FILTER (win = '{w}'), 0) AS {w}_{a}n, {_R(a + 'h', a + 'n', w)} AS {w}_{a}r" for w in ("calibration", "validation", "final_holdout") for a in ("p", "n"))
-    + ", coalesce(sum(n) FILTER (win = 'final_holdout'), 0) AS frows FROM cells GROUP BY 1, 2, 3, 4")
+    + ", coalesce(sum(n) FILTER (win = 'final_holdout'), 0) AS frows FROM crules r CROSS JOIN " + HZ + " LEFT JOIN cells c ON c.candidate_id = r.candidate_id AND c.horizon_weeks = h.h GROUP BY 1, 2, 3, 4")
 cte("worst", """
-    SELECT candidate_id, horizon_weeks, min(least(p - bp, n - bn)) AS mfd FROM (
+    SELECT candidate_id, horizon_weeks, CASE WHEN count(*) < (SELECT count(*) FROM splits) THEN least(min(least(p - bp, n - bn)), 0.0) ELSE min(least(p - bp, n - bn)) END AS mfd FROM (
       SELECT c.candidate_id, c.horizon_weeks, CASE WHEN c.pn > 0 THEN c.ph / c.pn ELSE 0.0 END AS p, CASE WHEN c.nn > 0 THEN c.nh / c.nn ELSE 0.0 END AS n,
              CASE WHEN b.pn > 0 THEN b.ph / b.pn ELSE 0.0 END AS bp, CASE WHEN b.nn > 0 THEN b.nh / b.nn ELSE 0.0 END AS bn
       FROM cells c JOIN cells b ON b.candidate_id = 'baseline' AND b.horizon_weeks = c.horizon_weeks AND b.fold = c.fold AND b.win = c.win WHERE c.win = 'validation') GROUP BY 1, 2""")
@@ -152,11 +152,10 @@ def boot_ci(name: str, samples: int, where: str) -> None:
         FROM {name}_draw w JOIN {name}_blk b ON b.candidate_id = w.candidate_id AND b.horizon_weeks = w.horizon_weeks AND b.i = w.i GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 
 
-boot_ci("b1", 200, "win = 'holdout' AND sector IS NULL")
-boot_ci("b2", 100, "win = 'holdout'")
+boot_ci("b1", 500, "win = 'holdout'")
 cte("un", """
     SELECT candidate_id, horizon_weeks, sum(base_n)::BIGINT AS bn, sum(base_hit)::BIGINT AS bh, sum(cand_n)::BIGINT AS cn, sum(cand_hit)::BIGINT AS ch
-    FROM gblocks WHERE win = 'holdout' AND sector IS NULL AND scope <> 'global' GROUP BY 1, 2 HAVING sum(base_n) > 0 AND sum(cand_n) > 0""")
+    FROM gblocks WHERE win = 'holdout' GROUP BY 1, 2 HAVING sum(base_n) > 0 AND sum(cand_n) > 0""")
 
 
 def side(n: str, hit: str, seed: int) -> str:
@@ -164,14 +163,14 @@ def side(n: str, hit: str, seed: int) -> str:
       SELECT candidate_id, horizon_weeks, s, sum(CASE WHEN {DRAW.format(n=n)} < {hit} THEN 1 ELSE 0 END) / max({n}) AS rate FROM (
         SELECT *, (h2 * 48271 + j) % 2147483647 AS h3 FROM (SELECT *, (h1 * h1 + 12345) % 2147483647 AS h2 FROM (
           SELECT candidate_id, horizon_weeks, {n}, {hit}, s, j, (s * 1000003 + j * 10007 + {seed}) % 2147483647 AS h1
-          FROM (SELECT *, unnest(range({n})) AS j FROM un) CROSS JOIN range(100) r(s)))) GROUP BY 1, 2, 3"""
+          FROM (SELECT *, unnest(range({n})) AS j FROM un) CROSS JOIN range(1000) r(s)))) GROUP BY 1, 2, 3"""
 
 
 cte("un_c", side("cn", "ch", 42))
 cte("un_b", side("bn", "bh", 49))
-cte("gprom0", "SELECT m.*, train_hit_rate - baseline_train_hit_rate AS td, holdout_hit_rate - baseline_holdout_hit_rate AS hd, coalesce(lo, 0) AS lo, coalesce(v, 0) AS v FROM gmet m LEFT JOIN b2_ci c ON c.candidate_id = m.candidate_id AND c.horizon_weeks = m.horizon_weeks")
+cte("gprom0", "SELECT m.*, train_hit_rate - baseline_train_hit_rate AS td, holdout_hit_rate - baseline_holdout_hit_rate AS hd, coalesce(lo, 0) AS lo, coalesce(v, 0) AS v FROM gmet m LEFT JOIN b1_ci c ON c.candidate_id = m.candidate_id AND c.horizon_weeks = m.horizon_weeks")
 cte("gprom", """
-    SELECT *, CASE WHEN train_cand_n < 20 OR holdout_cand_n < 10 THEN 'thin_sample' WHEN hd <= 0 THEN 'holdout_no_improvement' WHEN NOT (td >= 0 AND hd >= 0) THEN 'fold_unstable'
+    SELECT *, CASE WHEN train_cand_n < 40 OR holdout_cand_n < 20 THEN 'thin_sample' WHEN hd <= 0 THEN 'holdout_no_improvement' WHEN NOT (td >= 0 AND hd >= 0) THEN 'fold_unstable'
       WHEN v <= 0 THEN 'bootstrap_insufficient_candidate_blocks' WHEN round(lo, 6) < 0 THEN 'bootstrap_interval_crosses_zero' ELSE 'separate_live_promotion_ticket_required' END AS reason FROM gprom0""")
 
 SQL = {
@@ -190,9 +189,10 @@ SQL = {
            'signal_missing_rate=' + _q('(signal_count - signal_available_count)', 'signal_count'), 'hit_rate=' + _q('true_positive', 'signal_available_count'), 'precision=' + _q('true_positive', '(true_positive + false_positive)'),
            'recall=' + _q('true_positive', '(true_positive + false_negative)'), 'f1=' + _q('2 * true_positive', '(2 * true_positive + false_positive + false_negative)'))} FROM conf"""),
     "candidate_search": st(f"""SELECT candidate_id, horizon_weeks, gate AS gate_status, CASE gate WHEN 'passed_final_holdout_research_candidate' THEN 'candidate' WHEN 'blocked_final_holdout_not_evaluated' THEN 'needs more testing' ELSE 'do not promote' END AS promotion_label,
-        sel AS selected_by_calibration, sel AND g = 'blocked_final_holdout_not_evaluated' AND frows > 0 AS final_holdout_evaluated, concat_ws(',', CASE WHEN up THEN 'positive' END, CASE WHEN un THEN 'negative' END) AS directions_changed, fold_count,
+        sel AS selected_by_calibration, sel AND g = 'blocked_final_holdout_not_evaluated' AND frows > 0 AS final_holdout_evaluated, concat_ws(',', CASE WHEN up THEN 'positive' END, CASE WHEN un THEN 'negative' END) AS directions_changed, fold_count, CASE WHEN gate LIKE 'rejected%' THEN substr(gate, 10) ELSE '' END AS rejection_reasons,
+        CASE WHEN sel AND g = 'blocked_final_holdout_not_evaluated' THEN frows ELSE 0 END::BIGINT AS final_holdout_rows_used,
         calibration_pn::BIGINT AS calibration_pos_n, calibration_nn::BIGINT AS calibration_neg_n, validation_pn::BIGINT AS validation_pos_n, validation_nn::BIGINT AS validation_neg_n,
-        {r('calibration_pos_delta=cpd','calibration_neg_delta=cnd','validation_pos_delta=vpd','validation_neg_delta=vnd','calibration_objective_delta=cpd + cnd','min_fold_delta=mfd','final_holdout_pos_delta=fpd','final_holdout_neg_delta=fnd')} FROM srch3"""),
+        {r('calibration_pos_delta=cpd','calibration_neg_delta=cnd','validation_pos_delta=vpd','validation_neg_delta=vnd','calibration_objective_delta=cpd + cnd','min_fold_delta=mfd',"final_holdout_pos_delta=CASE WHEN sel AND g = 'blocked_final_holdout_not_evaluated' THEN fpd END", "final_holdout_neg_delta=CASE WHEN sel AND g = 'blocked_final_holdout_not_evaluated' THEN fnd END")} FROM srch3"""),
     "candidate_grid": st(f"""SELECT candidate_id, scope, sector, direction, horizon_weeks, train_base_n, train_base_hit, train_cand_n, train_cand_hit, holdout_base_n, holdout_base_hit, holdout_cand_n, holdout_cand_hit,
         train_hit_rate - baseline_train_hit_rate >= 0 AND holdout_hit_rate - baseline_holdout_hit_rate >= 0 AS fold_stability_passed,
         {r('train_hit_rate','holdout_hit_rate','baseline_train_hit_rate','baseline_holdout_hit_rate','train_delta=train_hit_rate - baseline_train_hit_rate','holdout_delta=holdout_hit_rate - baseline_holdout_hit_rate',
@@ -206,7 +206,7 @@ SQL = {
         FROM un u JOIN un_c c ON c.candidate_id = u.candidate_id AND c.horizon_weeks = u.horizon_weeks JOIN un_b b ON b.candidate_id = u.candidate_id AND b.horizon_weeks = u.horizon_weeks AND b.s = c.s GROUP BY 1, 2"""),
     "grid_promotion": st("SELECT candidate_id, horizon_weeks, reason AS rejection_reasons, CASE reason WHEN 'thin_sample' THEN 'do not promote' WHEN 'separate_live_promotion_ticket_required' THEN 'research_candidate' ELSE 'needs more testing' END AS promotion_label FROM gprom"),
     "sector_overrides": st("""SELECT candidate_id, horizon_weeks, sector, round(1 + least(greatest(hd, 0), 0.25), 4) AS sector_weight_multiplier, 'sector_candidate' AS promotion_label, 'separate_reviewed_live_promotion_ticket' AS promotion_requires
-        FROM gprom WHERE sector IS NOT NULL AND hd >= 0.01 AND sd / holdout_cand_n - bd / holdout_base_n >= 0 AND td >= 0 AND reason = 'separate_live_promotion_ticket_required'"""),
+        FROM gprom WHERE sector IS NOT NULL AND hd >= 0.05 AND sd / holdout_cand_n - bd / holdout_base_n >= 0 AND td >= 0 AND reason = 'separate_live_promotion_ticket_required'"""),
     "override_guardrail": """SELECT CASE WHEN n = 0 THEN 'pass_no_overrides' WHEN reasons <> '' THEN 'fail_closed' ELSE 'pass_display_only' END AS status, n AS override_count, reasons FROM (
         SELECT count(*) AS n, concat_ws(',', CASE WHEN count(*) FILTER (s_suppkey % 27 NOT BETWEEN 1 AND 25) > 0 THEN 'non_us_sector_override' END,
           CASE WHEN count(*) FILTER (s_suppkey % 50 = 3) > 0 THEN 'override_live_promotion_true' END,

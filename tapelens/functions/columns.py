@@ -123,3 +123,16 @@ def shown(df: DataFrame) -> DataFrame:
             c = F.when(F.abs(c) < 1000, small).when(c.isNotNull(), F.format_string("%.7e", c))
         out.append(c.alias(field.name))
     return df.select(*out)
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``, also inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sorted_quantile(ordered: Column, p: float) -> Column:
+    """Linear quantile of an ascending array without nulls; null when empty."""
+    at = F.lit(p) * (F.size(ordered) - 1)
+    low = F.floor(at).cast("int")
+    left = F.get(ordered, low)
+    return left + (at - low) * (F.coalesce(F.get(ordered, low + 1), left) - left)

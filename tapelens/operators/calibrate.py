@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rate
+from ..functions.columns import let, rate, sorted_quantile
 
 # Thresholds of the expanded grid and the order of its rules.
 SCORE_AT_LEAST = (0.8, 1.0, 1.2)
@@ -88,9 +88,19 @@ def candidate_search(
     max_negative_degradation: float = 0.0,
     min_fold_delta: float = 0.0,
     baseline: str = "baseline",
+    splits: DataFrame | None = None,
+    horizons: tuple[int, ...] = (),
+    evaluate_final_holdout: bool = True,
 ) -> DataFrame:
     """Candidates against the baseline over the folds; one is selected on calibration
-    windows only and then judged on the final holdout (L8-L10)."""
+    windows only and then judged on the final holdout (L8-L10).
+
+    The baseline is every label, whether or not a rule is called so. With ``splits`` and
+    ``horizons`` also folds and horizons without a mature label count, with zeros. Holdout
+    figures are shown for the row that was judged on it, and for no other.
+    """
+    known = any(r["candidate_id"] == baseline for r in rules)
+    rules = rules if known else [*rules, {"candidate_id": baseline}]
     cells = rule_cells(windowed, rules)
     keys = ["candidate_id", "rule_order", "positive_min", "negative_max", "horizon_weeks"]
 
@@ -98,11 +108,18 @@ def candidate_search(
         return F.sum(F.when(F.col("window") == window, F.col(c)).otherwise(0)).alias(f"{window}_{c}")
 
     windows = ("calibration", "validation", "final_holdout")
+    counts = [f"{w}_{c}" for w in windows for c in ("pos_n", "pos_hit", "neg_n", "neg_hit")] + ["final_holdout_rows", "seen_folds"]
     tot = cells.groupBy(*keys).agg(
         *[part(c, w) for w in windows for c in ("pos_n", "pos_hit", "neg_n", "neg_hit")],
         part("rows", "final_holdout"),
-        F.count_distinct("fold").alias("fold_count"),
+        F.count_distinct("fold").alias("seen_folds"),
     )
+    if horizons:
+        every = windowed.sparkSession.range(1).select(F.inline(_rule_values(rules)), F.lit(list(horizons)).alias("h"))
+        every = every.withColumn("horizon_weeks", F.explode("h")).drop("h")
+        tot = every.join(tot.drop("rule_order", "positive_min", "negative_max"), ["candidate_id", "horizon_weeks"], "left").fillna(0, counts)
+    folds = splits.agg(F.count(F.lit(1))).scalar() if splits is not None else F.col("seen_folds")
+    tot = tot.withColumn("fold_count", folds)
     for w in windows:
         for side in ("pos", "neg"):
             tot = tot.withColumn(f"{w}_{side}_rate", rate(F.col(f"{w}_{side}_hit"), F.col(f"{w}_{side}_n")))
@@ -120,9 +137,12 @@ def candidate_search(
     worst = (
         v.join(vb, ["horizon_weeks", "fold"])
         .groupBy("candidate_id", "horizon_weeks")
-        .agg(F.min(F.least(F.col("p") - F.col("bp"), F.col("n") - F.col("bn"))).alias("min_fold_delta"))
+        .agg(F.min(F.least(F.col("p") - F.col("bp"), F.col("n") - F.col("bn"))).alias("min_fold_delta"), F.count(F.lit(1)).alias("_folds"))
     )
     df = df.join(worst, ["candidate_id", "horizon_weeks"], "left").fillna({"min_fold_delta": 0.0})
+    if splits is not None:  # a fold without labels counts as no change
+        empty = F.coalesce("_folds", F.lit(0)) < F.col("fold_count")
+        df = df.withColumn("min_fold_delta", F.when(empty, F.least("min_fold_delta", F.lit(0.0))).otherwise(F.col("min_fold_delta")))
     uses_pos = F.col("positive_min").isNotNull() | F.col("negative_max").isNull()
     uses_neg = F.col("negative_max").isNotNull() | F.col("positive_min").isNull()
 
@@ -157,20 +177,29 @@ def candidate_search(
         .when(~better, "rejected_final_holdout_no_improvement")
         .otherwise("passed_final_holdout_research_candidate")
     )
-    df = df.withColumn("gate_status", F.when(judged, final).otherwise(F.col("gate_status")))
+    if not evaluate_final_holdout:
+        judged = F.lit(False)
+    df = df.withColumn("_judged", judged).withColumn("gate_status", F.when(F.col("_judged"), final).otherwise(F.col("gate_status")))
     label = (
         F.when(F.col("gate_status") == "passed_final_holdout_research_candidate", "candidate")
         .when(F.col("gate_status") == "blocked_final_holdout_not_evaluated", "needs more testing")
         .otherwise("do not promote")
     )
+    shown = [c for c in df.columns if c.startswith("final_holdout_")]
+    df = df.withColumns({c: F.when(F.col("_judged"), F.col(c)) for c in shown if c != "final_holdout_rows"})
+    if not known:
+        df = df.where(~is_base)
+    rejected = F.col("gate_status").startswith("rejected")
     return df.withColumns(
         {
             "promotion_label": label,
-            "final_holdout_evaluated": judged & (F.col("final_holdout_rows") > 0),
+            "rejection_reasons": F.when(rejected, F.regexp_replace("gate_status", "^rejected_", "")).otherwise(""),
+            "final_holdout_evaluated": F.col("_judged") & (F.col("final_holdout_rows") > 0),
+            "final_holdout_rows_used": F.when(F.col("_judged"), F.col("final_holdout_rows")).otherwise(0),
             "directions_changed": F.concat_ws(",", F.when(uses_pos, "positive"), F.when(uses_neg, "negative")),
             "live_promotion_allowed": F.lit(False),
         }
-    )
+    ).drop("_judged", "_folds", "seen_folds", "final_holdout_rows")
 
 
 def _token(value: float) -> str:
@@ -297,8 +326,8 @@ def block_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 500, seed
     """Paired block bootstrap of the hit-rate delta by rebalance date.
 
     ``blocks`` holds one row per key and date with base_n, base_hit, cand_n, cand_hit.
-    A key's array has one entry per rebalance date, so it is bounded by the calendar;
-    samples fan out over the cluster and each sums its own draws.
+    A key's array has one entry per rebalance date, so it is bounded by the calendar.
+    All draws of a key are made in its row: the array is never copied or shuffled.
     """
     used = blocks.where("base_n > 0")
     arr = used.groupBy(*keys).agg(
@@ -308,57 +337,64 @@ def block_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 500, seed
         (F.sum("cand_hit") / F.nullif(F.sum("cand_n"), F.lit(0)) - F.sum("base_hit") / F.sum("base_n")).alias("observed"),
     )
     arr = arr.withColumn("block_count", F.size("b"))
-    fan = arr.where("candidate_count > 0").select(
-        *keys, "b", "block_count", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))).alias("sample")
-    ).repartition(*keys, "sample")
-    fan = fan.withColumn(
-        "idx",
-        F.transform(
-            F.sequence(F.lit(0), F.col("block_count") - 1),
-            lambda j: draw(F.col("sample"), j.cast("bigint"), F.col("block_count"), seed).cast("int"),
-        ),
-    )
 
-    def total(field: str) -> Column:
-        return F.aggregate(F.col("idx"), F.lit(0).cast("bigint"), lambda acc, i: acc + F.get("b", i)[field])
+    def delta(idx: Column) -> Column:
+        def total(field: str) -> Column:
+            return F.aggregate(idx, F.lit(0).cast("bigint"), lambda acc, i: acc + F.get("b", i)[field]).alias(field)
 
-    fan = fan.select(*keys, *[total(c).alias(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")])
-    delta = F.when((F.col("cand_n") > 0) & (F.col("base_n") > 0), F.col("cand_hit") / F.col("cand_n") - F.col("base_hit") / F.col("base_n"))
-    ci = fan.withColumn("d", delta).groupBy(*keys).agg(
-        F.count("d").alias("valid_resamples"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
-    )
-    out = arr.join(ci, keys, "left")
+        rates = lambda t: F.when(
+            (t["cand_n"] > 0) & (t["base_n"] > 0), t["cand_hit"] / t["cand_n"] - t["base_hit"] / t["base_n"]
+        )
+        return let(F.struct(*[total(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")]), rates)
+
+    def one(sample: Column) -> Column:
+        slots = F.sequence(F.lit(0), F.col("block_count") - 1)
+        return let(F.transform(slots, lambda j: draw(sample, j.cast("bigint"), F.col("block_count"), seed).cast("int")), delta)
+
+    draws = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint")), one)
+    kept = F.when(F.col("candidate_count") > 0, F.array_sort(F.filter(draws, lambda d: d.isNotNull())))
+    out = arr.withColumn("d", kept)
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select(
         *keys, "block_count", "baseline_count", "candidate_count", zero(F.col("observed")).alias("mean_delta"),
-        zero(F.get("q", F.lit(0))).alias("ci_low"), zero(F.get("q", F.lit(1))).alias("ci_high"),
-        F.coalesce("valid_resamples", F.lit(0).cast("bigint")).alias("valid_resamples"),
+        zero(sorted_quantile(F.col("d"), 0.025)).alias("ci_low"), zero(sorted_quantile(F.col("d"), 0.975)).alias("ci_high"),
+        F.coalesce(F.size("d").cast("bigint"), F.lit(0).cast("bigint")).alias("valid_resamples"),
     )
 
 
-def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 200, seed: int = 42) -> DataFrame:
+#: Outcomes drawn in one row.
+CHUNK = 4096
+
+
+def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
     """Row-level bootstrap of two hit rates drawn independently.
 
     A resample of binary outcomes only needs their count and hits: a draw below the
-    number of hits is a hit. No outcome list is collected.
+    number of hits is a hit. Draws are made in chunks of CHUNK outcomes, whose hits are
+    summed per sample, so no array grows with the labels of a key.
     """
     t = blocks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")]).where("base_n > 0 and cand_n > 0")
-    fan = t.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint")))).repartition(*keys, "sample")
+    big = lambda x: F.lit(x).cast("bigint")
+    fan = t.withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1)))).repartition(*keys, "sample")
+    fan = fan.withColumn("chunk", F.explode(F.sequence(big(0), F.floor((F.greatest("base_n", "cand_n") - 1) / CHUNK))))
 
     def hits(n: str, hit: str, salt: int) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1),
-            F.lit(0).cast("bigint"),
+        start = F.col("chunk") * CHUNK
+        drawn = F.aggregate(
+            F.sequence(start, F.least(start + CHUNK, F.col(n)) - 1),
+            big(0),
             lambda acc, j: acc + (draw(F.col("sample"), j, F.col(n), salt) < F.col(hit)).cast("bigint"),
         )
+        return F.sum(F.when(start < F.col(n), drawn).otherwise(big(0)))
 
-    d = hits("cand_n", "cand_hit", seed) / F.col("cand_n") - hits("base_n", "base_hit", seed + 7) / F.col("base_n")
-    return fan.select(*keys, "base_n", "cand_n", (F.col("cand_hit") / F.col("cand_n") - F.col("base_hit") / F.col("base_n")).alias("m"), d.alias("d")).groupBy(
-        *keys
-    ).agg(
-        F.round(F.max("m"), 6).alias("mean_delta"),
-        F.round(F.percentile("d", F.lit(0.025)), 6).alias("ci_low"),
-        F.round(F.percentile("d", F.lit(0.975)), 6).alias("ci_high"),
+    sums = fan.groupBy(*keys, "sample", "base_n", "cand_n", "base_hit", "cand_hit").agg(
+        hits("cand_n", "cand_hit", seed).alias("c"), hits("base_n", "base_hit", seed + 7).alias("b")
+    )
+    d = F.col("c") / F.col("cand_n") - F.col("b") / F.col("base_n")
+    return sums.groupBy(*keys).agg(
+        F.round(F.max(F.col("cand_hit") / F.col("cand_n") - F.col("base_hit") / F.col("base_n")), 6).alias("mean_delta"),
+        F.round(F.percentile(d, F.lit(0.025)), 6).alias("ci_low"),
+        F.round(F.percentile(d, F.lit(0.975)), 6).alias("ci_high"),
         F.max("cand_n").alias("candidate_sample_count"),
         F.max("base_n").alias("baseline_sample_count"),
     )

@@ -46,12 +46,12 @@ def _raw_labels(spark, root):
 
 def _search(spark, root):
     x = Inputs(spark, root)
-    windowed = cal.fold_windows(_labels(x), lb.walk_forward_splits(x.calendar, **SPLIT))
-    out = cal.candidate_search(materialise(windowed), RULES)
+    splits = lb.walk_forward_splits(x.calendar, **SPLIT)
+    out = cal.candidate_search(materialise(cal.fold_windows(_labels(x), splits)), RULES, splits=splits, horizons=HORIZONS)
     return rounded(
         out.select(
             "candidate_id", "horizon_weeks", "gate_status", "promotion_label", "selected_by_calibration", "final_holdout_evaluated",
-            "directions_changed", "fold_count", "calibration_pos_n", "calibration_neg_n", "validation_pos_n", "validation_neg_n",
+            "directions_changed", "fold_count", "rejection_reasons", "final_holdout_rows_used", "calibration_pos_n", "calibration_neg_n", "validation_pos_n", "validation_neg_n",
             "calibration_pos_delta", "calibration_neg_delta", "validation_pos_delta", "validation_neg_delta",
             "calibration_objective_delta", "min_fold_delta", "final_holdout_pos_delta", "final_holdout_neg_delta",
         )
@@ -69,19 +69,19 @@ def _grid(spark, root):
 
 
 def _bootstrap(spark, root):
-    b = _blocks(spark, root).where("window = 'holdout' and sector is null")
-    return cal.block_bootstrap(b, ["candidate_id", "horizon_weeks"], samples=200)
+    b = _blocks(spark, root).where("window = 'holdout'")
+    return cal.block_bootstrap(b, ["candidate_id", "horizon_weeks"])
 
 
 def _unpaired(spark, root):
-    b = _blocks(spark, root).where("window = 'holdout' and sector is null and scope <> 'global'")
-    return cal.unpaired_bootstrap(b, ["candidate_id", "horizon_weeks"], samples=100)
+    b = _blocks(spark, root).where("window = 'holdout'")
+    return cal.unpaired_bootstrap(b, ["candidate_id", "horizon_weeks"])
 
 
 def _promoted(spark, root):
     blocks = _blocks(spark, root)
-    boot = cal.block_bootstrap(blocks.where("window = 'holdout'"), ["candidate_id", "horizon_weeks"], samples=100)
-    return cal.grid_promotion(cal.grid_metrics(blocks), boot, 20, 10)
+    boot = cal.block_bootstrap(blocks.where("window = 'holdout'"), ["candidate_id", "horizon_weeks"])
+    return cal.grid_promotion(cal.grid_metrics(blocks), boot)
 
 
 def _promotion(spark, root):
@@ -89,7 +89,7 @@ def _promotion(spark, root):
 
 
 def _overrides(spark, root):
-    out = cal.sector_overrides(_promoted(spark, root), 20, 10, 0.01)
+    out = cal.sector_overrides(_promoted(spark, root))
     return rounded(out.select("candidate_id", "horizon_weeks", "sector", "sector_weight_multiplier", "promotion_label", "promotion_requires"))
 
 
