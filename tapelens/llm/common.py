@@ -46,6 +46,23 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def at_most(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """A fixed sample of at most ``most`` rows (all, if there are no more), chosen by hash of ``key``.
+
+    Rows are counted in up to 1024 hash buckets and whole buckets are taken; no task sorts rows.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    bucket = F.pmod(F.xxhash64(key), F.lit(1024 * max(1, n // (2 * most))))
+    sizes = dict(df.select(bucket.alias("b")).where("b < 1024").groupBy("b").count().collect())
+    total = last = 0
+    while last < 1024 and total + sizes.get(last, 0) <= most:
+        total += sizes.get(last, 0)
+        last += 1
+    return df.where(bucket < last)
+
+
 def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is in ``keepers`` (one string column ``key``, no repeats), one row per key.
 

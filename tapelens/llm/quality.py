@@ -2,8 +2,8 @@
 
 Two multinomials over ``BUCKETS`` hash buckets of n-grams of word endings (the last three characters
 of a word, and the last two of a word and of the next; endings are few, so that also words that no
-trusted document has are judged): one of the whole raw corpus, one of trusted documents (labelled good; at most ``TRUSTED_DOCS`` of them, those with the
-smallest hashes of their ids, so that the set of ids has a fixed bound). Counts are summed before
+trusted document has are judged): one of the whole raw corpus, one of trusted documents (labelled good; at most ``TRUSTED_DOCS`` of them, chosen by
+hashes of their ids, so that the set of ids has a fixed bound). Counts are summed before
 the shuffle, so at most ``BUCKETS`` rows leave a task and as many reach the driver. A document's
 ratio is the mean over its n-grams of log(p_trusted / p_raw); a document below ``THRESHOLD`` goes.
 The weights travel as one literal array; scoring is a projection without a shuffle, and everything
@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, quoted
+from .common import SPACE, at_most, fresh, quoted
 
 BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_DOCS = 16_384, 50.0, -0.15, 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -79,7 +79,7 @@ def buckets(w: Column) -> Column:
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
     """Ids of at most ``most`` documents labelled good."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+    return at_most(good, F.col("trusted_id"), most)
 
 
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRUSTED_DOCS) -> list[float]:

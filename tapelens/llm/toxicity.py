@@ -9,7 +9,7 @@ the arcs it took, so what is scored are matched clauses: a bare insult counts, a
 more, a negated or reported one apart. A logistic regression of the clause sums gives the score.
 
 The insult transducer's lexicon is a fixed list plus words and stems learned from labels. At most
-``MAX_LABELLED`` labelled rows are used (those with the smallest hashes of their ids, one per
+``MAX_LABELLED`` labelled rows are used (chosen by hashes of their ids, one per
 text); words and stems are counted over them in Spark, and at most ``MAX_LEXICON`` entries with a
 positive lower bound of their log-odds come to the driver. Rows whose ids are held out are never
 used. Only the text enters a score.
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch, stored
+from .common import at_most, fresh, scratch, stored
 
 MAX_LABELLED, MAX_LEXICON, MIN_SUPPORT, MIN_WEIGHT, PRIOR = 20_000, 5_000, 4, 1.0, 3.0
 STEM_FROM, STEM_TO, CACHE = 4, 8, 300_000
@@ -207,7 +207,7 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, folder: str, id_col: str, text_col: str, most: int) -> DataFrame:
     """Stored (text, toxic): at most ``most`` labelled documents outside the held-out fold, one per text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(most))  # at most ``most`` rows
+    picked = F.broadcast(at_most(known, F.col("label_id"), most))  # at most ``most`` rows
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return stored(texts.join(picked, "label_id").dropDuplicates(["text"]).select("text", "toxic"), folder, "training")
 
