@@ -25,10 +25,10 @@ cte("feats", """
     SELECT s.as_of, s.ticker, s.class, s.state, s.s_score, s.z3 AS rs_ratio_z, CASE class WHEN 'C0' THEN 'Brand#4' WHEN 'C2' THEN 'Brand#6' ELSE 'Brand#1' END AS benchmark,
            selected OR state = 'STAGE_2_BULLISH' AS positive_signal, state IN ('WARNING', 'EXIT', 'BEARISH_STAGE_4') AS negative_signal FROM scored s""")
 cte("labels0", """
-    SELECT f.*, p.horizon_weeks, p.end_date, coalesce(p.priced AND p.complete AND b.path_return IS NOT NULL, false) AS label_available,
+    SELECT f.*, h.h AS horizon_weeks, p.end_date, coalesce(p.priced AND p.complete AND b.path_return IS NOT NULL, false) AS label_available,
            p.path_return AS fr, b.path_return AS br, p.path_low AS dd
-    FROM feats f JOIN lb_paths p ON f.ticker = p.ticker AND f.as_of = p.as_of
-    LEFT JOIN lb_paths b ON b.ticker = f.benchmark AND b.as_of = f.as_of AND b.horizon_weeks = p.horizon_weeks AND b.priced""")
+    FROM feats f CROSS JOIN """ + HZ + """ LEFT JOIN lb_paths p ON f.ticker = p.ticker AND f.as_of = p.as_of AND p.horizon_weeks = h.h
+    LEFT JOIN lb_paths b ON b.ticker = f.benchmark AND b.as_of = f.as_of AND b.horizon_weeks = h.h AND b.priced""")
 cte("labels1", """
     SELECT * EXCLUDE (fr, br, dd), CASE WHEN label_available THEN fr END AS forward_return, CASE WHEN label_available THEN br END AS benchmark_return,
            CASE WHEN label_available THEN fr - br END AS excess_return, CASE WHEN label_available THEN dd END AS drawdown,

@@ -42,21 +42,21 @@ SQL = {
     "pullback_display": st(f"""SELECT as_of, ticker, reason <> '' AS pullback_risk, reason AS pullback_risk_reason,
         CASE WHEN reason <> '' THEN 'Stage 2, Pullback Risk' ELSE replace(state, '_', ' ') END AS state_display_label
         FROM (SELECT *, {PB} AS reason FROM scored)"""),
-    "state_reasons": st(f"""SELECT ticker, state, array_to_string(CASE WHEN len(l) > 0 THEN l[1:4] ELSE ['No major deterioration gate is active; monitor the pillar balance.'] END, ' | ') AS reasons
+    "state_reasons": st(f"""SELECT ticker, state, array_to_string(CASE WHEN len(l) > 0 THEN l[1:4] ELSE ['No gate has triggered.'] END, ' | ') AS reasons
       FROM (SELECT *, list_filter([
-        CASE WHEN state = 'STAGE_2_BULLISH' AND reason <> '' THEN 'Stage 2 trend is intact, but pullback risk is active: ' || reason || '.'
-             WHEN state = 'STAGE_2_BULLISH' THEN 'Stage 2 trend is confirmed and risk gates are supportive.' END,
-        CASE WHEN state = 'WARNING' THEN 'Warning state: at least one deterioration gate is active.' END,
-        CASE WHEN state = 'EXIT' THEN 'Exit state: a trend or relative-strength break is active.' END,
-        CASE WHEN state = 'BEARISH_STAGE_4' THEN 'Bearish Stage 4: price and moving-average slope are deteriorating.' END,
-        CASE WHEN state = 'STAGE_1_BASING' THEN 'Stage 1 basing: trend is not yet confirmed bullish.' END,
-        CASE WHEN rrg_quadrant = 'Weakening' THEN 'RRG is in Weakening, so relative leadership is fading.' END,
-        CASE WHEN rrg_quadrant = 'Lagging' THEN 'RRG is in Lagging, so relative strength and momentum are both weak.' END,
-        CASE WHEN coalesce(cmf21, 0) < 0 THEN printf('CMF is below zero (%+.2f), showing negative money flow.', cmf21) END,
-        CASE WHEN obv_divergence THEN 'OBV divergence is present, meaning volume is not confirming price.' END,
-        CASE WHEN dist_days_25 >= 4 THEN printf('%.0f distribution days are active.', CAST(dist_days_25 AS DOUBLE)) END,
-        CASE WHEN NOT above_30wma THEN 'Weekly price is below the 30-week moving average.' END,
-        CASE WHEN coalesce(mansfield_rs, 0) < 0 THEN printf('Mansfield RS is negative (%+.2f).', mansfield_rs) END], lambda x: x IS NOT NULL) AS l
+        CASE WHEN state = 'STAGE_2_BULLISH' AND reason <> '' THEN 'Uptrend holds; pullback risk from ' || reason || '.'
+             WHEN state = 'STAGE_2_BULLISH' THEN 'Uptrend confirmed, no gate against it.' END,
+        CASE WHEN state = 'WARNING' THEN 'A warning gate has triggered.' END,
+        CASE WHEN state = 'EXIT' THEN 'Trend or relative strength has broken.' END,
+        CASE WHEN state = 'BEARISH_STAGE_4' THEN 'Downtrend: price and average both fall.' END,
+        CASE WHEN state = 'STAGE_1_BASING' THEN 'Still basing, no uptrend yet.' END,
+        CASE WHEN rrg_quadrant = 'Weakening' THEN 'Rotation: weakening leader.' END,
+        CASE WHEN rrg_quadrant = 'Lagging' THEN 'Rotation: laggard in strength and momentum.' END,
+        CASE WHEN coalesce(cmf21, 0) < 0 THEN printf('Money leaves (CMF %+.2f).', cmf21) END,
+        CASE WHEN obv_divergence THEN 'Volume does not follow price (OBV).' END,
+        CASE WHEN dist_days_25 >= 4 THEN printf('Distribution days: %.0f.', CAST(dist_days_25 AS DOUBLE)) END,
+        CASE WHEN NOT above_30wma THEN 'Price under its 30-week average.' END,
+        CASE WHEN coalesce(mansfield_rs, 0) < 0 THEN printf('Mansfield strength %+.2f is negative.', mansfield_rs) END], lambda x: x IS NOT NULL) AS l
         FROM (SELECT *, {PB} AS reason FROM last_scored))"""),
     "contributions": st(" UNION ALL ".join(
         f"SELECT as_of, ticker, '{n}' AS pillar, {r(f'contribution=coalesce({e}, 0.0)')} FROM scored" for n, e in PILLARS)),

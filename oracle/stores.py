@@ -80,13 +80,13 @@ SQL = {
     "cache_coverage": st("""SELECT CASE WHEN grouping(lane) = 1 THEN 'all' ELSE lane END AS lane, count(*) AS expected, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) / count(*), 6) AS coverage_ratio FROM pairs GROUP BY ROLLUP (lane)"""),
     "cache_status": st("SELECT count(*) AS rows, max(created_at) AS latest_created_at, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'empty' END AS state FROM cache"),
     "holdings_ingest": st(f"SELECT row_number, ticker, account, {r('shares','market_value','weight')} FROM hfile WHERE ticker IS NOT NULL"),
-    "holdings_errors": st("""SELECT row_number, CASE WHEN k % 23 = 0 THEN 'ticker is required' ELSE 'ticker has invalid characters' END AS message FROM hfile WHERE ticker IS NULL
-        UNION ALL SELECT row_number, 'shares must be numeric' FROM hfile WHERE ticker IS NOT NULL AND shares IS NULL"""),
+    "holdings_errors": st("""SELECT row_number, CASE WHEN k % 23 = 0 THEN 'no ticker' ELSE 'ticker with characters outside the allowed set' END AS message FROM hfile WHERE ticker IS NULL
+        UNION ALL SELECT row_number, 'shares is not a number' FROM hfile WHERE ticker IS NOT NULL AND shares IS NULL"""),
     "trades_ingest": st(f"SELECT row_number, trade_date, ticker, side, {r('shares','price','fees')} FROM tfile WHERE trade_date IS NOT NULL AND side IS NOT NULL"),
-    "trades_errors": st("""SELECT message, count(*) AS rows, min(row_number) AS first_row FROM (SELECT row_number, 'date must be valid' AS message FROM tfile WHERE trade_date IS NULL
-        UNION ALL SELECT row_number, 'side must be BUY or SELL' FROM tfile WHERE side IS NULL) GROUP BY 1"""),
+    "trades_errors": st("""SELECT message, count(*) AS rows, min(row_number) AS first_row FROM (SELECT row_number, 'not a date' AS message FROM tfile WHERE trade_date IS NULL
+        UNION ALL SELECT row_number, 'neither a buy nor a sell' FROM tfile WHERE side IS NULL) GROUP BY 1"""),
     "ticker_lists": st("SELECT list_id, upper(token) AS symbol, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS times FROM tokens WHERE token NOT LIKE 'bad%' GROUP BY 1, 2"),
-    "ticker_list_errors": st("SELECT list_id, CAST(pos AS INTEGER) AS pos, token, 'ticker has invalid characters' AS message FROM tokens WHERE token LIKE 'bad%'"),
+    "ticker_list_errors": st("SELECT list_id, CAST(pos AS INTEGER) AS pos, token, 'ticker with characters outside the allowed set' AS message FROM tokens WHERE token LIKE 'bad%'"),
     "journal_records": st("""SELECT run_id, upper(ticker) AS ticker, class AS asset_class, state, CAST((mom_12_1 IS NOT NULL)::INT + (mansfield_rs IS NOT NULL)::INT + (rs_ratio IS NOT NULL)::INT + (rs_momentum IS NOT NULL)::INT + (breadth_50d IS NOT NULL)::INT + (cmf21 IS NOT NULL)::INT AS INTEGER) AS pillars,
         CASE WHEN stage IS NOT NULL THEN 'selected,stage' ELSE 'selected' END AS payload_keys, CAST(stage AS VARCHAR) AS stage FROM jruns"""),
     "journal_new_runs": st("SELECT 'again-' || run_id AS run_id, n AS rows FROM jdig WHERE c NOT IN (SELECT c FROM jdig WHERE run_id < '2000-01-01')"),

@@ -27,9 +27,9 @@ cte("hold_w", """
                      WHEN count(*) FILTER (market_value > 0) OVER w = count(*) OVER w AND sum(market_value) OVER w > 0 THEN market_value / sum(market_value) OVER w
                      ELSE 1.0 / count(*) OVER w END AS aw FROM holdings h WINDOW w AS (PARTITION BY account)""")
 cte("hold_a", """
-    SELECT h.account, h.ticker, h.aw, s.state, s.class AS asset_class, s.s_score, s.rank_in_class, s.selected, s.ticker IS NULL AS missing,
+    SELECT h.account, upper(h.ticker) AS ticker, h.aw, s.state, s.class AS asset_class, s.s_score, s.rank_in_class, s.selected, s.ticker IS NULL AS missing,
            CASE WHEN s.state IN ('EXIT', 'BEARISH_STAGE_4') THEN 'exit' WHEN s.state = 'WARNING' THEN 'warning' WHEN s.state = 'STAGE_2_BULLISH' THEN 'bullish' END AS action
-    FROM hold_w h LEFT JOIN last_scored s ON h.ticker = s.ticker""")
+    FROM hold_w h LEFT JOIN last_scored s ON upper(h.ticker) = upper(s.ticker)""")
 cte("last_close", "SELECT upper(ticker) AS ticker, arg_max(close, date) AS price FROM pbars WHERE ticker NOT IN ('Brand#5', 'Brand#8') GROUP BY 1")
 cte("pnl0", """
     SELECT account, upper(h.ticker) AS ticker, CASE WHEN account % 11 <> 0 THEN shares END AS shares, cost_basis, market_value, price

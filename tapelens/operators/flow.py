@@ -46,6 +46,7 @@ def flow_indicators(bars: DataFrame) -> DataFrame:
     rn = F.col("_rn")
     n20, n21, n14 = last_n(20), last_n(21), last_n(14)
     before = series().rowsBetween(-20, -1)
+    full = lambda frame, n: F.count("volume").over(frame) == n  # noqa: E731  a null volume leaves no value
     mfr = F.sum("_pos").over(n14) / F.nullif(F.sum("_neg").over(n14), F.lit(0.0))
     norm = F.avg(F.abs("obv")).over(n20)
     moves = F.max("obv").over(n20) > F.min("obv").over(n20)
@@ -54,11 +55,11 @@ def flow_indicators(bars: DataFrame) -> DataFrame:
     obv_high = F.col("obv") >= F.max("obv").over(n20)
     return base.select(
         *bars.columns,
-        F.when(rn >= 22, F.sum("_mfv").over(n21) / F.nullif(F.sum("volume").over(n21), F.lit(0.0))).alias("cmf21"),
+        F.when((rn >= 22) & full(n21, 21), F.sum("_mfv").over(n21) / F.nullif(F.sum("volume").over(n21), F.lit(0.0))).alias("cmf21"),
         F.when(rn >= 21, F.sum("_mfd").over(n21)).alias("net_flow_21d"),
         F.col("obv"),
         F.when((rn >= 25) & moves, slope / F.when(norm == 0, 1.0).otherwise(norm)).alias("obv_slope"),
-        F.when(rn >= 16, 100 - 100 / (1 + mfr)).alias("mfi14"),
+        F.when((rn >= 16) & full(n14, 14), 100 - 100 / (1 + mfr)).alias("mfi14"),
         F.when(rn >= 21, F.col("volume") / F.nullif(F.avg("volume").over(before), F.lit(0.0))).alias("rvol"),
         F.when(rn >= 20, F.avg(F.col("close") * F.col("volume")).over(n20)).alias("adv_20d"),
         F.when(rn >= 46, F.sum("_dist").over(series().rowsBetween(-23, 0))).cast("int").alias("dist_days_25"),

@@ -49,7 +49,8 @@ def analyze_holdings(holdings: DataFrame, scored: DataFrame, key: str = "account
         "ticker", "state", F.col("class").alias("asset_class"), F.col("S_score").alias("s_score"), "rank_in_class", "selected", "veto",
         F.lit(True).alias("_known"),
     )
-    df = analysis_weights(holdings, key).join(s, "ticker", "left")
+    held = analysis_weights(holdings, key).withColumn("ticker", F.upper("ticker"))
+    df = held.join(s.withColumn("ticker", F.upper("ticker")), "ticker", "left")
     return df.withColumn("missing", F.col("_known").isNull()).withColumn("action", action_group(F.col("state"))).drop("_known")
 
 

@@ -88,10 +88,14 @@ def forward_labels(
         (F.col("selected") | (F.col("state") == "STAGE_2_BULLISH")).alias("positive_signal"),
         F.col("state").isin(*RISK_STATES).alias("negative_signal"),
     )
+    known = prices.where(F.col("ticker").isin(*bench_by_class.values())).select(F.col("ticker").alias("benchmark"), F.lit(True).alias("_known")).distinct()
+    feats = feats.join(known, "benchmark", "left").withColumn("benchmark", F.when(F.col("_known"), F.col("benchmark")).otherwise(fallback)).drop("_known")
+    feats = feats.withColumn("horizon_weeks", F.explode(F.lit(list(horizons))))
     b = ret.where("priced").select(
         F.col("ticker").alias("benchmark"), "as_of", "horizon_weeks", F.col("path_return").alias("_bench")
     )
-    df = feats.join(ret, ["ticker", "as_of"]).join(b, ["benchmark", "as_of", "horizon_weeks"], "left")
+    # A row without a start price stays, as an unavailable label.
+    df = feats.join(ret, ["ticker", "as_of", "horizon_weeks"], "left").join(b, ["benchmark", "as_of", "horizon_weeks"], "left")
     ok = F.col("priced") & F.col("complete") & F.col("_bench").isNotNull()
     df = df.withColumn("label_available", F.coalesce(ok, F.lit(False)))
     only = lambda c: F.when(F.col("label_available"), c)

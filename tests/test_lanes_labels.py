@@ -44,6 +44,16 @@ def test_filing_and_fund_files(spark, tmp_path):
     (tmp_path / "fund.csv").write_text("Fund report\nDate,Shares Outstanding,NAV,Net Assets\n5/12/2026,100.5M,$50.00,5.1B\n")
     r = feeds.read_fund_csv(spark, str(tmp_path / "fund.csv")).first()
     assert (r.as_of, r.shares_outstanding, r.nav, r.aum) == (date(2026, 5, 12), 100.5e6, 50.0, 5.1e9)
+    (tmp_path / "funds").mkdir()
+    (tmp_path / "funds" / "a.csv").write_text("Date,Shares Outstanding,NAV,Net Assets,Note\n5/12/2026,\"100,000\",$50.00,5.1B,\n5/13/2026,1M,51,5.2B,x\n")
+    (tmp_path / "funds" / "b.csv").write_text("Preamble\nNAV,Net Assets,Sho,Date\n7,1M,2K,5/14/2026\n")
+    got = sorted((x.as_of.day, x.shares_outstanding, x.nav, x.aum) for x in feeds.read_fund_csv(spark, str(tmp_path / "funds")).collect())
+    assert got == [(12, 100_000.0, 50.0, 5.1e9), (13, 1e6, 51.0, 5.2e9), (14, 2e3, 7.0, 1e6)]
+
+
+def test_header_spellings():
+    aliases = {"shares": ("shares", "quantity"), "cost_basis": ("cost basis", "cost")}
+    assert feeds.assign_columns(["Quantity", "SHARES ", "Cost_Basis", "Cost", "other"], aliases) == {"shares": "SHARES ", "cost_basis": "Cost_Basis"}
 
 
 def label_inputs(spark):
@@ -121,7 +131,7 @@ def test_holdings_file(spark):
     parsed = feeds.parse_holdings(raw)
     ok = {r.ticker: r for r in parsed.where("ticker is not null").collect()}
     assert ok["XLK"].shares == 2500 and ok["XLK"].weight == 0.25 and ok["XLF"].weight == 0.25
-    assert {(r.row_number, r.message) for r in feeds.error_rows(parsed).collect()} == {(3, "shares must be numeric"), (4, "ticker is required")}
+    assert {(r.row_number, r.message) for r in feeds.error_rows(parsed).collect()} == {(3, "shares is not a number"), (4, "no ticker")}
 
 
 def test_trade_alignment(spark):
