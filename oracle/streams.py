@@ -12,6 +12,6 @@ SQL = {
         WHERE start + INTERVAL 1 HOUR <= (SELECT m FROM mark) GROUP BY 1, 2"""),
     "stream_sessions": st("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM gaps GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT m FROM mark)"""),
     "stream_transitions": st("SELECT ticker, from_state, to_state, date FROM transitions"),
-    "stream_dedupe": "SELECT DISTINCT event_type AS ticker, user_id FROM events",
-    "stream_journal": "SELECT DISTINCT event_type AS ticker, user_id FROM events",
+    "stream_dedupe": "SELECT DISTINCT event_type AS ticker, user_id, CAST(ts AS DATE) AS day FROM events",
+    "stream_journal": "SELECT DISTINCT event_type AS ticker, user_id, CAST(ts AS DATE) AS day FROM events",
 }

@@ -37,16 +37,17 @@ def _transitions(spark, root):
 
 def _dedupe(spark, root):
     keys = ["ticker", "user_id"]
-    return jobs.drain(jobs.dedupe(_events(spark, root), keys).select(*keys), "dedupe")
+    out = jobs.drain(jobs.dedupe(_events(spark, root), keys), "dedupe")
+    return out.select(*keys, F.col("start").cast("timestamp_ntz").cast("date").alias("day"))
 
 
 def _journal(spark, root):
     """Two drains of the same stream: the second one adds nothing."""
-    keys = ["ticker", "user_id"]
+    keys = ["ticker", "user_id", "day"]
     path = jobs.scratch(spark, "journal")
-    rows = _events(spark, root).select(*keys)
-    jobs.drain_journal(rows, path, keys)
-    return jobs.drain_journal(_events(spark, root).select(*keys), path, keys)
+    rows = lambda: _events(spark, root).withColumn("day", F.to_date("ts")).select(*keys)
+    jobs.drain_journal(rows(), path, keys, "day")
+    return jobs.drain_journal(rows(), path, keys, "day")
 
 
 QUERIES = {

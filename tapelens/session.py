@@ -29,7 +29,7 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
     folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-    if not folder and context.master.startswith("local"):
+    if not folder and (context.master == "local" or context.master.startswith("local[")):
         folder = tempfile.mkdtemp(prefix="spark-tapelens-")
     if folder:
         context.setCheckpointDir(folder)

@@ -48,17 +48,30 @@ def sessions(activity: DataFrame, key: str, gap: str = "30 minutes", late: str =
     )
 
 
-def dedupe(transitions: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
-    """First arrival per key within the watermark."""
-    return transitions.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def dedupe(rows: DataFrame, keys: list[str], period: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """First arrival per key and period of event time (T3), with the period's start as ``start``.
+
+    The period is part of the key, so the rows don't depend on how the input is cut into
+    batches, and the state of a period goes when the watermark has passed it.
+    """
+    timed = rows.withWatermark("ts", late).withColumn("period", F.window("ts", period))
+    return timed.dropDuplicates([*keys, "period"]).select(*keys, F.col("period.start").alias("start"))
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one ticker in a micro-batch; the state is its last known value."""
+    """Changes of one ticker in a micro-batch; the state is its last known value and date.
+
+    Rows that are not newer than that date came too late to have a place in the sequence: they go.
+    """
     rows = pd.concat(list(batches)).sort_values("as_of")
+    last, seen = state.get if state.exists else (None, None)
+    if seen is not None:
+        rows = rows[rows["as_of"] > seen]
+    if rows.empty:
+        return
     before = rows["state"].shift()
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((rows["state"].iloc[-1],))
+    before.iloc[0] = last
+    state.update((rows["state"].iloc[-1], rows["as_of"].iloc[-1]))
     moved = rows[before.notna() & (before != rows["state"])]
     yield pd.DataFrame({"ticker": key[0], "from_state": before[moved.index], "to_state": moved["state"], "date": moved["as_of"]})
 
@@ -66,26 +79,34 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def transitions(states: DataFrame) -> DataFrame:
     """Stateful transition detector keyed by ticker.
 
-    The store holds one word per ticker. A micro-batch brings a ticker one row per
+    The store holds one word and one date per ticker. A micro-batch brings a ticker one row per
     rebalance date, so a group is bounded by the dates that arrived. The same rule as
     the batch ``lag`` version.
     """
     rows = states.select("ticker", "as_of", "state").where("state is not null").withColumn("as_of", F.col("as_of").cast("date"))
-    return rows.groupBy("ticker").applyInPandasWithState(_changes, TRANSITION, "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("ticker").applyInPandasWithState(_changes, TRANSITION, "state string, as_of date", "append", GroupStateTimeout.NoTimeout)
 
 
-def journal_sink(path: str, keys: list[str]):
-    """``foreachBatch`` writer that appends only rows whose keys the table lacks (T4)."""
+def journal_sink(path: str, keys: list[str], day: str | None = None):
+    """``foreachBatch`` writer that appends only rows whose keys the table lacks (T4).
+
+    With ``day`` (one of the keys) the table is partitioned by it, and a batch reads back only
+    the days that it holds, not the whole journal.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(keys)
         try:
             stored = batch.sparkSession.read.parquet(path).select(*keys)
+            if day is not None:
+                first, last = batch.agg(F.min(day), F.max(day)).first()
+                stored = stored.where(F.col(day).between(first, last))
             fresh = fresh.join(stored, keys, "left_anti")
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-        fresh.write.mode("append").parquet(path)
+        writer = fresh.write.mode("append")
+        (writer if day is None else writer.partitionBy(day)).parquet(path)
 
     return write
 
@@ -99,7 +120,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is available into a table and return that table."""
+    """Run a stream over what is available into a table and return that table.
+
+    The table holds what the stream has finished: windows and sessions that the final
+    watermark has not passed are still open and come with later input.
+    """
     spark = stream.sparkSession
     out, state = scratch(spark, name), scratch(spark, name + "-state")
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
@@ -107,8 +132,8 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_journal(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+def drain_journal(stream: DataFrame, path: str, keys: list[str], day: str | None = None) -> DataFrame:
     spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(journal_sink(path, keys)).option("checkpointLocation", scratch(spark, "journal-state")).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(journal_sink(path, keys, day)).option("checkpointLocation", scratch(spark, "journal-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)

@@ -47,3 +47,36 @@ def test_late_prints_are_dropped(spark, tmp_path):
         q.awaitTermination()
     rows = {r.start.hour: (r.high, r.prints) for r in spark.read.parquet(out).collect()}
     assert rows == {10: (1.0, 1), 13: (2.0, 1)}
+
+
+def drain_in_parts(spark, tmp_path, make, schema, parts):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        q = make(jobs.read_folder(spark, folder, schema)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_dedupe_does_not_depend_on_batches(spark, tmp_path):
+    day = lambda d, h: datetime(2024, 1, d, h)
+    rows = [("A", day(1, 1)), ("A", day(1, 2)), ("B", day(1, 3)), ("A", day(2, 1)), ("A", day(2, 5)), ("B", day(3, 1)), ("A", day(3, 2))]
+    make = lambda s: jobs.dedupe(s, ["k"])
+    whole = drain_in_parts(spark, tmp_path / "one", make, "k string, ts timestamp", [rows])
+    three = drain_in_parts(spark, tmp_path / "three", make, "k string, ts timestamp", [rows[:2], rows[2:5], rows[5:]])
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, three.collect())) and whole.count() == 5
+
+
+def test_older_rows_make_no_transition(spark, tmp_path):
+    parts = [[("A", date(2024, 1, 19), "HOLD")], [("A", date(2024, 1, 5), "EXIT")], [("A", date(2024, 1, 26), "EXIT")]]
+    got = drain_in_parts(spark, tmp_path, jobs.transitions, SCHEMA, parts).collect()
+    assert [(r.from_state, r.to_state, r.date) for r in got] == [("HOLD", "EXIT", date(2024, 1, 26))]
+
+
+def test_journal_by_day(spark, tmp_path):
+    write = jobs.journal_sink(str(tmp_path / "j"), ["k", "day"], "day")
+    one = spark.createDataFrame([("A", date(2024, 1, 1)), ("B", date(2024, 1, 2))], "k string, day date")
+    write(one, 0)
+    write(one.union(spark.createDataFrame([("A", date(2024, 1, 2))], one.schema)), 1)
+    write(one, 1)
+    assert spark.read.parquet(str(tmp_path / "j")).count() == 3
