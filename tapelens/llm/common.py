@@ -109,11 +109,12 @@ class Cache:
         for k in self.long:
             self.young.pop(k, None)
         self.long = []
-        missing = set(keys).difference(self.young)
+        wanted = set(keys)
+        missing = wanted.difference(self.young)
         if not missing:
             return self.young
         if len(self.young) + len(missing) > self.most // 2 and self.young:
-            missing = set(keys)
+            missing = wanted
             self.old, self.young = self.young, {}
         young, old, new = self.young, self.old, []
         for k in missing:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapelens.llm import bpe, quality, queries, token_counts, toxicity, urls
+from tapelens.llm.common import Cache
 
 ROOT = "/root/testdata/sf0.001"
 LETTERS = "ab '  \n\t.,1é 　 ß😀<|endoftext|>st\x1c\x0b"
@@ -69,6 +70,31 @@ def test_url_cases(spark):
     assert urls.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_cache_generations():
+    made = []
+    cache = Cache(lambda keys: [made.append(k) or len(k) for k in keys], most=8)
+    rng = random.Random(0)
+    for _ in range(300):
+        keys = ["x" * rng.choice([1, 2, 3, 4, 5, 6, 7, 300]) + str(rng.randrange(4)) for _ in range(rng.randrange(1, 6))]
+        known = cache.prepare(k for k in keys)  # a generator is read once
+        assert all(known[k] == len(k) for k in keys)
+        assert len(cache.young) <= 10
+    assert cache.prepare([]) is cache.young
+
+
+def test_words_equal_the_library_past_the_cache(monkeypatch):
+    import array
+
+    from tapelens.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_SIZE", 20)
+    words, library = packing.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(7)
+    for _ in range(1500):
+        text = "".join(rng.choice("abé,.!*'s ×÷ÿ́Σ\x1c1<|endoftext|>\n") for _ in range(rng.randrange(30)))
+        assert words.ids(text.encode()) == array.array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def ranks():
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
 
