@@ -98,12 +98,16 @@ def short_interest_delta(records: DataFrame) -> DataFrame:
     Reported change first, then the record's own previous position, then the
     previous record. ``records``: ticker, settlement, reported, position, previous.
     """
-    w = Window.partitionBy("ticker").orderBy("settlement")
-    r = records.withColumn("_before", F.lag("position").over(w))
-    last = r.groupBy("ticker").agg(F.max_by(F.struct("reported", "position", "previous", "_before"), "settlement").alias("r"))
-    prev = F.coalesce("r.previous", "r._before")
-    change = F.when(prev != 0, (F.col("r.position") - prev) / prev * 100)
-    return last.select("ticker", F.coalesce("r.reported", change).alias("si_delta_15d"))
+    history = short_interest_history(records)
+    return history.groupBy("ticker").agg(F.max_by("si_delta_15d", "settlement").alias("si_delta_15d"))
+
+
+def short_interest_history(records: DataFrame) -> DataFrame:
+    """The change at every settlement date: one row per ticker and date."""
+    before = F.lag("position").over(Window.partitionBy("ticker").orderBy("settlement"))
+    prev = F.coalesce("previous", before)
+    change = F.when(prev != 0, (F.col("position") - prev) / prev * 100)
+    return records.select("ticker", "settlement", F.coalesce("reported", change).alias("si_delta_15d"))
 
 
 def filings_net_buys(records: DataFrame, cusips: DataFrame) -> DataFrame:

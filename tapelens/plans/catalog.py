@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("prices", "scores", "macros", "backtests", "calibration", "users", "boards", "stores", "streams")
+AREAS = ("prices", "scores", "macros", "backtests", "calibration", "users", "boards", "stores", "streams", "live")
 
 
 def queries() -> dict:
