@@ -6,7 +6,7 @@ the trading calendar however many prints one instrument has.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,37 @@ def zscore(c, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
     spread = F.max(c).over(w) > F.min(c).over(w)
     return F.when(spread, (c - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(c * 0.0)
+
+
+def forward_drawdowns(df: DataFrame, price: str, lengths: list[int], window: WindowSpec) -> DataFrame:
+    """Largest fall from a running peak over this and the next rows, as ``_fall_<rows>`` per length.
+
+    Spans of 1, 2, 4, ... rows keep their highest and lowest price and their fall; two spans that
+    follow each other join into one. All of them read the same ordered window, so nothing is
+    collected or sorted again.
+    """
+    own = df.columns
+    df = df.withColumns({"_hi1": F.col(price), "_lo1": F.col(price), "_dd1": F.lit(0.0)})
+    size = 1
+    while 2 * size <= max(lengths):
+        ahead = [F.lead(f"_{x}{size}", size).over(window) for x in ("hi", "lo", "dd")]
+        df = df.withColumns(_joined([F.col(f"_{x}{size}") for x in ("hi", "lo", "dd")], ahead, 2 * size))
+        size *= 2
+    for length in lengths:
+        offset, span = 0, None
+        for bit in range(length.bit_length() - 1, -1, -1):
+            if length >> bit & 1:
+                part = [F.lead(f"_{x}{1 << bit}", offset).over(window) for x in ("hi", "lo", "dd")]
+                df = df.withColumns(dict(zip(("_a", "_b", "_c"), part)))
+                part = [F.col("_a"), F.col("_b"), F.col("_c")]
+                step = _joined(span, part, "s") if span is not None else dict(zip(("_his", "_los", "_dds"), part))
+                df = df.withColumns(step)
+                span = [F.col("_his"), F.col("_los"), F.col("_dds")]
+                offset += 1 << bit
+        df = df.withColumn(f"_fall_{length}", span[2])
+    return df.select(*own, *[f"_fall_{n}" for n in lengths])
+
+
+def _joined(first: list[Column], second: list[Column], name) -> dict[str, Column]:
+    (hi, lo, dd), (hi2, lo2, dd2) = first, second
+    return {f"_hi{name}": F.greatest(hi, hi2), f"_lo{name}": F.least(lo, lo2), f"_dd{name}": F.least(dd, dd2, lo2 / hi - 1)}

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof_forward
+from ..functions.windows import forward_drawdowns
 
 # Horizons in sessions and the reading of each action.
 WINDOWS = {"1w": 5, "4w": 20, "13w": 65, "26w": 130}
@@ -20,34 +21,25 @@ def hit(action: Column, ret: Column) -> Column:
 def forward_paths(prices: DataFrame, windows: dict[str, int] = WINDOWS, starts: DataFrame | None = None) -> DataFrame:
     """Outcome of each horizon from every bar (J10, D1): one row per bar and horizon.
 
-    It depends on the bar and not on the decision, so it is computed once per bar and
-    any number of decisions join it. Drawdown from a running peak needs the path, at
-    most the longest horizon's rows; with ``starts`` (ticker, start_date) only the
-    bars that open a path keep theirs.
+    It depends on the bar and not on the decision, so it is computed once per bar and any
+    number of decisions join it. End prices and drawdowns are read ahead in one ordered
+    window; only bars that open a path (``starts``: ticker, start_date) fan out by horizon.
     """
-    longest = max(windows.values())
     w = Window.partitionBy("ticker").orderBy("date")
-    df = prices.where("price is not null").select(
-        "ticker",
-        "date",
-        "price",
-        F.collect_list(F.struct("date", "price")).over(w.rowsBetween(0, longest)).alias("_path"),
-    )
+    df = forward_drawdowns(prices.where("price is not null").select("ticker", "date", "price"), "price", [n + 1 for n in windows.values()], w)
+    ends = {f"_end_{n}": F.lead(F.struct("date", "price"), n).over(w) for n in windows.values()}
+    df = df.withColumns(ends)
     if starts is not None:
         df = df.join(starts.select("ticker", F.col("start_date").alias("date")).distinct(), ["ticker", "date"], "left_semi")
-    spec = F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(n).alias("days")) for k, n in windows.items()])
-    df = df.withColumn("h", F.explode(spec)).withColumn("_run", F.slice("_path", F.lit(1), F.col("h.days") + 1))
-    ready = (F.size("_path") > F.col("h.days")) & (F.col("price") > 0)
-    fall = F.aggregate(
-        "_run",
-        F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("fall")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["peak"], x["price"]).alias("peak"),
-            F.least(acc["fall"], x["price"] / F.greatest(acc["peak"], x["price"]) - 1).alias("fall"),
-        ),
-        lambda acc: acc["fall"],
+    spec = F.array(
+        *[
+            F.struct(F.lit(k).alias("horizon"), F.lit(n).alias("days"), F.col(f"_end_{n}").alias("end"), F.col(f"_fall_{n + 1}").alias("fall"))
+            for k, n in windows.items()
+        ]
     )
-    last = F.element_at("_run", -1)
+    df = df.select("ticker", "date", "price", F.explode(spec).alias("h"))
+    last = F.col("h.end")
+    ready = last.isNotNull() & (F.col("price") > 0)
     return df.select(
         "ticker",
         F.col("date").alias("start_date"),
@@ -57,7 +49,7 @@ def forward_paths(prices: DataFrame, windows: dict[str, int] = WINDOWS, starts:
         F.when(ready, last["date"]).alias("end_date"),
         F.when(ready, last["price"]).alias("end_price"),
         F.when(ready, last["price"] / F.col("price") - 1).alias("forward_return"),
-        F.when(ready, fall).alias("max_drawdown"),
+        F.when(ready, F.col("h.fall")).alias("max_drawdown"),
         F.when(F.col("price") <= 0, "invalid_baseline").when(~ready, "insufficient_history").otherwise("available").alias("path_status"),
     )
 
