@@ -78,6 +78,18 @@ def _names(terms) -> str:
 
 
 SQL = {
+    "op1_warc_revisits": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS x FROM pages),
+        ranked AS (
+            SELECT page_id, strlen(p) AS payload_bytes, x, min(page_id) OVER (PARTITION BY p) AS first, row_number() OVER (PARTITION BY p, page_id) AS k FROM payloads
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first AND k = 1 THEN NULL ELSE first END AS refers_to
+        FROM ranked
+    """,
     "op5_exact_dedup": """
         WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, text_sha256,
