@@ -1,4 +1,6 @@
 """Statements for provider lanes and report tables."""
+from tapelens.operators.board import STATE_ORDER
+
 from .parts import cte, r, state_case, statement as st, z
 
 N = "CAST(substr(ticker, 7) AS INTEGER)"
@@ -73,7 +75,15 @@ cte("lane_tot", "SELECT (SELECT sum(m) FROM outs) AS o, (SELECT sum(m) FROM ins)
 LIVE = [("etf_flow_5d_pct", "etf", 0.0), ("block_up_ratio", "block", 1.0), ("dark_pool_pct", "dark", 0.4), ("si_delta_15d", "short", 0.0), ("thirteen_f_q", "filing", 0.0)]
 SH = "o.m / greatest(t.o, 0.1) * n.m / greatest(t.i, 0.1)"
 
+STATE_RANK = "list_position([" + ", ".join(f"'{x}'" for x in STATE_ORDER) + "], state)"
+SORTS = {
+    "S_score": "coalesce(s_score, 0)", "F_score": "coalesce(CAST(f_score AS DOUBLE), 0)", "mom_12_1": "coalesce(mom_12_1, 0)",
+    "trend": "coalesce(mom_12_1, 0) * 100 * 0.84 + coalesce(mansfield_rs, 0) * 0.15", "pillar_count": PC, "state": STATE_RANK, "ticker": "ticker",
+}
 SQL = {
+    "board_sorts": st(" UNION ALL ".join(
+        f"SELECT '{k}' AS key, {str(d).lower()} AS descending, class, ticker, CAST(row_number() OVER (PARTITION BY class ORDER BY {e} {'DESC' if d else 'ASC'}, ticker DESC) AS INTEGER) AS peer_rank FROM last_scored"
+        for k, e in SORTS.items() for d in (True, False))),
     "block_tape": st(f"SELECT ticker, {r('up_notional=u','down_notional=d','block_up_ratio=CASE WHEN u = 0 AND d = 0 THEN NULL WHEN d = 0 THEN 2.0 ELSE u / d END')} FROM tape_sum"),
     "tick_direction": st("SELECT ticker, seq, CAST(sign(price - pp) AS DOUBLE) AS direction FROM tape"),
     "etf_flow": st(f"SELECT ticker, as_of, {r('etf_flow_5d_pct=v')} FROM etf"),

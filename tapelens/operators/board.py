@@ -91,12 +91,28 @@ def full_table(scored: DataFrame, field: str = "S_score", descending: bool = Tru
     return df.orderBy(first, F.col("S_score").desc_nulls_last(), "ticker")
 
 
-def board(scored: DataFrame) -> DataFrame:
-    """Class boards sorted by S, with trend proxy, grade and peer rank."""
-    trend = _n("mom_12_1") * 100 * 0.84 + _n("mansfield_rs") * 0.15
+BOARD_KEYS = ("S_score", "F_score", "mom_12_1", "trend", "pillar_count", "state", "ticker")
+
+
+def trend_proxy() -> Column:
+    return _n("mom_12_1") * 100 * 0.84 + _n("mansfield_rs") * 0.15
+
+
+def board_key(name: str) -> Column:
+    """What a board is sorted by."""
+    if name not in BOARD_KEYS:
+        raise ValueError(f"a board has no key {name}")
+    other = {"trend": trend_proxy, "pillar_count": pillar_count, "state": lambda: _order("state", STATE_ORDER), "ticker": lambda: F.col("ticker")}
+    return other.get(name, lambda: _n(name))()
+
+
+def board(scored: DataFrame, key: str = "S_score", descending: bool = True) -> DataFrame:
+    """Class boards sorted by a key, with trend proxy, grade and peer rank."""
+    trend = trend_proxy()
     s = F.col("S_score")
     grade = F.when(s.isNull(), "?").when(s >= 1, "A").when(s >= 0, "B").when(s >= -1, "C").when(s >= -1.5, "D").otherwise("F")
-    w = Window.partitionBy("class").orderBy(_n("S_score").desc(), F.desc("ticker"))
+    first = board_key(key)
+    w = Window.partitionBy("class").orderBy(first.desc() if descending else first.asc(), F.desc("ticker"))
     n = F.count("*").over(Window.partitionBy("class"))
     return scored.select(
         "class", "ticker", F.row_number().over(w).alias("peer_rank"), n.alias("peers"), trend.alias("trend"), grade.alias("grade")

@@ -1,6 +1,9 @@
 """Registered queries: provider lanes and report tables."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -99,6 +102,17 @@ def _readiness(spark, root):
     return lanes.readiness(config, lanes.run_health(_health_events(spark, root)))
 
 
+def _board_sorts(spark, root):
+    """Peer ranks of every board key in both directions."""
+    now = _now(spark, root)
+    parts = [
+        board.board(now, key, down).select(F.lit(key).alias("key"), F.lit(down).alias("descending"), "class", "ticker", "peer_rank")
+        for key in board.BOARD_KEYS
+        for down in (True, False)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     "block_tape": lambda s, d: rounded(_tape(s, d)),
     "tick_direction": _directions,
@@ -114,6 +128,7 @@ QUERIES = {
     "action_lists": lambda s, d: board.action_lists(_now(s, d)),
     "full_table": lambda s, d: rounded(board.full_table(_now(s, d), "state").select("ticker", "state", "S_score", "pillar_count")),
     "class_board": lambda s, d: rounded(board.board(_now(s, d))),
+    "board_sorts": _board_sorts,
     "comparison_basket": lambda s, d: board.comparison_basket(_now(s, d), "brand#9", 6),
     "board_stats": lambda s, d: rounded(board.board_stats(_now(s, d))),
     "flow_cards": lambda s, d: rounded(board.flow_cards(_now(s, d))),
