@@ -6,12 +6,14 @@ import pytest
 from check_oracle import TABLES, compare
 
 import __spark_entry__ as entry
+from tapelens.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
 FAST = (
     "bars_daily bars_weekly momentum stage rrg cmf_obv_mfi distribution_days macro_stats macro_phase macro_mask price_panel block_tape etf_flow "
     "dark_pool short_interest thirteen_f provider_readiness pnl_rollup bars_upsert fund_records holdings_errors trades_errors ticker_lists "
-    "cache_coverage data_health config_guardrail class_lookup stream_bars composite_rank backtest_metrics forward_labels debrief_summary"
+    "cache_coverage data_health config_guardrail class_lookup stream_bars composite_rank backtest_metrics forward_labels debrief_summary "
+    "live_composite board_sorts stream_dedupe journal_new_runs"
 ).split()
 
 
@@ -32,7 +34,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
