@@ -20,7 +20,7 @@ cte("lv2", f"""
     SELECT *, {z('mom_12_1', C)} AS z1, {z('mansfield_rs', C)} AS z2, {z('rs_ratio', C)} AS z3, {z('rs_momentum', C)} AS z4, {z('f_score', C)} AS fz,
            (coalesce(faber, 0) + CASE WHEN stage = 2 THEN 1 ELSE 0 END + coalesce(antonacci, 0)) / 3.0 AS filters
     FROM lv1 WHERE class <> 'Benchmark'""")
-cte("lv3", "SELECT *, 0.22 * z1 + 0.12 * z2 + 0.15 * z3 + 0.08 * z4 + 0.12 * filters + 0.23 * fz AS s, coalesce(fz < -0.5, false) AS veto FROM lv2")
+cte("lv3", "SELECT *, 0.22 * z1 + 0.12 * z2 + 0.15 * z3 + 0.08 * z4 + 0.12 * filters + 0.23 * fz AS s, coalesce(round(fz, 9) < -0.5, false) AS veto FROM lv2")
 cte("lv4", "SELECT *, CASE WHEN veto THEN -9.99 ELSE s END AS sv FROM lv3")
 cte("lv", f"""
     SELECT *, CASE WHEN sv IS NOT NULL THEN rank() OVER (PARTITION BY as_of, class ORDER BY sv DESC NULLS LAST) END AS rk,

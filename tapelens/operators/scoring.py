@@ -129,7 +129,8 @@ def composite(
     ) / FILTER_COUNT
     z = z.withColumn("binary_filters", filters)
     z = z.withColumn("S_score", sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0)))
-    z = z.withColumn("veto", F.coalesce(F.col("flow_z") < VETO_BELOW, F.lit(False)))
+    # One reading among five equal ones puts the others at exactly -0.5: noise must not veto them.
+    z = z.withColumn("veto", F.coalesce(F.round("flow_z", 9) < VETO_BELOW, F.lit(False)))
     z = z.withColumn("S_score_after_veto", F.when(F.col("veto"), VETO_SCORE).otherwise(F.col("S_score")))
     if isinstance(top_n, dict):
         target = F.lit(0)
