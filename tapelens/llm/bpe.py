@@ -30,7 +30,7 @@ from .token_counts import pieces
 
 #: Start positions matched at once in a long piece, and how many such blocks are kept.
 BLOCK, BLOCKS = 8192, 4
-CACHE_SIZE, PAIRS = 300_000, 1_000_000
+CACHE_SIZE, PAIRS = 500_000, 1_000_000
 #: Ids decoded at once.
 DECODE_STEP = 1 << 20
 
@@ -168,11 +168,15 @@ class BytePairs:
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> tuple[BytePairs, Cache]:
-    """Encoder of a worker process with its cache: piece of text -> ids as int32 bytes."""
+    """Encoder of a worker process with its caches: pieces of text, and below them the pattern's
+    matches (a word met with new marks is not encoded again) -> ids as int32 bytes."""
     pairs, split = BytePairs(read_ranks(path)), regex.compile(pattern)
+    matches = Cache(lambda found: [array("i", pairs.encode_piece(m.encode())).tobytes() for m in found], CACHE_SIZE // 2)
 
     def make(texts: list[str]) -> list[bytes]:
-        return [array("i", [i for m in split.findall(t) for i in pairs.encode_piece(m.encode())]).tobytes() for t in texts]
+        parts = [split.findall(t) for t in texts]
+        known = matches.prepare(m for ms in parts for m in ms)
+        return [b"".join(map(known.__getitem__, ms)) for ms in parts]
 
     return pairs, Cache(make, CACHE_SIZE)
 
