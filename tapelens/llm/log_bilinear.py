@@ -218,14 +218,31 @@ def rest_sizes(counts: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return out
 
 
+def size_class() -> Column:
+    """Counts in steps of a sixteenth of a power of two."""
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
+def frequency_bound(counts: DataFrame, most: int) -> int:
+    """The smallest size class from which on there are at most ``most`` words; a histogram of a few hundred rows."""
+    total, bound = 0, 1 << 30
+    for r in sorted(counts.groupBy(size_class().alias("k")).count().collect(), key=lambda r: -r["k"]):
+        total += r["count"]
+        if total > most:
+            break
+        bound = r["k"]
+    return bound
+
+
 def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model and the stored counts (word, c) of all training tokens."""
     train = docs.where(~held_out(id_col)).select(text_bytes(text_col).alias("text"))
     counts = stored(token_counts(train), folder, "counts")
     is_end = F.octet_length("word") == 0
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # a fixed bound
-    words, freq = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64)
+    least = frequency_bound(counts, FREQUENT)
+    top = sorted(((r["c"], bytes(r["word"])) for r in counts.where(size_class() >= least).collect()), key=lambda x: (-x[0], x[1]))  # at most FREQUENT
+    words, freq = [w for _, w in top], np.array([c for c, _ in top], np.int64)
     if END not in words[:CLASSES]:  # the end is always a class
         others = [k for k, w in enumerate(words) if w != END]
         words = [END] + [words[k] for k in others]
