@@ -2,8 +2,8 @@
 
 A text is cut before every single space that stands between two non-spaces. The pre-tokenizer
 always has a boundary there, so a text's count is the sum over its pieces. Tier one is a table
-``piece -> tokens`` of at most ``table_size`` pieces, counted in a bounded sample of texts (it
-only makes things fast, results never depend on it). Tier two is a bounded cache in each Python
+``piece -> tokens`` of at most ``table_size`` pieces, counted in a sample of fixed size (it only
+makes things fast, results never depend on it). Tier two is a bounded cache in each Python
 worker; its misses go to the library in one batch. No piece is shuffled.
 
 Null texts count as empty (0 bytes, 0 tokens); one very long text is cut like any other; repeated
@@ -11,6 +11,7 @@ rows give repeated results, an empty table an empty one. Only the two named colu
 """
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from .common import Cache, slices
 
 #: Where the pre-tokenizer surely cuts: before one space between two non-spaces.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 30_000, 2_000, 400_000
+TABLE_SIZE, SAMPLE_DOCS, SAMPLE_WORDS, CACHE_SIZE = 30_000, 2_000, 1_000, 400_000
 
 
 @lru_cache(maxsize=4)
@@ -35,6 +36,7 @@ def library(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
@@ -68,22 +70,16 @@ def count_text(parts: list[str], frequent: dict[str, int], cache: Cache) -> int:
 
 
 def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", table_size: int = TABLE_SIZE, sample_docs: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Tier one: the most frequent pieces of ``sample_docs`` texts with their token counts.
+    """Tier one: the most frequent pieces of a sample with their token counts.
 
-    Every task returns at most ``table_size`` pieces; the driver keeps as many in all.
+    The sample is fixed in size whatever the corpus is: ``sample_docs`` texts, as Spark finds them
+    first, and ``SAMPLE_WORDS`` words of each. It only warms a cache.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(pieces(text))
-        top = seen.most_common(table_size)
-        yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("piece", pa.string()), ("n", pa.int64())]))
-
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).limit(sample_docs)
-    rows = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size).collect()
-    names = [r["piece"] for r in rows]
+    head = F.slice(F.split(F.col(text_col), " "), 1, SAMPLE_WORDS)
+    seen: Counter = Counter()
+    for row in docs.where(F.col(text_col).isNotNull()).select(head.alias("words")).limit(sample_docs).collect():
+        seen.update(pieces(" ".join(row["words"])))
+    names = [p for p, _ in seen.most_common(table_size)]
     return dict(zip(names, library(path)(names))) if names else {}
 
 
