@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -35,7 +36,10 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 #: Tokens that wait to be packed in a task.
 BUFFER = 2_000_000
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 500_000
+#: As the tokenizer file writes that runs of marks are tokens of their own; words that end in such a run.
+SPLIT = json.dumps(r"[^\s\p{L}\p{N}]+")[1:-1]
+STEM_AND_MARKS = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?*$%&#|()\[\]\"]+)\Z", re.S)
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
 
@@ -57,7 +61,15 @@ class Words:
         normalizer = json.loads(model.to_str())["normalizer"] or {}
         self.lower = any(x["type"] == "Lowercase" for x in normalizer.get("normalizers", [normalizer]) if x)
         self.special = [x.content.lower().encode() for x in model.get_added_tokens_decoder().values()]
-        self.cache = Cache(lambda words: [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)], CACHE_SIZE)
+        self.splits = self.lower and SPLIT in json.dumps(json.loads(model.to_str())["pre_tokenizer"])
+        self.stems = Cache(lambda words: [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)], CACHE_SIZE // 2)
+        self.cache = Cache(self.make, CACHE_SIZE)
+
+    def make(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words; where the pre-tokenizer cuts between letters and marks, both are looked up alone."""
+        parts = [m.groups() if (m := STEM_AND_MARKS.match(w)) and b"<|" not in w else (w,) for w in words] if self.splits else [(w,) for w in words]
+        known = self.stems.prepare(p for ps in parts for p in ps)
+        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
     def ids(self, text: bytes) -> bytes:
         if self.lower:
