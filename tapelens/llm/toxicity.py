@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import at_most, fresh, scratch, stored
 
 MAX_LABELLED, MAX_LEXICON, MIN_SUPPORT, MIN_WEIGHT, PRIOR = 20_000, 5_000, 4, 1.0, 3.0
-STEM_FROM, STEM_TO, CACHE = 4, 8, 300_000
+STEM_FROM, STEM_TO, CACHE = 4, 8, 100_000
 
 # The starting vocabulary of each symbol.
 INSULTS = (
