@@ -1,17 +1,22 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-The model's classes are the ``CLASSES`` most frequent training tokens; other words fall into
-``ENDINGS`` classes by their last letters.
-With context vectors R, position matrices C1 and C2, target vectors Q and biases b, a class w
-after the tokens h1 h2 has the score (C1 R[h1] + C2 R[h2]) . Q[w] + b[w]. Every task trains on all
-training tokens of its rows, from one common start, against noise drawn from the unigram
-distribution; the tasks' parameters are averaged by their tokens in an aggregate. Scoring
-normalises: batched matrix products over all contexts give log Z once, a bounded table. A word of
-an ending class has its class's probability times (c + 1) / (N' + V' + 1), over that class's words.
-
-Counts of all training tokens are a stored table that grows with the corpus. The ``FREQUENT`` most
-frequent are broadcast (a fixed bound); other tokens of a document are looked up in a join, where
-no token is frequent enough to be hot. Results of a document meet again under a row key.
+The model's words are all training tokens with a count of ``LEAST`` or more (and the ``CLASSES``
+most frequent, where those are fewer): they grow with the corpus. Only rarer words fall into
+``ENDINGS`` classes by their last letters. Every word and every ending class is a unit with a
+context vector R, a target vector Q and a bias b of its own. With position matrices C1 and C2 a
+unit w after h1 h2 has the score (C1 R[h1] + C2 R[h2]) . Q[w] + b[w].
+
+Units are sorted by their endings and cut into blocks of blocks (a tree of three levels, about
+U^(1/3) branches each), whose nodes have target vectors and biases too. Every task trains all
+levels on all training tokens of its rows, from one common start, against noise drawn from the
+unigram distribution. A row of parameters is averaged over the tasks by how often each has seen it.
+P(w | h1 h2) is the product of three softmaxes, each over a node's children: log Z is exact, in
+batched products over the contexts that occur, and costs U^(1/3) a token. A word of an ending
+class has its class's probability times (c + 1) / (N' + V' + 1), over that class's words.
+
+Counts of all training tokens are a stored table that grows with the corpus. The model's words and
+the ``FREQUENT`` most frequent are broadcast; other tokens of a document are looked up in a join,
+where no token is frequent enough to be hot. Results of a document meet again under a row key.
 
 Tokens are words between white space, A-Z lower-cased, then one end per text (the empty string,
 which no word can be). Null texts count as empty: the end alone. Null ids are not held out.
@@ -34,10 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored, text_bytes
 
+LEAST = 20
 CLASSES, ENDINGS, DIMENSIONS, NOISE, BATCH, RATE, SEED = 1000, 256, 16, 32, 2048, 0.15, 42
 FREQUENT = 200_000
-#: Entries of a task's counter before it is passed on, tokens scored at once, rare words in a row.
-HELD, STEP, RARE = 300_000, 1 << 16, 5_000
+#: Entries of a task's counter before it is passed on, tokens of a slice, tokens scored at once, rare words in a row.
+HELD, STEP, SCORED, RARE = 300_000, 1 << 16, 1 << 18, 5_000
+#: Units whose parameters are averaged together.
+BLOCK = 256
 END = b""
 MARKS = b".,;:!?\"')]#*$%&|<>"
 
@@ -80,47 +88,64 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def branches(n: int) -> int:
+    """Children of a node: the smallest number whose cube is at least ``n``."""
+    k = max(2, round(n ** (1 / 3)))
+    while k**3 < n:
+        k += 1
+    return k
+
+
+def summed(x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``x`` over blocks of ``size`` neighbours."""
+    return np.add.reduceat(x, np.arange(0, len(x), size))
+
+
 @dataclass
 class Parameters:
+    """Context vectors and position matrices; ``q``: target vectors with the bias last, of the tree's levels from the units up."""
+
     r: np.ndarray
-    q: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
-    b: np.ndarray
+    c: np.ndarray
+    q: list[np.ndarray]
+    k: int
 
     @classmethod
     def start(cls, share: np.ndarray, d: int) -> Parameters:
         rng = np.random.default_rng(SEED)
-        n = len(share)
-        return cls(rng.normal(0, 0.1, (n, d)), rng.normal(0, 0.1, (n, d)), np.eye(d), np.eye(d), np.log(share))
+        k = branches(len(share))
+        draw = lambda n: rng.standard_normal((n, d), np.float32) * np.float32(0.1)
+        levels = [share, summed(share, k), summed(share, k * k)]
+        q = [np.column_stack([draw(len(x)), np.log(x).astype(np.float32)]) for x in levels]
+        return cls(draw(len(share)), np.concatenate([np.eye(d, dtype=np.float32)] * 2), q, k)
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.c1, self.c2, self.b]
+    @property
+    def b(self) -> np.ndarray:
+        return self.q[0][:, -1]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+    def tables(self) -> list[np.ndarray]:
+        return [self.r, self.c, *self.q]
 
-    @classmethod
-    def from_flat(cls, flat: np.ndarray, n: int, d: int) -> Parameters:
-        shapes = [(n, d), (n, d), (d, d), (d, d), (n,)]
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
-        return cls(*[x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shapes)])
+    def contexts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.r[h1], self.r[h2]], axis=1)
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps over batches of (h1, h2, w)."""
+    """Noise-contrastive estimation with AdaGrad steps over batches of (h1, h2, w), for each level of the tree."""
 
     def __init__(self, start: Parameters, share: np.ndarray, seed: int):
         self.p = start
-        self.sums = [np.full(x.shape, 1e-6) for x in start.parts()]
-        self.share, self.noise = share, np.log(NOISE * share)
-        self.ladder = np.cumsum(share)
+        self.sums = [np.full(x.shape, 1e-6, np.float32) for x in start.tables()]
+        shares = [share, summed(share, start.k), summed(share, start.k**2)]
+        self.noise = [np.log(NOISE * x).astype(np.float32) for x in shares]
+        self.ladders = [np.cumsum(x) for x in shares]
         self.rng = np.random.default_rng([SEED, seed])
         self.waiting: list[np.ndarray] = []
+        self.seen = np.zeros(len(share), np.int64)
         self.n = self.trained = 0
 
     def add(self, ids: np.ndarray, end: int) -> None:
-        """Token classes of one text; its contexts begin with two ends."""
+        """Token units of one text; its contexts begin with two ends."""
         padded = np.concatenate([[end, end], ids])
         self.waiting.append(np.stack([padded[1:-1], padded[:-2], ids]))
         self.n += len(ids)
@@ -131,6 +156,7 @@ class Trainer:
         if not self.n:
             return
         triples = np.concatenate(self.waiting, axis=1)
+        self.seen += np.bincount(triples[2], minlength=len(self.seen))
         triples = triples[:, self.rng.permutation(triples.shape[1])]
         for k in range(0, triples.shape[1], BATCH):
             self.step(*triples[:, k : k + BATCH])
@@ -138,64 +164,114 @@ class Trainer:
         self.waiting, self.n = [], 0
 
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
-        p, (n, d) = self.p, self.p.r.shape
-        a, c = p.r[h1], p.r[h2]
-        context = a @ p.c1 + c @ p.c2
-        noise = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE) * self.ladder[-1]), n - 1)
-        up = 1 - _sigmoid((context * p.q[w]).sum(axis=1) + p.b[w] - self.noise[w])
-        down = -_sigmoid(context @ p.q[noise].T + p.b[noise] - self.noise[noise])
-        g = up[:, None] * p.q[w] + down @ p.q[noise]
-        gq = _scattered(w, up[:, None] * context, n)
-        np.add.at(gq, noise, down.T @ context)
-        gb = np.bincount(w, up, n) + np.bincount(noise, down.sum(axis=0), n)
-        gr = _scattered(h1, g @ p.c1.T, n) + _scattered(h2, g @ p.c2.T, n)
-        for x, s, grad in zip(p.parts(), self.sums, (gr, gq, a.T @ g, c.T @ g, gb)):
-            grad /= len(w)
-            s += grad * grad
-            x += RATE * grad / np.sqrt(s)
+        p, n, d = self.p, len(w), self.p.r.shape[1]
+        both = p.contexts(h1, h2)
+        context = np.column_stack([both @ p.c, np.ones(n, np.float32)])
+        g = np.zeros((n, d), np.float32)
+        for k, (q, sums, log_noise, ladder) in enumerate(zip(p.q, self.sums[2:], self.noise, self.ladders)):
+            at = w // p.k**k
+            noise = np.minimum(np.searchsorted(ladder, self.rng.random(NOISE) * ladder[-1]), len(q) - 1)
+            own, other = q[at], q[noise]
+            up = 1 - _sigmoid(np.einsum("ij,ij->i", context, own) - log_noise[at])
+            down = -_sigmoid(context @ other.T - log_noise[noise])
+            g += up[:, None] * own[:, :d] + down @ other[:, :d]
+            _move(q, sums, np.concatenate([at, noise]), np.concatenate([up[:, None] * context, down.T @ context]) / n)
+        back = g @ p.c.T / n
+        grad = both.T @ g / n
+        _move(p.r, self.sums[0], np.concatenate([h1, h2]), np.concatenate([back[:, :d], back[:, d:]]))
+        self.sums[1] += grad * grad
+        p.c += RATE * grad / np.sqrt(self.sums[1])
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, rows, times seen, values) of what this task has trained."""
+        k, all_seen = self.p.k, [self.seen, np.full(len(self.p.c), self.trained)]
+        for t, (x, seen) in enumerate(zip(self.p.tables(), [*all_seen, self.seen, summed(self.seen, k), summed(self.seen, k * k)])):
+            for at in range(0, len(x), BLOCK):
+                ids = np.flatnonzero(seen[at : at + BLOCK]) + at
+                if len(ids):
+                    yield t, ids, seen[ids], x[ids]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of ``values`` by their target row."""
-    d = values.shape[1]
-    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+def _move(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """An AdaGrad step of the rows of ``x`` that occur in ``rows``."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    grad, at = np.add.reduceat(values[order], first), rows[first]
+    s = sums[at] + grad * grad
+    sums[at] = s
+    x[at] += RATE * grad / np.sqrt(s)
+
+
+ROWS = "part int, block int, ids binary, seen binary, x binary"
+
+
+def averaged(parts: pa.Table) -> pa.Table:
+    """One block of a table of parameters from the tasks' rows of it, each weighted by how often it was seen."""
+    t, block = parts.column("part")[0].as_py(), parts.column("block")[0].as_py()
+    n, total = np.zeros(BLOCK), None
+    for ids, seen, x in zip(*(parts.column(c).to_pylist() for c in ("ids", "seen", "x"))):
+        at, weight = np.frombuffer(ids, np.int64) - block * BLOCK, np.frombuffer(seen, np.int64)
+        values = np.frombuffer(x, np.float32).reshape(len(at), -1)
+        total = np.zeros((BLOCK, values.shape[1])) if total is None else total
+        n[at] += weight
+        total[at] += weight[:, None] * values
+    at = np.flatnonzero(n)
+    x = np.round(total[at] / n[at, None], 6).astype(np.float32)
+    return pa.Table.from_batches([_rows(t, at + block * BLOCK, n[at].astype(np.int64), x)])
+
+
+def _rows(t: int, ids: np.ndarray, seen: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    blobs = [pa.array([v.tobytes()], pa.binary()) for v in (ids.astype(np.int64), seen.astype(np.int64), x.astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([ids[0] // BLOCK], pa.int32()), *blobs], names=["part", "block", "ids", "seen", "x"])
 
 
 @dataclass
 class Model:
-    """Everything that scoring broadcasts: at most FREQUENT words and (CLASSES + ENDINGS)^2 numbers."""
+    """Everything that scoring broadcasts: the words known map-side and the parameters of all units."""
 
     words: list[bytes]
     counts: np.ndarray
-    classes: int
+    units: np.ndarray  # of each known word
+    classes: int  # words with a unit of their own; the ending classes' units follow
     end: int
     n_tokens: int
     n_types: int
     parameters: Parameters
     rest: np.ndarray  # tokens and types of each ending class
-    log_z: np.ndarray | None = None
-
-    def normalise(self) -> Model:
-        """log Z of every context, one batched product for each h1."""
-        p = self.parameters
-        first, second, q = (p.r @ p.c1).astype(np.float32), (p.r @ p.c2).astype(np.float32), p.q.T.astype(np.float32)
-        self.log_z = np.empty((len(p.b), len(p.b)), np.float32)
-        for k, row in enumerate(first):
-            s = (second + row) @ q + p.b.astype(np.float32)
-            top = s.max(axis=1)
-            self.log_z[k] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return self
 
     def log_probability(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural logarithm of P(class w | h1 h2)."""
+        """Natural logarithm of P(unit w | h1 h2)."""
         p = self.parameters
         if not hasattr(self, "first"):
-            self.first, self.second = p.r @ p.c1, p.r @ p.c2
-        return np.einsum("ij,ij->i", self.first[h1] + self.second[h2], p.q[w]) + p.b[w] - self.log_z[h1, h2]
+            d = p.r.shape[1]
+            self.first, self.second = p.r @ p.c[:d], p.r @ p.c[d:]
+        order = np.argsort(w, kind="stable")  # children of a node stand together, on all levels
+        w = w[order]
+        context = np.column_stack([self.first[h1[order]] + self.second[h2[order]], np.ones(len(w), np.float32)])
+        logs = np.zeros(len(w))
+        z = np.empty(len(w), np.float32)
+        for level, q in enumerate(p.q):
+            parent = w // p.k ** (level + 1)
+            cuts = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1], True]) if len(w) else [0]
+            for lo, hi, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), parent[cuts[:-1]].tolist()) if len(w) else ():
+                children = q[k * p.k : (k + 1) * p.k].T
+                for a in range(lo, hi, 8192):
+                    s = context[a : min(hi, a + 8192)] @ children
+                    np.exp(s, s)
+                    s.sum(axis=1, out=z[a : a + len(s)])
+            log_z = np.log(z)
+            for i in np.flatnonzero(~((z > 1e-30) & (z < 1e30))).tolist():  # out of range of short floats
+                s = q[parent[i] * p.k : (parent[i] + 1) * p.k].astype(float) @ context[i]
+                log_z[i] = s.max() + np.log(np.exp(s - s.max()).sum())
+            logs += np.einsum("ij,ij->i", context, q[w // p.k**level]) - log_z
+        out = np.empty(len(w))
+        out[order] = logs
+        return out
 
 
 def rest_sizes(counts: DataFrame, frequent: list[bytes]) -> np.ndarray:
@@ -240,19 +316,21 @@ def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     counts = stored(token_counts(train), folder, "counts")
     is_end = F.octet_length("word") == 0
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends")).first()
-    least = frequency_bound(counts, FREQUENT)
-    top = sorted(((r["c"], bytes(r["word"])) for r in counts.where(size_class() >= least).collect()), key=lambda x: (-x[0], x[1]))  # at most FREQUENT
+    bound = frequency_bound(counts, FREQUENT)
+    known = counts.where((size_class() >= bound) | (F.col("c") >= LEAST) | is_end).toArrow()
+    top = sorted(zip(known.column("c").to_pylist(), known.column("word").to_pylist()), key=lambda x: (x[1] != END, -x[0], x[1]))  # the end always has a unit
     words, freq = [w for _, w in top], np.array([c for c, _ in top], np.int64)
-    if END not in words[:CLASSES]:  # the end is always a class
-        others = [k for k, w in enumerate(words) if w != END]
-        words = [END] + [words[k] for k in others]
-        freq = np.concatenate([[total["ends"]], freq[others]]).astype(np.int64)
-    classes = min(CLASSES, len(words))
-    end = words.index(END)
+    if not words:
+        words, freq = [END], np.zeros(1, np.int64)
+    classes = max(min(CLASSES, len(words)), 1 + int((freq[1:] >= LEAST).sum()))
     rest = rest_sizes(counts, words[:classes])
-    seen = np.concatenate([freq[:classes], rest[:, 0]]) + 1.0
+    order = sorted(range(classes), key=lambda k: words[k].rstrip(MARKS)[::-1])
+    units = np.array([0] * classes + [classes + ending(w) for w in words[classes:]], np.int64)
+    units[order] = np.arange(classes)
+    end = int(units[0])
+    seen = np.concatenate([freq[order], rest[:, 0]]) + 1.0
     share = seen / seen.sum()
-    shared = docs.sparkSession.sparkContext.broadcast((words[:classes], share))
+    shared = docs.sparkSession.sparkContext.broadcast(([words[k] for k in order], share))
 
     def train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, odds = shared.value
@@ -269,16 +347,17 @@ def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                     trainer.add(at, end)
         trainer.finish()
         if trainer.trained:
-            flat = np.append(trainer.p.flat(), 1.0) * trainer.trained
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+            for rows in trainer.rows():
+                yield _rows(*rows)
 
-    sums = train.mapInArrow(train_task, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    if sums:
-        flat = np.array([r["x"] for r in sums])
-        parameters = Parameters.from_flat(np.round(flat[:-1] / flat[-1], 6), classes + ENDINGS, DIMENSIONS)
-    else:
-        parameters = Parameters.start(share, DIMENSIONS)
-    return Model(words, freq, classes, end, int(total["n"]), int(total["v"]), parameters, rest).normalise(), counts
+    parameters = Parameters.start(share, DIMENSIONS)
+    tables = parameters.tables()
+    for r in train.mapInArrow(train_task, ROWS).groupBy("part", "block").applyInArrow(averaged, ROWS).toArrow().to_batches():
+        for t, ids, x in zip(*(r.column(c).to_pylist() for c in ("part", "ids", "x"))):
+            ids = np.frombuffer(ids, np.int64)
+            tables[t][ids] = np.frombuffer(x, np.float32).reshape(len(ids), -1)
+    shared.unpersist()
+    return Model(words, freq, units, classes, end, int(total["n"]), int(total["v"]), parameters, rest), counts
 
 
 PARTIAL = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, model_log double, rare array<binary>"
@@ -292,47 +371,44 @@ def score_parts(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Da
         m: Model = shared.value
         index = {w: i for i, w in enumerate(m.words)}
         logs = np.log10(m.counts + 1.0)
-        classes = np.array([k if k < m.classes else m.classes + ending(w) for k, w in enumerate(m.words)], np.int64)
         scale = np.concatenate([np.zeros(m.classes), np.log10(m.rest.sum(axis=1) + 1.0)])
         key = TaskContext.get().partitionId() << 36
+        waiting: list[tuple] = []  # rows without their model_log, and (h1, h2, w) of their tokens
 
-        def scored(t: list[bytes]):
-            """Sums over one text and the places of its rare words."""
-            known = known_log = model_log = 0.0
-            rare: list[bytes] = []
-            before = np.array([m.end, m.end])
-            for k in range(0, len(t), STEP):
-                part = t[k : k + STEP]
-                at = np.fromiter(map(index.get, part, repeat(-1)), np.int64, len(part))
-                places = np.flatnonzero(at < 0).tolist()
-                cls = classes[at]
-                cls[places] = [m.classes + ending(part[i]) for i in places]
-                padded = np.concatenate([before, cls])
-                before = padded[-2:]
-                found = at[at >= 0]
-                found = found[m.counts[found] > 0] if len(found) else found
-                known += len(found)
-                known_log += logs[found].sum()
-                model_log += m.log_probability(padded[1:-1], padded[:-2], cls).sum() / np.log(10)
-                model_log += logs[at[at >= m.classes]].sum() - scale[cls].sum()
-                rare += [part[i] for i in places]
-            return int(known), float(known_log), float(model_log), rare
+        def finished() -> pa.RecordBatch:
+            starts = np.cumsum([0] + [len(x[1][2]) for x in waiting[:-1]])
+            sums = np.add.reduceat(m.log_probability(*(np.concatenate([x[1][k] for x in waiting]) for k in range(3))), starts) / np.log(10)
+            rows = []
+            for (head, _, within, rare), s in zip(waiting, sums.tolist()):
+                rows.append((*head, within + s, rare[:RARE]))
+                rows += [(head[0], None, None, 0, 0, 0.0, 0.0, rare[k : k + RARE]) for k in range(RARE, len(rare), RARE)]
+            waiting.clear()
+            return _batch(rows)
 
+        size = 0
         for batch in batches:
-            rows = []
-            size = 0
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 t = tokens(text.as_py())
-                known, known_log, model_log, rare = scored(t)
-                rows.append((key, doc_id, held, len(t), known, known_log, model_log, rare[:RARE]))
-                rows += [(key, None, None, 0, 0, 0.0, 0.0, rare[k : k + RARE]) for k in range(RARE, len(rare), RARE)]
+                before = np.array([m.end, m.end])
+                for k in range(0, len(t), STEP):
+                    part = t[k : k + STEP]
+                    at = np.fromiter(map(index.get, part, repeat(-1)), np.int64, len(part))
+                    places = np.flatnonzero(at < 0).tolist()
+                    units = m.units[at]
+                    units[places] = [m.classes + ending(part[i]) for i in places]
+                    padded = np.concatenate([before, units])
+                    before = padded[-2:]
+                    found = at[at >= 0]
+                    found = found[m.counts[found] > 0]
+                    within = float(logs[at[at >= m.classes]].sum() - scale[units].sum())
+                    waiting.append(((key, doc_id, held, len(part), len(found), float(logs[found].sum())), (padded[1:-1], padded[:-2], units), within, [part[i] for i in places]))
+                    size += len(part)
+                    if size >= SCORED:
+                        yield finished()
+                        size = 0
                 key += 1
-                size += len(t)
-                if size > 1_000_000:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
+        if waiting:
+            yield finished()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_bytes(text_col).alias("text"))
     return picked.mapInArrow(run, PARTIAL)

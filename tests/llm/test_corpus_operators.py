@@ -268,6 +268,20 @@ def test_language_model_is_normalised(spark):
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_words_grow_with_the_corpus(spark):
+    rows = [(i, " ".join(f"w{k}e" for k in range(i % 2, 3000, 2))) for i in range(100)]
+    model, _ = log_bilinear.learn(frame(spark, rows), scratch(spark, "lbl"))
+    own = {w: int(model.units[i]) for i, w in enumerate(model.words) if model.units[i] < model.classes}
+    assert len(own) == len(set(own.values())) == 3001  # all words and the end, whatever their rank
+    p, start = model.parameters, log_bilinear.Parameters.start(np.full(len(model.parameters.b), 1 / len(model.parameters.b)), log_bilinear.DIMENSIONS)
+    k = own[b"w2999e"]
+    assert (p.r[k] != start.r[k]).all() and (p.q[0][k, :-1] != start.q[0][k, :-1]).all()
+    n = len(p.b)
+    for h in (own[b"w2997e"], n - 1):
+        p = np.exp(model.log_probability(np.full(n, h), np.full(n, k), np.arange(n)))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_pipeline_by_brute_force(spark):
     docs, labels = queries.table(spark, ROOT, "documents"), queries.table(spark, ROOT, "labels")
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels).collect()}
