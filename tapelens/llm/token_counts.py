@@ -2,9 +2,10 @@
 
 A text is cut before every single space that stands between two non-spaces. The pre-tokenizer
 always has a boundary there, so a text's count is the sum over its pieces. Tier one is a table
-``piece -> tokens`` of at most ``table_size`` pieces, counted in a sample of fixed size (it only
-makes things fast, results never depend on it). Tier two is a bounded cache in each Python
-worker; its misses go to the library in one batch. No piece is shuffled.
+``piece -> tokens`` of the at most ``table_size`` most frequent short pieces of all documents: tasks
+count them map-side in bounded counters, whose entries are summed in a shuffle. Tier two is a
+bounded cache in each Python worker; its misses go to the library in one batch. No text reaches the
+driver. The table only makes things fast, results never depend on it.
 
 Null texts count as empty (0 bytes, 0 tokens); one very long text is cut like any other; repeated
 rows give repeated results, an empty table an empty one. Only the two named columns are read.
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, slices
+from .common import Cache, scratch, slices, stored
+from .log_bilinear import frequency_bound, size_class
 
 #: Where the pre-tokenizer surely cuts: before one space between two non-spaces.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-TABLE_SIZE, SAMPLE_DOCS, SAMPLE_WORDS, CACHE_SIZE = 30_000, 2_000, 1_000, 400_000
+#: HELD: entries of a task's counter before it is passed on.
+TABLE_SIZE, CACHE_SIZE, HELD = 30_000, 400_000, 300_000
 
 
 @lru_cache(maxsize=4)
@@ -69,22 +72,45 @@ def count_text(parts: list[str], frequent: dict[str, int], cache: Cache) -> int:
     return sum(n for n in found if n is not None) + sum(map(known.__getitem__, misses))
 
 
-def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", table_size: int = TABLE_SIZE, sample_docs: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Tier one: the most frequent pieces of a sample with their token counts.
+def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", table_size: int = TABLE_SIZE, sample_docs: int | None = None) -> dict[str, int]:
+    """Tier one: the most frequent pieces of all documents with their token counts.
 
-    The sample is fixed in size whatever the corpus is: ``sample_docs`` texts, as Spark finds them
-    first, and ``SAMPLE_WORDS`` words of each. It only warms a cache.
+    Pieces longer than a worker's cache keeps are left out. Only a caller that asks for it gets
+    the pieces of ``sample_docs`` texts, as Spark finds them first.
     """
-    head = F.slice(F.split(F.col(text_col), " "), 1, SAMPLE_WORDS)
-    seen: Counter = Counter()
-    for row in docs.where(F.col(text_col).isNotNull()).select(head.alias("words")).limit(sample_docs).collect():
-        seen.update(pieces(" ".join(row["words"])))
-    names = [p for p, _ in seen.most_common(table_size)]
+    counts = stored(piece_counts(docs if sample_docs is None else docs.limit(sample_docs), text_col), scratch(docs.sparkSession, "token-counts"), "pieces")
+    top = counts.where(size_class() >= frequency_bound(counts, table_size)).select("piece").toArrow()  # at most ``table_size``
+    names = sorted(top.column("piece").to_pylist())
     return dict(zip(names, library(path)(names))) if names else {}
 
 
+def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(piece, c) over all texts, of pieces of up to ``Cache.LONG`` characters; every task sends its own sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out():
+            keys = [p for p in seen if len(p) <= Cache.LONG]
+            for k in range(0, len(keys), 100_000):
+                part = keys[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[p] for p in part], pa.int64())], names=["piece", "c"])
+            seen.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                for part in slices(pieces(text.as_py())):
+                    seen.update(part)
+                    if len(seen) > HELD:
+                        yield from out()
+        yield from out()
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(text_col)
+    return texts.mapInArrow(count, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c"))
+
+
 def count_tokens(
-    docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE, sample_docs: int = SAMPLE_DOCS
+    docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE, sample_docs: int | None = None
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     by_pieces = path.endswith(".json")

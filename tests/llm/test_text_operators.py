@@ -137,6 +137,14 @@ def test_token_counts_are_the_library(spark):
     assert token_counts.count_tokens(frame(spark, texts).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_frequent_pieces_are_those_of_all_documents(spark):
+    texts = ["a b c"] * 2_100 + ["z" * 1_000] + [" ".join(["w"] * 1_100 + ["late"] * 5_000)] * 3
+    got = token_counts.frequent_pieces(frame(spark, texts).coalesce(1), P.path("byte_bpe_50k.json"), table_size=2)
+    assert set(got) == {" late", " w"}  # behind the first 2,000 texts and 1,000 words
+    counts = {r["piece"]: r["c"] for r in token_counts.piece_counts(frame(spark, texts)).collect()}
+    assert counts[" late"] >= 15_000 and "z" * 1_000 not in counts
+
+
 def test_token_count_query(spark):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{ROOT}/documents.parquet'").fetchall())
