@@ -1,7 +1,8 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Every task turns its documents into one run: digests in order, with the smallest id and the number
-of rows of each. With ``fan_in ** rounds`` leaves, round j brings together the leaves that differ
+of rows of each. A task's leaf is its number modulo the leaves, so that leaves are right whatever the number
+of tasks is. With ``fan_in ** rounds`` leaves, round j brings together the leaves that differ
 only in digit j of their number: each sends every partner the slice of its run whose digest falls
 to that partner, keeps its own slice, and merges what it gets in one multiway merge (with a fan-in
 of two these are the exchanges of a binomial tree). Each merge keeps the smallest id of a digest
@@ -87,7 +88,7 @@ def to_batch(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
 
 def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """Groups of equal digests: digest, keep_id, group_size. ``rows`` is a stored table of digests."""
-    parts, rounds = rows.rdd.getNumPartitions(), 0
+    parts, rounds = rows.rdd.getNumPartitions(), 1  # the scan may turn out to have more; leaves then get several runs
     while fan_in**rounds < parts:
         rounds += 1
     leaves = fan_in**rounds
@@ -103,9 +104,9 @@ def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
             new["rows"] = 1
             new["size"] = batch.column("n_bytes").to_numpy(zero_copy_only=False)
             run = merge(np.concatenate([run, merge(new)]))
-        leaf = TaskContext.get().partitionId()
+        leaf = TaskContext.get().partitionId() % leaves
         if len(run):
-            yield to_batch(list(dealt(run, leaf, 0, fan_in, leaves)) if rounds else [(0, run)])
+            yield to_batch(list(dealt(run, leaf, 0, fan_in, leaves)))
 
     def exchange(digit: int):
         def merged(runs: pa.Table) -> pa.Table:

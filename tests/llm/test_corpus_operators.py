@@ -91,6 +91,20 @@ def test_exact_dedup(spark, fan_in):
     )
 
 
+@pytest.mark.parametrize("planned", [1, 2, 7])
+def test_exact_dedup_when_the_scan_has_more_tasks_than_planned(spark, planned):
+    rows = exact_dedup.digests(frame(spark, [(i, f"t{i % 20}") for i in range(200)])).repartition(24)
+
+    class Planned:
+        class rdd:
+            getNumPartitions = staticmethod(lambda: planned)
+
+        mapInArrow = staticmethod(rows.mapInArrow)
+
+    got = exact_dedup.tree_merge(Planned, fan_in=2).collect()
+    assert sorted((r["keep_id"], r["group_size"]) for r in got) == [(i, 10) for i in range(20)]
+
+
 def test_merge_verifies_lengths():
     run = np.zeros(2, exact_dedup.ENTRY)
     run["digest"], run["size"] = b"x" * 32, [1, 2]
