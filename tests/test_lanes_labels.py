@@ -51,6 +51,14 @@ def test_filing_and_fund_files(spark, tmp_path):
     assert got == [(12, 100_000.0, 50.0, 5.1e9), (13, 1e6, 51.0, 5.2e9), (14, 2e3, 7.0, 1e6)]
 
 
+def test_wide_fund_files(spark, tmp_path):
+    pad, cells = ",".join(f"x{i}" for i in range(90)), ",".join("0" for _ in range(90))
+    (tmp_path / "wide.csv").write_text(f"{pad},Date,Shares Outstanding,NAV,Net Assets\n{cells},5/12/2026,1M,50,5.1B\n")
+    (tmp_path / "narrow.csv").write_text("NAV,Net Assets,Sho,Date\n7,1M,2K,5/14/2026\n")
+    got = sorted((x.as_of.day, x.shares_outstanding, x.nav, x.aum) for x in feeds.read_fund_csv(spark, str(tmp_path)).collect())
+    assert got == [(12, 1e6, 50.0, 5.1e9), (14, 2e3, 7.0, 1e6)]
+
+
 def test_header_spellings():
     aliases = {"shares": ("shares", "quantity"), "cost_basis": ("cost basis", "cost")}
     assert feeds.assign_columns(["Quantity", "SHARES ", "Cost_Basis", "Cost", "other"], aliases) == {"shares": "SHARES ", "cost_basis": "Cost_Basis"}
