@@ -4,9 +4,9 @@ A clause is read as symbols: insult, threat, target, negation, reporting verb, o
 transducers rewrite them and are composed into one machine: negation turns insults in its scope
 into negated ones, reported speech marks insults and threats up to the clause's end, and a target
 nearby turns an insult or threat into a directed one (the same machine also reads the clause from
-the right, for targets that follow). Every rewritten symbol carries the product of the weights of
-the arcs it took, so what is scored are matched clauses: a bare insult counts, a directed one
-more, a negated or reported one apart. A logistic regression of the clause sums gives the score.
+the right, for targets that follow; a threat's target may stand further off). Every rewritten symbol carries the product of the weights of
+the arcs it took, so what is scored are matched clauses: a bare insult or threat counts by its
+learned weight, a directed one more, a negated or reported one apart. A logistic regression of the clause sums gives the score.
 
 The insult transducer's lexicon is a fixed list plus words and stems learned from labels. At most
 ``MAX_LABELLED`` labelled rows are used (chosen by hashes of their ids, one per
@@ -104,7 +104,7 @@ LEFT = (
     .then(to_end(REPORT, {INSULT: (REPORTED, 0.4), THREAT: (REPORTED, 0.4), NEGATED: (REPORTED, 0.5)}), SYMBOLS)
     .then(scope(TARGET, 4, {INSULT: (DIRECTED, 1.5), THREAT: (MENACE, 2.0)}), SYMBOLS)
 )
-RIGHT = scope(TARGET, 2, {INSULT: (DIRECTED, 1.5), THREAT: (MENACE, 2.0)})
+RIGHT = scope(TARGET, 2, {INSULT: (DIRECTED, 1.5), THREAT: (MENACE, 2.0)}).then(scope(TARGET, 6, {THREAT: (MENACE, 2.0)}), SYMBOLS)
 
 
 def read_clause(symbols: list[str]) -> list[tuple[str, float]]:
@@ -151,12 +151,12 @@ class Lexicon:
         symbol = self.fixed.get(word)
         if symbol is not None and symbol not in (INSULT, THREAT):
             return symbol, 0.0
-        if symbol == THREAT:
-            return THREAT, 1.0
         best = self.weight(word, label)
         for entry in stems(word):
             if entry in self.counts:
                 best = max(best, self.weight(entry, label))
+        if symbol == THREAT:
+            return THREAT, best
         return (INSULT, best) if best else (OTHER, 0.0)
 
 
@@ -188,7 +188,9 @@ def text_features(text: str, lexicon: Lexicon, known: dict, label: int | None =
         words = [lexicon.look_up(w, label) for w in WORD.findall(clause)]
         score = 0.0
         for (symbol, factor), (was, weight) in zip(read_clause([s for s, _ in words]), words):
-            if was in (INSULT, THREAT) and (was == INSULT or symbol == MENACE):
+            if symbol == MENACE:
+                weight = max(weight, 1.0)  # a directed threat counts whatever was learned
+            if was in (INSULT, THREAT) and weight:
                 kind = "aside" if symbol in (NEGATED, REPORTED) else "directed" if symbol in (DIRECTED, MENACE) else "plain"
                 sums[kind] += weight * factor
                 score += weight * factor
@@ -230,7 +232,7 @@ def learn_lexicon(train: DataFrame, most: int = MAX_LEXICON) -> Lexicon:
     counted = train.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)) - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     useful = counted.where((F.col("pos") >= MIN_SUPPORT) & (odds >= MIN_WEIGHT)).orderBy((odds * F.col("pos")).desc(), "entry").limit(most)
-    fixed = counted.where(F.col("entry").isin(list(INSULTS)))
+    fixed = counted.where(F.col("entry").isin(INSULTS + THREATS))
     return Lexicon({r["entry"]: (r["pos"], r["neg"]) for r in useful.unionByName(fixed).collect()}, n_pos, n_neg)
 
 

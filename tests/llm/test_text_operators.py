@@ -217,6 +217,15 @@ def test_clauses():
     assert toxicity.read_clause(list("YI"))[1][1] > toxicity.read_clause(list("oI"))[1][1] > toxicity.read_clause(list("NI"))[1][1]
 
 
+def test_threats_without_a_target_nearby():
+    read = lambda s: "".join(o for o, _ in toxicity.read_clause(list(s)))
+    assert read("TooooY") == "MooooY" and read("IooooY") == "IooooY" and read("NTo") == "Nno"
+    features = lambda text, **counts: toxicity.text_features(text, toxicity.Lexicon(counts, 100, 900), {})
+    assert features("kill every last one of you")[1] > 0
+    assert features("we will murder all those people", murder=(20, 2))[0] > 0
+    assert not any(features("beat all those eggs", beat=(2, 60)))  # labels decide
+
+
 def test_toxicity_held_out(spark):
     root = "/root/testdata/sf0.01"
     docs, labels = queries.table(spark, root, "documents"), queries.table(spark, root, "labels")
