@@ -13,8 +13,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; only a session without one gets a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-llm-")
+    """A new folder below the one that the cluster shares; only local mode may make its own."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context._jsc.sc().getCheckpointDir().get()
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-llm-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,10 +5,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, log_bilinear, packing, quality, simhash, token_counts, toxicity, urls, warc
+from . import bpe, exact_dedup, log_bilinear, merkle, packing, quality, simhash, token_counts, toxicity, urls, warc
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def op1_warc_revisits(spark: SparkSession, root: str) -> DataFrame:
@@ -59,6 +60,11 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_groups(table(spark, root, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    return merkle.manifest(table(spark, root, "documents"), LEAF_FIELDS, tampered={"text": merkle.lower_ascii(F.col("text"))}, where=hit)
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_byte_bpe": op2_byte_bpe,
@@ -70,9 +76,57 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_log_bilinear": op9_log_bilinear,
     "op10_simhash": op10_simhash,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
+def _merkle_sql(levels: int = 9) -> str:
+    """Levels unrolled: as many as ``8 ** levels`` leaves a branch need."""
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in fields) + "))"
+
+    def tree(name: str, source: str) -> list[str]:
+        parts = [f"{name}0 AS (SELECT g, place, h, count(*) OVER (PARTITION BY g) AS n FROM {source})"]
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT g, place // 8 AS place, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE max(h) END AS h,"
+                f" CASE WHEN max(n) > 1 THEN (max(n) + 7) // 8 ELSE 1 END AS n FROM {name}{k} GROUP BY g, place // 8)"
+            )
+        return parts
+
+    def climb(name: str, node: str, k: int) -> str:
+        """Siblings of the node at level k of each row, and the hash of its run with ``node`` in its place."""
+        side = f"PARTITION BY g, place // 8 ORDER BY place ROWS BETWEEN"
+        return (
+            f"SELECT g, place, n, coalesce(string_agg(h, '') OVER ({side} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,"
+            f" coalesce(string_agg(h, '') OVER ({side} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k}"
+        )
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = [
+        "bytes AS (SELECT DISTINCT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS l FROM documents WHERE doc_id IS NOT NULL)",
+        """crcs AS (SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, l), lambda c, b:
+            list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) AS crc FROM bytes)""",
+        f"""docs AS (SELECT doc_id, lang AS g, {leaf('text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {leaf('text')} END AS start
+            FROM documents LEFT JOIN crcs USING (doc_id))""",
+        "leaves AS (SELECT coalesce('=' || g, '') AS g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, leaf AS h, doc_id, start FROM docs)",
+        *tree("l", "leaves"),
+        f"roots AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS place, h, g AS name FROM l{levels})",
+        *tree("t", "roots"),
+        "path0 AS (SELECT g, place AS at, h AS leaf, doc_id, start AS node, '' AS proof FROM leaves)",
+    ]
+    step = "CASE WHEN s.n > 1 THEN sha256(s.b || p.node || s.a) ELSE p.node END AS node, CASE WHEN s.n > 1 THEN p.proof || s.b || s.a ELSE p.proof END AS proof"
+    for k in range(levels):
+        parts.append(f"path{k + 1} AS (SELECT p.g, p.at // 8 AS at, p.leaf, p.doc_id, {step} FROM path{k} p JOIN ({climb('l', 'node', k)}) s ON p.g = s.g AND p.at = s.place)")
+    parts.append(f"up0 AS (SELECT p.g, r.place AS at, p.leaf, r.h AS subroot, p.doc_id, p.node, p.proof FROM path{levels} p JOIN roots r ON p.g = r.name)")
+    for k in range(levels):
+        parts.append(f"up{k + 1} AS (SELECT p.g, p.at // 8 AS at, p.leaf, p.subroot, p.doc_id, {step} FROM up{k} p JOIN ({climb('t', 'node', k)}) s ON p.at = s.place)")
+    last = f"SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = h AS verified FROM up{levels}, t{levels}"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 def _names(terms) -> str:
     return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
 
@@ -90,6 +144,7 @@ SQL = {
                CASE WHEN page_id = first AND k = 1 THEN NULL ELSE first END AS refers_to
         FROM ranked
     """,
+    "op13_merkle_manifest": _merkle_sql(),
     "op5_exact_dedup": """
         WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, text_sha256,
