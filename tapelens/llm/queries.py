@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, log_bilinear, merkle, packing, quality, simhash, token_counts, toxicity, urls, warc
+from . import bpe, exact_dedup, log_bilinear, merkle, packing, quality, ranking, simhash, token_counts, toxicity, urls, warc
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_groups(table(spark, root, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     return merkle.manifest(table(spark, root, "documents"), LEAF_FIELDS, tampered={"text": merkle.lower_ascii(F.col("text"))}, where=hit)
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_log_bilinear": op9_log_bilinear,
     "op10_simhash": op10_simhash,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -144,6 +149,29 @@ SQL = {
                CASE WHEN page_id = first AND k = 1 THEN NULL ELSE first END AS refers_to
         FROM ranked
     """,
+    "op11_ranked_search": """
+        WITH low AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS line, text FROM documents
+            UNION ALL SELECT 'q', item_id, row_number() OVER (), text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        words AS (
+            SELECT kind, id, line, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM low
+        ),
+        postings AS (SELECT id, line, term, count(*) AS tf FROM words WHERE kind = 'd' GROUP BY ALL),
+        lengths AS (SELECT line, sum(tf)::BIGINT AS n FROM postings GROUP BY line),
+        corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+        weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus),
+        asked AS (SELECT id AS item_id, line AS item, term, count(*) AS n FROM words WHERE kind = 'q' GROUP BY ALL),
+        scored AS (
+            SELECT item_id, item, id AS doc_id, p.line,
+                   sum(a.n * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * l.n * docs) // terms))))::BIGINT AS score
+            FROM asked a JOIN weights USING (term) JOIN postings p USING (term) JOIN lengths l ON l.line = p.line, corpus
+            GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) <= 10
+    """,
     "op13_merkle_manifest": _merkle_sql(),
     "op5_exact_dedup": """
         WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
