@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, scratch, stored, text_bytes
 
-SHARD_BYTES, SHARD_DOCS, BLOCK = 24 << 20, 1 << 15, 128
+SHARD_BYTES, SHARD_DOCS, BLOCK = 12 << 20, 1 << 15, 128
 #: Items that meet a shard together.
 ITEMS = 1000
 #: Fixed values of the score: saturation and length share in eighths and hundredths.
@@ -157,7 +157,7 @@ class Shard:
     """One stored shard, opened for search."""
 
     def __init__(self, row: dict, documents: int, terms: int):
-        self.place = {t: k for k, t in enumerate(row["vocabulary"].split())}
+        self.place = {t: k for k, t in enumerate(row["vocabulary"].to_pybytes().split())}
         df = np.frombuffer(row["df"], "<u4").astype(np.int64)
         self.first = np.r_[0, np.cumsum((df + BLOCK - 1) // BLOCK)]
         self.ids, self.blank = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["blank"], "u1") == 1
@@ -275,12 +275,13 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     dealt = shards.drop("docs", "terms").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
 
+    parts = [c for c in shards.columns if c not in ("docs", "terms")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                shard = Shard(one, documents, terms)
-                found = [(q["item"], q["item_id"], *hit) for q in one["items"] for hit in shard.search([(p["term"], p["weight"]) for p in q["parts"]], k)]
+                shard = Shard({c: batch.column(c)[row].as_buffer() for c in parts}, documents, terms)
+                found = [(q["item"], q["item_id"], *hit) for q in batch.column("items")[row].as_py() for hit in shard.search([(p["term"], p["weight"]) for p in q["parts"]], k)]
                 columns = list(zip(*found)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
@@ -288,7 +289,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
                 )
 
     blocks = F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))
-    met = dealt.withColumn("block", F.explode(blocks)).join(copies, ["block", "salt"])
+    met = dealt.withColumn("block", F.explode(blocks)).join(copies.hint("shuffle_hash"), ["block", "salt"])
     heaps = met.mapInArrow(run, "item string, item_id long, doc_id long, score long")
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
