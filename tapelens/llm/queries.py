@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, log_bilinear, merkle, packing, quality, ranking, simhash, token_counts, toxicity, urls, warc
+from . import bpe, exact_dedup, log_bilinear, merkle, packing, quality, ranking, repeats, simhash, token_counts, toxicity, urls, warc
 from .common import table
 
 URL_RULES = urls.UrlRules(rules=(("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
@@ -64,6 +64,17 @@ def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
     return ranking.rank_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    clean = repeats.remove_repeats(table(spark, root, "documents"))
+    return clean.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("span_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     return merkle.manifest(table(spark, root, "documents"), LEAF_FIELDS, tampered={"text": merkle.lower_ascii(F.col("text"))}, where=hit)
@@ -81,6 +92,7 @@ QUERIES = {
     "op9_log_bilinear": op9_log_bilinear,
     "op10_simhash": op10_simhash,
     "op11_ranked_search": op11_ranked_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -172,6 +184,26 @@ SQL = {
         FROM scored WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) <= 10
     """,
+    "op12_suffix_dedup": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS line, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ),
+        grams AS (SELECT line, k, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT line, k, h, unnest(range(length(h) // 2 - 49)) AS p FROM docs)),
+        least AS (SELECT s, min(k) AS k FROM grams GROUP BY s),
+        hits AS (SELECT g.line, g.p, coalesce(g.p - lag(g.p) OVER (PARTITION BY g.line ORDER BY g.p) > 50, true) AS fresh
+            FROM grams g JOIN least USING (s) WHERE least.k < g.k),
+        numbered AS (SELECT line, p, sum(fresh::INTEGER) OVER (PARTITION BY line ORDER BY p) AS i FROM hits),
+        spans AS (SELECT line, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY line, i),
+        pieces AS (SELECT line, a, b, lag(b, 1, 0) OVER (PARTITION BY line ORDER BY a) AS before FROM spans),
+        kept AS (
+            SELECT line, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+                   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h
+            FROM pieces JOIN docs USING (line) GROUP BY line
+        )
+        SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+        FROM docs d LEFT JOIN kept k USING (line)
+    """,
     "op13_merkle_manifest": _merkle_sql(),
     "op5_exact_dedup": """
         WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
