@@ -30,7 +30,7 @@ import numpy as np
 
 CHUNK, MEMORY, BASE = 1 << 18, 48 << 20, 1 << 21
 #: Bytes of a growing array that stay in memory.
-SMALL = 8 << 20
+SMALL = 32 << 20
 
 
 def spill_folder() -> str | None:
@@ -430,7 +430,7 @@ def star_order(text: np.ndarray, cap: int, base: int) -> tuple[np.ndarray, np.nd
 def suffix_sort(text: np.ndarray, cap: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``text`` (non-negative integers) and the prefixes shared with the suffix before, up to ``cap`` (below 255)."""
     n = len(text)
-    order, shared = room(n, np.int64), room(n + 1, np.uint8)
+    order, shared = room(n, np.uint32 if n < 1 << 32 else np.int64), room(n + 1, np.uint8)
     if not n:
         return order, shared[:0]
     scan = Inducer(text, cap)

@@ -51,7 +51,7 @@ UNITS = "ids binary, sizes binary, texts binary, bytes long"
 
 
 def pack(raw) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(bytes(raw))
+    return zstandard.ZstdCompressor(level=6).compress(bytes(raw))
 
 
 def unpack(raw) -> bytes:
@@ -237,9 +237,9 @@ def segments(units: DataFrame, shards: int, length: int, gram: int) -> DataFrame
             for part in np.split(order, first[1:]):
                 out["shard"].append(int(home[part[0]]))
                 out["unit"].append(row["unit"])
-                out["numbers"].append(part.astype("<u4").tobytes())
-                out["sizes"].append(np.array([len(texts[k]) for k in part.tolist()], "<u4").tobytes())
-                out["least"].append(least[part].astype("<i8").tobytes())
+                out["numbers"].append(pack(np.diff(part, prepend=0).astype("<u4")))
+                out["sizes"].append(pack(np.array([len(texts[k]) for k in part.tolist()], "<u4")))
+                out["least"].append(pack(least[part].astype("<i8")))
                 out["texts"].append(pack(b"".join([texts[k] for k in part.tolist()])))
             yield pa.RecordBatch.from_pydict(out, schema)
 
@@ -257,8 +257,8 @@ class Shard:
         self.low: list[int] = []
 
     def add(self, row: dict):
-        numbers, least = np.frombuffer(row["numbers"], "<u4"), np.frombuffer(row["least"], "<i8")
-        ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64)).tolist()
+        numbers, least = np.cumsum(np.frombuffer(unpack(row["numbers"]), "<u4")), np.frombuffer(unpack(row["least"]), "<i8")
+        ends = np.cumsum(np.frombuffer(unpack(row["sizes"]), "<u4").astype(np.int64)).tolist()
         raw, place, a = unpack(row["texts"]), np.empty(len(numbers), np.int64), 0
         for k, (b, low) in enumerate(zip(ends, least.tolist())):
             at = self.known.setdefault(raw[a:b], len(self.known))
