@@ -341,7 +341,7 @@ class Shard:
             yield unit, pack(out.tobytes())
 
 
-def earliest(parts: DataFrame, length: int) -> DataFrame:
+def earliest(parts: DataFrame, shards: int, length: int) -> DataFrame:
     """unit, runs: what the shards say about the unit's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +351,7 @@ def earliest(parts: DataFrame, length: int) -> DataFrame:
         for unit, runs in shard.answers(length):
             yield pa.RecordBatch.from_pydict({"unit": [unit], "runs": [runs]})
 
-    answered = parts.repartition("shard").mapInArrow(run, "unit long, runs binary")
+    answered = parts.repartitionById(shards, "shard").mapInArrow(run, "unit long, runs binary")
     return answered.groupBy("unit").agg(F.collect_list("runs").alias("runs"))
 
 
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     shares = max(1, math.ceil(size / SHARE))
     answers = stored(shared_minimisers(units, shares, length, gram), folder, "answers")
     parts = segments(units.drop("bytes", "blank").join(answers.hint("shuffle_hash"), "unit"), shares, length, gram)
-    runs = stored(earliest(parts, length), folder, "runs")
+    runs = stored(earliest(parts, shares, length), folder, "runs")
     told = answers.join(runs, "unit", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
 
