@@ -11,8 +11,9 @@ id. Strings are judged on the input, overlaps count, matches stay inside documen
 3. Neighbouring strings with one shared minimiser form a segment. A unit sends each distinct
    segment, with its smallest id, to the shard of its minimiser: so all occurrences of a string
    meet in one shard, whole.
-4. A shard writes its distinct segments behind each other and sorts all suffixes by external induced
-   sorting (``induced``). Suffixes that share ``length`` bytes are neighbours; the smallest id of
+4. Where all units have one and the same segment for a minimiser, its strings are in no other
+   segment and its smallest id is known. All other segments of a shard are written behind each other
+   and all their suffixes sorted by external induced sorting (``induced``). Suffixes that share ``length`` bytes are neighbours; the smallest id of
    each such group goes back to the units as runs.
 5. A unit marks what a smaller id has, and returns texts without it.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import quoted, scratch, stored, text_bytes
 from .induced import CHUNK, Spool, room, suffix_sort
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 UNIT = 12 << 20
 #: Bytes of text for each owner of hashes and shard of segments.
 SHARE = 12 << 20
@@ -87,6 +88,12 @@ def units_of(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFr
     return stored(picked.mapInArrow(run, "blank binary, " + UNITS).withColumn("unit", F.monotonically_increasing_id()), folder, "units")
 
 
+def six_bytes(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0]
+
+
 def mixed(text: np.ndarray, at: int, count: int, gram: int) -> np.ndarray:
     """Hashes of the pieces that start at ``at`` and after it; ``text`` has 8 bytes to spare."""
     words = np.lib.stride_tricks.as_strided(text[at : at + 8].view("<u8"), (count + gram,), (1,))
@@ -194,10 +201,8 @@ def shared_minimisers(units: DataFrame, owners: int, length: int, gram: int) ->
     def answer(asked: pa.Table) -> pa.Table:
         hashes, several = [], []
         for h, s in zip(asked.column("hashes").to_pylist(), asked.column("several").to_pylist()):
-            wide = np.zeros((len(h) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
-            hashes.append(wide.view("<u8")[:, 0])
-            several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(wide)))
+            hashes.append(six_bytes(h))
+            several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(hashes[-1])))
         sizes = [len(h) for h in hashes]
         order = np.argsort(np.concatenate(hashes), kind="stable")
         sorted_ = np.concatenate(hashes)[order]
@@ -222,7 +227,7 @@ def bits_of(answers: list[dict] | None) -> np.ndarray:
 
 def segments(units: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """shard, unit and the unit's segments there: numbers, sizes, smallest ids, texts."""
-    schema = pa.schema([("shard", pa.int32()), ("unit", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary()), ("texts", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("unit", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("least", pa.binary()), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -239,34 +244,37 @@ def segments(units: DataFrame, shards: int, length: int, gram: int) -> DataFrame
                 out["unit"].append(row["unit"])
                 out["numbers"].append(pack(np.diff(part, prepend=0).astype("<u4")))
                 out["sizes"].append(pack(np.array([len(texts[k]) for k in part.tolist()], "<u4")))
+                out["values"].append(np.ascontiguousarray(value[part]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 out["least"].append(pack(least[part].astype("<i8")))
                 out["texts"].append(pack(b"".join([texts[k] for k in part.tolist()])))
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return units.mapInArrow(run, "shard int, unit long, numbers binary, sizes binary, least binary, texts binary")
+    return units.mapInArrow(run, "shard int, unit long, numbers binary, sizes binary, values binary, least binary, texts binary")
 
 
 class Shard:
-    """Segments of one shard, written behind each other, and who asked for them."""
+    """Segments of one shard, and who asked for them."""
 
     def __init__(self):
-        self.text, self.begins, self.least = Spool(np.uint16), Spool(np.int64), Spool(np.int64)
+        self.raw, self.sizes, self.values, self.least = Spool(np.uint8), Spool(np.int64), Spool(np.uint64), Spool(np.int64)
         self.asked = Spool(np.dtype([("number", "<u4"), ("place", "<i8"), ("least", "<i8")]))
         self.rows: list[tuple[int, int]] = []
         self.known: dict[bytes, int] = {}
         self.low: list[int] = []
+        self.seen: list[int] = []
 
     def add(self, row: dict):
         numbers, least = np.cumsum(np.frombuffer(unpack(row["numbers"]), "<u4")), np.frombuffer(unpack(row["least"]), "<i8")
         ends = np.cumsum(np.frombuffer(unpack(row["sizes"]), "<u4").astype(np.int64)).tolist()
         raw, place, a = unpack(row["texts"]), np.empty(len(numbers), np.int64), 0
-        for k, (b, low) in enumerate(zip(ends, least.tolist())):
+        for k, (b, low, value) in enumerate(zip(ends, least.tolist(), six_bytes(row["values"]).tolist())):
             at = self.known.setdefault(raw[a:b], len(self.known))
             if at == len(self.low):
                 self.low.append(low)
+                self.seen.append(value)
             elif low < self.low[at]:
                 self.low[at] = low
-            place[k], a = at + self.begins.n, b
+            place[k], a = at + self.sizes.n, b
         asked = np.zeros(len(numbers), self.asked.dtype)
         asked["number"], asked["place"], asked["least"] = numbers, place, least
         self.asked.append(asked)
@@ -275,23 +283,46 @@ class Shard:
             self.write()
 
     def write(self):
-        """Text of the segments seen since the last time: bytes plus one, a zero behind each."""
-        sizes = np.fromiter(map(len, self.known), np.int64, len(self.known))
-        ends = np.cumsum(sizes + 1)
-        symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
-        inside = np.ones(len(symbols), bool)
-        inside[ends - 1] = False
-        symbols[inside] = np.frombuffer(b"".join(self.known), np.uint8).astype(np.uint16) + 1
-        self.begins.append(self.text.n + ends - sizes - 1)
-        self.text.append(symbols)
+        """Put down the distinct segments seen since the last time."""
+        self.sizes.append(np.fromiter(map(len, self.known), np.int64, len(self.known)))
+        self.raw.append(np.frombuffer(b"".join(self.known), np.uint8))
+        self.values.append(np.array(self.seen, np.uint64))
         self.least.append(np.array(self.low, np.int64))
-        self.known, self.low = {}, []
-
-    def smallest(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of equal smallest ids over the strings of each segment: first run of each, start, count, id."""
-        text, begins, least = self.text.array(), self.begins.array(), self.least.array()
+        self.known, self.low, self.seen = {}, [], []
+
+    def contested(self) -> np.ndarray:
+        """Of each segment: does another one have its minimiser? In passes over so many values at a time."""
+        values = self.values.array()
+        out, passes = room(len(values), bool, False), len(values) // (1 << 20) + 1
+        for p in range(passes):
+            at = np.flatnonzero(np.asarray(values) % np.uint64(passes) == p)
+            found, which, count = np.unique(values[at], return_inverse=True, return_counts=True)
+            out[at] = (count > 1)[which]
+        return out
+
+    def smallest(self, length: int, contested: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of equal smallest ids over the strings of each contested segment: first run of each, start, count, id.
+
+        Text of the sorter: bytes plus one, a zero behind each segment.
+        """
+        sizes, raw, low_ids = self.sizes.array(), self.raw.array(), self.least.array()
+        spool, starts_at, owners, n, at = Spool(np.uint16), Spool(np.int64), Spool(np.int64), 0, 0
+        for k in range(0, len(sizes), 1 << 14):
+            size, chosen = np.asarray(sizes[k : k + (1 << 14)]), np.asarray(contested[k : k + (1 << 14)])
+            total = int(size.sum())
+            mine = np.asarray(raw[at : at + total])[np.repeat(chosen, size)]
+            at += total
+            ends = np.cumsum(size[chosen] + 1)
+            symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
+            inside = np.ones(len(symbols), bool)
+            inside[ends - 1] = False
+            symbols[inside] = mine.astype(np.uint16) + 1
+            spool.append(symbols)
+            starts_at.append(n + ends - size[chosen] - 1)
+            owners.append(np.asarray(low_ids[k : k + (1 << 14)])[chosen])
+            n += len(symbols)
+        text, begins, least = spool.array(), starts_at.array(), owners.array()
         order, shared = suffix_sort(text, length)
-        n = len(text)
         group, low = -1, room(n, np.int64, NO_ID)
         for k in range(0, n, CHUNK):
             owner = least[np.searchsorted(begins, order[k : k + CHUNK], "right") - 1]
@@ -325,20 +356,27 @@ class Shard:
         self.write()
         if not self.rows:
             return
-        firsts, starts, counts, values = self.smallest(length)
-        asked, at = self.asked.array(), 0
+        contested = self.contested()
+        rank = np.cumsum(contested) - 1
+        firsts, starts, counts, values = self.smallest(length, contested)
+        asked, sizes, least, at = self.asked.array(), self.sizes.array(), self.least.array(), 0
         for unit, n in self.rows:
             part = np.asarray(asked[at : at + n])
             at += n
-            lo, many = firsts[part["place"]], firsts[part["place"] + 1] - firsts[part["place"]]
+            sure = part[~contested[part["place"]]]
+            sure = sure[least[sure["place"]] != sure["least"]]
+            alone = np.zeros(len(sure), RUN)
+            alone["segment"], alone["count"], alone["id"] = sure["number"], sizes[sure["place"]] - length + 1, least[sure["place"]]
+            part = part[contested[part["place"]]]
+            lo = firsts[rank[part["place"]]]
+            many = firsts[rank[part["place"]] + 1] - lo
             tells = (many > 1) | (values[lo] != part["least"])
             part, lo, many = part[tells], lo[tells], many[tells]
-            if not len(part):
-                continue
             run = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             out = np.zeros(len(run), RUN)
             out["segment"], out["at"], out["count"], out["id"] = np.repeat(part["number"], many), starts[run], counts[run], values[run]
-            yield unit, pack(out.tobytes())
+            if len(out) or len(alone):
+                yield unit, pack(np.concatenate([alone, out]).tobytes())
 
 
 def earliest(parts: DataFrame, shards: int, length: int) -> DataFrame:
