@@ -41,7 +41,7 @@ from .common import quoted, scratch, stored, text_bytes
 from .induced import CHUNK, Spool, room, suffix_sort
 
 LENGTH, GRAM = 50, 20
-UNIT = 12 << 20
+UNIT = 6 << 20
 #: Bytes of text for each owner of hashes and shard of segments.
 SHARE = 12 << 20
 #: Distinct segments that a shard compares in memory while it reads.
