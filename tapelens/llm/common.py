@@ -85,6 +85,9 @@ def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
 
 def slices(items: list, weight: Callable = len, most: int = 1 << 21) -> Iterator[list]:
     """Cut a batch into lists of about ``most`` bytes, so that the Python objects made from one stay few."""
+    if items and sum(map(weight, items)) <= most:
+        yield items
+        return
     part: list = []
     size = 0
     for item in items:

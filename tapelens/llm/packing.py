@@ -50,7 +50,7 @@ class Words:
     first, unless the text then holds the string of a special token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,8 +62,8 @@ class Words:
         self.lower = any(x["type"] == "Lowercase" for x in normalizer.get("normalizers", [normalizer]) if x)
         self.special = [x.content.lower().encode() for x in model.get_added_tokens_decoder().values()]
         self.splits = self.lower and SPLIT in json.dumps(json.loads(model.to_str())["pre_tokenizer"])
-        self.stems = Cache(lambda words: [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)], CACHE_SIZE // 2)
-        self.cache = Cache(self.make, CACHE_SIZE)
+        self.stems = Cache(lambda words: [array("I", x.ids).tobytes() for x in batch([w.decode() for w in words], add_special_tokens=False)], cache_words // 2)
+        self.cache = Cache(self.make, cache_words)
 
     def make(self, words: list[bytes]) -> list[bytes]:
         """Ids of words; where the pre-tokenizer cuts between letters and marks, both are looked up alone."""
@@ -81,8 +81,8 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
-    return Words(path)
+def words_of(path: str, cache_words: int = CACHE_SIZE) -> Words:
+    return Words(path, cache_words)
 
 
 def tokenize(text: bytes, words: Words, end_id: int) -> bytes:
@@ -193,16 +193,17 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, path: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_SIZE
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens, sequence_id,
-    offset, sequence_tokens, tier, step_group. Sequences are full: their tokens are a power of two."""
+    offset, sequence_tokens, tier, step_group. Sequences are full: their tokens are a power of two.
+    ``cache_words`` bounds the words that a worker remembers."""
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path)
+        words = words_of(path, cache_words)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 36)
         schema = None
 

@@ -44,7 +44,7 @@ def op6_quality_rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    pieces = packing.pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, cache_words=1_000_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
 
 
