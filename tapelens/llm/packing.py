@@ -50,7 +50,7 @@ class Words:
     first, unless the text then holds the string of a special token.
     """
 
-    def __init__(self, path: str, cache_words: int):
+    def __init__(self, path: str, cache_words: int = CACHE_SIZE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
