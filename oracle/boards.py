@@ -1,6 +1,5 @@
 """Statements for provider lanes and report tables."""
-from tapelens.operators.board import STATE_ORDER
-
+from .scores import PILLARS
 from .parts import cte, r, state_case, statement as st, z
 
 N = "CAST(substr(ticker, 7) AS INTEGER)"
@@ -41,13 +40,21 @@ cte("fcomp", f"""
       SELECT ticker, {z('cmf21', '1')} AS zc, {z('obv_slope', '1')} AS zo, {z('etf', '1')} AS ze, {z('block', '1')} AS zb, {z('rvol', '1')} AS zr, {z('short', '1')} AS zs FROM lanes)""")
 cte("lstate", "SELECT s.*, l.etf, l.block FROM last_scored s JOIN lanes l ON s.ticker = l.ticker")
 cte("hev", """
-    SELECT event_type AS lane, printf('U%03d', user_id) AS ticker, NOT (CAST(json_extract(props, '$.k') AS INTEGER) % 10 = 0 AND event_type <> 'view') AS ok, ts FROM events""")
+    SELECT lane, ticker, ok, ts, CASE WHEN ok THEN 'live ok' WHEN k % 20 = 0 THEN 'fallback cache' ELSE 'neutral fallback' END AS mode FROM (
+      SELECT event_type AS lane, printf('U%03d', user_id) AS ticker, CAST(json_extract(props, '$.k') AS INTEGER) AS k, ts,
+             NOT (CAST(json_extract(props, '$.k') AS INTEGER) % 10 = 0 AND event_type <> 'view') AS ok FROM events)""")
 cte("health", """
-    SELECT h.lane, h.total_count, h.healthy_count, h.total_count - h.healthy_count AS warning_count, h.last_completed, s.samples,
-           CASE WHEN h.total_count > h.healthy_count THEN 'warning' ELSE 'healthy' END AS status,
-           CASE WHEN h.total_count > h.healthy_count THEN h.healthy_count || ' live ok / ' || (h.total_count - h.healthy_count) || ' warning' ELSE h.healthy_count || ' live ok' END AS mode
-    FROM (SELECT lane, count(*) AS total_count, count(*) FILTER (ok) AS healthy_count, max(ts) AS last_completed FROM hev GROUP BY 1) h
-    JOIN (SELECT lane, string_agg(ticker, ', ' ORDER BY ticker) AS samples FROM (SELECT DISTINCT lane, ticker FROM hev QUALIFY dense_rank() OVER (PARTITION BY lane ORDER BY ticker) <= 5) GROUP BY 1) s ON s.lane = h.lane""")
+    SELECT *, CASE WHEN total_count > healthy_count THEN 'warning' ELSE 'healthy' END AS status,
+           CASE WHEN warning_count > 0 THEN healthy_count || ' live ok / ' || warning_count || ' warning' ELSE healthy_count || ' live ok' END AS mode,
+           concat_ws('; ', 'last completed ' || strftime(last_completed, '%Y-%m-%d %H:%M:%S') || ' UTC', healthy_count || ' live ok, ' || warning_count || ' warning across ' || total_count || ' tickers',
+             'sample tickers: ' || samples, 'warnings: ' || bad) AS detail FROM (
+      SELECT h.*, s.samples, e.events, e.bad, m.mode_counts, concat_ws(', ', CASE WHEN healthy_count > 0 THEN 'healthy=' || healthy_count END, CASE WHEN warning_count > 0 THEN 'warning=' || warning_count END) AS status_counts
+      FROM (SELECT lane, count(*) AS total_count, count(*) FILTER (ok) AS healthy_count, count(*) FILTER (NOT ok) AS warning_count, max(ts) AS last_completed FROM hev GROUP BY 1) h
+      JOIN (SELECT lane, string_agg(ticker, ', ' ORDER BY t, ticker) AS samples FROM (
+              SELECT lane, ticker, min(ts) AS t FROM hev GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lane ORDER BY min(ts), ticker) <= 5) GROUP BY 1) s USING (lane)
+      JOIN (SELECT lane, string_agg(ticker || ' ' || mode, '; ' ORDER BY ts, ticker, mode) AS events, string_agg(ticker || ' ' || mode, '; ' ORDER BY ts, ticker, mode) FILTER (mode <> 'live ok') AS bad FROM (
+              SELECT * FROM hev QUALIFY row_number() OVER (PARTITION BY lane ORDER BY ts, ticker, mode) <= 5) GROUP BY 1) e USING (lane)
+      JOIN (SELECT lane, string_agg(mode || '=' || n, ', ' ORDER BY mode) AS mode_counts FROM (SELECT lane, mode, count(*) AS n FROM hev GROUP BY 1, 2) GROUP BY 1) m USING (lane))""")
 C = lambda c: f"coalesce({c}, 0)"
 NOTE = {
     "exit": """[CASE WHEN NOT above_30wma THEN 'below 30wMA' END, CASE WHEN coalesce(cmf21, 0) < -0.05 THEN 'CMF ' || printf('%+.2f', cmf21) END, CASE WHEN rrg_quadrant = 'Lagging' THEN 'RRG Lagging' END]""",
@@ -75,14 +82,16 @@ cte("lane_tot", "SELECT (SELECT sum(m) FROM outs) AS o, (SELECT sum(m) FROM ins)
 LIVE = [("etf_flow_5d_pct", "etf", 0.0), ("block_up_ratio", "block", 1.0), ("dark_pool_pct", "dark", 0.4), ("si_delta_15d", "short", 0.0), ("thirteen_f_q", "filing", 0.0)]
 SH = "o.m / greatest(t.o, 0.1) * n.m / greatest(t.i, 0.1)"
 
-STATE_RANK = "list_position([" + ", ".join(f"'{x}'" for x in STATE_ORDER) + "], state)"
+STATE_RANK = "CASE state WHEN 'BEARISH_STAGE_4' THEN 0 WHEN 'EXIT' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'STAGE_1_BASING' THEN 3 WHEN 'HOLD' THEN 4 WHEN 'STAGE_2_BULLISH' THEN 5 ELSE -1 END"
 SORTS = {
     "S_score": "coalesce(s_score, 0)", "F_score": "coalesce(CAST(f_score AS DOUBLE), 0)", "mom_12_1": "coalesce(mom_12_1, 0)",
-    "trend": "coalesce(mom_12_1, 0) * 100 * 0.84 + coalesce(mansfield_rs, 0) * 0.15", "pillar_count": PC, "state": STATE_RANK, "ticker": "ticker",
+    "trend": "coalesce(mom_12_1, 0) * 100 * 0.84 + coalesce(mansfield_rs, 0) * 0.15",
+    "pillar_sum": "round(" + " + ".join(f"coalesce({e}, 0.0)" for _, e in PILLARS) + ", 9)",
+    "state": STATE_RANK, "ticker": "upper(ticker)", "identity": "upper(reverse(ticker) || ' ' || class)",
 }
 SQL = {
     "board_sorts": st(" UNION ALL ".join(
-        f"SELECT '{k}' AS key, {str(d).lower()} AS descending, class, ticker, CAST(row_number() OVER (PARTITION BY class ORDER BY {e} {'DESC' if d else 'ASC'}, ticker DESC) AS INTEGER) AS peer_rank FROM last_scored"
+        f"SELECT '{k}' AS key, {str(d).lower()} AS descending, class, ticker, CAST(row_number() OVER (PARTITION BY class ORDER BY {e} {'DESC' if d else 'ASC'}, coalesce(s_score, 0) {'DESC' if d else 'ASC'}, upper(ticker) {'DESC' if d else 'ASC'}) AS INTEGER) AS peer_rank FROM last_scored"
         for k, e in SORTS.items() for d in (True, False))),
     "block_tape": st(f"SELECT ticker, {r('up_notional=u','down_notional=d','block_up_ratio=CASE WHEN u = 0 AND d = 0 THEN NULL WHEN d = 0 THEN 2.0 ELSE u / d END')} FROM tape_sum"),
     "tick_direction": st("SELECT ticker, seq, CAST(sign(price - pp) AS DOUBLE) AS direction FROM tape"),
@@ -94,9 +103,10 @@ SQL = {
     "flow_composite": st(f"SELECT ticker, {r('F_score=f')} FROM fcomp"),
     "lane_states": st(f"""SELECT ticker, {state_case('(etf IS NOT NULL)', 'etf', '(block IS NOT NULL)', 'block')} AS state,
         greatest(1, CAST(cmf21 >= 0.05 AS INTEGER), CAST(coalesce(etf, 0) >= 0 AS INTEGER), CAST(CASE WHEN coalesce(block, 1) BETWEEN 0 AND 1 THEN coalesce(block, 1) END >= 0.7 AS INTEGER)) = 1 AS confirmed FROM lstate"""),
-    "provider_health": st("SELECT * FROM health"),
+    "provider_health": st("SELECT * EXCLUDE (bad) FROM health"),
     "provider_readiness": st("""SELECT c.lane, label, CASE WHEN stubbed THEN 'info' WHEN missing <> '' THEN 'warning' ELSE coalesce(h.status, 'healthy') END AS status,
-        CASE WHEN stubbed THEN 'stubbed neutral' WHEN missing <> '' THEN 'missing ' || missing ELSE coalesce(h.mode, 'enabled') END AS mode
+        CASE WHEN stubbed THEN 'stubbed neutral' WHEN missing <> '' THEN 'missing ' || missing ELSE coalesce(h.mode, 'enabled') END AS mode,
+        CASE WHEN NOT stubbed AND missing = '' THEN h.detail END AS detail
         FROM (VALUES ('click', 'Clicks', false, ''), ('view', 'Views', false, ''), ('error', 'Errors', true, ''), ('purchase', 'Purchases', false, 'API_KEY'), ('other', 'Other', false, '')) c(lane, label, stubbed, missing)
         LEFT JOIN health h ON h.lane = c.lane"""),
     "action_lists": st("""SELECT kind, ticker, CAST(row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'exit' THEN s_score ELSE -s_score END NULLS LAST, ticker) AS INTEGER) AS position,
@@ -111,8 +121,8 @@ SQL = {
         SELECT count(*) AS instruments, count(*) FILTER (state IN ('EXIT', 'BEARISH_STAGE_4')) AS exits, count(*) FILTER (state = 'WARNING') AS warnings, count(*) FILTER (state IN ('WARNING', 'EXIT', 'BEARISH_STAGE_4')) AS risks,
         count(*) FILTER (state = 'STAGE_2_BULLISH') AS bullish, {r('average_s=avg(coalesce(s_score, 0))','average_f=CAST(0 AS DOUBLE)','breadth=avg(coalesce(breadth_50d, 0))','average_momentum=avg(coalesce(mom_12_1, 0) * 100)')}, count(*) FILTER (coalesce(cmf21, 0) < 0) AS negative_cmf FROM last_scored)"""),
     "flow_cards": st("SELECT class, CAST(0 AS DOUBLE) AS average_f, count(*) FILTER (state IN ('WARNING', 'EXIT', 'BEARISH_STAGE_4')) AS risks, count(*) AS members FROM last_scored GROUP BY 1"),
-    "flow_extremes": st(f"""(SELECT 'outflow' AS side, ticker, {r('reading=coalesce(cmf21, 0)')} FROM last_scored ORDER BY coalesce(cmf21, 0), ticker LIMIT 5)
-        UNION ALL (SELECT 'inflow', ticker, {r('reading=coalesce(cmf21, 0)')} FROM last_scored ORDER BY coalesce(cmf21, 0) DESC, ticker LIMIT 5)"""),
+    "flow_extremes": st(f"""(SELECT 'outflow' AS side, ticker, {r('reading=CAST(coalesce(f_score, 0) AS DOUBLE)')} FROM last_scored ORDER BY coalesce(f_score, 0), ticker LIMIT 5)
+        UNION ALL (SELECT 'inflow', ticker, {r('reading=CAST(coalesce(f_score, 0) AS DOUBLE)')} FROM last_scored ORDER BY coalesce(f_score, 0) DESC, ticker LIMIT 5)"""),
     "quadrant_cube": st("""SELECT CASE WHEN grouping(class) = 1 THEN 'All' ELSE class END AS class, CASE WHEN grouping(q) = 1 THEN 'All' ELSE q END AS quadrant, count(*) AS members
         FROM (SELECT class, coalesce(rrg_quadrant, 'Unknown') AS q FROM last_scored) GROUP BY CUBE (class, q)"""),
     "escalation": st(f"""SELECT ticker, {' + '.join(f'CAST(coalesce({c}, 0) >= 0 AS INTEGER)' for c in ('z1', 'z2', 'z3', 'z4', 'filters'))} + 2 AS supportive,

@@ -158,16 +158,27 @@ cte("un", """
     FROM gblocks WHERE win = 'holdout' GROUP BY 1, 2 HAVING sum(base_n) > 0 AND sum(cand_n) > 0""")
 
 
-def side(n: str, hit: str, seed: int) -> str:
-    return f"""
-      SELECT candidate_id, horizon_weeks, s, sum(CASE WHEN {DRAW.format(n=n)} < {hit} THEN 1 ELSE 0 END) / max({n}) AS rate FROM (
-        SELECT *, (h2 * 48271 + j) % 2147483647 AS h3 FROM (SELECT *, (h1 * h1 + 12345) % 2147483647 AS h2 FROM (
-          SELECT candidate_id, horizon_weeks, {n}, {hit}, s, j, (s * 1000003 + j * 10007 + {seed}) % 2147483647 AS h1
-          FROM (SELECT *, unnest(range({n})) AS j FROM un) CROSS JOIN range(1000) r(s)))) GROUP BY 1, 2, 3"""
-
-
-cte("un_c", side("cn", "ch", 42))
-cte("un_b", side("bn", "bh", 49))
+cte("un_sides", "SELECT candidate_id, horizon_weeks, 1 AS sign, cn AS n, ch AS hit, 42 AS salt FROM un UNION ALL SELECT candidate_id, horizon_weeks, -1, bn, bh, 49 FROM un")
+cte("un_listed", """
+    SELECT candidate_id, horizon_weeks, sign, n, hit, unnest(range(greatest(0, hit - w), least(n, hit + w) + 1)) AS hits FROM (
+      SELECT *, CASE WHEN hit = 0 OR hit = n THEN 0 ELSE CAST(ceil(10 * sqrt(hit * (1 - hit / n))) + 12 AS BIGINT) END AS w FROM un_sides)""")
+K = "PARTITION BY candidate_id, horizon_weeks, sign"
+cte("un_table", f"""
+    SELECT candidate_id, horizon_weeks, sign, u, max(hits) AS hits FROM (
+      SELECT *, CAST(floor(sum(weight) OVER ({K} ORDER BY hits ROWS UNBOUNDED PRECEDING) / sum(weight) OVER ({K}) * 2147483647) AS BIGINT) AS u FROM (
+        SELECT *, exp(total - max(total) OVER ({K})) AS weight FROM (
+          SELECT *, sum(step) OVER ({K} ORDER BY hits ROWS UNBOUNDED PRECEDING) AS total FROM (
+            SELECT *, CASE WHEN hits = min(hits) OVER ({K}) THEN 0.0 ELSE ln((n - hits + 1) / hits * (hit / nullif(n - hit, 0))) END AS step FROM un_listed)))) GROUP BY 1, 2, 3, 4""")
+cte("un_draw", """
+    SELECT *, (h3 * h3) % 2147483647 AS u FROM (SELECT *, (h2 * 48271) % 2147483647 AS h3 FROM (SELECT *, (h1 * h1 + 12345) % 2147483647 AS h2 FROM (
+      SELECT *, (s * 1000003 + salt) % 2147483647 AS h1 FROM un_sides CROSS JOIN range(1000) r(s))))""")
+cte("un_hits", """
+    SELECT d.candidate_id, d.horizon_weeks, d.s, d.sign, d.n, d.hit,
+           CASE WHEN hit = 0 OR hit = n THEN hit ELSE coalesce(least(t.hits + 1, n), l.low) END AS drawn
+    FROM un_draw d ASOF LEFT JOIN un_table t ON d.candidate_id = t.candidate_id AND d.horizon_weeks = t.horizon_weeks AND d.sign = t.sign AND d.u >= t.u
+    JOIN (SELECT candidate_id, horizon_weeks, sign, min(hits) AS low FROM un_table GROUP BY 1, 2, 3) l ON d.candidate_id = l.candidate_id AND d.horizon_weeks = l.horizon_weeks AND d.sign = l.sign""")
+cte("un_d", """
+    SELECT candidate_id, horizon_weeks, s, sum(sign * drawn / n) AS d, sum(sign * hit / n) AS observed, max(n) FILTER (sign = 1) AS cn, max(n) FILTER (sign = -1) AS bn FROM un_hits GROUP BY 1, 2, 3""")
 cte("gprom0", "SELECT m.*, train_hit_rate - baseline_train_hit_rate AS td, holdout_hit_rate - baseline_holdout_hit_rate AS hd, coalesce(lo, 0) AS lo, coalesce(v, 0) AS v FROM gmet m LEFT JOIN b1_ci c ON c.candidate_id = m.candidate_id AND c.horizon_weeks = m.horizon_weeks")
 cte("gprom", """
     SELECT *, CASE WHEN train_cand_n < 40 OR holdout_cand_n < 20 THEN 'thin_sample' WHEN hd <= 0 THEN 'holdout_no_improvement' WHEN NOT (td >= 0 AND hd >= 0) THEN 'fold_unstable'
@@ -201,9 +212,8 @@ SQL = {
     "block_bootstrap": st("""SELECT o.candidate_id, o.horizon_weeks, CAST(block_count AS INTEGER) AS block_count, baseline_count, candidate_count, round(coalesce(obs, 0), 6) + 0.0 AS mean_delta,
         round(coalesce(lo, 0), 6) + 0.0 AS ci_low, round(coalesce(hi, 0), 6) + 0.0 AS ci_high, coalesce(v, 0) AS valid_resamples
         FROM b1_obs o LEFT JOIN b1_ci c ON c.candidate_id = o.candidate_id AND c.horizon_weeks = o.horizon_weeks"""),
-    "unpaired_bootstrap": st("""SELECT u.candidate_id, u.horizon_weeks, round(max(ch / cn - bh / bn), 6) + 0.0 AS mean_delta, round(quantile_cont(c.rate - b.rate, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(c.rate - b.rate, 0.975), 6) + 0.0 AS ci_high,
-        max(cn) AS candidate_sample_count, max(bn) AS baseline_sample_count
-        FROM un u JOIN un_c c ON c.candidate_id = u.candidate_id AND c.horizon_weeks = u.horizon_weeks JOIN un_b b ON b.candidate_id = u.candidate_id AND b.horizon_weeks = u.horizon_weeks AND b.s = c.s GROUP BY 1, 2"""),
+    "unpaired_bootstrap": st("""SELECT candidate_id, horizon_weeks, round(max(observed), 6) + 0.0 AS mean_delta, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high,
+        max(cn) AS candidate_sample_count, max(bn) AS baseline_sample_count FROM un_d GROUP BY 1, 2"""),
     "grid_promotion": st("SELECT candidate_id, horizon_weeks, reason AS rejection_reasons, CASE reason WHEN 'thin_sample' THEN 'do not promote' WHEN 'separate_live_promotion_ticket_required' THEN 'research_candidate' ELSE 'needs more testing' END AS promotion_label FROM gprom"),
     "sector_overrides": st("""SELECT candidate_id, horizon_weeks, sector, round(1 + least(greatest(hd, 0), 0.25), 4) AS sector_weight_multiplier, 'sector_candidate' AS promotion_label, 'separate_reviewed_live_promotion_ticket' AS promotion_requires
         FROM gprom WHERE sector IS NOT NULL AND hd >= 0.05 AND sd / holdout_cand_n - bd / holdout_base_n >= 0 AND td >= 0 AND reason = 'separate_live_promotion_ticket_required'"""),

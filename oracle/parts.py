@@ -97,7 +97,7 @@ cte("decisions", """
     FROM orders""")
 cte("shares_out", """
     SELECT ticker, as_of, shares_outstanding, nav, shares_outstanding * nav AS aum
-    FROM (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS as_of, sum(size) AS shares_outstanding, avg(price) AS nav
+    FROM (SELECT ticker, last_day(date) AS as_of, sum(size) AS shares_outstanding, avg(price) AS nav
           FROM ticks GROUP BY 1, 2)""")
 
 # --- daily windows ----------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import signed
 from .holdings import EXIT_STATES
+from .scoring import PILLARS, WEIGHTS
 from .states import RISK_STATES
 
 # Display order of states and quadrants.
@@ -91,28 +92,44 @@ def full_table(scored: DataFrame, field: str = "S_score", descending: bool = Tru
     return df.orderBy(first, F.col("S_score").desc_nulls_last(), "ticker")
 
 
-BOARD_KEYS = ("S_score", "F_score", "mom_12_1", "trend", "pillar_count", "state", "ticker")
+BOARD_KEYS = ("S_score", "F_score", "mom_12_1", "trend", "pillar_sum", "state", "ticker", "identity")
+# Rank of states on a board, the worst first; an unknown state stands below them.
+STATE_RANK = {"BEARISH_STAGE_4": 0, "EXIT": 1, "WARNING": 2, "STAGE_1_BASING": 3, "HOLD": 4, "STAGE_2_BULLISH": 5}
 
 
 def trend_proxy() -> Column:
     return _n("mom_12_1") * 100 * 0.84 + _n("mansfield_rs") * 0.15
 
 
-def board_key(name: str) -> Column:
+def state_rank() -> Column:
+    return F.coalesce(F.get(F.array_compact(F.array(*[F.when(F.col("state") == name, rank) for name, rank in STATE_RANK.items()])), F.lit(0)), F.lit(-1))
+
+
+def pillar_sum() -> Column:
+    """Sum of the weighted terms of S."""
+    return sum((F.coalesce(WEIGHTS[c] * F.col(c), F.lit(0.0)) for c in PILLARS.values()), F.lit(0.0))
+
+
+def board_key(name: str, identity: str) -> Column:
     """What a board is sorted by."""
-    if name not in BOARD_KEYS:
-        raise ValueError(f"a board has no key {name}")
-    other = {"trend": trend_proxy, "pillar_count": pillar_count, "state": lambda: _order("state", STATE_ORDER), "ticker": lambda: F.col("ticker")}
+    other = {
+        "trend": trend_proxy, "pillar_sum": lambda: F.round(pillar_sum(), 9), "state": state_rank,
+        "ticker": lambda: F.upper("ticker"), "identity": lambda: F.upper(identity),
+    }
     return other.get(name, lambda: _n(name))()
 
 
-def board(scored: DataFrame, key: str = "S_score", descending: bool = True) -> DataFrame:
-    """Class boards sorted by a key, with trend proxy, grade and peer rank."""
+def board(scored: DataFrame, key: str = "S_score", descending: bool = True, identity: str = "ticker") -> DataFrame:
+    """Class boards sorted by a key, with trend proxy, grade and peer rank.
+
+    Ties stand by S, then by ticker, all in the direction of the key; an unknown key is S.
+    ``identity`` is the column with the display name.
+    """
     trend = trend_proxy()
     s = F.col("S_score")
     grade = F.when(s.isNull(), "?").when(s >= 1, "A").when(s >= 0, "B").when(s >= -1, "C").when(s >= -1.5, "D").otherwise("F")
-    first = board_key(key)
-    w = Window.partitionBy("class").orderBy(first.desc() if descending else first.asc(), F.desc("ticker"))
+    order = [board_key(key if key in BOARD_KEYS else "S_score", identity), _n("S_score"), F.upper("ticker")]
+    w = Window.partitionBy("class").orderBy(*[c.desc() if descending else c.asc() for c in order])
     n = F.count("*").over(Window.partitionBy("class"))
     return scored.select(
         "class", "ticker", F.row_number().over(w).alias("peer_rank"), n.alias("peers"), trend.alias("trend"), grade.alias("grade")

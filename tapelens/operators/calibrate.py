@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.asof import asof_backward
 from ..functions.columns import let, rate, sorted_quantile
 
 # Thresholds of the expanded grid and the order of its rules.
@@ -190,7 +191,7 @@ def candidate_search(
     if not known:
         df = df.where(~is_base)
     rejected = F.col("gate_status").startswith("rejected")
-    return df.withColumns(
+    out = df.withColumns(
         {
             "promotion_label": label,
             "rejection_reasons": F.when(rejected, F.regexp_replace("gate_status", "^rejected_", "")).otherwise(""),
@@ -200,6 +201,25 @@ def candidate_search(
             "live_promotion_allowed": F.lit(False),
         }
     ).drop("_judged", "_folds", "seen_folds", "final_holdout_rows")
+    counted = splits if splits is not None else windowed
+    ready = counted.agg(F.count(F.lit(1))).scalar()
+    return out.where(ready > 0).unionByName(_skip_row(counted, min(horizons) if horizons else None), allowMissingColumns=True)
+
+
+def _skip_row(counted: DataFrame, horizon: int | None) -> DataFrame:
+    """The row of a search that has no folds; none where it has some. Its texts."""
+    none = counted.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return none.select(
+        F.lit("no_ready_walk_forward_splits").alias("candidate_id"),
+        F.lit(horizon).cast("int").alias("horizon_weeks"),
+        F.lit("skipped_insufficient_history").alias("gate_status"),
+        F.lit("do not promote").alias("promotion_label"),
+        F.lit("no_ready_walk_forward_splits").alias("rejection_reasons"),
+        F.lit(False).alias("selected_by_calibration"),
+        F.lit(False).alias("final_holdout_evaluated"),
+        F.lit(0).cast("bigint").alias("final_holdout_rows_used"),
+        F.lit(False).alias("live_promotion_allowed"),
+    )
 
 
 def _token(value: float) -> str:
@@ -313,7 +333,7 @@ def grid_metrics(blocks: DataFrame) -> DataFrame:
     ).drop("sum_return", "sum_excess", "sum_drawdown", "base_drawdown")
 
 
-def draw(sample: Column, slot: Column, size: Column, seed: int) -> Column:
+def draw(sample: Column, slot: Column, size: Column, seed: int | Column) -> Column:
     """Portable hash draw in [0, size): the same on every engine and every retry."""
     p = 2147483647
     h = (sample * 1000003 + slot * 10007 + seed) % p
@@ -362,39 +382,62 @@ def block_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 500, seed
     )
 
 
-#: Outcomes drawn in one row.
-CHUNK = 4096
+#: A draw is below this number.
+UNIFORM = 2147483647
+
+
+def binomial_table(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Distribution of the hits among n draws from n outcomes: keys, u, hits.
+
+    ``sides``: keys, n, hit. ``u`` is the probability of ``hits`` or fewer, times UNIFORM. Only
+    hits within ten deviations of the mean are listed, a number that grows with the root of n.
+    Probabilities come from the ratio of neighbours, summed as logarithms.
+    """
+    n, hit = F.col("n"), F.col("hit")
+    sure = (hit == 0) | (hit == n)
+    width = F.when(sure, 0).otherwise(F.ceil(10 * F.sqrt(hit * (1 - hit / n))) + 12)
+    odds = hit / F.nullif(n - hit, F.lit(0))
+    span = F.sequence(F.greatest(F.lit(0).cast("bigint"), hit - width), F.least(n, hit + width))
+    listed = sides.select(*keys, "n", "hit", F.explode(span).alias("hits"))
+    whole = Window.partitionBy(*keys)
+    upward = whole.orderBy("hits").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("hits") == F.min("hits").over(whole), 0.0).otherwise(F.log((n - F.col("hits") + 1) / F.col("hits") * odds))
+    logs = listed.withColumn("step", step).withColumn("log", F.sum("step").over(upward))
+    weighted = logs.withColumn("weight", F.exp(F.col("log") - F.max("log").over(whole)))
+    share = F.sum("weight").over(upward) / F.sum("weight").over(whole)
+    return weighted.withColumn("u", F.floor(share * UNIFORM).cast("bigint")).groupBy(*keys, "u").agg(F.max("hits").alias("hits"))
 
 
 def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
-    """Row-level bootstrap of two hit rates drawn independently.
+    """Bootstrap of two hit rates drawn independently.
 
-    A resample of binary outcomes only needs their count and hits: a draw below the
-    number of hits is a hit. Draws are made in chunks of CHUNK outcomes, whose hits are
-    summed per sample, so no array grows with the labels of a key.
+    A resample of binary outcomes only needs its number of hits, which is binomial. So a sample
+    is one portable draw for each side, looked up in the side's table by an as-of join: the work
+    is samples x rules, whatever the number of labels behind a rule.
     """
-    t = blocks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")]).where("base_n > 0 and cand_n > 0")
+    t = blocks.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")]).where("base_n > 0 and cand_n > 0")
     big = lambda x: F.lit(x).cast("bigint")
-    fan = t.withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1)))).repartition(*keys, "sample")
-    fan = fan.withColumn("chunk", F.explode(F.sequence(big(0), F.floor((F.greatest("base_n", "cand_n") - 1) / CHUNK))))
-
-    def hits(n: str, hit: str, salt: int) -> Column:
-        start = F.col("chunk") * CHUNK
-        drawn = F.aggregate(
-            F.sequence(start, F.least(start + CHUNK, F.col(n)) - 1),
-            big(0),
-            lambda acc, j: acc + (draw(F.col("sample"), j, F.col(n), salt) < F.col(hit)).cast("bigint"),
-        )
-        return F.sum(F.when(start < F.col(n), drawn).otherwise(big(0)))
-
-    sums = fan.groupBy(*keys, "sample", "base_n", "cand_n", "base_hit", "cand_hit").agg(
-        hits("cand_n", "cand_hit", seed).alias("c"), hits("base_n", "base_hit", seed + 7).alias("b")
+    pair = [
+        F.struct(F.lit(sign).alias("sign"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_hit").alias("hit"), big(salt).alias("salt"))
+        for side, sign, salt in (("cand", 1, seed), ("base", -1, seed + 7))
+    ]
+    sides, own = t.select(*keys, F.inline(F.array(*pair))), [*keys, "sign"]
+    drawn = sides.withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1))))
+    drawn = drawn.withColumn("u", draw(F.col("sample"), big(0), big(UNIFORM), F.col("salt")))
+    table = binomial_table(sides, own)
+    found = asof_backward(drawn, table, own, "u", ["hits"]).join(table.groupBy(*own).agg(F.min("hits").alias("least")), own)
+    sure = (F.col("hit") == 0) | (F.col("hit") == F.col("n"))
+    number = F.when(sure, F.col("hit")).otherwise(F.coalesce(F.least(F.col("hits") + 1, F.col("n")), F.col("least")))
+    deltas = found.groupBy(*keys, "sample").agg(
+        F.sum(F.col("sign") * number / F.col("n")).alias("d"),
+        F.sum(F.col("sign") * F.col("hit") / F.col("n")).alias("observed"),
+        F.max(F.when(F.col("sign") == 1, F.col("n"))).alias("cand_n"),
+        F.max(F.when(F.col("sign") == -1, F.col("n"))).alias("base_n"),
     )
-    d = F.col("c") / F.col("cand_n") - F.col("b") / F.col("base_n")
-    return sums.groupBy(*keys).agg(
-        F.round(F.max(F.col("cand_hit") / F.col("cand_n") - F.col("base_hit") / F.col("base_n")), 6).alias("mean_delta"),
-        F.round(F.percentile(d, F.lit(0.025)), 6).alias("ci_low"),
-        F.round(F.percentile(d, F.lit(0.975)), 6).alias("ci_high"),
+    return deltas.groupBy(*keys).agg(
+        F.round(F.max("observed"), 6).alias("mean_delta"),
+        F.round(F.percentile("d", F.lit(0.025)), 6).alias("ci_low"),
+        F.round(F.percentile("d", F.lit(0.975)), 6).alias("ci_high"),
         F.max("cand_n").alias("candidate_sample_count"),
         F.max("base_n").alias("baseline_sample_count"),
     )

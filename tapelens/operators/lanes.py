@@ -33,22 +33,40 @@ def clean_prints(tape: DataFrame) -> DataFrame:
     return tape.where(ok)
 
 
-def tick_direction(tape: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
+#: Prints of one key and bucket that are scanned in one piece.
+RANGE_ROWS = 200_000
+
+
+def sequence_ranges(tape: DataFrame, keys: list[str], number: str, most: int = RANGE_ROWS) -> DataFrame:
+    """Cut crowded keys into ranges of their sequence numbers: adds ``_r``, which grows with the number.
+
+    Only keys with more than ``most`` rows are in the small table of cuts; all others are range 0.
+    """
+    n = F.col(number).cast("double")
+    crowd = tape.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(n).alias("_low"), F.max(n).alias("_high")).where(F.col("_n") > most)
+    cuts = crowd.select(*keys, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / most)).alias("_width"))
+    inside = F.when(F.col("_width") > 0, F.floor((n - F.col("_low")) / F.col("_width")))
+    return tape.join(cuts, keys, "left").withColumn("_r", F.coalesce(inside, F.lit(0).cast("long"))).drop("_low", "_width")
+
+
+def tick_direction(tape: DataFrame, keys: list[str], order: list[str], bucket: Column, most: int = RANGE_ROWS) -> DataFrame:
     """Previous clean print's price of each print, without one task per key.
 
-    A key may hold a third of the tape, so its prints are windowed per time bucket.
-    The first print of a bucket takes the last price of the key's previous bucket,
-    read from a table with one pre-aggregated row per (key, bucket).
+    ``order`` names one numeric column that orders the prints of a bucket; buckets follow each
+    other. A key may hold a third of the tape, and so may one of its buckets: prints are windowed
+    per key, bucket and range of sequence numbers. Each range hands its last price on through an
+    edge table, a hash aggregate on plain numbers with one row per range; its window stays small.
     """
-    df = clean_prints(tape).withColumn("_b", bucket)
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    edges = df.groupBy(*keys, "_b").agg(F.max_by("price", F.struct(*order)).alias("_last"))
-    carry = edges.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
+    number = order[-1]
+    df = sequence_ranges(clean_prints(tape).withColumn("_b", bucket), [*keys, "_b"], number, most)
+    place = [*keys, "_b", "_r"]
+    edges = df.groupBy(*place).agg(F.max_by("price", number).alias("_last"))
+    carry = edges.select(*place, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b", "_r")).alias("_carry"))
     return (
-        df.withColumn("_in", F.lag("price").over(inside))
-        .join(carry, [*keys, "_b"])
+        df.withColumn("_in", F.lag("price").over(Window.partitionBy(*place).orderBy(number)))
+        .join(carry, place)
         .withColumn("prev_price", F.coalesce("_in", "_carry"))
-        .drop("_in", "_carry", "_b")
+        .drop("_in", "_carry", "_b", "_r")
     )
 
 
@@ -59,10 +77,13 @@ def block_ratio(
     min_size: float = BLOCK_SIZE,
     min_notional: float = BLOCK_NOTIONAL,
     bucket: Column | None = None,
+    most: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Up-tick over down-tick block notional; 2.0 with no down blocks, null with none."""
-    bucket = F.col(order[0]) if bucket is None else bucket
-    df = tick_direction(tape, keys, order, bucket)
+    """Up-tick over down-tick block notional; 2.0 with no down blocks, null with none.
+
+    ``bucket`` defaults to the first column of ``order``, the last one is the sequence number.
+    """
+    df = tick_direction(tape, keys, order, F.col(order[0]) if bucket is None else bucket, most)
     notional = F.col("price") * F.col("size")
     block = (F.col("size") >= min_size) | (notional >= min_notional)
     agg = df.groupBy(*keys).agg(
@@ -127,37 +148,68 @@ def filings_net_buys(records: DataFrame, cusips: DataFrame) -> DataFrame:
     return last.select("ticker", F.when(prev != 0, (F.col("r.shares") - prev) / prev * 100).alias("thirteen_f_q"))
 
 
+#: Events and sample tickers that a lane's row shows.
+SHOWN = 5
+
+
 def run_health(events: DataFrame) -> DataFrame:
-    """Fetch outcomes per lane: counts by status, up to five sample tickers.
+    """Fetch outcomes per lane: counts by status and mode, first tickers and events, detail.
 
-    ``events``: lane, ticker, status, mode, completed_at. Tickers reduce to one row per
-    lane first, so the sample never collects the event log.
+    ``events``: lane, ticker, status, mode, completed_at. Counts combine map-side per (lane, status,
+    mode). The first five events and tickers of a lane come from ranked windows that keep five rows
+    per task before the shuffle. A lane's only event shows its own status and mode.
     """
-    per = events.groupBy("lane", "ticker").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("status") == "healthy").alias("ok"),
-        F.max("completed_at").alias("last"),
-    )
-    # Five of each hash bucket first, so that no task sorts a whole lane.
-    bucket = Window.partitionBy("lane", F.pmod(F.xxhash64("ticker"), F.lit(256))).orderBy("ticker")
-    per = per.withColumn("_i", F.row_number().over(bucket))
-    sums = per.groupBy("lane").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.max("last").alias("last"), F.lit(None).cast(per.schema["ticker"].dataType).alias("ticker"))
-    few = per.where("_i <= 5").select("lane", F.lit(0).alias("n"), F.lit(0).alias("ok"), F.lit(None).cast(per.schema["last"].dataType).alias("last"), "ticker")
-    per = sums.unionByName(few)
-    per = per.withColumn("_i", F.row_number().over(Window.partitionBy("lane").orderBy(F.col("ticker").asc_nulls_last())))
-    agg = per.groupBy("lane").agg(
+    ticker = F.upper("ticker")
+    cells = events.groupBy("lane", "status", "mode").agg(F.count(F.lit(1)).alias("n"), F.max("completed_at").alias("last"))
+
+    def shares(key: str) -> Column:
+        """``name=count`` of every status or mode, by name."""
+        names = F.array_sort(F.collect_set(F.coalesce(key, F.lit(""))))
+        pairs = F.collect_list(F.struct(F.coalesce(key, F.lit("")).alias("k"), "n"))
+        count = lambda name: F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + F.when(p["k"] == name, p["n"]).otherwise(0))
+        return F.array_join(F.transform(names, lambda name: F.concat(name, F.lit("="), count(name).cast("string"))), ", ")
+
+    sums = cells.groupBy("lane").agg(
         F.sum("n").alias("total_count"),
-        F.sum("ok").alias("healthy_count"),
+        F.sum(F.when(F.col("status") == "healthy", F.col("n")).otherwise(0)).alias("healthy_count"),
         F.max("last").alias("last_completed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_i") <= 5, F.col("ticker")))), ", ").alias("samples"),
+        shares("status").alias("status_counts"),
+        shares("mode").alias("mode_counts"),
+        F.first("status").alias("_status"),
+        F.first("mode").alias("_mode"),
     )
+
+    def first_five(rows: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
+        w = Window.partitionBy("lane").orderBy(*order)
+        top = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= SHOWN)
+        return top.groupBy("lane").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))), lambda x: x["v"]).alias(name))
+
+    told = events.select("lane", ticker.alias("ticker"), "status", "mode", "completed_at")
+    firsts = told.groupBy("lane", "ticker").agg(F.min("completed_at").alias("completed_at"))
+    samples = first_five(firsts, F.col("ticker"), "_samples", "completed_at", "ticker")
+    listed = first_five(told, F.concat_ws(" ", "ticker", "mode"), "_events", "completed_at", "ticker", "status", "mode")
+    df = sums.join(samples, "lane").join(listed, "lane")
     warn = F.col("total_count") - F.col("healthy_count")
-    return agg.withColumn("warning_count", warn).withColumn("status", F.when(warn > 0, "warning").otherwise("healthy")).withColumn(
-        "mode",
-        F.when(warn > 0, F.format_string("%d live ok / %d warning", "healthy_count", warn)).otherwise(
-            F.format_string("%d live ok", "healthy_count")
-        ),
+    one = F.col("total_count") == 1
+    last = F.concat(F.lit("last completed "), F.date_format("last_completed", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    bad = F.filter("_events", lambda e: ~e.contains(" live ok"))
+    detail = F.concat_ws(
+        "; ",
+        last,
+        F.format_string("%d live ok, %d warning across %d tickers", "healthy_count", warn, "total_count"),
+        F.concat(F.lit("sample tickers: "), F.array_join("_samples", ", ")),
+        F.when(F.size(bad) > 0, F.concat(F.lit("warnings: "), F.array_join(bad, "; "))),
     )
+    many = F.when(warn > 0, F.format_string("%d live ok / %d warning", "healthy_count", warn)).otherwise(F.format_string("%d live ok", "healthy_count"))
+    return df.select(
+        "lane", "total_count", "healthy_count", warn.alias("warning_count"), "last_completed",
+        F.when(one, F.col("_status")).when(warn > 0, "warning").otherwise("healthy").alias("status"),
+        F.when(one, F.col("_mode")).otherwise(many).alias("mode"),
+        "status_counts", "mode_counts",
+        F.array_join("_samples", ", ").alias("samples"),
+        F.array_join("_events", "; ").alias("events"),
+        F.when(one, F.concat_ws("; ", last, F.get("_events", F.lit(0)))).otherwise(detail).alias("detail"),
+    )
 
 
 def readiness(config: DataFrame, health: DataFrame) -> DataFrame:
@@ -165,7 +217,7 @@ def readiness(config: DataFrame, health: DataFrame) -> DataFrame:
 
     ``config``: lane, label, stubbed, missing. It is the fixed list of lanes.
     """
-    df = config.join(health.select("lane", F.col("status").alias("_s"), F.col("mode").alias("_m")), "lane", "left")
+    df = config.join(health.select("lane", F.col("status").alias("_s"), F.col("mode").alias("_m"), F.col("detail").alias("_d")), "lane", "left")
     missing = F.col("missing") != ""
     return df.select(
         "lane",
@@ -175,4 +227,5 @@ def readiness(config: DataFrame, health: DataFrame) -> DataFrame:
         .when(missing, F.concat(F.lit("missing "), F.col("missing")))
         .otherwise(F.coalesce("_m", F.lit("enabled")))
         .alias("mode"),
+        F.when(~F.col("stubbed") & ~missing, F.col("_d")).alias("detail"),
     )

@@ -94,7 +94,7 @@ def _promotion(spark, root):
 def _sweep_decisions(x):
     """Held positions with the latest monthly block ratio known at the rebalance."""
     ratio = lanes.block_ratio(
-        prints(x.spark, x.root).withColumn("month", F.last_day("date")), ["ticker", "month"], order=["date", "seq"],
+        prints(x.spark, x.root).withColumn("month", F.last_day("date")), ["ticker", "month"], order=["date", "print_key"],
         min_size=45.0, min_notional=90000.0,
     )
     snaps = ratio.select("ticker", F.col("month").alias("as_of"), F.col("month").alias("snapshot_as_of"), F.col("block_up_ratio").alias("ratio"))

@@ -21,11 +21,11 @@ def _now(spark, root):
 
 def _tape(spark, root):
     minute = F.date_trunc("minute", "ts")
-    return lanes.block_ratio(intraday(spark, root), ["ticker"], ["ts", "seq"], 50000.0, 2000000.0, minute)
+    return lanes.block_ratio(intraday(spark, root), ["ticker"], ["event_key"], 50000.0, 2000000.0, minute)
 
 
 def _directions(spark, root):
-    d = lanes.tick_direction(intraday(spark, root), ["ticker"], ["ts", "seq"], F.date_trunc("hour", "ts"))
+    d = lanes.tick_direction(intraday(spark, root), ["ticker"], ["event_key"], F.date_trunc("hour", "ts"))
     return d.select("ticker", "seq", F.signum(F.col("price") - F.col("prev_price")).alias("direction"))
 
 
@@ -55,7 +55,7 @@ def _lane_table(spark, root):
     n = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
     etf = lanes.etf_flow(shares_outstanding(spark, root))
     etf = etf.groupBy("ticker").agg(F.max_by("etf_flow_5d_pct", "as_of").alias("etf_flow_5d_pct")).where(n % 6 != 0)
-    block = lanes.block_ratio(prints(spark, root), ["ticker"], ["date", "seq"], 45.0, 90000.0).select("ticker", "block_up_ratio")
+    block = lanes.block_ratio(prints(spark, root), ["ticker"], ["date", "print_key"], 45.0, 90000.0).select("ticker", "block_up_ratio")
     dark = lanes.dark_pool_share(_dark_records(spark, root)).select("ticker", "dark_pool_pct")
     short = lanes.short_interest_delta(_short_records(spark, root)).where(n % 7 != 0)
     out = dark
@@ -87,10 +87,11 @@ def _lane_states(spark, root):
 def _health_events(spark, root):
     e = table(spark, root, "events")
     k = F.get_json_object("props", "$.k").cast("int")
+    failed = (k % 10 == 0) & (F.col("event_type") != "view")
     return e.select(
         F.col("event_type").alias("lane"), F.format_string("U%03d", F.col("user_id")).alias("ticker"),
-        F.when((k % 10 == 0) & (F.col("event_type") != "view"), "warning").otherwise("healthy").alias("status"),
-        F.lit("live ok").alias("mode"), F.col("ts").alias("completed_at"),
+        F.when(failed, "warning").otherwise("healthy").alias("status"),
+        F.when(failed, F.when(k % 20 == 0, "fallback cache").otherwise("neutral fallback")).otherwise("live ok").alias("mode"), F.col("ts").alias("completed_at"),
     )
 
 
@@ -103,10 +104,10 @@ def _readiness(spark, root):
 
 
 def _board_sorts(spark, root):
-    """Peer ranks of every board key in both directions."""
-    now = _now(spark, root)
+    """Peer ranks of every board key in both directions; the made-up name of a brand reads it backwards."""
+    now = _now(spark, root).withColumn("identity", F.concat_ws(" ", F.reverse("ticker"), "class"))
     parts = [
-        board.board(now, key, down).select(F.lit(key).alias("key"), F.lit(down).alias("descending"), "class", "ticker", "peer_rank")
+        board.board(now, key, down, "identity").select(F.lit(key).alias("key"), F.lit(down).alias("descending"), "class", "ticker", "peer_rank")
         for key in board.BOARD_KEYS
         for down in (True, False)
     ]
@@ -132,7 +133,7 @@ QUERIES = {
     "comparison_basket": lambda s, d: board.comparison_basket(_now(s, d), "brand#9", 6),
     "board_stats": lambda s, d: rounded(board.board_stats(_now(s, d))),
     "flow_cards": lambda s, d: rounded(board.flow_cards(_now(s, d))),
-    "flow_extremes": lambda s, d: rounded(board.flow_extremes(_now(s, d))),
+    "flow_extremes": lambda s, d: rounded(board.flow_extremes(_now(s, d), by="F_score")),
     "quadrant_cube": lambda s, d: board.quadrant_cube(_now(s, d)),
     "escalation": lambda s, d: board.escalation(_now(s, d)),
     "momentum_bars": lambda s, d: rounded(board.momentum_bars(_now(s, d))),

@@ -18,7 +18,7 @@ def lane_history(spark, root):
     """Readings of the scoring lanes by ticker and date they became known."""
     etf = lanes.etf_flow(shares_outstanding(spark, root)).where("etf_flow_5d_pct is not null")
     months = prints(spark, root).withColumn("as_of", F.last_day("date"))
-    block = lanes.block_ratio(months, ["ticker", "as_of"], ["date", "seq"], 45.0, 90000.0).where("block_up_ratio is not null")
+    block = lanes.block_ratio(months, ["ticker", "as_of"], ["date", "print_key"], 45.0, 90000.0).where("block_up_ratio is not null")
     short = lanes.short_interest_history(_short_records(spark, root)).where("si_delta_15d is not null")
     return {
         "etf_flow_5d_pct": etf,

@@ -23,6 +23,13 @@ def print_number() -> Column:
     return F.col("l_orderkey") * (1 << 23) + F.col("l_linenumber") * (1 << 20) + rest
 
 
+def print_key() -> Column:
+    """Order of prints as one exact number: order, line, part, supplier."""
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    power = lambda k: F.lit("1" + "0" * k).cast("decimal(38,0)")
+    return wide("l_orderkey") * power(23) + wide("l_linenumber") * power(21) + wide("l_partkey") * power(10) + wide("l_suppkey")
+
+
 def prints(spark: SparkSession, root: str, ticker: str = "p_brand") -> DataFrame:
     """Trade prints: one row per line item, priced per unit."""
     item = table(spark, root, "lineitem")
@@ -37,6 +44,7 @@ def prints(spark: SparkSession, root: str, ticker: str = "p_brand") -> DataFrame
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
         ).alias("seq"),
         print_number().alias("number"),
+        print_key().alias("print_key"),
     )
 
 
@@ -90,6 +98,7 @@ def intraday(spark: SparkSession, root: str) -> DataFrame:
         F.col("event_type").alias("ticker"),
         "ts",
         F.col("event_id").alias("seq"),
+        (F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(38,0)") + F.col("event_id").cast("decimal(38,0)")).alias("event_key"),
         F.col("value").alias("price"),
         (k * 1000).cast("double").alias("size"),
         F.when(k % 17 == 0, 1).otherwise(0).alias("correction"),
@@ -142,10 +151,11 @@ def decisions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def shares_outstanding(spark: SparkSession, root: str) -> DataFrame:
-    """Monthly fund records per brand: shares outstanding, nav and assets."""
+    """Monthly fund records per brand: shares outstanding, nav and assets, dated by the month's last
+    day, when its last print is known."""
     t = prints(spark, root)
     return (
-        t.groupBy("ticker", F.trunc("date", "month").alias("as_of"))
+        t.groupBy("ticker", F.last_day("date").alias("as_of"))
         .agg(F.sum("size").alias("shares_outstanding"), F.avg("price").alias("nav"))
         .withColumn("aum", F.col("shares_outstanding") * F.col("nav"))
     )
