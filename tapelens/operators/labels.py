@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.asof import asof_forward
 from ..functions.columns import rate
-from ..session import materialise
 from .states import RISK_STATES
 
 HORIZONS = (4, 13, 26, 52)
@@ -20,32 +19,63 @@ def label_ends(prices: DataFrame, calendar: DataFrame, horizons=HORIZONS) -> Dat
     return asof_forward(asked, days, ["horizon_weeks"], "date", ["end_date"]).drop("date")
 
 
+def week_spans(known: DataFrame, horizons: list[int]) -> DataFrame:
+    """Range minima of prices by seven-day weeks: a sparse table with one row per instrument and week.
+
+    ``_from`` holds the lows from each weekday to the week's end; per horizon ``_whole`` is the low
+    of the whole weeks between, from two spans of a power of two, and ``_until`` the lows up to each
+    weekday of the last week. Weeks are hash aggregates of the bars; spans double on weekly rows,
+    so no frame slides over bars. Weeks without a price are there too, with nulls.
+    """
+    weekday = F.pmod(F.unix_date("date"), F.lit(7))
+    days = range(7)
+    weeks = known.groupBy("ticker", F.floor(F.unix_date("date") / 7).alias("week")).agg(
+        F.min("price").alias("_1"),
+        *[F.min(F.when(weekday >= d, F.col("price"))).alias(f"_f{d}") for d in days],
+        *[F.min(F.when(weekday <= d, F.col("price"))).alias(f"_u{d}") for d in days],
+    )
+    every = weeks.groupBy("ticker").agg(F.min("week").alias("a"), F.max("week").alias("b")).select("ticker", F.explode(F.sequence("a", "b")).alias("week"))
+    rows = every.join(weeks, ["ticker", "week"], "left").withColumns(
+        {"_from": F.array(*[F.col(f"_f{d}") for d in days]), "_until": F.array(*[F.col(f"_u{d}") for d in days])}
+    )
+    w = Window.partitionBy("ticker").orderBy("week")
+    size = 1
+    while 2 * size < max(horizons):
+        rows = rows.withColumn(f"_{2 * size}", F.least(f"_{size}", F.lead(f"_{size}", size).over(w)))
+        size *= 2
+    out = []
+    for h in horizons:
+        span = 1 << max(0, (h - 1).bit_length() - 1)
+        whole = F.least(F.lead(f"_{span}", 1).over(w), F.lead(f"_{span}", h - span).over(w)) if h > 1 else F.lit(None).cast("double")
+        out += [whole.alias(f"_whole{h}"), F.lead("_until", h).over(w).alias(f"_until{h}")]
+    return rows.select("ticker", "week", "_from", *out)
+
+
 def path_returns(prices: DataFrame, calendar: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Return and low point of each instrument from each rebalance to each horizon.
 
-    The path minimum is a day-range frame over the instrument's own prices; a gap
-    against the calendar inside the path makes it incomplete (P24).
+    A path of h weeks ends on the weekday it starts on: its low is the least of the rest of the
+    first week, the whole weeks between and the last week up to that day. Lows are asked for at
+    rebalances only. A gap against the calendar inside the path makes it incomplete (P24).
     """
+    horizons = sorted(set(horizons))
     known = prices.where("price is not null").select("ticker", "date", "price")
     # Position of a date in the union calendar: one row per trading day.
     position = known.select("date").distinct().withColumn(
         "idx", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date"))
     )
     w = Window.partitionBy("ticker").orderBy("date")
-    day = F.unix_date("date")
-    pts = known.join(position, "date").select(
-        "ticker", "date", "price", "idx", F.row_number().over(w).alias("rn"), day.alias("_day")
-    )
-    by_day = Window.partitionBy("ticker").orderBy("_day")
-    lows = {f"_low{h}": F.min("price").over(by_day.rangeBetween(0, 7 * h)) for h in sorted(set(horizons))}
-    pts = materialise(pts.withColumns(lows))
-    start = pts.withColumnRenamed("date", "as_of").join(
-        label_ends(prices, calendar, horizons), "as_of"
-    )
-    low = F.coalesce(*[F.when(F.col("horizon_weeks") == h, F.col(f"_low{h}")) for h in sorted(set(horizons))])
-    start = start.select(
-        "ticker", "as_of", "horizon_weeks", "end_date", F.col("price").alias("start_price"), low.alias("_low"), "idx", "rn"
-    )
+    pts = known.withColumn("rn", F.row_number().over(w)).join(position, "date")
+    asked = calendar.select(F.col("as_of").alias("date")).distinct()
+    start = pts.join(asked, "date", "left_semi").withColumn("week", F.floor(F.unix_date("date") / 7)).withColumnRenamed("date", "as_of")
+    start = start.join(week_spans(known, horizons), ["ticker", "week"])
+    weekday = F.pmod(F.unix_date("as_of"), F.lit(7))
+    lows = [
+        F.struct(F.lit(h).alias("horizon_weeks"), F.least(F.get("_from", weekday), F.col(f"_whole{h}"), F.get(f"_until{h}", weekday)).alias("_low"))
+        for h in horizons
+    ]
+    start = start.select("ticker", "as_of", F.col("price").alias("start_price"), "idx", "rn", F.inline(F.array(*lows)))
+    start = start.join(label_ends(prices, calendar, horizons), ["as_of", "horizon_weeks"])
     end = pts.select(
         "ticker", F.col("date").alias("end_date"), F.col("price").alias("end_price"), F.col("idx").alias("_idx"), F.col("rn").alias("_rn")
     )
@@ -81,7 +111,7 @@ def forward_labels(
     drawdown_threshold: float = -0.05,
 ) -> DataFrame:
     """Features with forward outcomes and success flags, one row per horizon."""
-    ret = materialise(path_returns(prices, calendar, horizons))
+    ret = path_returns(prices, calendar, horizons)
     feats = scored.select(
         "as_of", "ticker", "class", "state", "selected", "veto", "S_score", "S_score_after_veto", "rs_ratio_z",
         class_benchmark(bench_by_class, fallback).alias("benchmark"),

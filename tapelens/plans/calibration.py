@@ -37,6 +37,14 @@ def _forward(spark, root):
     return rounded(out)
 
 
+def _search_short(spark, root):
+    """A search over more years than the tables hold: no folds, one row that says so."""
+    x = Inputs(spark, root)
+    splits = lb.walk_forward_splits(x.calendar, years=60, calibration_years=40, minimum_calibration_years=30)
+    out = cal.candidate_search(cal.fold_windows(_labels(x), splits), RULES, splits=splits, horizons=HORIZONS)
+    return out.select("candidate_id", "horizon_weeks", "gate_status", "promotion_label", "rejection_reasons", "selected_by_calibration", "final_holdout_evaluated", "final_holdout_rows_used", "live_promotion_allowed")
+
+
 def _raw_labels(spark, root):
     """Labels on raw prices: gaps make them unavailable."""
     x = Inputs(spark, root)
@@ -144,6 +152,7 @@ QUERIES = {
     "raw_path_returns": _raw_labels,
     "confusion_metrics": lambda s, d: rounded(lb.label_metrics(_labels(Inputs(s, d)))),
     "candidate_search": _search,
+    "candidate_search_short": _search_short,
     "candidate_grid": _grid,
     "block_bootstrap": _bootstrap,
     "unpaired_bootstrap": _unpaired,

@@ -1,13 +1,13 @@
 """Hot ticker-days, month-end records, lane health, board order, searches without folds, sampled hits."""
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapelens.operators import board, calibrate, lanes
+from tapelens.operators import board, calibrate, labels, lanes
 from tapelens.sources import tables
 
 
@@ -93,15 +93,40 @@ def test_board_order(spark):
 
 
 def test_search_without_folds(spark):
-    schema = "fold int, window string, horizon_weeks int, positive_signal boolean, negative_signal boolean, score double"
-    empty = spark.createDataFrame([], schema)
-    splits = spark.createDataFrame([], "fold int")
-    windowed = empty
-    needed = calibrate.rule_cells.__code__.co_varnames
-    assert needed  # the cells' columns are those of fold_windows
-    row = calibrate._skip_row(splits, 4).first()
-    assert (row.candidate_id, row.horizon_weeks, row.gate_status, row.promotion_label) == ("no_ready_walk_forward_splits", 4, "skipped_insufficient_history", "do not promote")
-    assert calibrate._skip_row(windowed.unionByName(spark.createDataFrame([(1, "validation", 4, True, False, 1.0)], schema)), 4).count() == 0
+    schema = "as_of date, horizon_weeks int, S_score_after_veto double, label_available boolean, positive_signal boolean, negative_signal boolean, positive_success boolean, negative_success boolean, fold string, window string"
+    windowed = spark.createDataFrame([], schema)
+    splits = spark.createDataFrame([], "name string")
+    for given in ({"splits": splits}, {"splits": splits, "horizons": (13, 4)}, {}):
+        (row,) = calibrate.candidate_search(windowed, [{"candidate_id": "baseline"}, {"candidate_id": "p", "positive_min": 0.3}], **given).collect()
+        assert (row.candidate_id, row.gate_status, row.promotion_label) == ("no_ready_walk_forward_splits", "skipped_insufficient_history", "do not promote")
+        assert row.horizon_weeks == (4 if "horizons" in given else None) and row.rejection_reasons == "no_ready_walk_forward_splits"
+        assert not row.selected_by_calibration and row.final_holdout_rows_used == 0
+
+
+def test_path_lows_by_weeks(spark):
+    """Sparse table against the plain minimum, with missing days and whole missing weeks, any weekday."""
+    rng = np.random.default_rng(2)
+    rows, start = [], date(2020, 1, 1)
+    for t in ("A", "B"):
+        for k in range(500):
+            if rng.random() < 0.6 and not (t == "B" and 100 < k < 160):
+                rows.append((t, start + timedelta(days=k), float(rng.integers(50, 150))))
+    df = spark.createDataFrame(rows, "ticker string, date date, price double")
+    calendar = df.select(F.col("date").alias("as_of")).distinct().where("day(as_of) % 3 = 0")
+    price = {(t, d): p for t, d, p in rows}
+    days = sorted({d for _, d, _ in rows})
+    asked = {r.as_of for r in calendar.collect()}
+    got = {(r.ticker, r.as_of, r.horizon_weeks): r.path_low for r in labels.path_returns(df, calendar, (1, 2, 4, 13, 26)).collect()}
+    checked = 0
+    for t, a in price:
+        for h in (1, 2, 4, 13, 26):
+            end = next((d for d in days if d >= a + timedelta(weeks=h)), None)
+            if a in asked and end is not None:
+                last = price.get((t, end))
+                low = min([p for (u, d), p in price.items() if u == t and a <= d <= a + timedelta(weeks=h)] + ([last] if last else []))
+                assert got[t, a, h] == pytest.approx(low / price[t, a] - 1)
+                checked += 1
+    assert checked > 300
 
 
 @pytest.mark.parametrize("n, hit", [(1, 1), (7, 0), (30, 9), (2000, 1200), (90_000, 300)])
