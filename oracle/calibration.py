@@ -205,7 +205,7 @@ SQL = {
         calibration_pn::BIGINT AS calibration_pos_n, calibration_nn::BIGINT AS calibration_neg_n, validation_pn::BIGINT AS validation_pos_n, validation_nn::BIGINT AS validation_neg_n,
         {r('calibration_pos_delta=cpd','calibration_neg_delta=cnd','validation_pos_delta=vpd','validation_neg_delta=vnd','calibration_objective_delta=cpd + cnd','min_fold_delta=mfd',"final_holdout_pos_delta=CASE WHEN sel AND g = 'blocked_final_holdout_not_evaluated' THEN fpd END", "final_holdout_neg_delta=CASE WHEN sel AND g = 'blocked_final_holdout_not_evaluated' THEN fnd END")} FROM srch3"""),
     "candidate_search_short": st("""SELECT 'no_ready_walk_forward_splits' AS candidate_id, 4 AS horizon_weeks, 'skipped_insufficient_history' AS gate_status, 'do not promote' AS promotion_label, 'no_ready_walk_forward_splits' AS rejection_reasons,
-        false AS selected_by_calibration, false AS final_holdout_evaluated, 0::BIGINT AS final_holdout_rows_used, false AS live_promotion_allowed FROM (SELECT max(date) - INTERVAL 60 YEAR AS wanted, min(date) AS first FROM bars) WHERE first > wanted"""),
+        false AS selected_by_calibration, false AS final_holdout_evaluated, 0::BIGINT AS final_holdout_rows_used, false AS live_promotion_allowed FROM (SELECT max(date) - INTERVAL 10 YEAR AS wanted, min(date) AS first FROM bars) WHERE first > wanted"""),
     "candidate_grid": st(f"""SELECT candidate_id, scope, sector, direction, horizon_weeks, train_base_n, train_base_hit, train_cand_n, train_cand_hit, holdout_base_n, holdout_base_hit, holdout_cand_n, holdout_cand_hit,
         train_hit_rate - baseline_train_hit_rate >= 0 AND holdout_hit_rate - baseline_holdout_hit_rate >= 0 AS fold_stability_passed,
         {r('train_hit_rate','holdout_hit_rate','baseline_train_hit_rate','baseline_holdout_hit_rate','train_delta=train_hit_rate - baseline_train_hit_rate','holdout_delta=holdout_hit_rate - baseline_holdout_hit_rate',

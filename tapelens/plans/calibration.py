@@ -40,7 +40,7 @@ def _forward(spark, root):
 def _search_short(spark, root):
     """A search over more years than the tables hold: no folds, one row that says so."""
     x = Inputs(spark, root)
-    splits = lb.walk_forward_splits(x.calendar, years=60, calibration_years=40, minimum_calibration_years=30)
+    splits = lb.walk_forward_splits(x.calendar, years=10, calibration_years=5)
     out = cal.candidate_search(cal.fold_windows(_labels(x), splits), RULES, splits=splits, horizons=HORIZONS)
     return out.select("candidate_id", "horizon_weeks", "gate_status", "promotion_label", "rejection_reasons", "selected_by_calibration", "final_holdout_evaluated", "final_holdout_rows_used", "live_promotion_allowed")
 
