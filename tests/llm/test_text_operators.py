@@ -37,7 +37,7 @@ def frame(spark, texts):
 
 def duck(name: str):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     cur = con.execute(queries.SQL[name])
     return [c[0] for c in cur.description], cur.fetchall()
