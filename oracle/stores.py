@@ -45,6 +45,13 @@ cte("jruns", "SELECT strftime(as_of, '%Y-%m-%d') AS run_id, * FROM scored")
 cte("jrows", "SELECT o_orderkey AS run_id, max(o_orderdate) AS d FROM orders GROUP BY 1 ORDER BY d DESC, run_id DESC LIMIT 50")
 cte("jdig", """
     SELECT run_id, count(*) AS n, list(upper(ticker) || '|' || class || '|' || state || '|' || concat_ws('|', s_score, f_score, mom_12_1, mansfield_rs, rs_ratio, rs_momentum, breadth_50d, cmf21, stage, selected) ORDER BY ticker) AS c FROM jruns GROUP BY 1""")
+KIND = "CASE WHEN state IN ('EXIT', 'BEARISH_STAGE_4') THEN 'exit' WHEN state = 'WARNING' THEN 'warn' WHEN state = 'STAGE_2_BULLISH' THEN 'buy' END"
+cte("jdec", f"""
+    SELECT run_id, count({KIND}) AS n, coalesce(list(upper(ticker) || '|' || state ORDER BY ticker) FILTER ({KIND} IS NOT NULL), []) AS c FROM jruns GROUP BY 1""")
+cte("jall", """
+    SELECT g.run_id, '' AS p, g.n, d.n AS dn, g.c, d.c::VARCHAR AS dc, 'old' AS note FROM jdig g JOIN jdec d ON d.run_id = g.run_id WHERE g.run_id < '2000-01-01'
+    UNION ALL SELECT g.run_id, 'again-', g.n, d.n, g.c, d.c::VARCHAR || CASE WHEN month(CAST(g.run_id AS DATE)) % 3 = 1 AND d.n > 0 THEN '!' ELSE '' END, CASE WHEN month(CAST(g.run_id AS DATE)) % 3 = 2 THEN 'new' ELSE 'old' END
+    FROM jdig g JOIN jdec d ON d.run_id = g.run_id""")
 AGE = lambda c: f"greatest(0, CAST(DATE '2001-11-05' - {c} AS BIGINT))"
 LBL = lambda c: f"CASE WHEN {c} IS NULL THEN 'missing' WHEN {AGE(c)} = 0 THEN 'today' ELSE {AGE(c)} || 'd old' END"
 cte("hbar", "SELECT max(l) AS latest, min(l) AS oldest, count(l) AS loaded, count(*) AS expected FROM (SELECT ticker, max(date) AS l FROM bars GROUP BY 1)")
@@ -90,6 +97,12 @@ SQL = {
     "journal_records": st("""SELECT run_id, upper(ticker) AS ticker, class AS asset_class, state, CAST((mom_12_1 IS NOT NULL)::INT + (mansfield_rs IS NOT NULL)::INT + (rs_ratio IS NOT NULL)::INT + (rs_momentum IS NOT NULL)::INT + (breadth_50d IS NOT NULL)::INT + (cmf21 IS NOT NULL)::INT AS INTEGER) AS pillars,
         CASE WHEN stage IS NOT NULL THEN 'selected,stage' ELSE 'selected' END AS payload_keys, CAST(stage AS VARCHAR) AS stage FROM jruns"""),
     "journal_new_runs": st("SELECT 'again-' || run_id AS run_id, n AS rows FROM jdig WHERE c NOT IN (SELECT c FROM jdig WHERE run_id < '2000-01-01')"),
+    "journal_decisions": """SELECT l_orderkey AS run_id, 'bluf' AS decision_type, 'BR' || (l_partkey % 25) AS ticker, CASE l_returnflag WHEN 'R' THEN 'EXIT' WHEN 'A' THEN 'WATCH' ELSE 'REVIEW' END AS action,
+        CASE WHEN l_partkey % 7 <> 2 THEN 'q' || CAST(l_quantity AS INTEGER) END AS rationale, CASE l_returnflag WHEN 'R' THEN 'exit' WHEN 'A' THEN 'warn' ELSE '' END AS kind,
+        CASE l_returnflag WHEN 'R' THEN 'Out' WHEN 'N' THEN 'Rest' END AS label, CAST(NULL AS VARCHAR) AS eta, CASE l_returnflag WHEN 'A' THEN 'WARNING' END AS state
+        FROM lineitem WHERE l_partkey % 7 > 1 AND l_orderkey % 17 <> 0""",
+    "journal_runs": st("""SELECT p || run_id AS run_id, 'dashboard-' || replace(run_id, '-', '') || 'T000000Z' AS journal_stem, 'alpha' AS provider, n AS universe_count, n AS scores, dn AS decisions, note
+        FROM (SELECT *, row_number() OVER (PARTITION BY c, dc, note ORDER BY p, run_id) AS k FROM jall) WHERE k = 1"""),
     "journal_read": st(f"""SELECT s.run_id, s.ticker, {r('s_score=s.q')}, d.action FROM (SELECT l_orderkey AS run_id, upper(p_brand) AS ticker, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) s
         JOIN jrows j ON j.run_id = s.run_id LEFT JOIN (SELECT DISTINCT l_orderkey AS run_id, upper(p_brand) AS ticker, 'EXIT' AS action FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') d ON d.run_id = s.run_id AND d.ticker = s.ticker"""),
     "data_health": st("SELECT *, CASE WHEN 'stale' IN (SELECT status FROM hrows) THEN 'Data stale' WHEN 'warning' IN (SELECT status FROM hrows) THEN 'Data warning' ELSE 'Data healthy' END AS summary FROM hrows"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import health
 from ..sources import bars as bs
-from ..sources import feeds, journal, snapshots as sn
+from ..sources import feeds, journal, ledger, snapshots as sn
 from ..sources.tables import bars, macro, prints, shares_outstanding, table
+from ..streaming import jobs
 from .boards import _readiness
 from .methodology import scored_table
 
@@ -230,6 +231,61 @@ def _journal_new(spark, root):
     return journal.new_runs(again, stored).groupBy("run_id").agg(F.count("*").alias("rows"))
 
 
+def _action_documents(spark, root):
+    """One action list per order: its line items by flag, with items and groups of odd forms."""
+    item, k = table(spark, root, "lineitem"), F.col("l_partkey")
+    code, note = F.concat(F.lit("br"), (k % 25).cast("string")), F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string"))
+    odd = F.when(k % 7 == 0, F.lit('"loose"')).when(k % 7 == 1, F.lit('{"note": "nobody"}')).when(k % 7 == 2, F.to_json(F.struct(F.lit("").alias("t"), code.alias("ticker"))))
+    entry = F.coalesce(odd, F.to_json(F.struct(code.alias("t"), note.alias("note"))))
+    groups = item.groupBy("l_orderkey", "l_returnflag").agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ", "), F.lit("]")).alias("list"))
+    flag = F.col("l_returnflag")
+    head = F.when(flag == "R", '"kind": "exit", "label": "Out", "eta": null').when(flag == "A", '"kind": " Warn ", "state": "WARNING"').otherwise('"label": "Rest"')
+    group = F.concat(F.lit("{"), head, F.lit(', "tickers": '), "list", F.lit("}"))
+    lists = groups.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_join(F.collect_list(group), ", ").alias("g"))
+    whole = F.concat(F.lit('{"actions": ["stray", '), "g", F.lit("]}"))
+    return lists.select("run_id", F.when(F.col("run_id") % 17 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("bluf"))
+
+
+def _journal_decisions(spark, root):
+    d = journal.decision_records(_action_documents(spark, root))
+    return d.select("run_id", "decision_type", "ticker", "action", "rationale", *[F.element_at("payload", c).alias(c) for c in ("kind", "label", "eta", "state")])
+
+
+def _run_tables(spark, root, prefix: str = ""):
+    """Runs, scores and decisions of every scored date. With a prefix they come again under new ids:
+    the notes of one month in three and the metadata of another one changed."""
+    s, month = _scored_runs(spark, root), F.month(F.to_date("run_id")) % 3
+    again = F.lit(bool(prefix))
+    kind = F.when(F.col("state").isin("EXIT", "BEARISH_STAGE_4"), "exit").when(F.col("state") == "WARNING", "warn").when(F.col("state") == "STAGE_2_BULLISH", "buy")
+    note = F.concat(F.col("state"), F.when(again & (month == 1), "!").otherwise(""))
+    item = F.array(F.struct(F.col("ticker").alias("t"), note.alias("note")))
+    docs = s.select("run_id", F.to_json(F.struct(F.array(F.struct(kind.alias("kind"), item.alias("tickers"))).alias("actions"))).alias("bluf")).where(kind.isNotNull())
+    runs = s.groupBy("run_id").agg(F.lit(None).cast("string").alias("git_sha")).select(
+        "run_id", F.concat("run_id", F.lit("T00:00:00+00:00")).alias("started_at_utc"), "git_sha", F.lit("1").alias("app_version"), F.lit("alpha").alias("provider"),
+        F.create_map(F.lit("note"), F.when(again & (month == 2), "new").otherwise("old")).alias("metadata"),
+    )
+    tables = runs, journal.score_records(s), journal.decision_records(docs)
+    return [df.withColumn("run_id", F.concat(F.lit(prefix), "run_id")) for df in tables]
+
+
+def _journal_runs(spark, root):
+    """Runs up to 2000 are appended, twice by the same token; then all come again under new ids."""
+    path = jobs.scratch(spark, "run-journal")
+    base = [df.where("run_id < '2000-01-01'") for df in _run_tables(spark, root)]
+    for token in ("base", "base"):
+        journal.append_runs(*base, path, token)
+    again = _run_tables(spark, root, "again-")
+    journal.append_runs(*again, path, "again")
+    read = lambda name, df: ledger.read(spark, path, df.schema, name)
+    count = lambda df, c: df.groupBy("run_id").agg(F.count("*").alias(c))
+    runs = read("runs", journal.run_records(*again))
+    out = runs.join(count(read("scores", again[1]), "scores"), "run_id", "left").join(count(read("decisions", again[2]), "decisions"), "run_id", "left")
+    return out.select(
+        "run_id", F.regexp_extract("journal_id", r"^(dashboard-\w+)-[0-9a-f]{12}$", 1).alias("journal_stem"), "provider", "universe_count", "scores",
+        F.coalesce("decisions", F.lit(0)).alias("decisions"), F.element_at("metadata", "note").alias("note"),
+    )
+
+
 def _journal_read(spark, root):
     o = table(spark, root, "orders")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
@@ -280,6 +336,8 @@ QUERIES = {
     "ticker_list_errors": lambda s, d: feeds.token_errors(_tokens(s, d)),
     "journal_records": _journal_records,
     "journal_new_runs": _journal_new,
+    "journal_decisions": _journal_decisions,
+    "journal_runs": _journal_runs,
     "journal_read": _journal_read,
     "data_health": _data_health,
 }

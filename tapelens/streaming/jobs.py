@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_folder
+from ..sources import ledger
 
 TRANSITION = "ticker string, from_state string, to_state string, date date"
 
@@ -88,25 +89,26 @@ def transitions(states: DataFrame) -> DataFrame:
 
 
 def journal_sink(path: str, keys: list[str], day: str | None = None):
-    """``foreachBatch`` writer that appends only rows whose keys the table lacks (T4).
+    """``foreachBatch`` writer that appends only rows whose keys the table lacks, exactly once (T4).
 
-    With ``day`` (one of the keys) the table is partitioned by it, and a batch reads back only
-    the days that it holds, not the whole journal.
+    A batch is written into a folder of its own and counts from its commit on, which is named by
+    batch id and an order-free digest of the batch: a batch that is repeated after a failure, before
+    or after the commit, leaves each row once. With ``day`` (one of the keys) the table is
+    partitioned by it, and a batch reads back only the days that it holds.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        try:
-            stored = batch.sparkSession.read.parquet(path).select(*keys)
-            if day is not None:
-                first, last = batch.agg(F.min(day), F.max(day)).first()
-                stored = stored.where(F.col(day).between(first, last))
-            fresh = fresh.join(stored, keys, "left_anti")
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        writer = fresh.write.mode("append")
-        (writer if day is None else writer.partitionBy(day)).parquet(path)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        half = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *keys).cast("decimal(38,0)")), F.lit(0)).cast("string")
+        ends = [F.min(day).alias("first"), F.max(day).alias("last")] if day is not None else []
+        seen = batch.agg(F.substring(F.sha2(F.concat_ws("|", half(1), half(2)), 256), 1, 16).alias("digest"), *ends).first()
+        token = f"b{batch_id}-{seen.digest}"
+        if ledger.committed(spark, path, token):
+            return
+        inside = None if day is None else F.col(day).between(seen["first"], seen["last"])
+        stored = ledger.read(spark, path, batch.schema, where=inside).select(*keys)
+        fresh = batch.dropDuplicates(keys).join(stored, keys, "left_anti").select(*batch.columns)
+        ledger.append({"": fresh}, path, token, None if day is None else [day])
 
     return write
 
@@ -136,4 +138,4 @@ def drain_journal(stream: DataFrame, path: str, keys: list[str], day: str | None
     spark = stream.sparkSession
     q = stream.writeStream.foreachBatch(journal_sink(path, keys, day)).option("checkpointLocation", scratch(spark, "journal-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    return ledger.read(spark, path, stream.schema)
