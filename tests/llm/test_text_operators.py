@@ -145,6 +145,23 @@ def test_frequent_pieces_are_those_of_all_documents(spark):
     assert counts[" late"] >= 15_000 and "z" * 1_000 not in counts
 
 
+def test_piece_counts_over_many_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(200)) for _ in range(300)] + [None, ""]
+    df = frame(spark, texts).repartition(40)
+    want = Counter(p for r in df.collect() if r["text"] is not None for p in token_counts.pieces(r["text"]))
+    assert {r["piece"]: r["c"] for r in token_counts.piece_counts(df, size=100_000).collect()} == dict(want)
+    monkeypatch.setattr(token_counts, "HELD", 200)
+    got = token_counts.piece_counts(df, size=20)
+    assert got.count() == 20 and {p for p, _ in want.most_common(8)} <= {r["piece"] for r in got.collect()}
+
+
+def test_pruned_counters():
+    assert token_counts.pruned(Counter(a=9, b=7, c=3, d=1), 2) == Counter(a=6, b=4)
+    assert token_counts.pruned(Counter(a=2, b=2, c=2), 2) == Counter()
+    assert token_counts.pruned(Counter(a=2), 2) == Counter(a=2)
+
+
 def test_token_count_query(spark):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{ROOT}/documents.parquet'").fetchall())
