@@ -73,13 +73,16 @@ def at_most(df: DataFrame, key: Column, most: int) -> DataFrame:
 def keep_rows(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is in ``keepers`` (one string column ``key``, no repeats), one row per key.
 
-    Keys hold the row's id, so copies of one text spread over the tasks. Which of several rows with
-    one key stays is not defined; they agree in id and group.
+    Keys hold the row's id, so copies of one text spread over the tasks. Of several rows with one key
+    the smallest stays: columns compare in their order, nulls first; types without an order as JSON.
     """
     name = fresh("row_key", docs.columns)
     whole = fresh("row", docs.columns)
     kept = docs.withColumn(name, key).join(keepers.select(F.col("key").alias(name)), name, "left_semi")
-    rows = kept.groupBy(name).agg(F.first(F.struct(*[F.col(quoted(c)) for c in docs.columns])).alias(whole))
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    unordered = [("map" in t or "variant" in t) for _, t in docs.dtypes]
+    order = F.struct(*[F.to_json(F.struct(quoted(c))) if u else F.col(quoted(c)) for c, u in zip(docs.columns, unordered)])
+    rows = kept.groupBy(name).agg((F.min_by(row, order) if any(unordered) else F.min(row)).alias(whole))
     return rows.select(f"{whole}.*")
 
 

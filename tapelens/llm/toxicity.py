@@ -207,11 +207,14 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folder: str, id_col: str, text_col: str, most: int) -> DataFrame:
-    """Stored (text, toxic): at most ``most`` labelled documents outside the held-out fold, one per text."""
+    """Stored (text, toxic): at most ``most`` labelled documents outside the held-out fold.
+
+    Equal texts are one row, toxic if any of them is labelled so.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = F.broadcast(at_most(known, F.col("label_id"), most))  # at most ``most`` rows
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(texts.join(picked, "label_id").dropDuplicates(["text"]).select("text", "toxic"), folder, "training")
+    return stored(texts.join(picked, "label_id").groupBy("text").agg(F.max("toxic").alias("toxic")), folder, "training")
 
 
 def learn_lexicon(train: DataFrame, most: int = MAX_LEXICON) -> Lexicon:

@@ -91,6 +91,16 @@ def test_exact_dedup(spark, fan_in):
     )
 
 
+def test_surviving_row_does_not_depend_on_partitions(spark):
+    rows = [(i % 4 if i % 4 else None, "same text", f"l{(i * 7) % 20:02d}", None, i, {"k": str(i)}) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, keep_id string, f int, m map<string,string>")
+    for drop in (exact_dedup.drop_copies, simhash.drop_near_copies):
+        for cols in (["doc_id", "text", "lang", "keep_id", "f"], df.columns):
+            got = {tuple(map(str, r)) for n in (1, 2, 3, 7, 16) for r in drop(df.select(cols).orderBy(F.xxhash64("f", F.lit(n))).repartition(n)).collect()}
+            assert len(got) == 1
+            assert next(iter(got))[:3] == ("1", "same text", min(r[2] for r in rows if r[0] == 1))
+
+
 @pytest.mark.parametrize("planned", [1, 2, 7])
 def test_exact_dedup_when_the_scan_has_more_tasks_than_planned(spark, planned):
     rows = exact_dedup.digests(frame(spark, [(i, f"t{i % 20}") for i in range(200)])).repartition(24)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapelens.llm import bpe, quality, queries, token_counts, toxicity, urls
-from tapelens.llm.common import Cache
+from tapelens.llm.common import Cache, scratch
 
 ROOT = "/root/testdata/sf0.001"
 LETTERS = "ab '  \n\t.,1é 　 ß😀<|endoftext|>st\x1c\x0b"
@@ -258,6 +258,29 @@ def test_toxicity_held_out(spark):
     assert sorted((r["doc_id"], r["predicted"]) for r in again) == sorted((r["doc_id"], r["predicted"]) for r in rows)
 
 
+def test_toxicity_recall(spark):
+    """Held-out rows of the larger table; accuracy alone has the clean share as its floor."""
+    root = "/root/testdata/sf0.1"
+    rows = toxicity.score_documents(queries.table(spark, root, "documents"), queries.table(spark, root, "labels")).collect()
+    truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{root}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [p for p, y in held if y], [p for p, y in held if not y]
+    assert len(toxic) > 50 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+
+
+def test_toxicity_labels_of_equal_texts(spark):
+    texts = ["you are a stupid idiot"] * 30 + ["nice day today"] * 30 + [f"plain words {k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0 and i < 30)) for i in range(100)], "doc_id long, quality int, toxic int")
+    answers = set()
+    for n in (1, 2, 3, 7, 16):
+        rows = toxicity.score_documents(docs.orderBy(F.xxhash64("doc_id", F.lit(n))).repartition(n), labels).collect()
+        answers.add(tuple(sorted((r["doc_id"], r["score"]) for r in rows)))
+        train = toxicity.training_rows(docs.repartition(n), labels, scratch(spark, "t"), "doc_id", "text", 1000)
+        assert {r["text"]: r["toxic"] for r in train.where("text like 'you%' or text like 'nice%'").collect()} == {texts[0]: 1, "nice day today": 0}
+    assert len(answers) == 1
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(None, None, None), (3, 1, None)], "doc_id long, quality int, toxic int")
     df = frame(spark, [None, "", "you are a stupid worthless idiot, you moron", "a fine day", "x " * 50_000])
