@@ -13,16 +13,30 @@ def with_digest(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumn("payload_sha256", F.sha2(body, 256))
 
 
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the newest by the timestamp ``order``, of equally new ones that with the greatest hash.
+
+    Time and hash are one number, so the aggregate holds no payloads and never sorts; rows come back
+    by an equi-join on key and number.
+    """
+    time = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(1 << 55))).cast("decimal(38,0)")
+    rank = (time * F.lit(1 << 62).cast("decimal(20,0)")).cast("decimal(38,0)") + F.shiftrightunsigned(F.xxhash64(*rows.columns), 2).cast("decimal(38,0)")
+    ranked = rows.distinct().withColumn("_rank", rank.cast("decimal(38,0)"))
+    best = ranked.groupBy(*keys).agg(F.max("_rank").alias("_best"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return ranked.alias("r").join(best.alias("b"), same & (F.col("_rank") == F.col("_best")), "left_semi").drop("_rank")
+
+
 def upsert(store: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest write per key of the stored and incoming rows.
+    """Stored rows whose key doesn't arrive, and the newest arriving row of each key.
 
-    One aggregate with map-side combine; a key with many rewrites is one partial row
-    per task.
+    The store has one row per key. It takes part in one anti-join and is neither aggregated nor
+    sorted by payload; only arriving rows are compared with each other.
     """
-    both = store.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    rest = [c for c in store.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct("_new", order))
-    return both.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    keep = store.alias("s").join(incoming.select(*keys).distinct().alias("i"), keys, "left_anti")
+    return keep.select(*store.columns).unionByName(newest(incoming, keys, order).select(*store.columns))
 
 
 def history(store: DataFrame, provider: str, dataset: str, ticker: str) -> DataFrame:
