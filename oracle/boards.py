@@ -1,5 +1,7 @@
 """Statements for provider lanes and report tables."""
 from .scores import PILLARS
+from tapelens.operators.scoring import NEUTRAL
+
 from .parts import cte, r, state_case, statement as st, z
 
 N = "CAST(substr(ticker, 7) AS INTEGER)"
@@ -79,6 +81,9 @@ cte("sig", "SELECT ticker, coalesce(cmf21, 0.0) AS s FROM last_scored")
 cte("outs", "SELECT ticker, greatest(0.05, abs(s)) AS m FROM sig WHERE s < 0 ORDER BY s, ticker LIMIT 10")
 cte("ins", "SELECT ticker, greatest(0.05, abs(s)) AS m FROM sig WHERE s > 0 ORDER BY s DESC, ticker LIMIT 10")
 cte("lane_tot", "SELECT (SELECT sum(m) FROM outs) AS o, (SELECT sum(m) FROM ins) AS i")
+NEUTRAL_ORDER = list(NEUTRAL)
+cte("lastrun", """
+    SELECT 'Brand#' || (o_custkey % 25 + 1) AS ticker, o_orderkey % 5 AS k, arg_max(o_orderstatus = 'F', (o_orderdate, o_orderstatus = 'F')) AS f FROM orders GROUP BY 1, 2""")
 LIVE = [("etf_flow_5d_pct", "etf", 0.0), ("block_up_ratio", "block", 1.0), ("dark_pool_pct", "dark", 0.4), ("si_delta_15d", "short", 0.0), ("thirteen_f_q", "filing", 0.0)]
 SH = "o.m / greatest(t.o, 0.1) * n.m / greatest(t.i, 0.1)"
 
@@ -100,6 +105,7 @@ SQL = {
     "short_interest": st(f"SELECT ticker, {r('si_delta_15d=CAST(v AS DOUBLE)')} FROM short"),
     "thirteen_f": st(f"SELECT ticker, {r('thirteen_f_q=v')} FROM filing"),
     "flow_signals": st(f"SELECT ticker, {r('cmf21','obv_slope','rvol', *[f'{n}=coalesce({c}, {v}::DOUBLE)' for n, c, v in LIVE])}, {', '.join(f'{c} IS NOT NULL AS {n}_live' for n, c, v in LIVE)} FROM lanes"),
+    "flow_signals_run": st(f"""SELECT ticker, {r(*[f'{n}=coalesce({c}, {v}::DOUBLE)' for n, c, v in LIVE])}, {', '.join(f"{c} IS NOT NULL AND coalesce((SELECT f FROM lastrun x WHERE x.ticker = lanes.ticker AND x.k = {NEUTRAL_ORDER.index(n)}), false) AS {n}_live" for n, c, v in LIVE)} FROM lanes"""),
     "flow_composite": st(f"SELECT ticker, {r('F_score=f')} FROM fcomp"),
     "lane_states": st(f"""SELECT ticker, {state_case('(etf IS NOT NULL)', 'etf', '(block IS NOT NULL)', 'block')} AS state,
         greatest(1, CAST(cmf21 >= 0.05 AS INTEGER), CAST(coalesce(etf, 0) >= 0 AS INTEGER), CAST(CASE WHEN coalesce(block, 1) BETWEEN 0 AND 1 THEN coalesce(block, 1) END >= 0.7 AS INTEGER)) = 1 AS confirmed FROM lstate"""),
@@ -130,7 +136,9 @@ SQL = {
     "momentum_bars": st(f"""SELECT ticker, {r('momentum_pct=m','width=least(50.0, abs(m) / greatest(5.0, max(abs(m)) OVER ()) * 50)')} FROM (SELECT ticker, coalesce(mom_12_1, 0) * 100 AS m FROM last_scored ORDER BY 2 DESC, 1 LIMIT 16)"""),
     "leaders_risks": st(f"""(SELECT 'leader' AS side, ticker, {r('S_score=s_score')} FROM last_scored ORDER BY coalesce(last_scored.s_score, 0) DESC, ticker LIMIT 8)
         UNION ALL (SELECT 'risk', ticker, {r('S_score=s_score')} FROM last_scored ORDER BY coalesce(last_scored.s_score, 0), ticker LIMIT 8)"""),
-    "snapshot_counts": st("SELECT 'state' AS dimension, state AS label, count(*) AS members FROM last_scored GROUP BY 2 UNION ALL SELECT 'quadrant', coalesce(rrg_quadrant, 'Unknown'), count(*) FROM last_scored GROUP BY 2"),
+    "snapshot_counts": st("""SELECT 'state' AS dimension, state AS label, count(*) AS members FROM last_scored GROUP BY 2 UNION ALL SELECT 'quadrant', coalesce(rrg_quadrant, 'Unknown'), count(*) FROM last_scored GROUP BY 2
+        UNION ALL SELECT 'action', CASE WHEN state IN ('EXIT', 'BEARISH_STAGE_4') THEN 'EXIT' WHEN state = 'WARNING' THEN 'WATCH' WHEN state = 'STAGE_2_BULLISH' THEN 'BUY' END AS a, count(*) FROM last_scored
+        WHERE state IN ('EXIT', 'BEARISH_STAGE_4', 'WARNING', 'STAGE_2_BULLISH') GROUP BY 2"""),
     "gate_rows": st(" UNION ALL ".join(f"SELECT ticker, '{n}' AS list, {i} AS position, '{label}' AS label, {e} AS ok FROM last_scored" for n, rows in GATES for i, (label, e) in enumerate(rows, 1))),
     "flow_lanes": st(f"SELECT o.ticker AS source, n.ticker AS target, {r(f'share={SH}', f'pressure={SH} * least(t.o, t.i)')} FROM outs o CROSS JOIN ins n CROSS JOIN lane_tot t"),
     "row_pressure": st(f"SELECT ticker, {r('pressure=coalesce(cmf21, 0) + coalesce(s_score, 0) * 0.35')} FROM last_scored"),

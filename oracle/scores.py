@@ -1,13 +1,12 @@
 """Statements for composite, states and transitions."""
-import json
-
-from tapelens.operators.scoring import parameters
-from tapelens.sources.tables import TOP_PER_CLASS
+from tapelens.operators.scoring import baseline_configuration, canonical_json
+from tapelens.sources.tables import BENCH, CASH, TOP_PER_CLASS
 
 from .parts import cte, r, state_case, statement as st, z
 
 #: The configuration's JSON text; its hash with the universe is DuckDB's own.
-CONFIG = json.dumps(parameters({f"C{i}": TOP_PER_CLASS for i in range(4)}), sort_keys=True, separators=(",", ":"), allow_nan=False).replace("'", "''")
+CONFIG = canonical_json(baseline_configuration({f"C{i}": TOP_PER_CLASS for i in range(4)}, BENCH, CASH)).replace("'", "''")
+HEX = "sum(CAST('0x' || substr(h, {i}, 12) AS BIGINT))"
 
 cte("stored", """
     SELECT ticker, CASE s WHEN 'F' THEN 'EXIT' WHEN 'O' THEN 'HOLD' ELSE '' END AS state, updated FROM (
@@ -93,5 +92,7 @@ SQL = {
     "class_lookup": """SELECT coalesce(o.c, d.c, 'Other') AS class, count(*) AS members FROM (SELECT p_name AS t FROM part UNION ALL SELECT c_name FROM customer) n
         LEFT JOIN (SELECT p_name AS t, min(p_type) AS c FROM part WHERE p_size > 3 GROUP BY 1) d ON d.t = n.t
         LEFT JOIN (SELECT p_name AS t, min(p_brand) AS c FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_name LIKE 'red%' GROUP BY 1) o ON o.t = n.t GROUP BY 1""",
-    "config_universe": st(f"""SELECT universe, sha256('{CONFIG}|' || universe) AS config_sha256 FROM (SELECT string_agg(ticker, ',' ORDER BY ticker) AS universe FROM (SELECT DISTINCT ticker FROM bars))"""),
+    "config_universe": st(f"""SELECT *, sha256('{CONFIG}|' || universe_sha256) AS config_sha256 FROM (
+        SELECT count(*) AS universe_count, sha256(concat_ws('|', count(*), {', '.join(HEX.format(i=i) for i in (1, 13, 25))})) AS universe_sha256 FROM (
+        SELECT sha256(ticker || '|' || CASE WHEN ticker IN ('{BENCH}', '{CASH}') THEN 'Benchmark' ELSE 'C' || (CAST(substr(ticker, 7) AS INTEGER) % 4) END) AS h FROM (SELECT DISTINCT ticker FROM bars)))"""),
 }

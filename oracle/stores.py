@@ -58,10 +58,12 @@ cte("hbar", "SELECT max(l) AS latest, min(l) AS oldest, count(l) AS loaded, coun
 cte("hser", """
     SELECT v.series_id, fresh, max(m.date) AS l FROM (VALUES ('1-URGENT', 100), ('2-HIGH', 100), ('3-MEDIUM', 7), ('9-GONE', 7)) v(series_id, fresh) LEFT JOIN macro m ON m.series_id = v.series_id GROUP BY 1, 2""")
 cte("hrows", f"""
-    SELECT 'market_ohlcv' AS lane, CASE WHEN {AGE('oldest')} > 10 THEN 'stale' WHEN {AGE('oldest')} > 5 THEN 'warning' ELSE 'healthy' END AS status, latest, {LBL('latest')} AS freshness, loaded, expected FROM hbar
-    UNION ALL SELECT 'macro', CASE WHEN count(l) = 0 THEN 'stale' WHEN count(*) FILTER ({AGE('l')} > fresh AND l IS NOT NULL) > 0 OR count(l) < count(*) THEN 'warning' ELSE 'healthy' END, max(l), {LBL('max(l)')}, count(l), count(*) FROM hser
-    UNION ALL SELECT 'provider_flow', 'warning', NULL, 'derived from market lane', count(*) FILTER (s = 'healthy'), count(*) FROM (
-        SELECT CASE WHEN c.lane = 'error' THEN 'info' WHEN c.lane = 'purchase' THEN 'warning' ELSE coalesce(h.status, 'healthy') END AS s FROM (VALUES ('click'), ('view'), ('error'), ('purchase'), ('other')) c(lane) LEFT JOIN health h ON h.lane = c.lane)""")
+    SELECT 'market_ohlcv' AS lane, CASE WHEN {AGE('oldest')} > 10 THEN 'stale' WHEN {AGE('oldest')} > 5 THEN 'warning' ELSE 'healthy' END AS status, latest, {LBL('latest')} AS freshness, loaded, expected, 'source mix beta ' || loaded AS detail FROM hbar
+    UNION ALL SELECT 'macro', CASE WHEN count(l) = 0 THEN 'stale' WHEN count(*) FILTER ({AGE('l')} > fresh AND l IS NOT NULL) > 0 OR count(l) < count(*) THEN 'warning' ELSE 'healthy' END, max(l), {LBL('max(l)')}, count(l), count(*), count(*) FILTER ({AGE('l')} > fresh AND l IS NOT NULL) || ' of ' || count(l) || ' series past their age limit' FROM hser
+    UNION ALL SELECT 'provider_flow', 'warning', NULL, 'derived from market lane', count(*) FILTER (s = 'healthy'), count(*), NULL FROM (
+        SELECT CASE WHEN c.lane = 'error' THEN 'info' WHEN c.lane = 'purchase' THEN 'warning' ELSE coalesce(h.status, 'healthy') END AS s FROM (VALUES ('click'), ('view'), ('error'), ('purchase'), ('other')) c(lane) LEFT JOIN health h ON h.lane = c.lane)
+    UNION ALL SELECT 'dashboard_compute', CASE WHEN m <= 60 THEN 'healthy' ELSE 'warning' END, CAST(t AS DATE), m || 'm old', 1, 1, strftime(t, '%Y-%m-%d %H:%M') FROM (
+        SELECT max(o_orderdate) AS t, greatest(0, CAST(floor(epoch(TIMESTAMP '2001-08-02 00:45:00' - max(o_orderdate)) / 60) AS BIGINT)) AS m FROM orders)""")
 
 SQL = {
     "bars_read": st(f"SELECT ticker, date, {r('close','volume', digits=10)} FROM bars WHERE ticker IN ('Brand#3', 'Brand#4', 'Brand#12') AND date >= DATE '2001-11-05' - 1095"),
@@ -77,6 +79,9 @@ SQL = {
     "provider_mix": st("SELECT provider, count(DISTINCT ticker) AS tickers, count(*) AS rows FROM src GROUP BY 1"),
     "fund_records": st("""SELECT ticker, as_of, shares_outstanding, round(CAST(printf('%.9f', nav) AS DOUBLE), 6) + 0.0 AS nav,
         round(CASE WHEN month(as_of) % 2 = 1 THEN CAST(printf('%.12f', aum / 1e6) AS DOUBLE) * 1e6 ELSE CAST(printf('%.6f', aum) AS DOUBLE) END, 3) + 0.0 AS aum FROM shares_out"""),
+    "fund_csv": st("""SELECT as_of, shares_outstanding, round(CAST(printf('%.9f', nav) AS DOUBLE), 6) + 0.0 AS nav, round(CAST(printf('%.6f', aum) AS DOUBLE), 3) + 0.0 AS aum FROM shares_out"""),
+    "filing_table": "SELECT 'C' || l_partkey AS cusip, CAST(l_shipdate AS DATE) AS period, round(l_quantity, 6) + 0.0 AS shares FROM lineitem",
+    "csv_artefact": st('SELECT as_of, ticker, "class", state, selected FROM scored'),
     "snapshot_upsert": st("""SELECT ticker, as_of, captured_at, payload, sha256(payload) AS payload_sha256 FROM (
         SELECT ticker, as_of, CASE WHEN month(as_of) <= 2 THEN CAST(as_of + 9 AS TIMESTAMP) ELSE captured_at END AS captured_at, CASE WHEN month(as_of) <= 2 THEN payload || ':r' ELSE payload END AS payload FROM snapst)"""),
     "snapshot_history": st("SELECT ticker, as_of, captured_at, payload FROM snapst WHERE ticker = 'Brand#7'"),

@@ -224,16 +224,23 @@ def leaders_and_risks(scored: DataFrame, k: int = 8) -> DataFrame:
     return top.unionByName(low)
 
 
-def counts(scored: DataFrame) -> DataFrame:
-    """Members by state and by quadrant in one pass."""
+def counts(scored: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Members by state and by quadrant in one pass, decisions by action.
+
+    A decision without an action asks for a review.
+    """
     g = scored.select("state", F.coalesce("rrg_quadrant", F.lit("Unknown")).alias("quadrant")).groupingSets([["state"], ["quadrant"]], "state", "quadrant").agg(
         F.count("*").alias("members"), F.grouping("state").alias("_q")
     )
-    return g.select(
+    out = g.select(
         F.when(F.col("_q") == 1, "quadrant").otherwise("state").alias("dimension"),
         F.when(F.col("_q") == 1, F.col("quadrant")).otherwise(F.col("state")).alias("label"),
         "members",
     )
+    if decisions is None:
+        return out
+    action = F.coalesce(F.nullif(F.trim("action"), F.lit("")), F.lit("REVIEW"))
+    return out.unionByName(decisions.groupBy(F.lit("action").alias("dimension"), action.alias("label")).agg(F.count("*").alias("members")))
 
 
 def gate_rows(scored: DataFrame) -> DataFrame:

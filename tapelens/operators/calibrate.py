@@ -257,11 +257,13 @@ def _grid_array() -> Column:
     )
 
 
-def grid_blocks(labels: DataFrame, split: DataFrame, sectors: list[str] | None = None) -> DataFrame:
-    """Baseline and candidate counts per scope, rule, horizon, window and date.
+def score_cube(labels: DataFrame, split: DataFrame, sectors: list[str] | None = None) -> DataFrame:
+    """Label counts and sums per scope, horizon, window, date and score band.
 
-    A label belongs to three scopes: global, its class, its own instrument. It fans
-    out by those three and never by the whole grid.
+    A label belongs to three scopes: global, its class, its own instrument. It fans out by those
+    three only. ``up`` and ``down`` tell how many of the grid's limits a score meets from its first
+    one on; limits are nested, so a rule's labels are those of all bands beyond its own. A third of
+    the labels may share one scope: counts combine map-side per date.
     """
     one = split.where("status = 'ready'").agg(F.max(F.struct("train_start", "train_end", "holdout_start", "holdout_end"))).scalar()
     df = labels.withColumn("_s", one)
@@ -274,32 +276,54 @@ def grid_blocks(labels: DataFrame, split: DataFrame, sectors: list[str] | None =
         F.struct(F.col("class").alias("scope"), F.lit(None).cast("string").alias("sector")),
         F.struct(F.col("class").alias("scope"), F.col("ticker").alias("sector")),
     )
-    df = df.withColumn("_sc", F.explode(scopes)).withColumn("r", F.explode(_grid_array()))
+    df = df.withColumn("_sc", F.explode(scopes))
     if sectors is not None:
         df = df.where(F.col("_sc.sector").isNull() | F.col("_sc.sector").isin(*sectors))
     s = F.col("S_score_after_veto")
+    met = lambda conditions: sum((_flag(c).cast("int") for c in conditions), F.lit(0))
+    measures = []
+    for side in ("positive", "negative"):
+        base = F.col(f"{side}_signal") & F.col("label_available")
+        measures += [F.count_if(base).alias(f"{side}_n"), F.count_if(base & F.col(f"{side}_success")).alias(f"{side}_hit")]
+        measures += [F.sum(F.when(base, F.col(c))).alias(f"{side}_{c}") for c in ("forward_return", "excess_return", "drawdown")]
+    return df.groupBy(
+        F.col("_sc.scope").alias("scope"), F.col("_sc.sector").alias("sector"), "horizon_weeks", "window", "as_of",
+        met(s >= t for t in sorted(SCORE_AT_LEAST)).alias("up"),
+        met(s <= t for t in sorted(SCORE_AT_MOST, reverse=True)).alias("down"),
+        _flag(F.col("rs_ratio_z") >= 0).alias("strong"),
+    ).agg(*measures)
+
+
+def grid_blocks(labels: DataFrame, split: DataFrame, sectors: list[str] | None = None) -> DataFrame:
+    """Baseline and candidate counts per scope, rule, horizon, window and date, off the cube."""
+    return blocks_of(score_cube(labels, split, sectors))
+
+
+def blocks_of(cube: DataFrame) -> DataFrame:
+    """The nine rules of every cell's scope: sums over the bands that a rule holds."""
+    levels = {"positive": sorted(SCORE_AT_LEAST), "negative": sorted(SCORE_AT_MOST, reverse=True)}
+    rules = F.array(*[
+        F.struct(F.lit(r["suffix"]).alias("suffix"), F.lit(r["direction"]).alias("direction"),
+                 F.lit(levels[r["direction"]].index(r["limit"])).alias("level"), F.lit(r["strength"]).alias("strength"))
+        for r in grid_rules()
+    ])
+    df = cube.withColumn("r", F.explode(rules))
     positive = F.col("r.direction") == "positive"
-    base = F.when(positive, F.col("positive_signal")).otherwise(F.col("negative_signal")) & F.col("label_available")
-    hit = F.when(positive, F.col("positive_success")).otherwise(F.col("negative_success"))
-    meets = F.when(positive, (s >= F.col("r.limit")) & (~F.col("r.strength") | _flag(F.col("rs_ratio_z") >= 0))).otherwise(
-        s <= F.col("r.limit")
-    )
-    chosen = base & _flag(meets)
-    prefix = F.lower(F.regexp_replace(F.coalesce("_sc.sector", "_sc.scope"), "[ -]", "_"))
-    # A third of the labels may share one scope: counts combine map-side per date.
+    of = lambda c: F.when(positive, F.col(f"positive_{c}")).otherwise(F.col(f"negative_{c}"))
+    inside = F.when(positive, (F.col("up") > F.col("r.level")) & (~F.col("r.strength") | F.col("strong"))).otherwise(F.col("down") > F.col("r.level"))
+    prefix = F.lower(F.regexp_replace(F.coalesce("sector", "scope"), "[ -]", "_"))
     return df.groupBy(
-        F.concat(prefix, F.lit("_"), F.col("r.suffix")).alias("candidate_id"),
-        F.col("_sc.scope").alias("scope"), F.col("_sc.sector").alias("sector"), F.col("r.direction").alias("direction"),
+        F.concat(prefix, F.lit("_"), F.col("r.suffix")).alias("candidate_id"), "scope", "sector", F.col("r.direction").alias("direction"),
         "horizon_weeks", "window", "as_of",
     ).agg(
-        F.count_if(base).alias("base_n"),
-        F.count_if(base & hit).alias("base_hit"),
-        F.count_if(chosen).alias("cand_n"),
-        F.count_if(chosen & hit).alias("cand_hit"),
-        F.sum(F.when(chosen, F.col("forward_return"))).alias("sum_return"),
-        F.sum(F.when(chosen, F.col("excess_return"))).alias("sum_excess"),
-        F.sum(F.when(chosen, F.col("drawdown"))).alias("sum_drawdown"),
-        F.sum(F.when(base, F.col("drawdown"))).alias("base_drawdown"),
+        F.sum(of("n")).alias("base_n"),
+        F.sum(of("hit")).alias("base_hit"),
+        F.sum(F.when(inside, of("n")).otherwise(0)).alias("cand_n"),
+        F.sum(F.when(inside, of("hit")).otherwise(0)).alias("cand_hit"),
+        F.sum(F.when(inside, of("forward_return"))).alias("sum_return"),
+        F.sum(F.when(inside, of("excess_return"))).alias("sum_excess"),
+        F.sum(F.when(inside, of("drawdown"))).alias("sum_drawdown"),
+        F.sum(of("drawdown")).alias("base_drawdown"),
     )
 
 

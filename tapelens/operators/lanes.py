@@ -212,6 +212,18 @@ def run_health(events: DataFrame) -> DataFrame:
     )
 
 
+def last_runs(events: DataFrame) -> DataFrame:
+    """Whether the last run of each lane and ticker was live: lane, ticker, live.
+
+    Time and outcome form one number, so the newest run is a plain maximum with map-side combine;
+    of runs that end together a live one counts.
+    """
+    live = (F.col("status") == "healthy") & F.startswith("mode", F.lit("live ok"))
+    number = F.unix_micros(F.col("completed_at").cast("timestamp")) * 2 + F.coalesce(live, F.lit(False)).cast("long")
+    last = events.groupBy("lane", F.upper("ticker").alias("_t")).agg(F.max(number).alias("_n"), F.min("ticker").alias("ticker"))
+    return last.select("lane", "ticker", (F.pmod("_n", F.lit(2)) == 1).alias("live"))
+
+
 def readiness(config: DataFrame, health: DataFrame) -> DataFrame:
     """Status row per configured lane: stubbed, missing keys, or its run health.
 

@@ -73,13 +73,21 @@ def neutral_lanes(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_lanes(df: DataFrame, lanes: DataFrame, keys: list[str]) -> DataFrame:
-    """Left-join lane readings; a missing reading is neutral and not live."""
+def with_lanes(df: DataFrame, lanes: DataFrame, keys: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """Left-join lane readings; a missing reading is neutral and not live.
+
+    ``runs`` has ticker, lane, live: what each ticker's last run of a lane said. With it a reading
+    counts as live only if that run was.
+    """
     out = df.join(lanes, keys, "left")
+    if runs is not None:
+        flags = [F.coalesce(F.bool_or(F.when(F.col("lane") == name, F.col("live"))), F.lit(False)).alias(f"_run_{name}") for name in NEUTRAL]
+        out = out.join(runs.groupBy("ticker").agg(*flags), "ticker", "left")
     for name, value in NEUTRAL.items():
         reading = F.col(name) if name in lanes.columns else F.lit(None).cast("double")
-        out = out.withColumn(f"{name}_live", reading.isNotNull()).withColumn(name, F.coalesce(reading, F.lit(value)))
-    return out
+        live = reading.isNotNull() if runs is None else reading.isNotNull() & F.coalesce(F.col(f"_run_{name}"), F.lit(False))
+        out = out.withColumn(f"{name}_live", live).withColumn(name, F.coalesce(reading, F.lit(value)))
+    return out.drop(*[f"_run_{name}" for name in NEUTRAL])
 
 
 def flow_composite(df: DataFrame, as_of: str = "as_of") -> DataFrame:
@@ -238,9 +246,68 @@ def parameters(top_n: dict[str, int]) -> dict:
     }
 
 
-def config_hash(spark: SparkSession, config: dict) -> DataFrame:
-    """Sorted compact JSON of a configuration and its sha-256, one row."""
-    body = json.dumps(config, sort_keys=True, separators=(",", ":"), allow_nan=False)
-    return spark.range(1).select(F.lit(body).alias("config_json"), F.sha2(F.lit(body), 256).alias("config_sha256"))
+def baseline_configuration(
+    top_n: dict[str, int],
+    bench: str,
+    cash: str,
+    phase: str = "MID",
+    cost_bps: float = 5.0,
+    periods_per_year: int = 252,
+    horizons_weeks: tuple[int, ...] = (4, 13, 26, 52),
+    years: tuple[int, int, int, int] = (10, 5, 1, 1),
+) -> dict:
+    """The frozen baseline of a calibration run but for its universe.
+
+    ``years``: history asked for, calibration, validation, final holdout.
+    """
+    if cost_bps < 0 or not cost_bps < float("inf"):
+        raise ValueError("costs must be a number from 0 on")
+    if not horizons_weeks or min(*horizons_weeks, *years, periods_per_year) < 1:
+        raise ValueError("horizons, years and periods must be positive")
+    names = ("requested_years", "calibration_years", "validation_years", "final_holdout_years")
+    # Section names, policies and label names.
+    return {
+        "accounting": {"transaction_cost_bps": float(cost_bps), "periods_per_year": periods_per_year},
+        "benchmarks": [bench, cash],
+        "methodology": {
+            "phase": phase,
+            "bench_ticker": bench,
+            "bil_ticker": cash,
+            "selection_policy": "equal_weight_selected_tickers",
+            "target_normalization": "absolute_weight_sum_capped_at_1",
+        },
+        "provider_flags": {"historical_provider_flow": "neutral_stub"},
+        "rebalance": {"cadence": "W-FRI"},
+        "safety": {"research_only": True, "live_promotion_requires_separate_ticket": True, "no_live_scoring_changes": True},
+        "scoring_parameters": parameters(top_n),
+        "signal_labels": {
+            "forward_horizons_weeks": sorted(set(horizons_weeks)),
+            "positive_success": ["forward_absolute_return", "forward_excess_return_vs_class_benchmark", "post_entry_drawdown"],
+            "negative_success": [
+                "avoided_underperformance", "avoided_drawdown", "failed_positive_follow_through", "risk_off_or_reduce_exposure_success",
+            ],
+        },
+        "state_machine": {"historical_policy": "recompute_state_per_rebalance_snapshot", "state_file_writes": "disabled"},
+        "walk_forward": dict(zip(names, years)),
+    }
+
+
+def canonical_json(config: dict) -> str:
+    """Compact JSON with sorted keys; numbers that JSON lacks are refused."""
+    return json.dumps(config, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def config_hash(universe: DataFrame, config: dict) -> DataFrame:
+    """Size and digest of a universe and the hash of a configuration with it, one row.
+
+    ``universe`` has ticker and class. Each distinct pair is hashed where it lives and the hashes are
+    summed in three parts, so the digest doesn't depend on the order and no task holds the universe.
+    """
+    h = F.sha2(F.concat_ws("|", "ticker", F.coalesce("class", F.lit("Other"))), 256)
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    one = universe.select("ticker", "class").distinct().agg(F.count(F.lit(1)).alias("universe_count"), *[part(i).alias(f"_h{i}") for i in (1, 13, 25)])
+    digest = F.sha2(F.concat_ws("|", F.col("universe_count").cast("string"), "_h1", "_h13", "_h25"), 256)
+    one = one.select("universe_count", digest.alias("universe_sha256"))
+    return one.withColumn("config_sha256", F.sha2(F.concat_ws("|", F.lit(canonical_json(config)), "universe_sha256"), 256))
 
 

@@ -76,6 +76,25 @@ def _signals(spark, root):
     return rounded(_flow_signals(spark, root).select("ticker", "cmf21", "obv_slope", "rvol", *cols))
 
 
+def _lane_runs(spark, root):
+    """Orders as runs of the lanes: one brand and lane each, finished ones as healthy."""
+    o, key = table(spark, root, "orders"), F.col("o_orderkey") % 5
+    lane = F.element_at(F.array(*[F.lit(name) for name in NEUTRAL]), (key + 1).cast("int"))
+    done = F.col("o_orderstatus") == "F"
+    return o.select(
+        lane.alias("lane"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("ticker"),
+        F.when(done, "healthy").otherwise("warning").alias("status"), F.when(done, "live ok").otherwise("neutral fallback").alias("mode"),
+        F.col("o_orderdate").alias("completed_at"),
+    )
+
+
+def _signals_run(spark, root):
+    """Lane readings that are live by each brand's last run."""
+    b = priced_bars(spark, root).select("ticker").distinct()
+    out = with_lanes(b, materialise(_lane_table(spark, root)), ["ticker"], lanes.last_runs(_lane_runs(spark, root)))
+    return rounded(out.select("ticker", *[c for name in NEUTRAL for c in (name, f"{name}_live")]))
+
+
 def _lane_states(spark, root):
     """States with live lanes: the gates of a lane apply only where it is live."""
     cols = [c for name in ("etf_flow_5d_pct", "block_up_ratio") for c in (name, f"{name}_live")]
@@ -122,6 +141,7 @@ QUERIES = {
     "short_interest": lambda s, d: rounded(lanes.short_interest_delta(_short_records(s, d))),
     "thirteen_f": lambda s, d: rounded(_filings(s, d)),
     "flow_signals": _signals,
+    "flow_signals_run": _signals_run,
     "flow_composite": lambda s, d: rounded(_flow_signals(s, d).select("ticker", "F_score")),
     "lane_states": _lane_states,
     "provider_health": lambda s, d: lanes.run_health(_health_events(s, d)),
@@ -138,7 +158,6 @@ QUERIES = {
     "escalation": lambda s, d: board.escalation(_now(s, d)),
     "momentum_bars": lambda s, d: rounded(board.momentum_bars(_now(s, d))),
     "leaders_risks": lambda s, d: rounded(board.leaders_and_risks(_now(s, d))),
-    "snapshot_counts": lambda s, d: board.counts(_now(s, d)),
     "gate_rows": lambda s, d: board.gate_rows(_now(s, d)),
     "flow_lanes": lambda s, d: rounded(board.flow_lanes(_now(s, d))),
     "row_pressure": lambda s, d: rounded(board.row_pressure(_now(s, d))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import scoring, states
 from ..session import materialise
-from ..sources.tables import BENCH, CASH, table
+from ..sources.tables import BENCH, CASH, TOP_PER_CLASS, table, ticker_class
 from .methodology import brand_calendar, latest, priced_bars, scored_table, snapshots, targets
 from .prices import priced
 
@@ -112,16 +112,9 @@ def _tilt(spark, root):
 
 
 def _config(spark, root):
-    """Parameters hashed with the universe found in the data."""
-    from ..sources.tables import TOP_PER_CLASS
-
-    universe = priced(spark, root).select("ticker").distinct()
-    body = scoring.config_hash(spark, scoring.parameters({f"C{i}": TOP_PER_CLASS for i in range(4)}))
-    tickers = universe.agg(F.concat_ws(",", F.array_sort(F.collect_set("ticker"))).alias("universe"))
-    one = tickers.select("universe", F.lit(1).alias("k")).join(body.select("*", F.lit(1).alias("k")), "k")
-    return one.select(
-        "universe", F.sha2(F.concat_ws("|", "config_json", "universe"), 256).alias("config_sha256"), "config_json"
-    ).drop("config_json")
+    """The frozen baseline hashed with the universe found in the data."""
+    universe = priced(spark, root).select("ticker", ticker_class("ticker").alias("class"))
+    return scoring.config_hash(universe, scoring.baseline_configuration({f"C{i}": TOP_PER_CLASS for i in range(4)}, BENCH, CASH))
 
 
 def _class_lookup(spark, root):

@@ -6,16 +6,18 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import health
+from ..operators import board, health
+from ..session import materialise
 from ..sources import bars as bs
 from ..sources import feeds, journal, ledger, snapshots as sn
 from ..sources.tables import bars, macro, prints, shares_outstanding, table
 from ..streaming import jobs
 from .boards import _readiness
-from .methodology import scored_table
+from .methodology import latest, scored_table
 
 TODAY = date(2001, 11, 5)
 NOW = datetime(2001, 8, 2)
+COMPUTED = datetime(2001, 8, 2, 0, 45)
 
 
 def _store(spark, root):
@@ -286,6 +288,44 @@ def _journal_runs(spark, root):
     )
 
 
+def _snapshot_counts(spark, root):
+    """States, quadrants and decisions of the latest scored date."""
+    now = materialise(latest(scored_table(spark, root)))
+    run = now.select(F.date_format("as_of", "yyyy-MM-dd").alias("run_id")).distinct()
+    return board.counts(now, _run_tables(spark, root)[2].join(run, "run_id", "left_semi"))
+
+
+def _fund_csv(spark, root):
+    """Fund files of two kinds: columns in another order, other names, a line before the header."""
+    path, s = jobs.scratch(spark, "fund-csv"), shares_outstanding(spark, root)
+    odd = F.month("as_of") % 2 == 1
+    first = s.where(odd).select(F.date_format("as_of", "M/d/yyyy").alias("As Of"), F.format_string("%.0f", "shares_outstanding").alias("Shares Outstanding"),
+                                F.format_string("$%.9f", "nav").alias("NAV"), F.format_string("%.6f", "aum").alias("AUM"), "ticker")
+    second = s.where(~odd).select("ticker", F.format_string("%,.6f", "aum").alias("aum"), F.format_string("%.9f", "nav").alias("nav"),
+                                  F.format_string("%.0f", "shares_outstanding").alias("shares_outstanding"), F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
+    for name, df in (("odd", first), ("even", second)):
+        df.write.option("header", True).csv(f"{path}/{name}")
+    return rounded(feeds.read_fund_csv(spark, f"{path}/*"), aum=3)
+
+
+def _filing_table(spark, root):
+    """Line items as a filing table: a tab-separated file with its own header."""
+    path, item = jobs.scratch(spark, "filings"), table(spark, root, "lineitem")
+    day = F.when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "M/d/yyyy")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    item.select(
+        F.concat(F.lit("c "), F.col("l_partkey").cast("string")).alias("CUSIP"), day.alias("REPORTCALENDARORQUARTER"), F.format_string("%,.0f", "l_quantity").alias("SSHPRNAMT")
+    ).write.option("header", True).option("sep", "\t").csv(path)
+    return rounded(feeds.read_filings(spark, path))
+
+
+def _csv_artefact(spark, root):
+    """The weights of every rebalance as a report file, read back."""
+    path = jobs.scratch(spark, "artefact")
+    df = scored_table(spark, root).select("as_of", "ticker", "class", "state", "selected")
+    journal.write_csv(df, path)
+    return spark.read.option("header", True).schema(df.schema).csv(path)
+
+
 def _journal_read(spark, root):
     o = table(spark, root, "orders")
     part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
@@ -304,7 +344,8 @@ def _data_health(spark, root):
     expected = b.select("ticker").distinct()
     limits = spark.createDataFrame(LIMITS, "series_id string, fresh_days int")
     rows = health.health_rows(
-        health.bar_health(b, expected, TODAY), health.series_health(macro(spark, root), limits, TODAY), health.provider_lane(_readiness(spark, root))
+        health.bar_health(_store(spark, root), expected, TODAY), health.series_health(macro(spark, root), limits, TODAY), health.provider_lane(_readiness(spark, root)),
+        health.compute_health(table(spark, root, "orders").agg(F.max("o_orderdate").alias("created_at")), COMPUTED),
     )
     return health.with_summary(rows)
 
@@ -321,6 +362,10 @@ QUERIES = {
     "source_report": _source_report,
     "provider_mix": lambda s, d: bs.provider_mix(_sources(s, d)),
     "fund_records": _funds,
+    "fund_csv": _fund_csv,
+    "filing_table": _filing_table,
+    "csv_artefact": _csv_artefact,
+    "snapshot_counts": _snapshot_counts,
     "snapshot_upsert": _snapshot_upsert,
     "snapshot_history": lambda s, d: sn.history(_snap_store(s, d), "tape", "prints", "Brand#7").select("ticker", "as_of", "captured_at", "payload"),
     "snapshot_coverage": lambda s, d: _snapshot_coverage(s, d),

@@ -13,6 +13,7 @@ FAST = (
     "bars_daily bars_weekly momentum stage rrg cmf_obv_mfi distribution_days macro_stats macro_phase macro_mask price_panel block_tape etf_flow "
     "dark_pool short_interest thirteen_f provider_readiness pnl_rollup bars_upsert fund_records holdings_errors trades_errors ticker_lists "
     "cache_coverage data_health config_guardrail class_lookup stream_bars composite_rank backtest_metrics forward_labels debrief_summary "
+    "config_universe snapshot_counts flow_signals_run fund_csv filing_table csv_artefact candidate_grid "
     "live_composite board_sorts stream_dedupe journal_new_runs journal_decisions journal_runs snapshot_upsert stream_journal"
 ).split()
 
