@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..operators.states import transitions as batch_transitions
 from ..sources.tables import table
 from ..streaming import jobs
 from .methodology import scored_table
@@ -35,6 +36,26 @@ def _transitions(spark, root):
     return jobs.drain(jobs.transitions(states), "transitions")
 
 
+def _transition_append(spark, root):
+    """Detector and dedupe in one job over states that arrive twice; history before 2000 is the journal."""
+    folder = jobs.scratch(spark, "states-twice")
+    rows = scored_table(spark, root).select("ticker", "as_of", "state")
+    for _ in range(2):
+        rows.write.mode("append").parquet(folder)
+    states = jobs.read_folder(spark, folder, "ticker string, as_of date, state string")
+    journal = batch_transitions(scored_table(spark, root)).where("date < date'2000-01-01'")
+    return jobs.drain(jobs.new_transitions(states, journal), "new-transitions")
+
+
+def _transition_dedupe(spark, root):
+    """All transitions arrive twice; history before 2000 is the journal."""
+    folder, moves = jobs.scratch(spark, "moves-twice"), batch_transitions(scored_table(spark, root))
+    for _ in range(2):
+        moves.write.mode("append").parquet(folder)
+    stream = jobs.read_folder(spark, folder, jobs.TRANSITION)
+    return jobs.drain(jobs.dedupe_transitions(stream, moves.where("date < date'2000-01-01'")), "moves")
+
+
 def _dedupe(spark, root):
     keys = ["ticker", "user_id"]
     out = jobs.drain(jobs.dedupe(_events(spark, root), keys), "dedupe")
@@ -55,6 +76,8 @@ QUERIES = {
     "stream_sliding_bars": lambda s, d: _plain(jobs.drain(jobs.bars(_events(s, d), "1 hour", "15 minutes"), "sliding")),
     "stream_sessions": lambda s, d: _plain(jobs.drain(jobs.sessions(_events(s, d), "user_id"), "sessions")),
     "stream_transitions": _transitions,
+    "stream_transition_append": _transition_append,
+    "stream_transition_dedupe": _transition_dedupe,
     "stream_dedupe": _dedupe,
     "stream_journal": _journal,
 }

@@ -3,12 +3,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.states import KEYS, normalise_transitions
 from ..session import checkpoint_folder
 from ..sources import ledger
 
@@ -59,33 +62,100 @@ def dedupe(rows: DataFrame, keys: list[str], period: str = "1 day", late: str =
     return timed.dropDuplicates([*keys, "period"]).select(*keys, F.col("period.start").alias("start"))
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one ticker in a micro-batch; the state is its last known value and date.
+class _Changes(StatefulProcessor):
+    """State changes of a ticker; the state is its last known value and date.
 
     Rows that are not newer than that date came too late to have a place in the sequence: they go.
+    A timer of event time drops the state of a ticker that was silent for ``quiet_days``.
     """
-    rows = pd.concat(list(batches)).sort_values("as_of")
-    last, seen = state.get if state.exists else (None, None)
-    if seen is not None:
-        rows = rows[rows["as_of"] > seen]
-    if rows.empty:
-        return
-    before = rows["state"].shift()
-    before.iloc[0] = last
-    state.update((rows["state"].iloc[-1], rows["as_of"].iloc[-1]))
-    moved = rows[before.notna() & (before != rows["state"])]
-    yield pd.DataFrame({"ticker": key[0], "from_state": before[moved.index], "to_state": moved["state"], "date": moved["as_of"]})
-
-
-def transitions(states: DataFrame) -> DataFrame:
+
+    def __init__(self, quiet_days: int):
+        self.quiet_days = quiet_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "state string, as_of date")
+
+    def _remember(self, state: str, as_of: date) -> None:
+        self.last.update((state, as_of))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        end = datetime(as_of.year, as_of.month, as_of.day, tzinfo=timezone.utc) + timedelta(days=self.quiet_days)
+        self.handle.registerTimer(int(end.timestamp() * 1000))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        newest = initialState.loc[initialState["as_of"].idxmax()]
+        self._remember(newest["state"], newest["as_of"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values(["as_of", "state"])
+        last, seen = self.last.get() if self.last.exists() else (None, None)
+        if seen is not None:
+            got = got[got["as_of"] > seen]
+        if got.empty:
+            return
+        before = got["state"].shift()
+        before.iloc[0] = last
+        self._remember(got["state"].iloc[-1], got["as_of"].iloc[-1])
+        moved = got[before.notna() & (before != got["state"])]
+        yield pd.DataFrame({"ticker": key[0], "from_state": before[moved.index], "to_state": moved["state"], "date": moved["as_of"], "at": moved["at"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame(columns=["ticker", "from_state", "to_state", "date", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, which typed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _moves(states: DataFrame, stored: DataFrame | None, late: str, quiet_days: int) -> DataFrame:
+    day = F.col("as_of").cast("date")
+    rows = states.where("state is not null and as_of is not null").select("ticker", day.alias("as_of"), "state", day.cast("timestamp").alias("at"))
+    known = None if stored is None else stored.where("state is not null and as_of is not null").select("ticker", day.alias("as_of"), "state").groupBy("ticker")
+    return rows.withWatermark("at", late).groupBy("ticker").transformWithStateInPandas(
+        _Changes(quiet_days), TRANSITION + ", at timestamp", "Append", "EventTime", known, "at"
+    )
+
+
+def transitions(states: DataFrame, stored: DataFrame | None = None, late: str = "30 days", quiet_days: int = 400) -> DataFrame:
     """Stateful transition detector keyed by ticker.
 
-    The store holds one word and one date per ticker. A micro-batch brings a ticker one row per
-    rebalance date, so a group is bounded by the dates that arrived. The same rule as
-    the batch ``lag`` version.
+    The store holds one word and one date per ticker, from ``stored`` (ticker, as_of, state) on, and
+    forgets a ticker that was silent for ``quiet_days``. A micro-batch brings a ticker one row per
+    rebalance date, so a group is bounded by the dates that arrived. The same rule as the batch
+    ``lag`` version. Start it inside ``rocksdb``.
     """
-    rows = states.select("ticker", "as_of", "state").where("state is not null").withColumn("as_of", F.col("as_of").cast("date"))
-    return rows.groupBy("ticker").applyInPandasWithState(_changes, TRANSITION, "state string, as_of date", "append", GroupStateTimeout.NoTimeout)
+    return _moves(states, stored, late, quiet_days).drop("at")
+
+
+def _once(moves: DataFrame, journal: DataFrame | None) -> DataFrame:
+    named = normalise_transitions(moves, "at").dropDuplicatesWithinWatermark(KEYS).drop("at")
+    return named if journal is None else named.join(normalise_transitions(journal), KEYS, "left_anti")
+
+
+def dedupe_transitions(moves: DataFrame, journal: DataFrame | None = None, late: str = "30 days") -> DataFrame:
+    """First arrival of every transition by its four keys, without those that the journal has.
+
+    A repeat is told as long as it arrives within ``late`` of the first one in event time.
+    """
+    return _once(moves.withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", late), journal)
+
+
+def new_transitions(states: DataFrame, journal: DataFrame | None = None, stored: DataFrame | None = None, late: str = "30 days", quiet_days: int = 400) -> DataFrame:
+    """Detector and dedupe in one job: transitions that the journal lacks."""
+    return _once(_moves(states, stored, late, quiet_days), journal)
 
 
 def journal_sink(path: str, keys: list[str], day: str | None = None):
@@ -129,7 +199,8 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     """
     spark = stream.sparkSession
     out, state = scratch(spark, name), scratch(spark, name + "-state")
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    with rocksdb(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

@@ -15,10 +15,11 @@ def test_stream_transitions_equal_batch_over_batches(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for part in (first, second):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
-        q = (
-            jobs.transitions(jobs.read_folder(spark, folder, SCHEMA))
-            .writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-        )
+        with jobs.rocksdb(spark):
+            q = (
+                jobs.transitions(jobs.read_folder(spark, folder, SCHEMA))
+                .writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+            )
         q.awaitTermination()
     key = lambda r: (r.ticker, r.date, r.from_state, r.to_state)
     got = sorted(map(key, spark.read.parquet(out).collect()))
@@ -53,7 +54,8 @@ def drain_in_parts(spark, tmp_path, make, schema, parts):
     folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-        q = make(jobs.read_folder(spark, folder, schema)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        with jobs.rocksdb(spark):
+            q = make(jobs.read_folder(spark, folder, schema)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
         q.awaitTermination()
     return spark.read.parquet(out)
 
@@ -80,3 +82,33 @@ def test_journal_by_day(spark, tmp_path):
     write(one.union(spark.createDataFrame([("A", date(2024, 1, 2))], one.schema)), 1)
     write(one, 1)
     assert spark.read.parquet(str(tmp_path / "j")).count() == 3
+
+
+def test_detector_starts_from_stored_states_and_forgets_silent_tickers(spark, tmp_path):
+    stored = spark.createDataFrame([("A", date(2024, 1, 5), "EXIT"), ("B", date(2024, 1, 5), "HOLD"), ("B", date(2023, 1, 6), "EXIT")], SCHEMA)
+    parts = [
+        [("A", date(2024, 1, 12), "HOLD"), ("B", date(2024, 1, 12), "HOLD")],
+        [("C", date(2024, 8, 2), "HOLD")],  # the watermark passes the end of A's and B's states
+        [("C", date(2024, 8, 9), "EXIT"), ("A", date(2024, 8, 9), "EXIT"), ("B", date(2024, 8, 9), "EXIT")],
+    ]
+    got = drain_in_parts(spark, tmp_path, lambda s: jobs.transitions(s, stored, quiet_days=60), SCHEMA, parts).collect()
+    assert sorted((r.ticker, r.from_state, r.to_state, r.date) for r in got) == [
+        ("A", "EXIT", "HOLD", date(2024, 1, 12)), ("C", "HOLD", "EXIT", date(2024, 8, 9))
+    ]
+
+
+def test_new_transitions_in_one_job(spark, tmp_path):
+    parts = [
+        [(" a", date(2024, 1, 5), "HOLD"), (" a", date(2024, 1, 12), "EXIT"), (" a", date(2024, 1, 12), "EXIT")],
+        [("A", date(2024, 1, 5), "HOLD"), ("A", date(2024, 1, 12), "EXIT")],  # another spelling of the same ticker
+        [(" a", date(2024, 1, 19), "HOLD")],
+    ]
+    journal = spark.createDataFrame([("a", "EXIT", "HOLD", date(2024, 1, 19))], jobs.TRANSITION)
+    got = drain_in_parts(spark, tmp_path, lambda s: jobs.new_transitions(s, journal), SCHEMA, parts).collect()
+    assert [tuple(r) for r in got] == [("A", "HOLD", "EXIT", date(2024, 1, 12))]
+
+
+def test_dedupe_of_moves_over_batches(spark, tmp_path):
+    one, two = ("A", "HOLD", "EXIT", date(2024, 1, 12)), ("A", "EXIT", "HOLD", date(2024, 1, 19))
+    got = drain_in_parts(spark, tmp_path, jobs.dedupe_transitions, jobs.TRANSITION, [[one, one], [two, one]]).collect()
+    assert sorted(tuple(r) for r in got) == sorted([one, two])
