@@ -29,8 +29,15 @@ def _store(spark, root):
     )
 
 
+def _written(spark, root):
+    """Path and schema of the bars, written as a stored table."""
+    path, store = jobs.scratch(spark, "bar-store"), _store(spark, root)
+    bs.write_bars(store, path)
+    return path, store.schema
+
+
 def _read(spark, root):
-    r = bs.read_bars(_store(spark, root), ["Brand#3", "Brand#4", "Brand#12"], "1d", "3y", TODAY)
+    r = bs.read_bars(bs.open_store(spark, *_written(spark, root)), ["Brand#3", "Brand#4", "Brand#12"], "1d", "3y", TODAY)
     return rounded(r.select("ticker", "date", "close", "volume"), 10)
 
 
@@ -40,10 +47,12 @@ def _provenance(spark, root):
 
 def _upsert_bars(spark, root):
     """Even brands resend their 1999 bars with doubled closes."""
+    path, schema = _written(spark, root)
     store = _store(spark, root)
     n = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
     new = store.where((n % 2 == 0) & (F.year("date") == 1999) & (F.day("date") != 9)).withColumn("close", F.col("close") * 2)
-    return rounded(bs.replace_range(store, new).select("ticker", "date", "close"), 10)
+    bs.merge_bars(new, path)
+    return rounded(bs.open_store(spark, path, schema).select("ticker", "date", "close"), 10)
 
 
 def _unique(spark, root):

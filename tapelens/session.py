@@ -40,9 +40,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table that several branches read.
 
     The reliable checkpoint survives lost executors: readers re-read files instead
-    of replaying prints. A cluster without a shared folder keeps the plan lazy.
+    of replaying prints. A cluster has to name a shared folder.
     """
-    return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint(eager=True)
+    if checkpoint_folder(df.sparkSession) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return df.checkpoint(eager=True)
 
 
 _STAGES: dict[tuple[str, str, str], DataFrame] = {}

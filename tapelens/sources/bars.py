@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.calendar import period_start
 from ..functions.columns import nullable_double
+from ..session import materialise
 
 PRICES = ("open", "high", "low", "close", "volume", "adj_close")
 # Limits of a usable history.
@@ -17,12 +21,14 @@ MIN_COVERAGE = 0.75
 
 
 def read_bars(store: DataFrame, tickers: list[str], interval: str, period: str, today: date) -> DataFrame:
-    """Pruned read: ticker, interval and date predicates reach the scan."""
-    return store.where(
-        F.col("ticker").isin(*tickers)
-        & (F.col("interval") == interval)
-        & (F.col("date") >= F.lit(period_start(period, today)))
-    )
+    """Pruned read: ticker, interval and date predicates reach the scan.
+
+    Of a stored table (``open_store``) only the partitions of the interval and the years asked for are listed,
+    and row groups are skipped by the statistics of their sorted tickers.
+    """
+    start = period_start(period, today)
+    rows = store.where(F.col("ticker").isin(*tickers) & (F.col("interval") == interval) & (F.col("date") >= F.lit(start)))
+    return rows.where(F.col("year") >= start.year).drop("year") if "year" in store.columns else rows
 
 
 def provenance(rows: DataFrame) -> DataFrame:
@@ -46,26 +52,63 @@ def normalise(raw: DataFrame, ticker: str = "ticker") -> DataFrame:
 def replace_range(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """New contents of the store: each (ticker, interval) drops its incoming date range first (S3).
 
-    The ranges are one aggregated row per ticker and interval. Writing the result
-    with dynamic partition overwrite touches only the affected partitions.
+    The ranges are one aggregated row per ticker and interval.
     """
     span = incoming.groupBy("ticker", "interval").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     kept = store.join(span, ["ticker", "interval"], "left").where("_lo is null or date < _lo or date > _hi")
     return kept.drop("_lo", "_hi").unionByName(incoming)
 
 
+#: Files that the tickers of one partition are dealt to.
+FILES = 4
+
+
 def write_bars(rows: DataFrame, path: str) -> None:
-    """Partitioned by interval, sorted by ticker and date so that row-group statistics prune."""
+    """Write whole partitions of the store: one per interval and year, tickers dealt to files.
+
+    Files are sorted by ticker and date, so that row-group statistics prune. Partitions without
+    rows here stay as they are. A ticker has at most one bar a day in a file, however many
+    prints it has.
+    """
+    dealt = F.pmod(F.xxhash64("ticker"), F.lit(FILES))
     (
-        rows.repartition("interval", "ticker")
-        .sortWithinPartitions("ticker", "date")
+        rows.withColumn("year", F.year("date") if "year" not in rows.columns else F.col("year"))
+        .repartition("interval", "year", dealt)
+        .sortWithinPartitions("interval", "year", "ticker", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("interval")
+        .partitionBy("interval", "year")
         .parquet(path)
     )
 
 
+def open_store(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The stored bars with their partition column ``year``; ``schema`` is that of the bars."""
+    return spark.read.schema(StructType([*schema.fields, StructField("year", IntegerType())])).parquet(path).where("ticker is not null")
+
+
+def merge_bars(incoming: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Replace the incoming date ranges in a stored table; returns the partitions that were rewritten (S3).
+
+    Only partitions that a range touches are read and written: at most one per interval and year, so
+    their list is small. Their new rows are written to the checkpoint folder first, so that nothing
+    is overwritten that is still being read. A row without a ticker in each of them makes sure that a
+    partition is replaced even if no bar of it is left; ``open_store`` leaves such rows out.
+    """
+    spark = incoming.sparkSession
+    span = incoming.groupBy("ticker", "interval").agg(F.year(F.min("date")).alias("lo"), F.year(F.max("date")).alias("hi"))
+    years = span.select("interval", F.explode(F.sequence("lo", "hi")).alias("year")).distinct()
+    touched = sorted((r["interval"], r["year"]) for r in years.collect())
+    if not touched:
+        return touched
+    inside = reduce(or_, [(F.col("interval") == i) & F.col("year").isin(*[y for j, y in touched if j == i]) for i in sorted({i for i, _ in touched})])
+    stored = open_store(spark, path, incoming.schema).where(inside).drop("year")
+    marks = years.select(*[F.col(c) if c == "interval" else F.lit(None).cast(t).alias(c) for c, t in incoming.dtypes], "year")
+    new = replace_range(stored, incoming).withColumn("year", F.year("date")).unionByName(marks)
+    write_bars(materialise(new), path)
+    return touched
+
+
 def unique_bars(rows: DataFrame, order: str = "updated_at") -> DataFrame:
     """Latest write wins per (ticker, interval, date)."""
     keys = ["ticker", "interval", "date"]
