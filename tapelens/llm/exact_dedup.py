@@ -4,8 +4,8 @@ Every task turns its documents into one run: digests in order, with the smallest
 of rows of each. A task's leaf is its number modulo the leaves, so that leaves are right whatever the number
 of tasks is. With ``fan_in ** rounds`` leaves, round j brings together the leaves that differ
 only in digit j of their number: each sends every partner the slice of its run whose digest falls
-to that partner, keeps its own slice, and merges what it gets in one multiway merge (with a fan-in
-of two these are the exchanges of a binomial tree). Each merge keeps the smallest id of a digest
+to that partner, keeps its own slice, and merges what it gets in one multiway merge. The default
+fan-in of two makes these the exchanges of a binomial tree; a larger one takes fewer rounds. Each merge keeps the smallest id of a digest
 and verifies that lengths agree. After the last round a leaf owns one range of digests; no task
 ever sees them all, and a text with a third of all rows is one entry of a run.
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, keep_rows, scratch, stored
 
-FAN_IN = 8
+#: Leaves that exchange runs in one round; two make the rounds of a binomial tree.
+FAN_IN = 2
 NO_ID = np.iinfo(np.int64).max
 #: One entry of a run: digest, no id (0 or 1), smallest id, rows, bytes of the text.
 ENTRY = np.dtype([("digest", "S32"), ("blank", "u1"), ("id", "<i8"), ("rows", "<i8"), ("size", "<i8")])
@@ -94,7 +95,7 @@ def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     leaves = fan_in**rounds
 
     def leaf_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = np.zeros(0, ENTRY)
+        runs: list[np.ndarray] = []  # each more than twice as long as the next: an entry is merged a logarithm of times
         for batch in batches:
             new = np.zeros(batch.num_rows, ENTRY)
             ids = batch.column("doc_id")
@@ -103,7 +104,11 @@ def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
             new["id"] = ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             new["rows"] = 1
             new["size"] = batch.column("n_bytes").to_numpy(zero_copy_only=False)
-            run = merge(np.concatenate([run, merge(new)]))
+            new = merge(new)
+            while runs and len(runs[-1]) <= 2 * len(new):
+                new = merge(np.concatenate([runs.pop(), new]))
+            runs.append(new)
+        run = merge(np.concatenate([np.zeros(0, ENTRY), *runs]))
         leaf = TaskContext.get().partitionId() % leaves
         if len(run):
             yield to_batch(list(dealt(run, leaf, 0, fan_in, leaves)))
