@@ -432,28 +432,20 @@ def binomial_table(sides: DataFrame, keys: list[str]) -> DataFrame:
     return weighted.withColumn("u", F.floor(share * UNIFORM).cast("bigint")).groupBy(*keys, "u").agg(F.max("hits").alias("hits"))
 
 
-def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
-    """Bootstrap of two hit rates drawn independently.
-
-    A resample of binary outcomes only needs its number of hits, which is binomial. So a sample
-    is one portable draw for each side, looked up in the side's table by an as-of join: the work
-    is samples x rules, whatever the number of labels behind a rule.
-    """
+def _sides(blocks: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """Candidates and baseline of each key as two rows: keys, sign, n, hit, salt."""
     t = blocks.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in ("base_n", "base_hit", "cand_n", "cand_hit")]).where("base_n > 0 and cand_n > 0")
-    big = lambda x: F.lit(x).cast("bigint")
     pair = [
-        F.struct(F.lit(sign).alias("sign"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_hit").alias("hit"), big(salt).alias("salt"))
+        F.struct(F.lit(sign).alias("sign"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_hit").alias("hit"), F.lit(salt).cast("bigint").alias("salt"))
         for side, sign, salt in (("cand", 1, seed), ("base", -1, seed + 7))
     ]
-    sides, own = t.select(*keys, F.inline(F.array(*pair))), [*keys, "sign"]
-    drawn = sides.withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1))))
-    drawn = drawn.withColumn("u", draw(F.col("sample"), big(0), big(UNIFORM), F.col("salt")))
-    table = binomial_table(sides, own)
-    found = asof_backward(drawn, table, own, "u", ["hits"]).join(table.groupBy(*own).agg(F.min("hits").alias("least")), own)
-    sure = (F.col("hit") == 0) | (F.col("hit") == F.col("n"))
-    number = F.when(sure, F.col("hit")).otherwise(F.coalesce(F.least(F.col("hits") + 1, F.col("n")), F.col("least")))
-    deltas = found.groupBy(*keys, "sample").agg(
-        F.sum(F.col("sign") * number / F.col("n")).alias("d"),
+    return t.select(*keys, F.inline(F.array(*pair)))
+
+
+def _interval(drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """Interval of the two rates' delta from one row per key, sample and side with its drawn hits."""
+    deltas = drawn.groupBy(*keys, "sample").agg(
+        F.sum(F.col("sign") * F.col("drawn") / F.col("n")).alias("d"),
         F.sum(F.col("sign") * F.col("hit") / F.col("n")).alias("observed"),
         F.max(F.when(F.col("sign") == 1, F.col("n"))).alias("cand_n"),
         F.max(F.when(F.col("sign") == -1, F.col("n"))).alias("base_n"),
@@ -467,6 +459,43 @@ def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000,
     )
 
 
+def unpaired_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Bootstrap of two hit rates drawn independently.
+
+    A resample of binary outcomes only needs its number of hits, which is binomial. So a sample
+    is one portable draw for each side, looked up in the side's table by an as-of join: the work
+    is samples x rules, whatever the number of labels behind a rule.
+    """
+    big = lambda x: F.lit(x).cast("bigint")
+    sides, own = _sides(blocks, keys, seed), [*keys, "sign"]
+    drawn = sides.withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1))))
+    drawn = drawn.withColumn("u", draw(F.col("sample"), big(0), big(UNIFORM), F.col("salt")))
+    table = binomial_table(sides, own)
+    found = asof_backward(drawn, table, own, "u", ["hits"]).join(table.groupBy(*own).agg(F.min("hits").alias("least")), own)
+    sure = (F.col("hit") == 0) | (F.col("hit") == F.col("n"))
+    number = F.when(sure, F.col("hit")).otherwise(F.coalesce(F.least(F.col("hits") + 1, F.col("n")), F.col("least")))
+    return _interval(found.withColumn("drawn", number), keys)
+
+
+#: Outcomes drawn in one row.
+CHUNK = 4096
+
+
+def unpaired_row_bootstrap(blocks: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
+    """The same interval with every outcome of every resample drawn.
+
+    A draw below the side's number of hits is a hit. Draws are listed in chunks of CHUNK outcomes
+    and summed map-side, so no array grows with the labels of a key and a key's samples spread
+    over all tasks.
+    """
+    big = lambda x: F.lit(x).cast("bigint")
+    fan = _sides(blocks, keys, seed).withColumn("sample", F.explode(F.sequence(big(0), big(samples - 1))))
+    fan = fan.withColumn("start", F.explode(F.sequence(big(0), F.col("n") - 1, big(CHUNK)))).repartition(*keys, "sign", "sample", "start")
+    slots = fan.withColumn("slot", F.explode(F.sequence("start", F.least(F.col("start") + CHUNK, F.col("n")) - 1)))
+    hit = (draw(F.col("sample"), F.col("slot"), F.col("n"), F.col("salt")) < F.col("hit")).cast("bigint")
+    return _interval(slots.groupBy(*keys, "sample", "sign", "n", "hit").agg(F.sum(hit).alias("drawn")), keys)
+
+
 def grid_promotion(metrics: DataFrame, bootstrap: DataFrame, min_train: int = 40, min_holdout: int = 20) -> DataFrame:
     """Promotion label of every grid rule with the bootstrap's verdict."""
     b = bootstrap.select("candidate_id", "horizon_weeks", "ci_low", "ci_high", "mean_delta", "valid_resamples")

@@ -83,7 +83,7 @@ def _bootstrap(spark, root):
 
 def _unpaired(spark, root):
     b = _blocks(spark, root).where("window = 'holdout'")
-    return cal.unpaired_bootstrap(b, ["candidate_id", "horizon_weeks"])
+    return cal.unpaired_row_bootstrap(b, ["candidate_id", "horizon_weeks"])
 
 
 def _promoted(spark, root):
