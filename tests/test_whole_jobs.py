@@ -3,7 +3,11 @@ from __future__ import annotations
 
 import numpy as np
 
+import __spark_entry__ as entry
 from tapelens.operators import calibrate
+from tapelens.plans.methodology import latest, scored_table
+
+ROOT = "/root/testdata/sf0.001"
 
 
 def test_every_outcome_of_a_resample_is_drawn(spark):
@@ -25,3 +29,12 @@ def test_every_outcome_of_a_resample_is_drawn(spark):
     low, high = np.quantile(d, [0.025, 0.975])
     assert (row.ci_low, row.ci_high) == (round(low, 6), round(high, 6))
     assert (row.candidate_sample_count, row.baseline_sample_count) == (5000, 37)
+
+
+def test_flow_extremes_rank_a_reading(spark):
+    """The neutral flow score of the plain replay is 0 everywhere and ranks nothing."""
+    now = {r.ticker: r.cmf21 or 0.0 for r in latest(scored_table(spark, ROOT)).select("ticker", "cmf21").collect()}
+    got = {(r.side, r.ticker): r.reading for r in entry.queries()["flow_extremes"](spark, ROOT).collect()}
+    low, high = sorted(now, key=lambda t: (now[t], t))[:5], sorted(now, key=lambda t: (-now[t], t))[:5]
+    assert set(got) == {("outflow", t) for t in low} | {("inflow", t) for t in high}
+    assert len(set(got.values())) > 2 and all(abs(v - now[t]) < 1e-6 for (_, t), v in got.items())
