@@ -37,13 +37,16 @@ def clean_prints(tape: DataFrame) -> DataFrame:
 RANGE_ROWS = 200_000
 
 
-def sequence_ranges(tape: DataFrame, keys: list[str], number: str, most: int = RANGE_ROWS) -> DataFrame:
+def sequence_ranges(tape: DataFrame, keys: list[str], number: str, most: int = RANGE_ROWS, crowd: DataFrame | None = None) -> DataFrame:
     """Cut crowded keys into ranges of their sequence numbers: adds ``_r``, which grows with the number.
 
     Only keys with more than ``most`` rows are in the small table of cuts; all others are range 0.
+    ``crowd``: rows per key as _n, with the number's _low and _high, where a table has them already.
     """
     n = F.col(number).cast("double")
-    crowd = tape.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(n).alias("_low"), F.max(n).alias("_high")).where(F.col("_n") > most)
+    if crowd is None:
+        crowd = tape.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(n).alias("_low"), F.max(n).alias("_high"))
+    crowd = crowd.where(F.col("_n") > most)
     cuts = crowd.select(*keys, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / most)).alias("_width"))
     inside = F.when(F.col("_width") > 0, F.floor((n - F.col("_low")) / F.col("_width")))
     return tape.join(cuts, keys, "left").withColumn("_r", F.coalesce(inside, F.lit(0).cast("long"))).drop("_low", "_width")
@@ -78,17 +81,37 @@ def block_ratio(
     min_notional: float = BLOCK_NOTIONAL,
     bucket: Column | None = None,
     most: int = RANGE_ROWS,
+    crowd: DataFrame | None = None,
 ) -> DataFrame:
     """Up-tick over down-tick block notional; 2.0 with no down blocks, null with none.
 
-    ``bucket`` defaults to the first column of ``order``, the last one is the sequence number.
+    ``order`` names the columns that order prints; without a ``bucket`` its first one is the bucket.
+    The first column within a bucket is a number, of which crowded buckets are cut into ranges
+    (``crowd``: see sequence_ranges, by keys and _b). Prints are read and sorted once: a range's sums
+    leave out its first print, which is judged by the last price of the range before it, in a table
+    with one row per range.
     """
-    df = tick_direction(tape, keys, order, F.col(order[0]) if bucket is None else bucket, most)
+    within = order[1:] if bucket is None and len(order) > 1 else order
+    df = clean_prints(tape).withColumn("_b", F.col(order[0]) if bucket is None else bucket)
+    df = sequence_ranges(df, [*keys, "_b"], within[0], most, crowd)
+    w = Window.partitionBy("_b", *keys, "_r").orderBy(*within)
+    df = df.withColumn("_before", F.lag("price").over(w)).withColumn("_after", F.lead("price").over(w))
     notional = F.col("price") * F.col("size")
     block = (F.col("size") >= min_size) | (notional >= min_notional)
-    agg = df.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(block & (F.col("price") > F.col("prev_price")), notional)), F.lit(0.0)).alias("up_notional"),
-        F.coalesce(F.sum(F.when(block & (F.col("price") < F.col("prev_price")), notional)), F.lit(0.0)).alias("down_notional"),
+    first = F.col("_before").isNull()
+    ranges = df.groupBy("_b", *keys, "_r").agg(
+        F.sum(F.when(block & (F.col("price") > F.col("_before")), notional)).alias("_up"),
+        F.sum(F.when(block & (F.col("price") < F.col("_before")), notional)).alias("_down"),
+        F.max(F.when(first, F.col("price"))).alias("_first"),
+        F.max(F.when(first & block, notional)).alias("_opening"),
+        F.max(F.when(F.col("_after").isNull(), F.col("price"))).alias("_last"),
+    )
+    edges = ranges.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b", "_r")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    opening = lambda moved: F.when(moved, F.col("_opening"))
+    agg = edges.groupBy(*keys).agg(
+        F.sum(zero("_up") + zero(opening(F.col("_first") > F.col("_carry")))).alias("up_notional"),
+        F.sum(zero("_down") + zero(opening(F.col("_first") < F.col("_carry")))).alias("down_notional"),
     )
     up, down = F.col("up_notional"), F.col("down_notional")
     return agg.withColumn(

@@ -9,16 +9,19 @@ from ..operators import board, lanes
 from ..operators.scoring import composite, flow_composite, with_lanes
 from ..operators.states import with_state
 from ..session import staged
-from ..sources.tables import TOP_PER_CLASS, prints, shares_outstanding
+from ..sources.tables import PRINT_ORDER, TOP_PER_CLASS, crowd, monthly_funds, ordered_prints
 from .boards import _short_records
-from .methodology import brand_calendar, latest, priced_bars, snapshots
+from .methodology import brand_calendar, day_table, latest, priced_bars, snapshots
 
 
 def lane_history(spark, root):
     """Readings of the scoring lanes by ticker and date they became known."""
-    etf = lanes.etf_flow(shares_outstanding(spark, root)).where("etf_flow_5d_pct is not null")
-    months = prints(spark, root).withColumn("as_of", F.last_day("date"))
-    block = lanes.block_ratio(months, ["ticker", "as_of"], ["date", "print_key"], 45.0, 90000.0).where("block_up_ratio is not null")
+    days = day_table(spark, root)
+    etf = lanes.etf_flow(monthly_funds(days)).where("etf_flow_5d_pct is not null")
+    month = lambda df, day: df.withColumn("as_of", F.last_day(day))
+    block = lanes.block_ratio(
+        month(ordered_prints(spark, root), "date"), ["ticker", "as_of"], ["date", *PRINT_ORDER, "size", "price"], 45.0, 90000.0, crowd=month(crowd(days), "_b")
+    ).where("block_up_ratio is not null")
     short = lanes.short_interest_history(_short_records(spark, root)).where("si_delta_15d is not null")
     return {
         "etf_flow_5d_pct": etf,

@@ -10,12 +10,17 @@ from ..operators.pillars import daily_pillars, eligible, week_close_indicators,
 from ..operators.scoring import composite, flow_composite, neutral_lanes
 from ..operators.states import with_state
 from ..session import staged
-from ..sources.tables import BENCH, CASH, TOP_PER_CLASS, bars, ticker_class, with_price
+from ..sources.tables import BAR_COLUMNS, BENCH, CASH, TOP_PER_CLASS, days_from_prints, prints, ticker_class, with_price
+
+
+def day_table(spark, root: str) -> DataFrame:
+    """Bars and sums of every ticker and day: aggregated from prints once, then read by every branch."""
+    return staged(spark, root, "days", lambda: days_from_prints(prints(spark, root)))
 
 
 def priced_bars(spark, root: str) -> DataFrame:
-    """The bars table: aggregated from prints once, then read by every branch."""
-    return staged(spark, root, "bars", lambda: with_price(bars(spark, root)))
+    """The bars of the day table."""
+    return with_price(day_table(spark, root).select(*BAR_COLUMNS))
 
 
 def panel_calendar(b: DataFrame) -> DataFrame:

@@ -55,14 +55,44 @@ def bars_from_prints(ticks: DataFrame) -> DataFrame:
     numbers, so Spark plans hash aggregates and never sorts prints. All aggregates combine
     map-side; a hot ticker shuffles at most one partial row per map task and day.
     """
+    return ticks.groupBy("ticker", "date").agg(*_bar())
+
+
+def _bar() -> list[Column]:
     adjusted = F.col("price") * (1 - F.col("discount"))
-    return ticks.groupBy("ticker", "date").agg(
+    return [
         F.min_by("price", "number").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "number").alias("close"),
         F.max_by(adjusted, "number").alias("adj_close"),
         F.sum("size").alias("volume"),
+    ]
+
+
+#: Columns of ``seq`` that order the prints of a day, before size and price.
+PRINT_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def ordered_prints(spark: SparkSession, root: str) -> DataFrame:
+    """Prints with the plain columns that order them."""
+    return prints(spark, root).select("ticker", "date", "price", "size", *[F.col(f"seq.{c}").alias(c) for c in PRINT_ORDER])
+
+
+BAR_COLUMNS = ("ticker", "date", "open", "high", "low", "close", "adj_close", "volume")
+
+
+def days_from_prints(ticks: DataFrame) -> DataFrame:
+    """Daily bars with what else one pass over the prints can tell of a day: sum and number of the
+    prices, the range of order keys, and the volume of all and of every third line."""
+    return ticks.groupBy("ticker", "date").agg(
+        *_bar(),
+        F.sum("price").alias("price_sum"),
+        F.count("price").alias("prints"),
+        F.min("seq.l_orderkey").alias("first_order"),
+        F.max("seq.l_orderkey").alias("last_order"),
+        F.sum(F.when(F.col("size") >= 0, F.col("size"))).alias("reported"),
+        F.sum(F.when((F.col("size") >= 0) & (F.col("seq.l_linenumber") % 3 == 0), F.col("size"))).alias("third_lines"),
     )
 
 
@@ -159,3 +189,15 @@ def shares_outstanding(spark: SparkSession, root: str) -> DataFrame:
         .agg(F.sum("size").alias("shares_outstanding"), F.avg("price").alias("nav"))
         .withColumn("aum", F.col("shares_outstanding") * F.col("nav"))
     )
+
+
+def monthly_funds(days: DataFrame) -> DataFrame:
+    """The records of ``shares_outstanding`` from the day table."""
+    nav = F.sum("price_sum") / F.nullif(F.sum("prints"), F.lit(0))
+    funds = days.groupBy("ticker", F.last_day("date").alias("as_of")).agg(F.sum("volume").alias("shares_outstanding"), nav.alias("nav"))
+    return funds.withColumn("aum", F.col("shares_outstanding") * F.col("nav"))
+
+
+def crowd(days: DataFrame) -> DataFrame:
+    """Prints of every ticker and day with the range of their order keys, as block_ratio takes it."""
+    return days.select("ticker", F.col("date").alias("_b"), F.col("prints").alias("_n"), F.col("first_order").cast("double").alias("_low"), F.col("last_order").cast("double").alias("_high"))

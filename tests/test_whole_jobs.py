@@ -1,11 +1,16 @@
 """Queries that have to do their whole job: every outcome drawn, readings that are read."""
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tapelens.operators import calibrate
+from tapelens.operators import calibrate, lanes
 from tapelens.plans.methodology import latest, scored_table
+from tapelens.sources import tables
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -38,3 +43,56 @@ def test_flow_extremes_rank_a_reading(spark):
     low, high = sorted(now, key=lambda t: (now[t], t))[:5], sorted(now, key=lambda t: (-now[t], t))[:5]
     assert set(got) == {("outflow", t) for t in low} | {("inflow", t) for t in high}
     assert len(set(got.values())) > 2 and all(abs(v - now[t]) < 1e-6 for (_, t), v in got.items())
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _tape(spark):
+    """Prints of two tickers; a third of them on one day, some orders twice on a line."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(4000):
+        hot = i % 3 == 0
+        day = date(2020, 1, 10) if hot else date(2020, 1, 1) + timedelta(days=int(rng.integers(0, 60)))
+        rows.append(("HOT" if hot or i % 2 else "B", day, int(rng.integers(1, 9)) * 10.0, 20000.0, int(rng.integers(0, 900)), int(rng.integers(1, 4)), int(rng.integers(1, 50)), i))
+    return spark.createDataFrame(rows, "ticker string, date date, price double, size double, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+
+
+@pytest.mark.parametrize("most", [25, 10**6])
+def test_block_ratio_by_plain_order_columns(spark, most):
+    """Prints ordered by several columns, crowded days cut by a table that is given."""
+    df = _tape(spark)
+    order, crowds = ["date", *tables.PRINT_ORDER, "size", "price"], df.groupBy("ticker", F.col("date").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.col("l_orderkey").cast("double")).alias("_low"), F.max(F.col("l_orderkey").cast("double")).alias("_high"))
+    last, up, down = {}, {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.ticker, *[r[c] for c in order])):
+        before = last.get(r.ticker, r.price)
+        up[r.ticker] = up.get(r.ticker, 0.0) + r.price * r.size * (r.price > before)
+        down[r.ticker] = down.get(r.ticker, 0.0) + r.price * r.size * (r.price < before)
+        last[r.ticker] = r.price
+    for crowd in (None, crowds):
+        got = lanes.block_ratio(df, ["ticker"], order, most=most, crowd=crowd).collect()
+        assert {r.ticker: (r.up_notional, r.down_notional) for r in got} == {t: (up[t], down[t]) for t in last}
+
+
+def test_block_ratio_reads_the_tape_once(spark):
+    """Beside the count of crowded days, which a table may give, prints are read and sorted once."""
+    df = _tape(spark)
+    given = df.groupBy("ticker", F.col("date").alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.lit(0.0).alias("_low"), F.lit(1.0).alias("_high")).localCheckpoint()
+    plan = _optimized(lanes.block_ratio(df, ["ticker"], ["date", *tables.PRINT_ORDER], crowd=given))
+    assert sum("LogicalRDD" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+
+
+def test_day_table_tells_the_lanes(spark):
+    """Funds, venues and positions of the day table are those of the prints."""
+    p = tables.prints(spark, ROOT)
+    days = tables.days_from_prints(p)
+    plain = {(r.ticker, r.as_of): r for r in tables.shares_outstanding(spark, ROOT).collect()}
+    funds = {(r.ticker, r.as_of): r for r in tables.monthly_funds(days).collect()}
+    assert set(plain) == set(funds) and all(
+        funds[k].shares_outstanding == r.shares_outstanding and funds[k].nav == pytest.approx(r.nav) and funds[k].aum == pytest.approx(r.aum) for k, r in plain.items()
+    )
+    bars = {tuple(r) for r in tables.bars(spark, ROOT).collect()}
+    assert {tuple(r) for r in days.select(*tables.BAR_COLUMNS).collect()} == bars
