@@ -53,14 +53,18 @@ def magnitude_number(c) -> Column:
 
 def plain_number(c) -> Column:
     """``$2,500`` or ``12%`` as the number written, null when it is not one."""
-    t = F.regexp_replace(text(c), "[,$]", "")
-    return F.regexp_replace(t, "%$", "").try_cast("double")
+    t = F.translate(text(c), ",$", "")
+    return F.when(t.contains("%"), F.regexp_replace(t, "%$", "")).otherwise(t).try_cast("double")
 
 
 def weight_number(c) -> Column:
     """A portfolio weight: ``25%`` and ``25`` are both 0.25."""
-    n = plain_number(c)
-    return F.when(text(c).endswith("%") | (n > 1.0), n / 100.0).otherwise(n)
+    return as_share(plain_number(c), text(c).endswith("%"))
+
+
+def as_share(n: Column, percent: Column) -> Column:
+    """A weight's number as a share: in percent if it is marked so or above 1."""
+    return F.when(percent | (n > 1.0), n / 100.0).otherwise(n)
 
 
 def mixed_date(c) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tapelens.operators import calibrate, lanes
 from tapelens.plans.methodology import latest, scored_table
-from tapelens.sources import tables
+from tapelens.sources import feeds, tables
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -96,3 +96,13 @@ def test_day_table_tells_the_lanes(spark):
     )
     bars = {tuple(r) for r in tables.bars(spark, ROOT).collect()}
     assert {tuple(r) for r in days.select(*tables.BAR_COLUMNS).collect()} == bars
+
+
+def test_a_holdings_cell_is_read_once(spark):
+    """Neither the errors nor a filter that Spark derives from them parse a cell again."""
+    raw = spark.createDataFrame([(1, "aa", "7", "$1", "5%"), (2, " ", "x", "", ""), (3, "b b", "x", "", ""), (4, "cc", "x", "y", "1,0%")], "row_number long, Symbol string, Quantity string, Value string, Weight string")
+    errors = feeds.error_rows(feeds.parse_holdings(raw))
+    assert sorted((r.row_number, r.message) for r in errors.collect()) == [
+        (2, "no ticker"), (3, "ticker with characters outside the allowed set"), (4, "market_value is not a number"), (4, "shares is not a number")]
+    plan = _optimized(errors)
+    assert plan.count("RLIKE") == 1 and plan.count("as double") == 3
