@@ -157,13 +157,14 @@ def short_interest_history(records: DataFrame) -> DataFrame:
 def filings_net_buys(records: DataFrame, cusips: DataFrame) -> DataFrame:
     """Change of filed shares between the last two periods, in percent.
 
-    ``records``: cusip, period, shares. ``cusips``: cusip, ticker. Filings aggregate
-    per cusip and period before they meet the map, so a hot cusip is one row a period.
+    ``records``: cusip, period, shares. ``cusips``: cusip, ticker. Filings meet the map first and
+    aggregate per ticker and period map-side: a cusip has few filings a period, so sums per cusip
+    would be about as many as the filings. A hot cusip's rows are split by the join.
     """
-    clean = F.regexp_replace(F.upper("cusip"), " ", "")
-    sums = records.where("shares is not null").groupBy(clean.alias("cusip"), "period").agg(F.sum("shares").alias("shares"))
+    clean = F.replace(F.upper("cusip"), F.lit(" "), F.lit(""))
     m = cusips.select(clean.alias("cusip"), "ticker").distinct()
-    totals = sums.join(m, "cusip").groupBy("ticker", "period").agg(F.sum("shares").alias("shares"))
+    filed = records.where("shares is not null").select(clean.alias("cusip"), "period", "shares")
+    totals = filed.join(m, "cusip").groupBy("ticker", "period").agg(F.sum("shares").alias("shares"))
     w = Window.partitionBy("ticker").orderBy("period")
     steps = totals.withColumn("_prev", F.lag("shares").over(w))
     last = steps.groupBy("ticker").agg(F.max_by(F.struct("shares", "_prev"), "period").alias("r"))

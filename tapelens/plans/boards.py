@@ -11,8 +11,8 @@ from ..operators import board, lanes
 from ..operators.scoring import NEUTRAL, flow_composite, with_lanes
 from ..operators.states import decide_state
 from ..session import materialise
-from ..sources.tables import intraday, prints, shares_outstanding, table
-from .methodology import daily_readings, latest, priced_bars, scored_table
+from ..sources.tables import PRINT_ORDER, crowd, intraday, monthly_funds, ordered_prints, shares_outstanding, table
+from .methodology import daily_readings, day_table, latest, priced_bars, scored_table
 
 
 def _now(spark, root):
@@ -30,14 +30,12 @@ def _directions(spark, root):
 
 
 def _dark_records(spark, root):
-    p = prints(spark, root).select("ticker", F.next_day("date", "MON").alias("week"), "size", F.col("seq.l_linenumber").alias("line"))
-    return p.select("ticker", "week", F.when(F.col("line") % 3 == 0, "ATS_W_SMBL").otherwise("OTC_W_SMBL").alias("summary_type"), F.col("size").alias("shares"))
+    venue = [F.struct(F.lit(name).alias("summary_type"), c.alias("shares")) for name, c in (("ATS_W_SMBL", F.col("third_lines")), ("OTC_W_SMBL", F.col("reported") - F.coalesce("third_lines", F.lit(0.0))))]
+    return day_table(spark, root).select("ticker", F.next_day("date", "MON").alias("week"), F.inline(F.array(*venue)))
 
 
 def _short_records(spark, root):
-    item = table(spark, root, "lineitem")
-    part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
-    m = item.join(part, "l_partkey").groupBy("ticker", F.last_day("l_shipdate").alias("settlement")).agg(F.sum("l_quantity").alias("position"))
+    m = day_table(spark, root).groupBy("ticker", F.last_day("date").alias("settlement")).agg(F.sum("volume").alias("position"))
     odd = F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 5
     return m.select("ticker", "settlement", F.when(odd == 0, 12.5).alias("reported"), "position", F.when(odd == 1, F.col("position") * 0.8).alias("previous"))
 
@@ -53,9 +51,10 @@ def _filings(spark, root):
 def _lane_table(spark, root):
     """Latest reading of every lane per brand; some brands lack some lanes."""
     n = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
-    etf = lanes.etf_flow(shares_outstanding(spark, root))
+    days = day_table(spark, root)
+    etf = lanes.etf_flow(monthly_funds(days))
     etf = etf.groupBy("ticker").agg(F.max_by("etf_flow_5d_pct", "as_of").alias("etf_flow_5d_pct")).where(n % 6 != 0)
-    block = lanes.block_ratio(prints(spark, root), ["ticker"], ["date", "print_key"], 45.0, 90000.0).select("ticker", "block_up_ratio")
+    block = lanes.block_ratio(ordered_prints(spark, root), ["ticker"], ["date", *PRINT_ORDER, "size", "price"], 45.0, 90000.0, crowd=crowd(days)).select("ticker", "block_up_ratio")
     dark = lanes.dark_pool_share(_dark_records(spark, root)).select("ticker", "dark_pool_pct")
     short = lanes.short_interest_delta(_short_records(spark, root)).where(n % 7 != 0)
     out = dark

@@ -106,3 +106,12 @@ def test_a_holdings_cell_is_read_once(spark):
         (2, "no ticker"), (3, "ticker with characters outside the allowed set"), (4, "market_value is not a number"), (4, "shares is not a number")]
     plan = _optimized(errors)
     assert plan.count("RLIKE") == 1 and plan.count("as double") == 3
+
+
+def test_filings_meet_their_map_before_they_are_summed(spark):
+    """One sum per ticker and period; cusips of two spellings, two tickers or none."""
+    rows = [("c 1", date(2020, 1, 1), 10.0)] * 50 + [("C1", date(2020, 4, 1), 700.0), ("c2", date(2020, 4, 1), 50.0), ("c9", date(2020, 4, 1), 9.0), ("c2", date(2020, 4, 1), None)]
+    cusips = spark.createDataFrame([("C1", "A"), ("c 1", "A"), ("C2", "A"), ("C2", "B")], "cusip string, ticker string")
+    out = lanes.filings_net_buys(spark.createDataFrame(rows, "cusip string, period date, shares double"), cusips)
+    assert {r.ticker: r.thirteen_f_q for r in out.collect()} == {"A": pytest.approx(50.0), "B": None}
+    assert sum("Aggregate" in line and "sum(shares" in line for line in _optimized(out).splitlines()) == 1
