@@ -9,9 +9,9 @@ from ..functions.asof import asof_backward
 from ..functions.columns import rounded, shown
 from ..operators import lanes, macro as mc, returns as rt, states
 from ..session import materialise
-from ..sources.tables import macro, prints
+from ..sources.tables import PRINT_ORDER, crowd, macro, ordered_prints
 from .macros import RULES
-from .methodology import brand_calendar, priced_bars, scored_table, targets
+from .methodology import brand_calendar, day_table, priced_bars, scored_table, targets
 
 OOS = date(1999, 1, 1)
 NAMES = ["method", "sixty_forty", "equal_weight"]
@@ -94,8 +94,8 @@ def _promotion(spark, root):
 def _sweep_decisions(x):
     """Held positions with the latest monthly block ratio known at the rebalance."""
     ratio = lanes.block_ratio(
-        prints(x.spark, x.root).withColumn("month", F.last_day("date")), ["ticker", "month"], order=["date", "print_key"],
-        min_size=45.0, min_notional=90000.0,
+        ordered_prints(x.spark, x.root).withColumn("month", F.last_day("date")), ["ticker", "month"], order=["date", *PRINT_ORDER, "size", "price"],
+        min_size=45.0, min_notional=90000.0, crowd=crowd(day_table(x.spark, x.root)).withColumn("month", F.last_day("_b")),
     )
     snaps = ratio.select("ticker", F.col("month").alias("as_of"), F.col("month").alias("snapshot_as_of"), F.col("block_up_ratio").alias("ratio"))
     return asof_backward(x.method(), snaps, ["ticker"], "as_of", ["snapshot_as_of", "ratio"])
