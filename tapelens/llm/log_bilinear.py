@@ -7,9 +7,11 @@ context vector R, a target vector Q and a bias b of its own. With position matri
 unit w after h1 h2 has the score (C1 R[h1] + C2 R[h2]) . Q[w] + b[w].
 
 Units are sorted by their endings and cut into blocks of blocks (a tree of three levels, about
-U^(1/3) branches each), whose nodes have target vectors and biases too. Every task trains all
-levels on all training tokens of its rows, from one common start, against noise drawn from the
-unigram distribution. A row of parameters is averaged over the tasks by how often each has seen it.
+U^(1/3) branches each), whose nodes have target vectors and biases too. Every trainer takes all
+levels through all training tokens of its rows, from one common start, against noise drawn from the
+unigram distribution. A row of parameters is averaged over the trainers by how often each has seen it.
+There are as many trainers as cores, and more only while each has ``SHARE`` tokens for every unit:
+what they send stays in proportion to the corpus.
 P(w | h1 h2) is the product of three softmaxes, each over a node's children: log Z is exact, in
 batched products over the contexts that occur, and costs U^(1/3) a token. A word of an ending
 class has its class's probability times (c + 1) / (N' + V' + 1), over that class's words.
@@ -21,7 +23,8 @@ where no token is frequent enough to be hot. Results of a document meet again un
 Tokens are words between white space, A-Z lower-cased, then one end per text (the empty string,
 which no word can be). Null texts count as empty: the end alone. Null ids are not held out.
 Repeated rows give repeated results; an empty table gives an empty one. Without training tokens
-all counts are 0. Long texts are worked off in slices. Only the two named columns are read.
+all counts are 0. Texts are cut into words by Arrow, in slices of a batch. Only the two named columns
+are read.
 """
 from __future__ import annotations
 
@@ -33,6 +36,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +46,10 @@ from .common import scratch, stored, text_bytes
 LEAST = 20
 CLASSES, ENDINGS, DIMENSIONS, NOISE, BATCH, RATE, SEED = 1000, 256, 16, 32, 2048, 0.15, 42
 FREQUENT = 200_000
-#: Entries of a task's counter before it is passed on, tokens of a slice, tokens scored at once, rare words in a row.
-HELD, STEP, SCORED, RARE = 300_000, 1 << 16, 1 << 18, 5_000
+#: Entries of a task's counter before it is passed on, bytes of a slice of texts, tokens scored at once, rare words in a row.
+HELD, SLICE, SCORED, RARE = 300_000, 1 << 23, 1 << 18, 5_000
+#: Tokens for every unit that a trainer has at least, where there are more trainers than cores.
+SHARE = 64
 #: Units whose parameters are averaged together.
 BLOCK = 256
 END = b""
@@ -65,6 +71,33 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def coded(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """The tokens of a batch, by slices of texts: the first text's place, where each text begins, every token's number, and the words of these numbers."""
+    as_text = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + SLICE, "right")))
+        part = pc.cast(texts[lo:hi], options=as_text)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        words, cuts = lists.flatten(), lists.offsets.to_numpy()
+        there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # an outer space leaves an empty word
+        cuts = np.concatenate([[0], np.cumsum(there)])[cuts - cuts[0]]
+        found = words.filter(pa.array(there)).dictionary_encode()
+        names = [*found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), END]
+        yield lo, cuts[:-1] + np.arange(hi - lo), np.insert(found.indices.to_numpy().astype(np.int64), cuts[1:], len(names) - 1), names
+        lo = hi
+
+
+def units_of(names: list[bytes], known: np.ndarray, classes: int) -> np.ndarray:
+    """Units of words: the known one's, or (where that is negative) an ending class's."""
+    at = known.copy()
+    other = np.flatnonzero(at < 0).tolist()
+    at[other] = [classes + ending(names[i]) for i in other]
+    return at
+
+
 def token_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all training texts; every task sends its own sums."""
 
@@ -79,8 +112,9 @@ def token_counts(train: DataFrame) -> DataFrame:
             seen.clear()
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
+            for _, _, codes, names in coded(batch.column(0)):
+                for word, c in zip(names, np.bincount(codes, minlength=len(names)).tolist()):
+                    seen[word] += c
                 if len(seen) > HELD:
                     yield from out()
         yield from out()
@@ -126,16 +160,14 @@ class Parameters:
     def tables(self) -> list[np.ndarray]:
         return [self.r, self.c, *self.q]
 
-    def contexts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.r[h1], self.r[h2]], axis=1)
-
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps over batches of (h1, h2, w), for each level of the tree."""
 
     def __init__(self, start: Parameters, share: np.ndarray, seed: int):
-        self.p = start
-        self.sums = [np.full(x.shape, 1e-6, np.float32) for x in start.tables()]
+        self.k, self.c = start.k, start.c
+        self.r, self.q = _with_sums(start.r), [_with_sums(q) for q in start.q]
+        self.c_sums = np.full(start.c.shape, 1e-6, np.float32)
         shares = [share, summed(share, start.k), summed(share, start.k**2)]
         self.noise = [np.log(NOISE * x).astype(np.float32) for x in shares]
         self.ladders = [np.cumsum(x) for x in shares]
@@ -144,13 +176,17 @@ class Trainer:
         self.seen = np.zeros(len(share), np.int64)
         self.n = self.trained = 0
 
-    def add(self, ids: np.ndarray, end: int) -> None:
-        """Token units of one text; its contexts begin with two ends."""
-        padded = np.concatenate([[end, end], ids])
-        self.waiting.append(np.stack([padded[1:-1], padded[:-2], ids]))
-        self.n += len(ids)
-        if self.n >= 8 * BATCH:
-            self.finish()
+    def add(self, units: np.ndarray, starts: np.ndarray, end: int) -> None:
+        """Token units of texts, each closed by an end, and where the texts begin; contexts begin with two ends."""
+        h1 = np.concatenate([[end], units[:-1]])
+        h2 = np.concatenate([[end, end], units[:-2]])[: len(units)]
+        h2[starts] = end
+        triples = np.stack([h1, h2, units])
+        for k in range(0, len(units), 8 * BATCH):
+            self.waiting.append(triples[:, k : k + 8 * BATCH])
+            self.n += self.waiting[-1].shape[1]
+            if self.n >= 8 * BATCH:
+                self.finish()
 
     def finish(self) -> None:
         if not self.n:
@@ -158,53 +194,99 @@ class Trainer:
         triples = np.concatenate(self.waiting, axis=1)
         self.seen += np.bincount(triples[2], minlength=len(self.seen))
         triples = triples[:, self.rng.permutation(triples.shape[1])]
-        for k in range(0, triples.shape[1], BATCH):
-            self.step(*triples[:, k : k + BATCH])
+        with np.errstate(over="ignore"):  # a sigmoid of nearly zero
+            for k in range(0, triples.shape[1], BATCH):
+                self.step(triples[:, k : k + BATCH])
         self.trained += self.n
         self.waiting, self.n = [], 0
 
-    def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
-        p, n, d = self.p, len(w), self.p.r.shape[1]
-        both = p.contexts(h1, h2)
-        context = np.column_stack([both @ p.c, np.ones(n, np.float32)])
-        g = np.zeros((n, d), np.float32)
-        for k, (q, sums, log_noise, ladder) in enumerate(zip(p.q, self.sums[2:], self.noise, self.ladders)):
-            at = w // p.k**k
-            noise = np.minimum(np.searchsorted(ladder, self.rng.random(NOISE) * ladder[-1]), len(q) - 1)
-            own, other = q[at], q[noise]
-            up = 1 - _sigmoid(np.einsum("ij,ij->i", context, own) - log_noise[at])
-            down = -_sigmoid(context @ other.T - log_noise[noise])
-            g += up[:, None] * own[:, :d] + down @ other[:, :d]
-            _move(q, sums, np.concatenate([at, noise]), np.concatenate([up[:, None] * context, down.T @ context]) / n)
-        back = g @ p.c.T / n
+    def step(self, triples: np.ndarray) -> None:
+        n, d = triples.shape[1], self.c.shape[1]
+        h1, h2, w = triples.take(np.argsort(triples[2], kind="stable"), 1)  # rows of a node stand together, on all levels
+        pairs = np.stack([h1, h2], axis=1).ravel()
+        order = np.argsort(pairs, kind="stable")
+        ids, first = _runs(pairs.take(order))
+        held = self.r.take(ids, 0)
+        place = np.empty(2 * n, np.int64)
+        place[order] = np.repeat(np.arange(len(ids)), np.diff(first, append=2 * n))
+        both = np.ascontiguousarray(held[:, 0]).take(place, 0).reshape(n, 2 * d)
+        context = np.zeros((n, d + 2), np.float32)  # the score, the bias's one, a zero that fills a pair
+        np.matmul(both, self.c, out=context[:, :d])
+        context[:, d] = 1
+
+        drawn = [np.minimum(np.searchsorted(x, self.rng.random(NOISE) * x[-1]), len(x) - 1) for x in self.ladders]
+        other = -np.concatenate([q.take(at, 0)[:, 0] for q, at in zip(self.q, drawn)])
+        down = other @ context.T  # the levels' noise, one below the other
+        down += np.concatenate([x.take(at) for x, at in zip(self.noise, drawn)])[:, None]
+        _falling(down)
+        g = down.T @ other[:, :d]
+        pushed = down @ context
+        pushed /= -n
+        for k, (q, log_noise, noise) in enumerate(zip(self.q, self.noise, drawn)):
+            at, first_at = _runs(w // self.k**k)
+            rows, runs = q.take(at, 0), np.diff(first_at, append=n)
+            own = np.repeat(rows[:, 0], runs, axis=0)
+            up = _falling(np.einsum("ij,ij->i", context, own) - np.repeat(log_noise.take(at), runs))[:, None]
+            own *= up
+            g += own[:, :d]
+            _move(q, at, rows, _sums(context * (up / n), first_at))
+            turn = np.argsort(noise, kind="stable")
+            at, first_at = _runs(noise.take(turn))
+            _move(q, at, q.take(at, 0), _sums(pushed[k * NOISE : (k + 1) * NOISE].take(turn, 0), first_at))
         grad = both.T @ g / n
-        _move(p.r, self.sums[0], np.concatenate([h1, h2]), np.concatenate([back[:, :d], back[:, d:]]))
-        self.sums[1] += grad * grad
-        p.c += RATE * grad / np.sqrt(self.sums[1])
+        back = (g @ (self.c.T / n)).reshape(2 * n, d)
+        _move(self.r, ids, held, _sums(back.take(order, 0), first))
+        self.c_sums += grad * grad
+        self.c += RATE * grad / np.sqrt(self.c_sums)
 
     def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(table, rows, times seen, values) of what this task has trained."""
-        k, all_seen = self.p.k, [self.seen, np.full(len(self.p.c), self.trained)]
-        for t, (x, seen) in enumerate(zip(self.p.tables(), [*all_seen, self.seen, summed(self.seen, k), summed(self.seen, k * k)])):
+        k, all_seen = self.k, [self.seen, np.full(len(self.c), self.trained)]
+        tables = [self.r[:, 0], self.c, *[q[:, 0, : self.c.shape[1] + 1] for q in self.q]]
+        for t, (x, seen) in enumerate(zip(tables, [*all_seen, self.seen, summed(self.seen, k), summed(self.seen, k * k)])):
             for at in range(0, len(x), BLOCK):
                 ids = np.flatnonzero(seen[at : at + BLOCK]) + at
                 if len(ids):
                     yield t, ids, seen[ids], x[ids]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _with_sums(x: np.ndarray) -> np.ndarray:
+    """A row's values (an even number of them) and their sums of squared gradients, side by side."""
+    out = np.zeros((len(x), 2, x.shape[1] + x.shape[1] % 2), np.float32)
+    out[:, 0, : x.shape[1]], out[:, 1] = x, 1e-6
+    return out
+
+
+def _falling(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
+
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array and where each begins."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x.take(first), first
 
-def _move(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """An AdaGrad step of the rows of ``x`` that occur in ``rows``."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    grad, at = np.add.reduceat(values[order], first), rows[first]
-    s = sums[at] + grad * grad
-    sums[at] = s
-    x[at] += RATE * grad / np.sqrt(s)
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows of ``x``, two columns at a time."""
+    return np.add.reduceat(x.view(np.complex64), first).view(np.float32)
+
+
+def _move(x: np.ndarray, at: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+    """An AdaGrad step of the rows ``at`` of ``x``, which are ``rows``."""
+    rows[:, 1] += grad * grad
+    grad *= RATE
+    grad /= np.sqrt(rows[:, 1])
+    rows[:, 0] += grad
+    x[at] = rows
+
+
+def trainers(n_tokens: int, units: int, cores: int) -> int:
+    """Into how many shares the training rows go at most: a multiple of the cores."""
+    return cores * max(1, n_tokens // (SHARE * units * cores))
 
 
 ROWS = "part int, block int, ids binary, seen binary, x binary"
@@ -250,11 +332,13 @@ class Model:
         if not hasattr(self, "first"):
             d = p.r.shape[1]
             self.first, self.second = p.r @ p.c[:d], p.r @ p.c[d:]
-        order = np.argsort(w, kind="stable")  # children of a node stand together, on all levels
-        w = w[order]
-        context = np.column_stack([self.first[h1[order]] + self.second[h2[order]], np.ones(len(w), np.float32)])
+        key = np.sort(w * len(w) + np.arange(len(w)))  # children of a node stand together, on all levels
+        w = key // max(1, len(w))
+        order = key - w * len(w)
+        context = np.ones((len(w), p.r.shape[1] + 1), np.float32)
+        np.add(self.first.take(h1.take(order), 0), self.second.take(h2.take(order), 0), out=context[:, :-1])
         logs = np.zeros(len(w))
-        z = np.empty(len(w), np.float32)
+        z, ones = np.empty(len(w), np.float32), np.ones(p.k, np.float32)
         for level, q in enumerate(p.q):
             parent = w // p.k ** (level + 1)
             cuts = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1], True]) if len(w) else [0]
@@ -263,12 +347,12 @@ class Model:
                 for a in range(lo, hi, 8192):
                     s = context[a : min(hi, a + 8192)] @ children
                     np.exp(s, s)
-                    s.sum(axis=1, out=z[a : a + len(s)])
+                    np.matmul(s, ones[: s.shape[1]], out=z[a : a + len(s)])
             log_z = np.log(z)
             for i in np.flatnonzero(~((z > 1e-30) & (z < 1e30))).tolist():  # out of range of short floats
                 s = q[parent[i] * p.k : (parent[i] + 1) * p.k].astype(float) @ context[i]
                 log_z[i] = s.max() + np.log(np.exp(s - s.max()).sum())
-            logs += np.einsum("ij,ij->i", context, q[w // p.k**level]) - log_z
+            logs += np.einsum("ij,ij->i", context, q.take(w // p.k**level, 0)) - log_z
         out = np.empty(len(w))
         out[order] = logs
         return out
@@ -337,14 +421,9 @@ def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         ids = {w: i for i, w in enumerate(names)}
         trainer = Trainer(Parameters.start(odds, DIMENSIONS), odds, TaskContext.get().partitionId())
         for batch in batches:
-            for text in batch.column(0):
-                t = tokens(text.as_py())
-                for k in range(0, len(t), 1 << 20):
-                    part = t[k : k + (1 << 20)]
-                    at = np.fromiter(map(ids.get, part, repeat(-1)), np.int64, len(part))
-                    other = np.flatnonzero(at < 0).tolist()
-                    at[other] = [len(names) + ending(part[i]) for i in other]
-                    trainer.add(at, end)
+            for _, starts, codes, found in coded(batch.column(0)):
+                at = np.fromiter(map(ids.get, found, repeat(-1)), np.int64, len(found))
+                trainer.add(units_of(found, at, len(names)).take(codes), starts, end)
         trainer.finish()
         if trainer.trained:
             for rows in trainer.rows():
@@ -352,7 +431,8 @@ def learn(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     parameters = Parameters.start(share, DIMENSIONS)
     tables = parameters.tables()
-    for r in train.mapInArrow(train_task, ROWS).groupBy("part", "block").applyInArrow(averaged, ROWS).toArrow().to_batches():
+    split = train.coalesce(trainers(int(total["n"]), len(share), docs.sparkSession.sparkContext.defaultParallelism))
+    for r in split.mapInArrow(train_task, ROWS).groupBy("part", "block").applyInArrow(averaged, ROWS).toArrow().to_batches():
         for t, ids, x in zip(*(r.column(c).to_pylist() for c in ("part", "ids", "x"))):
             ids = np.frombuffer(ids, np.int64)
             tables[t][ids] = np.frombuffer(x, np.float32).reshape(len(ids), -1)
@@ -373,53 +453,45 @@ def score_parts(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Da
         logs = np.log10(m.counts + 1.0)
         scale = np.concatenate([np.zeros(m.classes), np.log10(m.rest.sum(axis=1) + 1.0)])
         key = TaskContext.get().partitionId() << 36
-        waiting: list[tuple] = []  # rows without their model_log, and (h1, h2, w) of their tokens
-
-        def finished() -> pa.RecordBatch:
-            starts = np.cumsum([0] + [len(x[1][2]) for x in waiting[:-1]])
-            sums = np.add.reduceat(m.log_probability(*(np.concatenate([x[1][k] for x in waiting]) for k in range(3))), starts) / np.log(10)
-            rows = []
-            for (head, _, within, rare), s in zip(waiting, sums.tolist()):
-                rows.append((*head, within + s, rare[:RARE]))
-                rows += [(head[0], None, None, 0, 0, 0.0, 0.0, rare[k : k + RARE]) for k in range(RARE, len(rare), RARE)]
-            waiting.clear()
-            return _batch(rows)
-
-        size = 0
         for batch in batches:
-            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                t = tokens(text.as_py())
-                before = np.array([m.end, m.end])
-                for k in range(0, len(t), STEP):
-                    part = t[k : k + STEP]
-                    at = np.fromiter(map(index.get, part, repeat(-1)), np.int64, len(part))
-                    places = np.flatnonzero(at < 0).tolist()
-                    units = m.units[at]
-                    units[places] = [m.classes + ending(part[i]) for i in places]
-                    padded = np.concatenate([before, units])
-                    before = padded[-2:]
-                    found = at[at >= 0]
-                    found = found[m.counts[found] > 0]
-                    within = float(logs[at[at >= m.classes]].sum() - scale[units].sum())
-                    waiting.append(((key, doc_id, held, len(part), len(found), float(logs[found].sum())), (padded[1:-1], padded[:-2], units), within, [part[i] for i in places]))
-                    size += len(part)
-                    if size >= SCORED:
-                        yield finished()
-                        size = 0
-                key += 1
-        if waiting:
-            yield finished()
+            for lo, starts, codes, found in coded(batch.column(2)):
+                n = len(starts)
+                at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+                unit = units_of(found, np.where(at < 0, -1, m.units[at]), m.classes)
+                known = (at >= 0) & (m.counts[at] > 0)
+                found_log = np.where(known, logs[at], 0.0)
+                within = np.where(at >= m.classes, logs[at], 0.0) - scale[unit]
+                units, end = unit.take(codes), np.int64(m.end)
+                h1 = np.concatenate([[end], units[:-1]])
+                h2 = np.concatenate([[end, end], units[:-2]])[: len(units)]
+                h2[starts] = end
+                scores = within.take(codes)
+                for k in range(0, len(units), SCORED):
+                    part = slice(k, k + SCORED)
+                    scores[part] += m.log_probability(h1[part], h2[part], units[part]) / np.log(10)
+                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64).take(codes), found_log.take(codes), scores)]
+                places = np.flatnonzero(at.take(codes) < 0)
+                first = np.searchsorted(places, starts)  # rare words of the texts before
+                rows = np.maximum(1, -(-np.diff(first, append=len(places)) // RARE))
+                of = np.repeat(np.arange(n), rows)
+                more = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+                head, none = more == 0, pa.nulls(len(of))
+                rare = pa.array(found, pa.binary()).take(pa.array(codes.take(places)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key + of),
+                        *[pc.if_else(pa.array(head), batch.column(c).slice(lo, n).take(pa.array(of)), none.cast(batch.column(c).type)) for c in (0, 1)],
+                        *[pa.array(np.where(head, x[of], 0)) for x in (np.diff(starts, append=len(codes)), *sums)],
+                        pa.ListArray.from_arrays(pa.array(np.append(first[of] + more * RARE, len(places)), pa.int32()), rare),
+                    ],
+                    names=[c.split()[0] for c in PARTIAL.split(", ")],
+                )
+                key += n
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_bytes(text_col).alias("text"))
     return picked.mapInArrow(run, PARTIAL)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-    names = [c.split()[0] for c in PARTIAL.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     folder = scratch(docs.sparkSession, "log-bilinear")

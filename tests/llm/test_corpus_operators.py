@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -306,6 +307,64 @@ def test_language_model_words_grow_with_the_corpus(spark):
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_sends_its_parameters_once_a_trainer(spark, monkeypatch):
+    cores, averaged = spark.sparkContext.defaultParallelism, log_bilinear.averaged
+
+    def counted(parts):
+        if len(parts) > cores:
+            raise AssertionError(f"{len(parts)} copies of a block of parameters")
+        return averaged(parts)
+
+    monkeypatch.setattr(log_bilinear, "averaged", counted)
+    rows = [(i, "a b c a b d e " * 5) for i in range(40 * cores)]
+    model, _ = log_bilinear.learn(frame(spark, rows).repartition(5 * cores), scratch(spark, "lbl"))
+    assert model.n_tokens == sum(len(t.split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    few, many = (log_bilinear.trainers(n, 1000, 6) for n in (10**5, 10**8))
+    assert few == 6 and many % 6 == 0 and many * 1000 * log_bilinear.SHARE <= 10**8
+
+
+def test_language_model_words(monkeypatch):
+    monkeypatch.setattr(log_bilinear, "SLICE", 12)
+    texts = [b"", b" ", b"A b", b" a\x0b\x0cB\r\n", "É\x85é\u2003z \xa0 Q".encode(), b"\x1c\x1f\xff \xfe", b"long " * 9, b"A b"] + [bytes([65, k, 66]) for k in range(256)]
+    batch = pa.array([b"cut", *texts, b"off"], pa.binary())[1:-1]
+    got = []
+    for lo, starts, codes, names in log_bilinear.coded(batch):
+        assert lo == len(got)
+        got += [[names[k] for k in part] for part in np.split(codes, starts[1:])]
+    assert got == [log_bilinear.tokens(t) for t in texts]
+    assert list(log_bilinear.coded(batch[:0])) == []
+
+
+def test_language_model_score_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "RARE", 7)
+    monkeypatch.setattr(log_bilinear, "SLICE", 500)
+    rng = random.Random(9)
+    rows = [(None, None), (3, "b zz1 b"), (3, "b zz1 b")] + [(i, " ".join(rng.choices("abcdefgh", k=40)) + f" r{i}x zz{i} é{i % 9}" * (i % 12)) for i in range(10, 90)]
+    df = frame(spark, rows).localCheckpoint()
+    model, counts = log_bilinear.learn(df, scratch(spark, "lbl"))
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    p, units = model.parameters, {w: int(u) for w, u in zip(model.words, model.units)}
+
+    def score(words):
+        total, before = 0.0, [model.end, model.end]
+        for word in words:
+            u = units.get(word, model.classes + log_bilinear.ending(word))
+            x = np.append(np.concatenate([p.r[before[-1]], p.r[before[-2]]]).astype(float) @ p.c, 1)
+            for level, q in enumerate(p.q):
+                at = u // p.k**level
+                s = q[at // p.k * p.k : (at // p.k + 1) * p.k].astype(float) @ x
+                total += s[at % p.k] - math.log(np.exp(s).sum())
+            if u >= model.classes:
+                total += math.log((c.get(word, 0) + 1) / (model.rest[u - model.classes].sum() + 1))
+            before.append(u)
+        return total / math.log(10)
+
+    want = sorted((repr(d), score(log_bilinear.tokens((t or "").encode()))) for d, t in rows)
+    got = sorted((repr(r["doc_id"]), r["score"]) for r in log_bilinear.score_documents(df).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
 def test_pipeline_by_brute_force(spark):
     docs, labels = queries.table(spark, ROOT, "documents"), queries.table(spark, ROOT, "labels")
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels).collect()}
