@@ -47,7 +47,7 @@ LEAST = 20
 CLASSES, ENDINGS, DIMENSIONS, NOISE, BATCH, RATE, SEED = 1000, 256, 16, 32, 2048, 0.15, 42
 FREQUENT = 200_000
 #: Entries of a task's counter before it is passed on, bytes of a slice of texts, tokens scored at once, rare words in a row.
-HELD, SLICE, SCORED, RARE = 300_000, 1 << 23, 1 << 18, 5_000
+HELD, SLICE, SCORED, RARE = 300_000, 1 << 22, 1 << 18, 5_000
 #: Tokens for every unit that a trainer has at least, where there are more trainers than cores.
 SHARE = 64
 #: Units whose parameters are averaged together.
