@@ -12,9 +12,10 @@ id. Strings are judged on the input, overlaps count, matches stay inside documen
    segment, with its smallest id, to the shard of its minimiser: so all occurrences of a string
    meet in one shard, whole.
 4. Where all units have one and the same segment for a minimiser, its strings are in no other
-   segment and its smallest id is known. All other segments of a shard are written behind each other
-   and all their suffixes sorted by external induced sorting (``induced``). Suffixes that share ``length`` bytes are neighbours; the smallest id of
-   each such group goes back to the units as runs.
+   segment and its smallest id is known. So it is for a string of the other segments whose first or
+   last ``length - 15`` bytes occur once in the shard. The rest of a shard is written piece behind piece
+   and all its suffixes sorted by external induced sorting (``induced``). Suffixes that share ``length``
+   bytes are neighbours; the smallest id of each such group goes back to the units as runs.
 5. A unit marks what a smaller id has, and returns texts without it.
 
 Steps 2, 3 and 5 compute the same minimisers again from the stored units, so no positions travel.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +44,27 @@ from .induced import CHUNK, Spool, room, suffix_sort
 
 LENGTH, GRAM = 50, 20
 UNIT = 6 << 20
+#: Positions hashed at a time: their arrays stay in the processor's cache.
+BLOCK = 1 << 16
 #: Bytes of text for each owner of hashes and shard of segments.
-SHARE = 12 << 20
-#: Distinct segments that a shard compares in memory while it reads.
-COLLAPSE = 200_000
+SHARE = 24 << 20
+#: Distinct segments that a shard compares in memory while it reads, and those it works on at a time.
+COLLAPSE, LOT = 200_000, 1 << 12
+#: Hashes that a shard sorts at a time.
+HASHES = 1 << 22
 NO_ID = np.iinfo(np.int64).max
 RUN = np.dtype([("segment", "<u4"), ("at", "<u4"), ("count", "<u4"), ("id", "<i8")])
+HEAD = np.dtype([("number", "<u4"), ("size", "<u4"), ("least", "<i8")])
 UNITS = "ids binary, sizes binary, texts binary, bytes long"
 
 
-def pack(raw) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(bytes(raw))
+@cache
+def compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+def pack(raw, level: int = 1) -> bytes:
+    return compressor(level).compress(bytes(raw))
 
 
 def unpack(raw) -> bytes:
@@ -66,7 +78,7 @@ def units_of(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFr
         row = {
             "ids": np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
             "sizes": np.array([len(t) for t in texts], "<i8").tobytes(),
-            "texts": pack(b"".join(texts)),
+            "texts": pack(b"".join(texts), 3),
             "bytes": sum(map(len, texts)),
         }
         return pa.RecordBatch.from_pydict({"blank": [np.array([i is None for i in ids], "u1").tobytes()], **{k: [v] for k, v in row.items()}})
@@ -94,17 +106,29 @@ def six_bytes(raw: bytes) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
+def numbered(known: dict[bytes, int], keys: list[bytes]) -> np.ndarray:
+    """The number of each key in ``known``, which takes up new ones in their order."""
+    new = dict.fromkeys(k for k in keys if k not in known)
+    known.update(zip(new, range(len(known), len(known) + len(new))))
+    return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+
+def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
 def mixed(text: np.ndarray, at: int, count: int, gram: int) -> np.ndarray:
-    """Hashes of the pieces that start at ``at`` and after it; ``text`` has 8 bytes to spare."""
-    words = np.lib.stride_tricks.as_strided(text[at : at + 8].view("<u8"), (count + gram,), (1,))
-    h = np.zeros(count, np.uint64)
+    """Hashes of the pieces that start at ``at`` and after it; ``text`` ends behind the last one."""
+    words = np.lib.stride_tricks.as_strided(text[at : at + 8].view("<u8"), (count + gram - 8,), (1,)).copy()
+    h, shifted = np.zeros(count, np.uint64), np.empty(count, np.uint64)
     for k in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
-        h ^= h >> np.uint64(29)
+        if k:
+            h ^= np.right_shift(h, np.uint64(29), out=shifted)
         h += words[k : k + count]
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h ^= np.right_shift(h, np.uint64(32), out=shifted)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
+    h ^= np.right_shift(h, np.uint64(29), out=shifted)
     return h
 
 
@@ -122,8 +146,8 @@ class Unit:
         starts, values, last, last_at = [], [], None, -2
         whole = self.sizes >= length
         lows, highs = self.begins[:-1][whole], self.begins[1:][whole] - length + 1  # strings start in low..high-1
-        for lo in range(0, n, 1 << 20):
-            hi = min(n, lo + (1 << 20))
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
             h = mixed(padded, lo, hi - lo + width, gram)
             span = 1
             while 2 * span <= width:
@@ -160,9 +184,8 @@ class Unit:
     def segments(self, shared: np.ndarray):
         """Distinct segments with shared minimisers: texts, minimisers, smallest ids; and the runs' places in them."""
         runs = np.flatnonzero(shared[self.which]) if len(self.which) else np.zeros(0, np.int64)
-        raw, known, place = self.text.tobytes(), {}, np.empty(len(runs), np.int64)
-        for k, (a, c) in enumerate(zip(self.starts[runs].tolist(), self.counts[runs].tolist())):
-            place[k] = known.setdefault(raw[a : a + c + self.length - 1], len(known))
+        known, starts = {}, self.starts[runs]
+        place = numbered(known, cut(self.text.tobytes(), starts, starts + self.counts[runs] + self.length - 1))
         least = np.full(len(known), NO_ID)
         np.minimum.at(least, place, self.ids[self.doc[runs]])
         value = np.zeros(len(known), np.uint64)
@@ -198,25 +221,31 @@ def shared_minimisers(units: DataFrame, owners: int, length: int, gram: int) ->
                 out["several"].append(np.packbits(several[part]).tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("owner", pa.int32()), ("unit", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
 
-    def answer(asked: pa.Table) -> pa.Table:
-        hashes, several = [], []
-        for h, s in zip(asked.column("hashes").to_pylist(), asked.column("several").to_pylist()):
-            hashes.append(six_bytes(h))
-            several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(hashes[-1])))
-        sizes = [len(h) for h in hashes]
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        sorted_ = np.concatenate(hashes)[order]
-        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        count = np.diff(np.r_[first, len(sorted_)])
-        yes = (count > 1) | (np.maximum.reduceat(np.concatenate(several)[order], first) > 0)
-        bits = np.empty(len(order), bool)
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, hashes, several = [], [], []
+        for row in rows_of(batches):
+            hashes.append(six_bytes(row["hashes"]))
+            several.append(np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(hashes[-1])))
+            asked.append((row["owner"], row["unit"], len(hashes[-1])))
+        if not asked:
+            return
+        hashes, several = np.concatenate(hashes), np.concatenate(several)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        count = np.diff(np.r_[first, len(hashes)])
+        yes = (count > 1) | (np.maximum.reduceat(several[order], first) > 0)
+        bits, at = np.empty(len(order), bool), 0
         bits[order] = np.repeat(yes, count)
-        parts = np.split(bits, np.cumsum(sizes)[:-1])
-        table = asked.select(["owner", "unit"])
-        return table.append_column("bits", pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())).append_column("n", pa.array(sizes, pa.int64()))
+        out = {"unit": [], "owner": [], "bits": [], "n": []}
+        for owner, unit, n in asked:
+            for name, value in zip(out, (unit, owner, np.packbits(bits[at : at + n]).tobytes(), n)):
+                out[name].append(value)
+            at += n
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("unit", pa.int64()), ("owner", pa.int32()), ("bits", pa.binary()), ("n", pa.int64())]))
 
     asked = units.select("unit", "ids", "sizes", "texts").mapInArrow(ask, "owner int, unit long, hashes binary, several binary")
-    answered = asked.groupBy("owner").applyInArrow(answer, "owner int, unit long, bits binary, n long")
+    answered = asked.repartitionById(owners, "owner").mapInArrow(answer, "unit long, owner int, bits binary, n long")
     return answered.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("owner", "bits", "n"))).alias("answers"))
 
 
@@ -226,8 +255,8 @@ def bits_of(answers: list[dict] | None) -> np.ndarray:
 
 
 def segments(units: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """shard, unit and the unit's segments there: numbers, sizes, smallest ids, texts."""
-    schema = pa.schema([("shard", pa.int32()), ("unit", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("values", pa.binary()), ("least", pa.binary()), ("texts", pa.binary())])
+    """shard, unit and the unit's segments there: heads (steps of numbers, sizes, smallest ids), minimisers, texts."""
+    schema = pa.schema([("shard", pa.int32()), ("unit", pa.int64()), ("heads", pa.binary()), ("values", pa.binary()), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -237,58 +266,71 @@ def segments(units: DataFrame, shards: int, length: int, gram: int) -> DataFrame
             texts, value, least, _, _ = opened(row, length, gram).segments(shared)
             home = (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(shards)
             order = np.argsort(home, kind="stable")
-            first = np.flatnonzero(np.r_[True, home[order][1:] != home[order][:-1]])
+            home, texts = home[order], [texts[k] for k in order.tolist()]
+            heads = np.zeros(len(order), HEAD)
+            begins = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+            heads["number"] = np.diff(order, prepend=0)
+            heads["number"][begins] = order[begins]
+            heads["size"], heads["least"] = np.fromiter(map(len, texts), np.int64, len(texts)), least[order]
+            values = np.ascontiguousarray(value[order]).view(np.uint8).reshape(-1, 8)[:, :6]
             out = {f.name: [] for f in schema}
-            for part in np.split(order, first[1:]):
-                out["shard"].append(int(home[part[0]]))
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
+                out["shard"].append(int(home[a]))
                 out["unit"].append(row["unit"])
-                out["numbers"].append(pack(np.diff(part, prepend=0).astype("<u4")))
-                out["sizes"].append(pack(np.array([len(texts[k]) for k in part.tolist()], "<u4")))
-                out["values"].append(np.ascontiguousarray(value[part]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                out["least"].append(pack(least[part].astype("<i8")))
-                out["texts"].append(pack(b"".join([texts[k] for k in part.tolist()])))
+                out["heads"].append(pack(b"".join(heads[f][a:b].tobytes() for f in HEAD.names)))
+                out["values"].append(values[a:b].tobytes())
+                out["texts"].append(pack(b"".join(texts[a:b])))
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return units.mapInArrow(run, "shard int, unit long, numbers binary, sizes binary, values binary, least binary, texts binary")
+    return units.mapInArrow(run, "shard int, unit long, heads binary, values binary, texts binary")
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0 up to size - 1, for each size in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Shard:
     """Segments of one shard, and who asked for them."""
 
     def __init__(self):
-        self.raw, self.sizes, self.values, self.least = Spool(np.uint8), Spool(np.int64), Spool(np.uint64), Spool(np.int64)
+        self.raw, self.sizes, self.values = Spool(np.uint8), Spool(np.int64), Spool(np.uint64)
         self.asked = Spool(np.dtype([("number", "<u4"), ("place", "<i8"), ("least", "<i8")]))
         self.rows: list[tuple[int, int]] = []
         self.known: dict[bytes, int] = {}
-        self.low: list[int] = []
-        self.seen: list[int] = []
+        self.before = 0
 
     def add(self, row: dict):
-        numbers, least = np.cumsum(np.frombuffer(unpack(row["numbers"]), "<u4")), np.frombuffer(unpack(row["least"]), "<i8")
-        ends = np.cumsum(np.frombuffer(unpack(row["sizes"]), "<u4").astype(np.int64)).tolist()
-        raw, place, a = unpack(row["texts"]), np.empty(len(numbers), np.int64), 0
-        for k, (b, low, value) in enumerate(zip(ends, least.tolist(), six_bytes(row["values"]).tolist())):
-            at = self.known.setdefault(raw[a:b], len(self.known))
-            if at == len(self.low):
-                self.low.append(low)
-                self.seen.append(value)
-            elif low < self.low[at]:
-                self.low[at] = low
-            place[k], a = at + self.sizes.n, b
-        asked = np.zeros(len(numbers), self.asked.dtype)
-        asked["number"], asked["place"], asked["least"] = numbers, place, least
+        heads = unpack(row["heads"])
+        n, at, head = len(heads) // HEAD.itemsize, 0, {}
+        for f in HEAD.names:
+            head[f] = np.frombuffer(heads, HEAD[f], n, at)
+            at += n * HEAD[f].itemsize
+        ends, known = np.cumsum(head["size"], dtype=np.int64), len(self.known)
+        place = numbered(self.known, cut(unpack(row["texts"]), ends - head["size"], ends))
+        new = place >= known  # a unit sends a segment once
+        self.sizes.append(head["size"][new])
+        self.values.append(six_bytes(row["values"])[new])
+        asked = np.zeros(n, self.asked.dtype)
+        asked["number"], asked["place"], asked["least"] = np.cumsum(head["number"]), place + self.before, head["least"]
         self.asked.append(asked)
-        self.rows.append((row["unit"], len(numbers)))
+        self.rows.append((row["unit"], n))
         if len(self.known) >= COLLAPSE:
             self.write()
 
     def write(self):
         """Put down the distinct segments seen since the last time."""
-        self.sizes.append(np.fromiter(map(len, self.known), np.int64, len(self.known)))
         self.raw.append(np.frombuffer(b"".join(self.known), np.uint8))
-        self.values.append(np.array(self.seen, np.uint64))
-        self.least.append(np.array(self.low, np.int64))
-        self.known, self.low, self.seen = {}, [], []
+        self.before += len(self.known)
+        self.known = {}
+
+    def least(self) -> np.ndarray:
+        """Of each segment: the smallest id that asks for it."""
+        out, asked = room(self.before, np.int64, NO_ID), self.asked.array()
+        for k in range(0, len(asked), CHUNK):
+            part = asked[k : k + CHUNK]
+            np.minimum.at(out, np.ascontiguousarray(part["place"]), np.ascontiguousarray(part["least"]))
+        return out
 
     def contested(self) -> np.ndarray:
         """Of each segment: does another one have its minimiser? In passes over so many values at a time."""
@@ -300,32 +342,78 @@ class Shard:
             out[at] = (count > 1)[which]
         return out
 
-    def smallest(self, length: int, contested: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def chosen(self, contested: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Contested segments, some at a time: numbers, sizes, bytes behind each other."""
+        sizes, raw, at = self.sizes.array(), self.raw.array(), 0
+        for k in range(0, len(sizes), LOT):
+            size, mine = np.asarray(sizes[k : k + LOT]), np.asarray(contested[k : k + LOT])
+            total = int(size.sum())
+            if mine.any():
+                yield k + np.flatnonzero(mine), size[mine], np.asarray(raw[at : at + total])[np.repeat(mine, size)]
+            at += total
+
+    def repeated(self, length: int, piece: int, contested: np.ndarray) -> np.ndarray:
+        """Of each string of the contested segments, in turn: do its first and its last ``piece`` bytes occur twice in them?
+
+        Hashes tell, so a yes may be wrong; a no is right.
+        """
+        spool, sizes = Spool(np.uint64), Spool(np.int64)
+        for _, size, text in self.chosen(contested):
+            h = mixed(np.r_[text, np.zeros(piece, np.uint8)], 0, len(text), piece)
+            spool.append(h[places(size) <= np.repeat(size - piece, size)])
+            sizes.append(size)
+        hashes, passes = spool.array(), spool.n // HASHES + 1
+        table = np.zeros(1 << min(26, max(10, (8 * spool.n).bit_length())), bool)
+        mask = np.uint64(len(table) - 1)
+        for p in range(passes):
+            parts = []
+            for k in range(0, spool.n, HASHES):
+                part = np.asarray(hashes[k : k + HASHES])
+                parts.append(part[(part >> np.uint64(32)) % np.uint64(passes) == p] if passes > 1 else part)
+            part = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            table[part[1:][part[1:] == part[:-1]] & mask] = True
+        out, sizes, at = Spool(bool), sizes.array(), 0
+        for k in range(0, len(sizes), LOT):
+            size = np.asarray(sizes[k : k + LOT])
+            count = size - length + 1
+            twice = table[np.asarray(hashes[at : at + int((size - piece + 1).sum())]) & mask]
+            string = np.arange(int(count.sum())) + np.repeat(np.arange(len(size)) * (length - piece), count)
+            out.append(twice[string] & twice[string + length - piece])
+            at += len(twice)
+        return out.array()
+
+    def smallest(self, length: int, contested: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of equal smallest ids over the strings of each contested segment: first run of each, start, count, id.
 
-        Text of the sorter: bytes plus one, a zero behind each segment.
+        Text of the sorter: bytes plus one of strings that may be repeated, a zero behind each run of such strings.
         """
-        sizes, raw, low_ids = self.sizes.array(), self.raw.array(), self.least.array()
-        spool, starts_at, owners, n, at = Spool(np.uint16), Spool(np.int64), Spool(np.int64), 0, 0
-        for k in range(0, len(sizes), 1 << 14):
-            size, chosen = np.asarray(sizes[k : k + (1 << 14)]), np.asarray(contested[k : k + (1 << 14)])
-            total = int(size.sum())
-            mine = np.asarray(raw[at : at + total])[np.repeat(chosen, size)]
-            at += total
-            ends = np.cumsum(size[chosen] + 1)
+        wanted = self.repeated(length, max(min(GRAM, length), length - 15), contested)
+        spool, starts_at, owners, counts_of, lots, n, at = Spool(np.uint16), Spool(np.int64), Spool(np.int64), Spool(np.int64), [], 0, 0
+        for number, size, raw in self.chosen(contested):
+            count = size - length + 1
+            mine, which = np.asarray(wanted[at : at + int(count.sum())]), np.repeat(np.arange(len(size)), count)
+            at += len(mine)
+            same = which[1:] == which[:-1]
+            first = np.flatnonzero(mine & np.r_[True, ~(mine[:-1] & same)])
+            strings = np.flatnonzero(mine & np.r_[~(mine[1:] & same), True]) + 1 - first
+            lots.append((len(first), len(mine)))
+            bytes_ = strings + length - 1
+            ends = np.cumsum(bytes_ + 1)
             symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
             inside = np.ones(len(symbols), bool)
             inside[ends - 1] = False
-            symbols[inside] = mine.astype(np.uint16) + 1
+            begin = first + which[first] * (length - 1)  # in the segments' bytes
+            symbols[inside] = raw[np.repeat(begin, bytes_) + places(bytes_)].astype(np.uint16) + 1
             spool.append(symbols)
-            starts_at.append(n + ends - size[chosen] - 1)
-            owners.append(np.asarray(low_ids[k : k + (1 << 14)])[chosen])
+            starts_at.append(n + ends - bytes_ - 1)
+            owners.append(least[number[which[first]]])
+            counts_of.append(strings)
             n += len(symbols)
-        text, begins, least = spool.array(), starts_at.array(), owners.array()
+        text, begins, owners, counts_of = spool.array(), starts_at.array(), owners.array(), counts_of.array()
         order, shared = suffix_sort(text, length)
         group, low = -1, room(n, np.int64, NO_ID)
         for k in range(0, n, CHUNK):
-            owner = least[np.searchsorted(begins, order[k : k + CHUNK], "right") - 1]
+            owner = owners[np.searchsorted(begins, order[k : k + CHUNK], "right") - 1]
             fresh = shared[k : k + CHUNK] < length
             which = group + np.cumsum(fresh)
             first = np.flatnonzero(np.r_[True, fresh[1:]])
@@ -336,30 +424,31 @@ class Shard:
             which = group + np.cumsum(shared[k : k + CHUNK] < length)
             ids[order[k : k + CHUNK]] = low[which]
             group = int(which[-1])
-        starts, counts, values, segment = Spool(np.int64), Spool(np.int64), Spool(np.int64), Spool(np.int64)
-        for k in range(0, len(begins), 1 << 14):
-            a = np.asarray(begins[k : k + (1 << 14)])
-            count = np.r_[a[1:], begins[k + len(a)] if k + len(a) < len(begins) else n] - a - length  # a zero behind each
-            which = np.repeat(np.arange(len(a)), count)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            found = np.asarray(ids[a[which] + at])
+        starts, counts, values, firsts, at, of, run = Spool(np.int64), Spool(np.int64), Spool(np.int64), Spool(np.int64), 0, 0, 0
+        for (number, size, _), (runs, strings) in zip(self.chosen(contested), lots):
+            count = size - length + 1
+            which, found = np.repeat(np.arange(len(size)), count), np.repeat(least[number], count)
+            many = np.asarray(counts_of[run : run + runs])
+            found[np.asarray(wanted[at : at + strings])] = ids[np.repeat(begins[run : run + runs], many) + places(many)]
+            at, run = at + strings, run + runs
             fresh = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (which[1:] != which[:-1])])
-            starts.append(at[fresh])
+            starts.append(places(count)[fresh])
             counts.append(np.diff(np.r_[fresh, len(found)]))
             values.append(found[fresh])
-            segment.append(which[fresh] + k)
-        firsts = np.searchsorted(segment.array(), np.arange(len(begins) + 1))
-        return firsts, starts.array(), counts.array(), values.array()
+            firsts.append(of + np.searchsorted(which[fresh], np.arange(len(size))))
+            of += len(fresh)
+        firsts.append([of])
+        return firsts.array(), starts.array(), counts.array(), values.array()
 
     def answers(self, length: int) -> Iterator[tuple[int, bytes]]:
         """For each row that came in, runs whose id isn't just the smallest one that the unit has itself."""
         self.write()
         if not self.rows:
             return
-        contested = self.contested()
+        contested, least = self.contested(), self.least()
         rank = np.cumsum(contested) - 1
-        firsts, starts, counts, values = self.smallest(length, contested)
-        asked, sizes, least, at = self.asked.array(), self.sizes.array(), self.least.array(), 0
+        firsts, starts, counts, values = self.smallest(length, contested, least)
+        asked, sizes, at = self.asked.array(), self.sizes.array(), 0
         for unit, n in self.rows:
             part = np.asarray(asked[at : at + n])
             at += n

@@ -169,6 +169,38 @@ def test_repeats_in_any_partitioning(spark, monkeypatch):
     assert len(answers) == 1
 
 
+def test_shard_sorts_only_what_may_repeat(monkeypatch):
+    """One minimiser, many contexts: strings that occur once in a shard never reach its sorter."""
+    rng, sorted_sizes = random.Random(5), []
+    text = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    gram, shared = text(20), text(25)
+    units = [[(text(30) + gram + text(30), 100 + rng.randrange(50)) for _ in range(40)] for _ in range(4)]
+    for k, unit in enumerate(units):
+        unit += [(shared + gram + shared[:10] + text(15), 3 + k), (text(5) + shared + gram + shared, 20 - k)]
+    monkeypatch.setattr(repeats, "LOT", 8)
+    monkeypatch.setattr(repeats, "HASHES", 64)
+    monkeypatch.setattr(repeats, "COLLAPSE", 50)
+    sort = repeats.suffix_sort
+    monkeypatch.setattr(repeats, "suffix_sort", lambda t, cap: (sorted_sizes.append(len(t)), sort(t, cap))[1])
+    shard, low = repeats.Shard(), {}
+    for k, unit in enumerate(units):
+        heads = np.zeros(len(unit), repeats.HEAD)
+        heads["number"][1:], heads["size"], heads["least"] = 1, [len(t) for t, _ in unit], [i for _, i in unit]
+        packed = repeats.pack(b"".join(heads[f].tobytes() for f in repeats.HEAD.names))
+        shard.add({"unit": k, "heads": packed, "values": b"minims" * len(unit), "texts": repeats.pack(b"".join(t for t, _ in unit))})
+        for t, i in unit:
+            for a in range(len(t) - 49):
+                low[t[a : a + 50]] = min(i, low.get(t[a : a + 50], i))
+    told = {k: np.frombuffer(repeats.unpack(r), repeats.RUN) for k, r in shard.answers(50)}
+    assert sum(sorted_sizes) < sum(len(t) for unit in units for t, _ in unit) / 4
+    for k, unit in enumerate(units):
+        for number, (t, i) in enumerate(unit):
+            got = [i] * (len(t) - 49)
+            for run in told[k][told[k]["segment"] == number] if k in told else []:
+                got[run["at"] : run["at"] + run["count"]] = [run["id"]] * int(run["count"])
+            assert got == [low[t[a : a + 50]] for a in range(len(t) - 49)]
+
+
 # ---- Merkle manifest --------------------------------------------------------------------------
 
 
