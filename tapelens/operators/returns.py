@@ -202,14 +202,22 @@ def with_windows(net: DataFrame, oos_start) -> DataFrame:
     return net.select("*", F.explode(F.array(F.lit("full"), side)).alias("window"))
 
 
+#: Differences below this share of the values are rounding of compounded returns, not a change.
+NOISE = 1e-12
 VARIANT_METRICS = ("total_return", "cagr", "sharpe", "max_drawdown", "annualized_turnover", "hit_rate", "trade_count")
 
 
 def variant_deltas(measured: DataFrame, baseline: str, metric_names=VARIANT_METRICS) -> DataFrame:
     """Metrics of every strategy against the baseline's in the same window.
 
-    ``measured`` has one row per strategy and window.
+    ``measured`` has one row per strategy and window. Equal paths compound to values that differ in their
+    last bits, as what came before differs; such a delta is zero, so that no label hangs on its sign.
     """
+
+    def delta(c: str) -> Column:
+        new, old = F.col(c).cast("double"), F.col(f"baseline_{c}")
+        return F.when(F.abs(new - old) <= NOISE * F.greatest(F.abs(new), F.abs(old)), 0.0).otherwise(new - old)
+
     base = measured.where(F.col("strategy") == baseline).select(
         "window", *[F.col(c).cast("double").alias(f"baseline_{c}") for c in metric_names]
     )
@@ -219,7 +227,7 @@ def variant_deltas(measured: DataFrame, baseline: str, metric_names=VARIANT_METR
         "window",
         *[F.col(c).cast("double").alias(f"variant_{c}") for c in metric_names],
         *[f"baseline_{c}" for c in metric_names],
-        *[(F.col(c) - F.col(f"baseline_{c}")).alias(f"{c}_delta") for c in metric_names],
+        *[delta(c).alias(f"{c}_delta") for c in metric_names],
     )
 
 

@@ -110,3 +110,18 @@ def test_early_phase(spark):
     r = macro.wide_readings(spark.createDataFrame(rows, "series_id string, date date, value double")).withColumn("risk_on", F.lit(True))
     out = macro.assess_regime(r).orderBy(F.desc("date")).first()
     assert (out.phase_hint, out.yield_curve_positive) == ("EARLY", True)
+
+
+def test_rounding_of_equal_drawdowns_decides_no_label(spark):
+    """The same fall after other earlier returns differs in its last bit; that is neither gain nor loss."""
+    one, other = -0.9918156724584571, -0.991815672458457
+    rows = [("base", w, 4.0, 1e7, other if w == "full" else one) for w in ("full", "out_of_sample")]
+    rows += [("worse", "full", 3.9, 9e6, one), ("worse", "out_of_sample", 3.9, 9e6, other)]
+    rows += [("better", "full", 4.5, 2e7, one), ("better", "out_of_sample", 4.5, 2e7, one)]
+    rows += [("shallower", "full", 3.9, 9e6, one), ("shallower", "out_of_sample", 3.9, 9e6, one + 1e-9)]
+    measured = spark.createDataFrame(rows, "strategy string, window string, sharpe double, cagr double, max_drawdown double")
+    deltas = rt.variant_deltas(measured, "base", ("cagr", "sharpe", "max_drawdown"))
+    active = spark.createDataFrame([(s, 30, 25) for s in ("worse", "better", "shallower")], "strategy string, active_rebalances int, active_oos int")
+    got = {r.strategy: (r.promotion_label, r.oos_max_drawdown_delta) for r in rt.promotion(deltas, active).collect()}
+    assert got["worse"] == ("do not promote", 0.0) and got["better"] == ("candidate", 0.0)
+    assert got["shallower"][0] == "needs more testing" and abs(got["shallower"][1] - 1e-9) < 1e-12
