@@ -46,10 +46,10 @@ LENGTH, GRAM = 50, 20
 UNIT = 6 << 20
 #: Positions hashed at a time: their arrays stay in the processor's cache.
 BLOCK = 1 << 16
-#: Bytes of text for each owner of hashes and shard of segments.
-SHARE = 24 << 20
+#: Bytes of text for each owner of hashes; segments that units send to a shard, below ``COLLAPSE`` so that none is held twice.
+SHARE, SEGMENTS = 24 << 20, 300_000
 #: Distinct segments that a shard compares in memory while it reads, and those it works on at a time.
-COLLAPSE, LOT = 200_000, 1 << 12
+COLLAPSE, LOT = 400_000, 1 << 12
 #: Hashes that a shard sorts at a time.
 HASHES = 1 << 22
 NO_ID = np.iinfo(np.int64).max
@@ -204,7 +204,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def shared_minimisers(units: DataFrame, owners: int, length: int, gram: int) -> DataFrame:
-    """unit, answers: for each owner in turn the bits of the unit's distinct minimisers."""
+    """unit, answers: for each owner in turn the bits of the unit's distinct minimisers; found: how many are set."""
     edges = np.array([-((-k << 48) // owners) for k in range(owners)], np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,16 +237,17 @@ def shared_minimisers(units: DataFrame, owners: int, length: int, gram: int) ->
         yes = (count > 1) | (np.maximum.reduceat(several[order], first) > 0)
         bits, at = np.empty(len(order), bool), 0
         bits[order] = np.repeat(yes, count)
-        out = {"unit": [], "owner": [], "bits": [], "n": []}
+        out = {"unit": [], "owner": [], "bits": [], "n": [], "found": []}
         for owner, unit, n in asked:
-            for name, value in zip(out, (unit, owner, np.packbits(bits[at : at + n]).tobytes(), n)):
+            part = bits[at : at + n]
+            for name, value in zip(out, (unit, owner, np.packbits(part).tobytes(), n, int(part.sum()))):
                 out[name].append(value)
             at += n
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("unit", pa.int64()), ("owner", pa.int32()), ("bits", pa.binary()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("unit", pa.int64()), ("owner", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("found", pa.int64())]))
 
     asked = units.select("unit", "ids", "sizes", "texts").mapInArrow(ask, "owner int, unit long, hashes binary, several binary")
-    answered = asked.repartitionById(owners, "owner").mapInArrow(answer, "unit long, owner int, bits binary, n long")
-    return answered.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("owner", "bits", "n"))).alias("answers"))
+    answered = asked.repartitionById(owners, "owner").mapInArrow(answer, "unit long, owner int, bits binary, n long, found long")
+    return answered.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("owner", "bits", "n"))).alias("answers"), F.sum("found").alias("found"))
 
 
 def bits_of(answers: list[dict] | None) -> np.ndarray:
@@ -514,8 +515,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     size = units.agg(F.sum("bytes")).first()[0] or 0
     shares = max(1, math.ceil(size / SHARE))
     answers = stored(shared_minimisers(units, shares, length, gram), folder, "answers")
-    parts = segments(units.drop("bytes", "blank").join(answers.hint("shuffle_hash"), "unit"), shares, length, gram)
-    runs = stored(earliest(parts, shares, length), folder, "runs")
+    found = answers.agg(F.sum("found")).first()[0] or 0
+    answers, shards = answers.drop("found"), max(shares, math.ceil(found / SEGMENTS))
+    parts = segments(units.drop("bytes", "blank").join(answers.hint("shuffle_hash"), "unit"), shards, length, gram)
+    runs = stored(earliest(parts, shards, length), folder, "runs")
     told = answers.join(runs, "unit", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
 

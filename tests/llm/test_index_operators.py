@@ -169,6 +169,15 @@ def test_repeats_in_any_partitioning(spark, monkeypatch):
     assert len(answers) == 1
 
 
+def test_shards_follow_the_segments_sent(spark, monkeypatch):
+    seen, segments = [], repeats.segments
+    monkeypatch.setattr(repeats, "SEGMENTS", 10)
+    monkeypatch.setattr(repeats, "segments", lambda units, shards, *rest: (seen.append(shards), segments(units, shards, *rest))[1])
+    rows = [r for r in odd_rows() if len(r[1] or "") < 20_000]
+    repeats.remove_repeats(docs_frame(spark, rows))
+    assert 1 < seen[0] < 200 and repeats.SEGMENTS < repeats.COLLAPSE
+
+
 def test_shard_sorts_only_what_may_repeat(monkeypatch):
     """One minimiser, many contexts: strings that occur once in a shard never reach its sorter."""
     rng, sorted_sizes = random.Random(5), []
